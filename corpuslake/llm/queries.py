@@ -116,7 +116,61 @@ QUERIES = {
     for f in (op1_fingerprints, op2_near_duplicates, op3_secret_scan, op4_top_k, op5_language_id, op6_html_layout, op7_quality, op8_best_fit_packing, op9_token_orc, op10_byte_bpe)
 }
 
+
+def _tree_sql(src: str, text: str, p: str) -> str:
+    """CTEs {p}1 to {p}4: hashes of pieces, paragraphs, sections and root of ``text`` in ``src``, by doc_id."""
+    return rf"""
+    {p}0 AS (SELECT doc_id, string_split({text}, chr(10)) AS ls FROM {src}),
+    {p}1 AS (SELECT doc_id, [[sha256(x) FOR x IN regexp_extract_all(CASE WHEN i < len(ls) THEN ls[i] || chr(10) ELSE ls[i] END, '{fingerprints._PIECES}')] FOR i IN range(1, len(ls) + 1)] AS h FROM {p}0),
+    {p}2 AS (SELECT doc_id, h, flatten(h) AS pieces, [sha256('p' || array_to_string(x, '')) FOR x IN h] AS pars FROM {p}1),
+    {p}3 AS (SELECT doc_id, pieces, pars, [i FOR i IN range(1, len(pars) + 1) IF i = len(pars) OR pars[i] < '2' OR h[i] = [sha256(chr(10))]] AS ends FROM {p}2),
+    {p}4 AS (SELECT doc_id, pieces, sha256('r' || array_to_string([sha256('s' || array_to_string(pars[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END:ends[k]], '')) FOR k IN range(1, len(ends) + 1)], '')) AS root FROM {p}3)"""
+
+
+def _like_sql(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 ELSE len(list_distinct(list_intersect({a}, {b}))) / len(list_distinct({a} || {b})) END"
+
+
+def _spans_sql(kind: str, number: int, pattern: str, group: int, least: int) -> str:
+    rx = pattern.replace("'", "''")
+    return f"""SELECT doc_id, source, '{kind}' AS kind, {number} AS k, unnest(range(1, len(m) + 1)) AS i, gaps, m, v, {least} AS least
+        FROM (SELECT doc_id, source, string_split_regex(text, '{rx}') AS gaps, regexp_extract_all(text, '{rx}') AS m, regexp_extract_all(text, '{rx}', {group}) AS v FROM d)"""
+
+
+_LOOKS = r"regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '(?i)example|sample|dummy|changeme|placeholder|your[-_]?|xxxx|0000000|1234567|abcdef0') AND NOT repeated AND length(v) >= 12"
+
 ORACLE_SQL = {
+    "op1_fingerprints": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS nxt FROM d),
+        e AS (SELECT doc_id, text, nxt, substring(text, 1, length(text) - length(text) // 2) || substring(nxt, 1, length(text) // 2) AS edited FROM n),
+        {_tree_sql('e', 'text', 'a')}, {_tree_sql('e', 'edited', 'b')}, {_tree_sql('e', 'nxt', 'c')}
+        SELECT e.doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, a4.root AS fingerprint, b4.root AS edited_fingerprint,
+            {_like_sql('a4.pieces', 'b4.pieces')} AS near_edited, {_like_sql('a4.pieces', 'c4.pieces')} AS near_next
+        FROM e JOIN a4 USING (doc_id) JOIN b4 USING (doc_id) JOIN c4 USING (doc_id)""",
+    "op2_near_duplicates": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+        u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+        e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r(id, seen) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
+        c AS (SELECT id AS doc_id, min(seen) AS component_id FROM r GROUP BY id)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
+    "op3_secret_scan": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents),
+        m AS ({' UNION ALL '.join(_spans_sql(kind, k, rx, group, least) for k, (kind, rx, group, least) in enumerate(secrets.PATTERNS))}),
+        f AS (SELECT doc_id, source, kind, k, v[i] AS v, CAST(list_sum([length(gaps[j]) FOR j IN range(1, i + 1)]) + coalesce(list_sum([length(m[j]) FOR j IN range(1, i)]), 0) AS BIGINT) AS s, length(m[i]) AS n
+            FROM m WHERE length(v[i]) >= least),
+        b AS (SELECT doc_id, source, kind, k, v, s, s + n AS e FROM f),
+        o AS (SELECT v, count(DISTINCT split_part(source, '/', 1)) AS owners, len([c FOR c IN range(1, length(v)) IF length(v) - c >= 7 AND v[c:c + 7] = repeat(v[c:c], 8)]) > 0 AS repeated FROM b GROUP BY v),
+        g AS (SELECT v, CASE WHEN owners >= {secrets.COPIED_OWNERS} THEN 'copied' WHEN owners = 1 AND {_LOOKS} THEN 'live' END AS kind FROM o),
+        a AS (SELECT DISTINCT doc_id, g.kind, CASE g.kind WHEN 'live' THEN 3 ELSE 4 END AS k, b.e - length(b.v) AS s, b.e, b.v FROM b JOIN g USING (v) WHERE g.kind IS NOT NULL),
+        x AS (SELECT doc_id, kind, k, s, e, true AS base FROM b UNION ALL SELECT doc_id, kind, k, s, e, false FROM a),
+        j AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (WHERE base), '') AS base,
+            count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, count(*) FILTER (WHERE k = 3) AS n_live, count(*) FILTER (WHERE k = 4) AS n_copied FROM x GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+        FROM d LEFT JOIN j USING (doc_id)""",
     "op4_top_k": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding] AS v FROM embeddings

@@ -203,7 +203,8 @@ def test_registered_sql_agrees(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in Q.ORACLE_SQL.items():
         want = con.execute(sql).fetchdf()
         got = rows(Q.QUERIES[name](spark, sf))
