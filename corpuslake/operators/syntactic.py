@@ -192,6 +192,13 @@ def verb_tense(rows: DataFrame) -> DataFrame:
 
 def payload(docs: DataFrame) -> DataFrame:
     """doc_id, syntactic_metrics: the syntactic payload as one struct (N15), from one pass over the tagged texts."""
-    parts = {"speech_stats": _stats_columns(), "modality": _modality_columns(), "pos_distribution": _pos_columns(), "verb_tense": _tense_columns()}
-    fields = [F.struct(*columns).alias(name) for name, columns in parts.items()]
+    def as_map(names, columns: list[Column]) -> Column:  # noqa: ANN001
+        return F.create_map(*[x for name, c in zip(names, columns, strict=True) for x in (F.lit(name), c)])
+
+    fields = [
+        F.struct(*_stats_columns()).alias("speech_stats"),
+        as_map(MODAL_MARKERS, _modality_columns()).alias("modality"),
+        as_map(POS_BUCKETS, _pos_columns()).alias("pos_distribution"),
+        as_map(("past", "present", "future", "non_finite"), _tense_columns()).alias("verb_tense"),
+    ]
     return tagged(docs).select("doc_id", F.struct(*fields, F.size("doc").cast("long").alias("total_tagged_tokens")).alias("syntactic_metrics"))
