@@ -89,16 +89,16 @@ def topics_validation(gold: DataFrame) -> DataFrame:
     base = cell.groupBy("corpus", "label").agg(F.sum("n").alias("in_corpus")).withColumn("corpus_n", F.sum("in_corpus").over(Window.partitionBy("corpus")))
     purity = F.col("n") / F.col("n_labeled")
     out = top.join(base, ["corpus", "label"])
-    return out.select("corpus", "topic_id", "n_labeled", F.col("label").alias("top_label"), F.round(purity, 3).alias("purity"), F.round(purity / (F.col("in_corpus") / F.col("corpus_n")), 2).alias("lift"))
+    return out.select("corpus", "topic_id", "n_labeled", F.col("label").alias("top_label"), F.round(purity, 3).alias("purity"), F.round(F.col("n") * F.col("corpus_n") / (F.col("n_labeled") * F.col("in_corpus")), 2).alias("lift"))
 
 
 def _with_share(counts: DataFrame, *by: str) -> DataFrame:
     """``counts`` with pct, the count's percentage of its group's total, one decimal."""
     if by:
         total = F.sum("count").over(Window.partitionBy(*by))
-        return counts.withColumn("pct", F.round(F.col("count") / total * 100, 1))
+        return counts.withColumn("pct", F.round(F.col("count") * 100 / total, 1))
     total = counts.agg(F.sum("count").alias("__total"))  # one row
-    return counts.crossJoin(F.broadcast(total)).withColumn("pct", F.round(F.col("count") / F.col("__total") * 100, 1)).drop("__total")
+    return counts.crossJoin(F.broadcast(total)).withColumn("pct", F.round(F.col("count") * 100 / F.col("__total"), 1)).drop("__total")
 
 
 def labels_by_corpus(gold: DataFrame) -> DataFrame:

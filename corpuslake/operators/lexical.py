@@ -68,7 +68,7 @@ def pronoun_ratios(docs: DataFrame) -> DataFrame:
     # only pronouns are kept before they are counted by category
     every = tuple(w for words in T.PRONOUNS.values() for w in words)
     rows = rows.select("doc_id", F.size("t").alias("n"), F.filter("t", lambda w: w.isin(*every)).alias("p"))
-    ratio = lambda words: F.when(F.col("n") > 0, F.round(T.count_in("p", words) / F.col("n") * 1000, 2)).otherwise(F.lit(0.0))
+    ratio = lambda words: F.when(F.col("n") > 0, F.round(T.count_in("p", words) * 1000 / F.col("n"), 2)).otherwise(F.lit(0.0))
     return rows.select("doc_id", *[ratio(words).alias(name) for name, words in T.PRONOUNS.items()])
 
 

@@ -139,7 +139,7 @@ def _modality_columns() -> list[Column]:
         for first, second in MODAL_PHRASES.get(name, ()):
             phrase = F.expr(f"filter(doc, (t, k) -> t.lemma = '{first}' and coalesce(get(doc, k + 1).lower = '{second}', false))")
             hits = hits + F.size(phrase)
-        out.append(F.when(n > 0, F.round(hits / n * 1000, 2)).otherwise(F.lit(0.0)).alias(name))
+        out.append(F.when(n > 0, F.round(hits * 1000 / n, 2)).otherwise(F.lit(0.0)).alias(name))
     return out
 
 
@@ -153,7 +153,7 @@ def _count(*tags: str) -> Column:
 
 
 def _percent(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.round(part / whole * 100, 2)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, F.round(part * 100 / whole, 2)).otherwise(F.lit(0.0))
 
 
 def _pos_columns() -> list[Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpuslake.operators import dashboard as D
 from corpuslake.operators import pending as P
 from corpuslake.operators import repair, store
-from corpuslake.plans.derived import BRONZE, GOLD, SILVER, bronze, gold, silver, table
+from corpuslake.plans.derived import BRONZE, GOLD, SILVER, bronze, gold, half_up, silver, table
 
 B, S, BS, ALL = f"WITH {BRONZE} ", f"WITH {SILVER} ", f"WITH {BRONZE}, {SILVER} ", f"WITH {BRONZE}, {SILVER}, {GOLD} "
 SG = f"WITH {SILVER}, {GOLD} "
@@ -43,7 +43,7 @@ ENTRIES = {
     "overview_status_filter": (lambda s, d: D.status_counts(silver(s, d)), S + "SELECT count(*) FILTER (WHERE status_processing = 'success') AS success, count(*) FILTER (WHERE status_processing = 'failed') AS failed FROM silver"),
     "overview_wordcount_stats": (
         lambda s, d: D.word_count_stats(silver(s, d)),
-        S + "SELECT CAST(min(word_count) AS BIGINT) AS min_words, CAST(max(word_count) AS BIGINT) AS max_words, round(avg(word_count), 1) AS avg_words, round(quantile_cont(word_count, 0.5), 1) AS median_words, round(stddev_samp(word_count), 1) AS stddev_words FROM silver",
+        S + "SELECT CAST(min(word_count) AS BIGINT) AS min_words, CAST(max(word_count) AS BIGINT) AS max_words, " + half_up("sum(word_count)", "count(word_count)", 1) + " AS avg_words, round(quantile_cont(word_count, 0.5), 1) AS median_words, round(stddev_samp(word_count), 1) AS stddev_words FROM silver",
     ),
     "overview_months": (lambda s, d: D.documents_by_month(silver(s, d)), S + "SELECT strftime(publication_date, '%Y-%m') AS month, count(*) AS \"count\" FROM silver WHERE publication_date IS NOT NULL GROUP BY 1"),
     "topics_summary": (
@@ -52,23 +52,23 @@ ENTRIES = {
     ),
     "topics_purity_lift": (
         lambda s, d: D.topics_validation(gold(s, d)),
-        SG + """, cell AS (SELECT corpus, topic_id, label, count(*) AS n FROM gold WHERE corpus IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
+        SG + f""", cell AS (SELECT corpus, topic_id, label, count(*) AS n FROM gold WHERE corpus IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
         t AS (SELECT *, sum(n) OVER (PARTITION BY corpus, topic_id) AS nl, row_number() OVER (PARTITION BY corpus, topic_id ORDER BY n DESC, label) AS r FROM cell),
         b AS (SELECT corpus, label, sum(n) AS ic, sum(sum(n)) OVER (PARTITION BY corpus) AS cn FROM cell GROUP BY corpus, label)
-        SELECT t.corpus, t.topic_id, CAST(t.nl AS BIGINT) AS n_labeled, t.label AS top_label, round(t.n / t.nl, 3) AS purity, round((t.n / t.nl) / (b.ic / b.cn), 2) AS lift
+        SELECT t.corpus, t.topic_id, CAST(t.nl AS BIGINT) AS n_labeled, t.label AS top_label, {half_up("t.n", "t.nl", 3)} AS purity, {half_up("t.n * b.cn", "t.nl * b.ic", 2)} AS lift
         FROM t JOIN b ON t.corpus = b.corpus AND t.label = b.label WHERE r = 1""",
     ),
     "labels_by_corpus": (
         lambda s, d: D.labels_by_corpus(gold(s, d)),
-        SG + """SELECT corpus, label, count(*) AS "count", round(count(*) / sum(count(*)) OVER (PARTITION BY corpus) * 100, 1) AS pct FROM gold WHERE corpus IS NOT NULL AND label IS NOT NULL GROUP BY corpus, label""",
+        SG + f"""SELECT corpus, label, count(*) AS "count", {half_up("100 * count(*)", "sum(count(*)) OVER (PARTITION BY corpus)", 1)} AS pct FROM gold WHERE corpus IS NOT NULL AND label IS NOT NULL GROUP BY corpus, label""",
     ),
-    "sentiment_distribution": (lambda s, d: D.sentiment_distribution(gold(s, d)), SG + 'SELECT sentiment AS label, count(*) AS "count", round(count(*) / sum(count(*)) OVER () * 100, 1) AS pct FROM gold WHERE has_sentiment GROUP BY 1'),
+    "sentiment_distribution": (lambda s, d: D.sentiment_distribution(gold(s, d)), SG + f'SELECT sentiment AS label, count(*) AS "count", {half_up("100 * count(*)", "sum(count(*)) OVER ()", 1)} AS pct FROM gold WHERE has_sentiment GROUP BY 1'),
     "sentiment_over_time_pivot": (
         lambda s, d: D.sentiment_by_month(gold(s, d), silver(s, d)),
         SG + """SELECT strftime(publication_date, '%Y-%m') AS month, count(*) FILTER (WHERE sentiment = 'positive') AS positive, count(*) FILTER (WHERE sentiment = 'negative') AS negative, count(*) FILTER (WHERE sentiment = 'neutral') AS neutral
         FROM gold JOIN silver USING (doc_id) WHERE has_sentiment AND publication_date IS NOT NULL GROUP BY 1""",
     ),
-    "emotions_distribution": (lambda s, d: D.emotions_distribution(gold(s, d)), SG + 'SELECT emotion, count(*) AS "count", round(count(*) / sum(count(*)) OVER () * 100, 1) AS pct FROM gold WHERE emotion IS NOT NULL GROUP BY 1'),
+    "emotions_distribution": (lambda s, d: D.emotions_distribution(gold(s, d)), SG + f'SELECT emotion, count(*) AS "count", {half_up("100 * count(*)", "sum(count(*)) OVER ()", 1)} AS pct FROM gold WHERE emotion IS NOT NULL GROUP BY 1'),
     "entities_topn": (
         lambda s, d: D.entities_top(gold(s, d)),
         SG + """, e AS (SELECT 'persons' AS grp, 'P' || (doc_id % 23) AS text, doc_id % 4 + 1 AS c FROM gold WHERE has_entities UNION ALL SELECT 'locations', 'L' || (doc_id % 31), doc_id % 3 + 1 FROM gold WHERE has_entities),

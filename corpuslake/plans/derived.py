@@ -13,6 +13,11 @@ from corpuslake.functions import text as T
 from corpuslake.operators.topics import with_corpus
 
 
+def half_up(num: str, den: str, digits: int) -> str:
+    """SQL: num / den rounded half up to ``digits`` places, by whole numbers, so that ties do not hang on binary fractions."""
+    return f"CAST((2 * {10**digits} * ({num}) + ({den})) // (2 * ({den})) AS DOUBLE) / {10**digits}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions import text as T
 from corpuslake.operators import bronze as B
 from corpuslake.operators import chunking, embeddings, entities, lexical, scores, syntactic, topics
-from corpuslake.plans.derived import table
+from corpuslake.plans.derived import half_up, table
 
 
 def docs(spark, d):  # noqa: ANN001, ANN201
@@ -40,10 +40,30 @@ def _grams(n: int) -> str:
 
 
 def _ratio(words) -> str:  # noqa: ANN001
-    return f"CASE WHEN len(t) > 0 THEN round(len([x FOR x IN t IF x IN {_list(words)}]) / len(t) * 1000, 2) ELSE 0.0 END"
-
-
-_MTLD = """CASE WHEN len(t) >= 50 THEN round((one(t) + one(list_reverse(t))) / 2, 6) END"""
+    return f"CASE WHEN len(t) > 0 THEN {half_up(f'1000 * len([x FOR x IN t IF x IN {_list(words)}])', 'len(t)', 2)} ELSE 0.0 END"
+
+
+_LETTERS = "length(array_to_string(t, ''))"
+
+_FOLD = """list_reduce([{{'s': [x], 'n': 1, 'f': 0}} FOR x IN {0}], lambda a, b:
+        CASE WHEN (len(a.s) + CAST(NOT list_contains(a.s, b.s[1]) AS INT)) / (a.n + 1) < 0.72::DOUBLE THEN {{'s': CAST([] AS VARCHAR[]), 'n': 0, 'f': a.f + 1}}
+        ELSE {{'s': CASE WHEN list_contains(a.s, b.s[1]) THEN a.s ELSE list_append(a.s, b.s[1]) END, 'n': a.n + 1, 'f': a.f}} END, {{'s': CAST([] AS VARCHAR[]), 'n': 0, 'f': 0}})"""
+_FACTORS = "({0}.f + CASE WHEN {0}.n > 0 THEN (1 - len({0}.s) / {0}.n) / (1 - 0.72::DOUBLE) ELSE 0 END)"
+_MTLD = f"""WITH {TOK}, b AS (SELECT doc_id, t FROM tok WHERE len(t) >= 50), f AS (SELECT doc_id, len(t) AS n, {_FOLD.format('t')} AS p, {_FOLD.format('list_reverse(t)')} AS q FROM b),
+    v AS (SELECT doc_id, n, {_FACTORS.format('p')} AS x, {_FACTORS.format('q')} AS y FROM f),
+    m AS (SELECT doc_id, round((CASE WHEN x > 0 THEN n / x ELSE n END + CASE WHEN y > 0 THEN n / y ELSE n END) / 2, 6) AS mtld FROM v)
+    SELECT tok.doc_id, mtld FROM tok LEFT JOIN m USING (doc_id)"""
+
+_CHUNKS = rf"""WITH {SENTS}, c AS (SELECT doc_id, pos, s, regexp_extract_all(s, '\S+') AS ws FROM sent),
+    g AS (SELECT *, len(ws) > 60 AS long, sum(CAST(len(ws) > 60 AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM c),
+    u AS (SELECT doc_id, pos, 0 AS w, s AS t, len(ws) AS n, 2 * k AS g FROM g WHERE NOT long UNION ALL
+        SELECT doc_id, pos, unnest(range(len(ws))), unnest(ws), 1, 2 * k - 1 FROM g WHERE long),
+    l AS (SELECT doc_id, list({{'done': CAST([] AS VARCHAR[]), 'cur': [t], 'used': CAST(n AS BIGINT), 'g': CAST(g AS BIGINT)}} ORDER BY pos, w) AS us FROM u GROUP BY doc_id),
+    f AS (SELECT doc_id, list_reduce(us, lambda a, b: CASE WHEN a.g <> b.g OR a.used + b.used > 60
+        THEN {{'done': list_append(a.done, array_to_string(a.cur, ' ')), 'cur': b.cur, 'used': b.used, 'g': b.g}}
+        ELSE {{'done': a.done, 'cur': list_append(a.cur, b.cur[1]), 'used': a.used + b.used, 'g': b.g}} END) AS r FROM l),
+    d AS (SELECT doc_id, list_append(r.done, array_to_string(r.cur, ' ')) AS cs FROM f)
+    SELECT doc_id, CAST(no AS INTEGER) AS chunk_no, chunk, len(regexp_extract_all(chunk, '\S+')) AS n_words FROM (SELECT doc_id, unnest(cs) AS chunk, unnest(range(len(cs))) AS no FROM d)"""
 
 LISTS = {"positive": ("the", "is", "und", "le"), "negative": ("a", "of", "der", "de"), "neutral": ("in", "to", "and", "la")}
 
@@ -76,7 +96,7 @@ def _dedup(spark, d):  # noqa: ANN001, ANN202
 
 
 _MODAL = " , ".join(
-    f"round((len([x FOR x IN t IF x IN {_list(ws)}])) / greatest(len(t), 1) * 1000, 2) AS {name}" for name, ws in syntactic.MODAL_MARKERS.items()
+    f"{half_up(f'1000 * len([x FOR x IN t IF x IN {_list(ws)}])', 'greatest(len(t), 1)', 2)} AS {name}" for name, ws in syntactic.MODAL_MARKERS.items()
 )
 
 
@@ -84,7 +104,7 @@ def _modal(spark, d):  # noqa: ANN001, ANN202
     """Markers by surface form over plain tokens: the lemma-free core of the modality metric."""
     rows = docs(spark, d).select("doc_id", T.tokens("text").alias("t"))
     n = F.greatest(F.size("t"), F.lit(1))
-    return rows.select("doc_id", *[F.round(T.count_in("t", ws) / n * 1000, 2).alias(name) for name, ws in syntactic.MODAL_MARKERS.items()])
+    return rows.select("doc_id", *[F.round(T.count_in("t", ws) * 1000 / n, 2).alias(name) for name, ws in syntactic.MODAL_MARKERS.items()])
 
 
 #: name: (function of (spark, sf_dir), SQL or None)
@@ -103,7 +123,7 @@ ENTRIES = {
         lambda s, d: lexical.type_token_ratio(docs(s, d)).withColumn("ttr", F.round("ttr", 6)),
         f"WITH {TOK} SELECT doc_id, len(t) AS total_words, len(list_distinct(t)) AS types, CASE WHEN len(t) > 0 THEN round(len(list_distinct(t)) / len(t), 6) ELSE 0.0 END AS ttr FROM tok",
     ),
-    "lexical_diversity_mtld": (lambda s, d: lexical.mtld(docs(s, d)).withColumn("mtld", F.round("mtld", 6)), None),
+    "lexical_diversity_mtld": (lambda s, d: lexical.mtld(docs(s, d)).withColumn("mtld", F.round("mtld", 6)), _MTLD),
     "anaphora": (
         lambda s, d: lexical.anaphora(docs(s, d)),
         f"WITH {SENTS}, o AS (SELECT doc_id, {_T.format('s')} AS t FROM sent) SELECT doc_id, concat_ws(' ', t[1], t[2], t[3]) AS phrase, count(*) AS cnt FROM o WHERE len(t) >= 3 GROUP BY 1, 2 HAVING count(*) >= 2",
@@ -120,12 +140,12 @@ ENTRIES = {
     ),
     "avg_word_length": (
         lambda s, d: docs(s, d).select("doc_id", T.average_word_length(T.tokens("text")).alias("avg_word_length")),
-        f"WITH {TOK} SELECT doc_id, CASE WHEN len(t) > 0 THEN round(length(array_to_string(t, '')) / len(t), 2) ELSE 0.0 END AS avg_word_length FROM tok",
+        f"WITH {TOK} SELECT doc_id, CASE WHEN len(t) > 0 THEN {half_up(_LETTERS, 'len(t)', 2)} ELSE 0.0 END AS avg_word_length FROM tok",
     ),
     "speech_stats": (
         lambda s, d: syntactic.speech_stats(docs(s, d)),
-        f"""WITH {TOK}, q AS (SELECT doc_id, text, t, len({_SENT.format('text')}) AS n FROM tok) SELECT doc_id, n AS sentence_count, CASE WHEN n > 0 THEN round(len(t) / n, 2) ELSE 0.0 END AS avg_sentence_length,
-        CASE WHEN len(t) > 0 THEN round(length(array_to_string(t, '')) / len(t), 2) ELSE 0.0 END AS avg_word_length, length(text) - length(replace(text, '?', '')) AS question_count, length(text) - length(replace(text, '!', '')) AS exclamation_count FROM q""",
+        f"""WITH {TOK}, q AS (SELECT doc_id, text, t, len({_SENT.format('text')}) AS n FROM tok) SELECT doc_id, n AS sentence_count, CASE WHEN n > 0 THEN {half_up('len(t)', 'n', 2)} ELSE 0.0 END AS avg_sentence_length,
+        CASE WHEN len(t) > 0 THEN {half_up(_LETTERS, 'len(t)', 2)} ELSE 0.0 END AS avg_word_length, length(text) - length(replace(text, '?', '')) AS question_count, length(text) - length(replace(text, '!', '')) AS exclamation_count FROM q""",
     ),
     "modality_surface": (_modal, f"WITH {TOK} SELECT doc_id, {_MODAL} FROM tok"),
     "modality_markers": (lambda s, d: syntactic.modality(syntactic.tagged(docs(s, d))), None),
@@ -134,7 +154,7 @@ ENTRIES = {
     "lexical_payload": (lambda s, d: lexical.payload(docs(s, d)).select("doc_id", F.to_json("lex_metrics").alias("lex_metrics")), None),
     "syntactic_payload": (lambda s, d: syntactic.payload(docs(s, d)).select("doc_id", F.to_json("syntactic_metrics").alias("syntactic_metrics")), None),
     "entity_mentions": (lambda s, d: entities.grouped(entities.mentions_by_rule(docs(s, d))), None),
-    "chunk_pack": (lambda s, d: chunking.chunks(docs(s, d), 60), None),
+    "chunk_pack": (lambda s, d: chunking.chunks(docs(s, d), 60), _CHUNKS),
     "weighted_sentiment": (_scores(LISTS, lambda x: scores.dominant(scores.weighted(x))), _scored_sql(LISTS, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
     "weighted_emotion": (_scores(EMO, lambda x: scores.dominant(scores.weighted(x))), _scored_sql(EMO, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
     "zero_shot_labels": (_scores(EMO, lambda x: scores.selected(scores.strongest(x), 0.3)), _scored_sql(EMO, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.3 OR rank = 1"),
