@@ -52,10 +52,14 @@ def allowed(url: Column, domains: list[str] | None) -> Column:
     return urls.domain(url).isin(*[d.strip().lower().removeprefix("www.") for d in domains])
 
 
-def by_robots(rows: DataFrame, robots: DataFrame | None, on_missing: bool = True, url: str = "url") -> DataFrame:
-    """``rows`` whose path no rule of (domain, disallowed_prefix) forbids; a domain without rules follows ``on_missing``."""
+def by_robots(rows: DataFrame, robots: DataFrame | None, on_missing: bool = False, url: str = "url") -> DataFrame:
+    """``rows`` whose path no rule of (domain, disallowed_prefix) forbids; without a table of rules nothing is checked.
+
+    A domain that the table does not know is refused, or allowed with ``on_missing``; one that
+    forbids nothing has a row with an empty prefix.
+    """
     if robots is None:
-        return rows if on_missing else rows.where("false")
+        return rows
     keyed = rows.withColumns({"__domain": urls.domain(url), "__path": urls.path(url)})
     bad = robots.select(F.col("domain").alias("__domain"), F.col("disallowed_prefix").alias("__rule"))
     out = keyed.join(bad.where("__rule <> ''"), (keyed["__domain"] == bad["__domain"]) & F.startswith(keyed["__path"], bad["__rule"]), "left_anti")
@@ -64,7 +68,7 @@ def by_robots(rows: DataFrame, robots: DataFrame | None, on_missing: bool = True
     return out.drop("__domain", "__path")
 
 
-def crawl(pages: DataFrame, seeds: list[str], keywords: list[str], *, domains: list[str] | None = None, max_depth: int = 2, max_pages: int = 50, threshold: int = 1, robots: DataFrame | None = None, on_missing: bool = True) -> DataFrame:
+def crawl(pages: DataFrame, seeds: list[str], keywords: list[str], *, domains: list[str] | None = None, max_depth: int = 2, max_pages: int = 50, threshold: int = 1, robots: DataFrame | None = None, on_missing: bool = False) -> DataFrame:
     """url, crawl_depth, discovered_via, matched_keywords, page_title of up to ``max_pages`` pages with enough keywords.
 
     A page is visited at the smallest depth at which it is found. A pagination link keeps its

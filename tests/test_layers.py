@@ -183,6 +183,9 @@ def test_crawl(spark):
     assert got["http://s.t/last"].matched_keywords == ["key", "other"] and got["http://s.t/last"].discovered_via == "http://s.t/news?page=2"
     robots = spark.createDataFrame([("s.t", "/last")], "domain string, disallowed_prefix string")
     assert crawl.crawl(df, ["http://s.t/news"], ["key"], domains=["s.t"], max_depth=1, robots=robots).count() == 2
+    unknown = spark.createDataFrame([("z.z", "")], "domain string, disallowed_prefix string")
+    assert crawl.crawl(df, ["http://s.t/news"], ["key"], robots=unknown).count() == 0
+    assert crawl.crawl(df, ["http://s.t/news"], ["key"], robots=unknown, on_missing=True, max_depth=0).count() == 1
     assert crawl.crawl(df, ["http://s.t/news"], ["key"], max_depth=5, max_pages=2).count() == 2
 
 
