@@ -27,6 +27,12 @@ OPPOSITIONS = (
     ("freedom", "tyranny"), ("strength", "weakness"), ("winning", "losing"), ("truth", "lies"), ("safe", "dangerous"), ("prosperity", "decline"),
     ("hope", "fear"), ("unity", "division"), ("greatness", "failure"), ("peace", "war"), ("patriots", "radicals"), ("jobs", "unemployment"),
 )
+# Patterns of posts and their parts, the own handle.
+URL, MENTION, HASHTAG = r"https?://\S+", r"@\w+", r"#\w+"
+REPOST = r'^["“]?(RT\s+)?@\w+[:\-]?\s*'
+PERMALINK = r"(?i)truthsocial\.com/@([\w.]+)/posts/"
+OWN_HANDLE = "realdonaldtrump"
+TITLE_SEPARATOR = r"\s+[|\-—·•]\s+"
 
 
 def _col(c: Column | str) -> Column:
@@ -76,19 +82,19 @@ def count_in(words: Column | str, chosen: tuple[str, ...]) -> Column:
 def clean_post(text: Column | str) -> Column:
     """URLs, then @mentions, then #hashtags removed, white space collapsed and trimmed."""
     t = _col(text)
-    for rx in (r"https?://\S+", r"@\w+", r"#\w+"):
+    for rx in (URL, MENTION, HASHTAG):
         t = F.regexp_replace(t, rx, "")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
 def is_repost(text: Column | str) -> Column:
     """Whether a post begins as a repost or a reply does."""
-    return _col(text).rlike(r'^["“]?(RT\s+)?@\w+[:\-]?\s*')
+    return _col(text).rlike(REPOST)
 
 
 def is_substantive(text: Column | str) -> Column:
     """Whether 3 characters or more are left without URLs."""
-    return F.length(F.trim(F.regexp_replace(_col(text), r"https?://\S+", ""))) >= 3
+    return F.length(F.trim(F.regexp_replace(_col(text), URL, ""))) >= 3
 
 
 def post_body(text: Column | str) -> Column:
@@ -96,16 +102,16 @@ def post_body(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.split(_col(text), "Retweets:")[0], r"\s*\n\s*", " "))
 
 
-def permalink_handle(href: Column | str, own: str = "realdonaldtrump") -> Column:
+def permalink_handle(href: Column | str, own: str = OWN_HANDLE) -> Column:
     """Lower-case handle of a post's permalink; the own handle where there is none."""
-    got = F.regexp_extract(F.coalesce(_col(href), F.lit("")), r"(?i)truthsocial\.com/@([\w.]+)/posts/", 1)
+    got = F.regexp_extract(F.coalesce(_col(href), F.lit("")), PERMALINK, 1)
     return F.when(got == "", F.lit(own)).otherwise(F.lower(got))
 
 
 def clean_title(title: Column | str) -> Column:
     """A title without the site's name at its end, else at its start."""
     t = F.trim(F.regexp_replace(_col(title), r"\s+", " "))
-    parts = F.split(t, r"\s+[|\-—·•]\s+")
+    parts = F.split(t, TITLE_SEPARATOR)
     n = F.size(parts)
     short = lambda p: (F.length(p) < 20) | (F.length(p) / F.length(t) < 0.25)
     last, first = F.trim(F.element_at(parts, -1)), F.trim(parts[0])

@@ -21,6 +21,8 @@ MIME_TYPES = {
     "mp3": "audio/mpeg", "wav": "audio/x-wav", "m4a": "audio/mp4a-latm", "flac": "audio/x-flac", "webm": "video/webm",
     "txt": "text/plain", "html": "text/html", "pdf": "application/pdf",
 }
+# Fixed value: a temporary download's path, named by its video id.
+DOWNLOAD_PATH = r"(?i)youtube_dl_[^\\/]+[\\/]([^\\/]+)\.(?:webm|mp4|mkv|mp3|m4a)$"
 
 
 def _col(c: Column | str) -> Column:
@@ -103,7 +105,7 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
 
 def video_url(location: Column | str) -> Column:
     """Watch page of a temporary download named by its video id, else null."""
-    got = F.regexp_extract(_col(location), r"(?i)youtube_dl_[^\\/]+[\\/]([^\\/]+)\.(?:webm|mp4|mkv|mp3|m4a)$", 1)
+    got = F.regexp_extract(_col(location), DOWNLOAD_PATH, 1)
     return F.when(got != "", F.concat(F.lit("https://www.youtube.com/watch?v="), got))
 
 
