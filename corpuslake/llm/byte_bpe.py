@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,15 +68,68 @@ def character_offsets(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray
     return number[end - lengths] - 1, number[end - 1]
 
 
-_LOADED: dict[tuple[str, str], tuple[SegmentEncoder, ByteTable]] = {}
+_TOKENIZERS: dict[tuple[str, str], SegmentEncoder] = {}
+_TABLES: dict[str, ByteTable] = {}
+#: Rows that are worked on together; a batch from Spark may hold many more.
+_ROWS = 2000
 
 
-def _loaded(path: str, pattern: str) -> tuple[SegmentEncoder, ByteTable]:
-    got = _LOADED.get((path, pattern))
-    if got is None:
-        ranks = read_ranks(path)
-        got = _LOADED[path, pattern] = SegmentEncoder(rank_tokenizer(ranks, pattern), spaced=True), ByteTable(ranks)
-    return got
+def _tokenizer(path: str, pattern: str) -> SegmentEncoder:
+    if (path, pattern) not in _TOKENIZERS:
+        _TOKENIZERS[path, pattern] = SegmentEncoder(rank_tokenizer(read_ranks(path), pattern), spaced=True)
+    return _TOKENIZERS[path, pattern]
+
+
+def _table(path: str) -> ByteTable:
+    if path not in _TABLES:
+        _TABLES[path] = ByteTable(read_ranks(path))
+    return _TABLES[path]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            yield whole.slice(at, _ROWS)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) batches to (doc_id, ids[, starts, ends])."""
+    tokenizer = _tokenizer(path, pattern)
+    for batch in _slices(batches):
+        data, offs = B.text_buffer(batch.column(1))
+        ids, counts = tokenizer.encode(data, offs)
+        out, names = [batch.column(0), _lists(ids, counts)], ["doc_id", "ids"]
+        if offsets:
+            length, ends = _table(path).length, np.cumsum(counts)
+            spans = [character_offsets(data[offs[r] : offs[r + 1]], length[ids[ends[r] - counts[r] : ends[r]]]) for r in range(len(counts))]
+            none = np.zeros(0, np.int64)
+            out += [_lists(np.concatenate([none, *(s[k] for s in spans)]), counts) for k in (0, 1)]
+            names += ["starts", "ends"]
+        yield pa.RecordBatch.from_arrays(out, names)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, ids_col: str) -> Iterator[pa.RecordBatch]:
+    """Batches with an ids column, with the column decoded added."""
+    table = _table(path)
+    for batch in _slices(batches):
+        column = batch.column(batch.schema.get_field_index(ids_col))
+        ids = column.flatten().to_numpy(zero_copy_only=False)
+        valid = column.is_valid().to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(column), np.int64)
+        counts[valid] = column.value_lengths().drop_null().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(table.length[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+        texts = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(table.decode(ids).tobytes())]).cast(pa.binary())
+        if not valid.all():
+            texts = pc.if_else(pa.array(valid), texts, pa.scalar(None, pa.binary()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, offsets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,52 +137,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, offsets: bool = Fa
 
     ``pattern`` is the byte-level pattern whose tokens begin with at most one space.
     """
+    schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
+    return _texts(docs, id_col, text_col).mapInArrow(lambda b: _encoded(b, ranks_path, pattern, offsets), schema)
+
 
-    def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, table = _loaded(ranks_path, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                data, offs = B.text_buffer(batch.column(1))
-                ids, counts = tokenizer.encode(data, offs)
-                out, names = [batch.column(0), lists(ids, counts)], ["doc_id", "ids"]
-                if offsets:
-                    ends = np.cumsum(counts)
-                    spans = [character_offsets(data[offs[r] : offs[r + 1]], table.length[ids[ends[r] - counts[r] : ends[r]]]) for r in range(len(counts))]
-                    none = np.zeros(0, np.int64)
-                    out += [lists(np.concatenate([none, *(s[k] for s in spans)]), counts) for k in (0, 1)]
-                    names += ["starts", "ends"]
-                yield pa.RecordBatch.from_arrays(out, names)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
-
-
-def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``, the bytes of their ids (null ids: null).
 
     Characters that tokens split come out whole, since bytes are joined before anything
     reads them as UTF-8.
     """
+    return rows.mapInArrow(lambda b: _decoded(b, ranks_path, ids_col), ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "decoded binary"]))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = _loaded(ranks_path, pattern)
-        for whole in batches:
-            k = whole.schema.get_field_index(ids_col)
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                column = batch.column(k)
-                ids = column.flatten().to_numpy(zero_copy_only=False)
-                counts = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
-                data = table.decode(ids)
-                cum = np.concatenate([[0], np.cumsum(table.length[ids])])
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                raw = data.tobytes()
-                valid = column.is_valid().to_pylist()
-                texts = [raw[cum[ends[r]] : cum[ends[r + 1]]] if valid[r] else None for r in range(len(counts))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
-
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "decoded binary"]))
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded: encode() and decode() in one Python worker, so that a task holds one of them."""
+    return _texts(docs, id_col, text_col).mapInArrow(lambda b: _decoded(_encoded(b, ranks_path, pattern, False), ranks_path, "ids"), "doc_id long, ids array<int>, decoded binary")

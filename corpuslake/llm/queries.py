@@ -102,7 +102,7 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids of every text and the bytes that they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    rows = byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, pattern)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

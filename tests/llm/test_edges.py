@@ -266,7 +266,7 @@ def test_orc_files(spark, odd, empty, tmp_path):
 
 
 def test_byte_bpe(spark, odd, empty):
-    got = byte_bpe.decode(byte_bpe.encode(odd, RANKS, public_tokenizers.PATTERN, offsets=True), RANKS, public_tokenizers.PATTERN).collect()
+    got = byte_bpe.decode(byte_bpe.encode(odd, RANKS, public_tokenizers.PATTERN, offsets=True), RANKS).collect()
     want = sorted((t or "") for t in [r.text for r in odd.collect()])
     assert sorted(bytes(r.decoded).decode() for r in got) == want
     for r in got:
@@ -276,7 +276,7 @@ def test_byte_bpe(spark, odd, empty):
             assert r.starts[0] == 0 and r.ends[-1] == len(text) and all(a <= b for a, b in zip(r.starts, r.ends, strict=True))
     assert byte_bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
-    assert {r.doc_id: r.decoded for r in byte_bpe.decode(nulls, RANKS, public_tokenizers.PATTERN).collect()} == {1: None, 2: bytearray()}
+    assert {r.doc_id: r.decoded for r in byte_bpe.decode(nulls, RANKS).collect()} == {1: None, 2: bytearray()}
 
 
 def test_split_characters_cover_their_character():
