@@ -75,7 +75,7 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(_LOWEST))
     n = base.count()
-    ranges = int(max(1, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), n // 50 + 1)))
+    ranges = max(1, min(65_536, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), n // 20_000), n // 50 + 1))
     marks = [k / ranges for k in range(1, ranges)] or [0.5]
     got = base.agg(F.min(key).alias("low"), F.percentile_approx(key, marks, 100_000).alias("marks")).first()
     low = got["low"] if got["low"] is not None else 0

@@ -167,14 +167,20 @@ def _unpack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, np.float32).reshape(-1, len(STATISTICS)).astype(np.float64)
 
 
-def _tree_sum(parts: DataFrame, width: int = 32) -> np.ndarray | None:
-    """Elementwise sum of the packed float64 arrays of (part, packed): by groups of parts, then of the groups."""
+def _tree_sum(parts: DataFrame, n: int, width: int = 32) -> np.ndarray | None:
+    """Elementwise sum of the packed float64 arrays of (part, packed), parts numbered below ``n``.
+
+    Each level adds up to ``width`` arrays in a task, until ``width`` rows are left for the driver.
+    """
+
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("packed"))
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "packed": pa.array([total.tobytes()], pa.binary())})
 
-    step = parts.withColumn("part", F.col("part") % width).groupBy("part").applyInArrow(add, "part long, packed binary")
-    rows = step.collect()  # at most ``width`` rows
+    while n > width:
+        n = -(-n // width)
+        parts = parts.withColumn("part", F.col("part") % n).groupBy("part").applyInArrow(add, "part long, packed binary")
+    rows = parts.collect()
     return sum(np.frombuffer(bytes(r["packed"]), np.float64) for r in rows) if rows else None
 
 
@@ -192,7 +198,8 @@ def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     rows = train.count()
     if not rows:
         return QualityModel(np.zeros(k), np.ones(k), directions, phases, np.zeros(WAVES + 1), np.zeros(0), 0.0, 1.0)
-    train = train.repartition(max(1, -(-rows // TASK_ROWS)))
+    tasks = max(1, -(-rows // TASK_ROWS))
+    train = train.repartition(tasks)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, part = np.zeros(2 * k + 1), _task()
@@ -202,7 +209,7 @@ def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
                 total += np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
         yield _packed(part, total)
 
-    m = _tree_sum(train.mapInArrow(moments, "part long, packed binary"))
+    m = _tree_sum(train.mapInArrow(moments, "part long, packed binary"), tasks)
     mean = m[1 : k + 1] / m[0]
     scale = np.sqrt(np.maximum(m[k + 1 :] / m[0] - mean**2, 0))
     model = QualityModel(mean, np.where(scale > 1e-9, scale, 1.0), directions, phases, np.zeros(WAVES + 1), np.zeros(0), 0.0, 1.0)
@@ -219,7 +226,7 @@ def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
                     total[q, :, d] += g.T @ t[fold == q]
         yield _packed(part, total.ravel())
 
-    sums = _tree_sum(train.mapInArrow(normal, "part long, packed binary")).reshape(FOLDS, d, d + 1)
+    sums = _tree_sum(train.mapInArrow(normal, "part long, packed binary"), tasks).reshape(FOLDS, d, d + 1)
 
     def solve(s: np.ndarray) -> np.ndarray:
         ridge = PENALTY * max(s[0, 0], 1.0) * np.eye(d)
@@ -241,7 +248,7 @@ def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
                     total[1] += np.bincount(at, weights=t[fold == q], minlength=BINS)
         yield _packed(part, total.ravel())
 
-    n, ones = _tree_sum(train.mapInArrow(histogram, "part long, packed binary")).reshape(2, BINS)
+    n, ones = _tree_sum(train.mapInArrow(histogram, "part long, packed binary"), tasks).reshape(2, BINS)
     steps = pool_adjacent_violators(np.divide(ones, n, out=np.zeros(BINS), where=n > 0), n)
     return QualityModel(model.mean, model.scale, directions, phases, solve(every), steps, low, high)
 

@@ -331,3 +331,10 @@ def test_html_rows(spark):
     got = html_layout.extract(df).collect()
     assert sorted((r.page_id or 0, r.url, r.text) for r in got if r.page_id) == [(1, "u", "a"), (1, "u", "a")] and len(got) == 3
     assert html_layout.extract(df.limit(0)).count() == 0
+
+
+def test_tree_sum_over_many_parts(spark):
+    parts = spark.range(300).repartition(7).selectExpr("id as part", "cast(null as binary) as packed")
+    packed = parts.mapInPandas(lambda bs: (b.assign(packed=[np.array([1.0, k]).tobytes() for k in b["part"]]) for b in bs), "part long, packed binary")
+    assert quality._tree_sum(packed, 300, width=4).tolist() == [300.0, 300 * 299 / 2]
+    assert quality._tree_sum(packed.limit(0), 1) is None
