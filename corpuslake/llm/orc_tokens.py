@@ -21,6 +21,8 @@ from corpuslake.llm.segments import encoder
 
 ROW_STRIDE = 1000
 STRIPE_BYTES = 64 << 20
+#: Offsets of up to so many files (16 bytes each) are broadcast; beyond, a shuffled join brings them to the rows.
+BROADCAST_PARTS = 100_000
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
@@ -71,6 +73,8 @@ def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = N
     # one row a file: the sum over parts and their prefix sums stay small
     parts = spark.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    if len(rows.inputFiles()) <= BROADCAST_PARTS:
+        base = F.broadcast(base)
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(doc_ids))
     return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
