@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm import langid, neardup, quality, queries, secrets
-from corpuslake.session import cut, shared_dir
+from corpuslake.session import shared_dir
 
 #: A language is rejected where nothing was recognised or its share of the posterior is below this.
 LANGUAGE_SCORE = 0.4
@@ -26,17 +26,16 @@ def _with_verdict(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier, fitted on all labels, scores below its threshold."""
-    described = cut(quality.describe(docs))
-    model = quality.fit(described, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = quality.score(spark, described, model).where("predicted = 1")
-    return _with_verdict(docs, kept)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(quality.describe(docs), labels)
+    return quality.score_texts(spark, docs, model).where("predicted = 1").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognised language; the others keep their columns as they are."""
     model = langid.fit(docs)
-    rows = langid.predict(spark, docs, model, keep=("doc_id",)).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE))
-    return _with_verdict(docs, rows)
+    rows = langid.predict(spark, docs, model, keep=tuple(docs.columns))
+    return rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,3 +275,23 @@ def score(spark: SparkSession, described: DataFrame, model: QualityModel, thresh
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return described.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def score_texts(spark: SparkSession, docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """``docs`` with score and predicted, straight from the texts and with all columns kept: no shuffle brings the scores back.
+
+    ``docs`` must not have columns of those names. A null text is scored as an empty one.
+    """
+    shared = spark.sparkContext.broadcast(model)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                data, offsets = B.text_buffer(batch.column(columns.index(text_col)))
+                s = m.calibrated(m.waves(statistics(data, offsets).astype(np.float64)) @ m.weights)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*columns, "score", "predicted"])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "score double", "predicted int"]))
