@@ -132,7 +132,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
     return LanguageModel(langs, log_prob.astype(np.float32), np.log(prior / prior.sum()) if len(langs) else prior)
 
 
-def _score(model_of):
+def _score(model_of, text_at: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = model_of()
         columns = np.ascontiguousarray(model.log_prob.T)
@@ -140,7 +140,7 @@ def _score(model_of):
         for batch in batches:
             n = batch.num_rows
             total, grams, letters = np.zeros((n, max(k, 1))), np.zeros(n), np.zeros(n, bool)
-            for r, text in enumerate(batch.column(1)):
+            for r, text in enumerate(batch.column(text_at)):
                 text = text.as_py()
                 if not text:
                     continue
@@ -168,7 +168,7 @@ def _score(model_of):
                 score = np.where(known, post[np.arange(n), best], 0.0)
             else:
                 names, score = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(batch.num_columns) if c != 1], pa.array(names, pa.string()), pa.array(score)], [*[batch.schema.names[c] for c in range(batch.num_columns) if c != 1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[:keep], "lang_pred", "score"])
 
     return run
 
@@ -182,11 +182,13 @@ def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, text_col
     language that sorts first.
     """
     shared = spark.sparkContext.broadcast(model)
-    first, rest = keep[0], keep[1:]
-    rows = docs.select(F.col(first), F.col(text_col).cast("string").alias("__text"), *rest)
     types = dict(docs.dtypes)
+    # a text that is kept anyway is sent to the workers once
+    again = text_col not in keep or types[text_col] != "string"
+    rows = docs.select(*keep, *([F.col(text_col).cast("string").alias("__text")] if again else []))
+    at = len(keep) if again else keep.index(text_col)
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["lang_pred string", "score double"])
-    return rows.mapInArrow(_score(lambda: shared.value), schema)
+    return rows.mapInArrow(_score(lambda: shared.value, at, len(keep)), schema)
 
 
 def held_out(id_col: str = "doc_id"):
