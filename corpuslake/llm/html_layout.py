@@ -124,15 +124,19 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """As the library's, but "<![" is a bogus comment up to the next ">", as in browsers: the library refuses broken ones."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
 
 def parse(html: str) -> Node:
     """The tree of a page."""
     builder = TreeBuilder()
-    try:
-        builder.feed(html)
-        builder.close()
-    except AssertionError:  # the tokenizer's own refusal of broken declarations: what it had read stays
-        pass
+    builder.feed(html)
+    builder.close()
     return builder.root
 
 

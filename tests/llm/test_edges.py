@@ -326,6 +326,19 @@ def test_html():
     assert "<" not in x("<p>text <b>unclosed <i>tags <a href='x'>here")
 
 
+def test_html_goes_on_after_broken_declarations():
+    x = html_layout.extract_text
+    assert x("<p>before</p><![foo[ bar ]]><p>after</p>") == "before\n\nafter"
+    assert x("<p>a</p><![ x<p>after</p>b").split() == ["a", "after", "b"]
+    assert x("<p>a</p><![endif]--><p>b</p><![if x]>c") == "a\n\nb\n\nc"
+    assert x("<p>a</p><![ x") == "a"
+    rnd = random.Random(3)
+    bits = ["<!", "<![", "[", "]", "]]>", ">", "-", "--", "<", "</", "<?", "a", "IF", "CDATA", "cdata[", " ", "'", '"', "=", "/", "&", "#", ";", "<p", "<script>", "</script"]
+    for _ in range(5000):
+        soup = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 12)))
+        assert x(f"<p>first</p>{soup}").startswith("first")
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a", 5), (None, None, None, None), (1, "u", "<p>a", 5)], "page_id long, url string, html string, text int")
     got = html_layout.extract(df).collect()
