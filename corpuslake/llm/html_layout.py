@@ -18,7 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist title".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title".split())
+#: Not drawn within math.
+_MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
+#: May stand in an open head; any other tag, or text, ends it.
+_IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Within svg, text is drawn in these only, and nothing below the second set is drawn where it stands.
+_SVG_TEXT = frozenset("text foreignobject".split())
+_SVG_UNSEEN = frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+#: An opening tag of HTML ends svg and math, unless one of the second set stands between.
+_BREAKS_OUT = frozenset(
+    "b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_HTML_WITHIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset menu".split())
 BLOCK = SPACED | frozenset(
     "html body div section article header footer main nav aside address form li dt dd tr td th thead tbody tfoot caption figcaption details summary legend center hgroup dialog optgroup option search".split()
@@ -43,6 +55,7 @@ _SCOPE = frozenset({"table", "td", "th", "caption", "html"})
 DEEPEST = 200
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
+_SOLID = re.compile(r"[^ \t\n\r\f]")
 
 
 class Node:
@@ -75,7 +88,26 @@ class TreeBuilder(HTMLParser):
                 del self.open[low:]
                 return
 
+    def _leave_head(self) -> None:
+        if self.open[-1].tag == "head":
+            self.open.pop()
+
+    def _leave_foreign(self) -> None:
+        """Ends svg and math around the place where an HTML tag opens."""
+        low = 0
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag in _HTML_WITHIN:
+                break
+            if self.open[k].tag in ("svg", "math"):
+                low = k
+        if low:
+            del self.open[low:]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in _IN_HEAD:
+            self._leave_head()
+        if tag in _BREAKS_OUT:
+            self._leave_foreign()
         if tag in ("html", "body"):
             self.open[0].attrs.update({k: v or "" for k, v in attrs if k not in self.open[0].attrs})
             if tag == "body":
@@ -90,6 +122,8 @@ class TreeBuilder(HTMLParser):
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._push(Node("tr", {}))
         node = Node(tag, {k: v or "" for k, v in attrs})
+        if tag in _MATH_UNSEEN and any(n.tag == "math" for n in self.open):
+            node.attrs["hidden"] = ""
         if tag in VOID:
             self.open[-1].children.append(node)
         else:
@@ -107,6 +141,8 @@ class TreeBuilder(HTMLParser):
             self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in ("br", "p"):
+            self._leave_head()
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
             return
@@ -122,12 +158,21 @@ class TreeBuilder(HTMLParser):
             self.open[-1].children.append(Node("p", {}))
 
     def handle_data(self, data: str) -> None:
+        if _SOLID.search(data):
+            self._leave_head()
         self.open[-1].children.append(data)
 
     def parse_html_declaration(self, i: int) -> int:
-        """As the library's, but "<![" is a bogus comment up to the next ">", as in browsers: the library refuses broken ones."""
+        """As the library's, but "<![" is a bogus comment up to the next ">", as in browsers: the library refuses broken ones.
+
+        Within svg and math, "<![CDATA[" is text up to "]]>".
+        """
         if not self.rawdata.startswith("<![", i):
             return super().parse_html_declaration(i)
+        if self.rawdata.startswith("<![CDATA[", i) and any(n.tag in ("svg", "math") for n in self.open):
+            end = self.rawdata.find("]]>", i)
+            self.handle_data(self.rawdata[i + 9 : end if end >= 0 else None])
+            return end + 3 if end >= 0 else len(self.rawdata)
         end = self.rawdata.find(">", i)
         return end + 1 if end >= 0 else len(self.rawdata)
 
@@ -193,7 +238,23 @@ def render(node: Node, depth: int = 0) -> str:
     return out.done()
 
 
+def _render_svg(node: Node, out: _Lines, depth: int) -> None:
+    """The texts of a drawing, apart by a space."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag in _SVG_UNSEEN or not visible(child):
+            continue
+        if child.tag in _SVG_TEXT:
+            out.text(" ")
+            _render(child, out, depth)
+            out.text(" ")
+        else:
+            _render_svg(child, out, depth)
+
+
 def _render(node: Node, out: _Lines, depth: int) -> None:
+    if node.tag == "svg":
+        _render_svg(node, out, depth)
+        return
     number = 1
     if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "").strip()):
         number = int(node.attrs["start"])
@@ -218,7 +279,7 @@ def _render(node: Node, out: _Lines, depth: int) -> None:
         elif tag == "img":
             if child.attrs.get("alt"):
                 out.text(child.attrs["alt"])
-        elif tag == "wbr":
+        elif tag == "wbr" or (tag == "desc" and node.tag in ("text", "tspan")):
             continue
         elif tag == "pre":
             out.end(blank=True)
@@ -274,6 +335,8 @@ def _plain(node: Node) -> str:
             out.append(x.expandtabs(8))
         elif x.tag == "br":
             out.append("\n")
+        elif x.tag == "svg" and visible(x):
+            out.append(render(x))
         elif visible(x):
             stack.extend(reversed(x.children))
     return "".join(out)

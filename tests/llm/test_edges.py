@@ -339,6 +339,27 @@ def test_html_goes_on_after_broken_declarations():
         assert x(f"<p>first</p>{soup}").startswith("first")
 
 
+def test_html_omitted_head_end():
+    x = html_layout.extract_text
+    assert x("<head><title>T</title>Hello <b>world</b> <a href=x>link</a><p>more") == "Hello world link\n\nmore"
+    assert x("<head>\n<meta charset=utf-8>\n<title>T</title>\n<style>s</style><script>s</script>\n<a href=x>link</a> text") == "link text"
+    assert x("<head><title>T</title><img alt=pic> a") == "pic a" and x("<head><title>T</title></br>a") == "a"
+    assert x("<head><title>T</title><meta name=x></head><body>b") == "b" and x("<p>x<head>y") == "xy"
+
+
+def test_html_drawings_and_formulas():
+    x = html_layout.extract_text
+    assert x("a <svg viewBox='0 0 1 1'><title>t</title><desc>d</desc><defs><text>no</text></defs><g><text x=1>One <tspan>two</tspan></text><text>three</text></g>loose</svg> b") == "a One two three b"
+    assert x("<p>n <math><mi>x</mi><mo>=</mo><mn>1</mn></math> m") == "n x=1 m"
+    assert x("<math><semantics><mi>y</mi><annotation>\\y</annotation></semantics></math>") == "y"
+    assert x("<annotation>stays</annotation>") == "stays"
+    assert x("<svg><foreignObject><div>in</div></foreignObject></svg>") == "in"
+    assert x("<svg><path d='M0'><p>after an open drawing") == "after an open drawing"
+    assert x("<svg><text><![CDATA[a > b]]></text></svg>") == "a > b"
+    assert x("<pre>p <svg><desc>d</desc><text>q</text></svg></pre>") == "p q"
+    assert x("<table><tr><td><svg><text>cell</text></svg><td>2</table>") == "cell | 2"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a", 5), (None, None, None, None), (1, "u", "<p>a", 5)], "page_id long, url string, html string, text int")
     got = html_layout.extract(df).collect()
