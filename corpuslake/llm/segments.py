@@ -4,8 +4,9 @@ A text is cut where no token of its pre-tokenizer can reach across, so that the
 of a text are the ids of its segments in a row. numpy finds and hashes the segments
 of a batch in its byte buffer; only segments that this worker has not met are
 given to the library, and the ids of all are gathered by array indexing. A text that
-holds white space beyond ASCII (or the separators 0x1C to 0x1F) goes to the library as
-a whole, as does a segment of more than LONG bytes.
+holds white space beyond ASCII (or the separators 0x1C to 0x1F), or the content of an
+added token such as <|endoftext|>, goes to the library as a whole, as does a segment of
+more than LONG bytes.
 
 Segments are told apart by two independent 64-bit hashes; if one of them ever
 disagrees with the other, that chunk of texts is encoded without the cache.
@@ -62,8 +63,26 @@ def odd_space(data: np.ndarray) -> np.ndarray:
     return np.concatenate([control, lead[hit]])
 
 
+def rows_with(data: np.ndarray, offsets: np.ndarray, contents: list[bytes]) -> np.ndarray:
+    """Rows whose text holds one of ``contents``, in order."""
+    raw, out = data.tobytes(), set()
+    for content in contents:
+        at = raw.find(content)
+        while at >= 0:
+            row = int(np.searchsorted(offsets, at, side="right")) - 1
+            if at + len(content) <= offsets[row + 1]:
+                out.add(row)
+                at = raw.find(content, int(offsets[row + 1]))
+            else:  # across two texts
+                at = raw.find(content, at + 1)
+    return np.array(sorted(out), np.int64)
+
+
 class SegmentEncoder:
-    """Encodes texts as ``tokenizer`` (a tokenizers.Tokenizer) does without special tokens.
+    """Encodes texts as ``tokenizer`` (a tokenizers.Tokenizer) does with add_special_tokens=False.
+
+    Added tokens' contents in a text are read as those tokens, as the library does;
+    they have to be matched before normalisation (``normalized`` is false).
 
     ``spaced``: the pre-tokenizer is byte-level BPE's, whose tokens may begin with one
     space. Otherwise it drops white space and lower-cases after NFC.
@@ -72,6 +91,10 @@ class SegmentEncoder:
     def __init__(self, tokenizer, spaced: bool):  # noqa: ANN001
         self.tokenizer, self.spaced = tokenizer, spaced
         self.model = tokenizer.model
+        added = tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized for t in added):
+            raise ValueError("added tokens that are matched after normalisation are not supported")
+        self._added = [t.content.encode() for t in added]
         self._table = {b: c for b, c in byte_characters().items()}
         self._clear()
 
@@ -186,6 +209,7 @@ class SegmentEncoder:
             self._clear()
         odd = odd_space(data)
         whole = np.unique(np.searchsorted(offsets, odd, side="right") - 1) if len(odd) else np.zeros(0, np.int64)
+        whole = np.union1d(whole, rows_with(data, offsets, self._added))
         starts, ends = self._cut(data, offsets)
         row = np.searchsorted(offsets, starts, side="right") - 1
         if len(whole):
@@ -261,7 +285,5 @@ def encoder(path: str, spaced: bool) -> SegmentEncoder:
         quiet_library()
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        got = _ENCODERS[path, spaced] = SegmentEncoder(tokenizer, spaced)
+        got = _ENCODERS[path, spaced] = SegmentEncoder(Tokenizer.from_file(path), spaced)
     return got

@@ -298,6 +298,22 @@ def test_segments_equal_the_library(path, spaced):
         assert [ids[b - n : b].tolist() for b, n in zip(ends, counts, strict=True)] == want
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
+def test_added_tokens_equal_the_unaltered_library(path, spaced):
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(8)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "one", " two", "  ", "\n", "é", "!", "<", "|>", " ", "'s"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 8))) for _ in range(3000)] + ["one two<|endoftext|>three", "<|endof", "text|>", "", "", "<|endoftext|>", "a" * 70 + "<|endoftext|>"]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    assert any((49407 if path == WORD else 50256) in x for x in want)
+    e = segments.encoder(path, spaced)
+    for _ in range(2):
+        ids, counts = e.encode(*B.text_buffer(pa.array(texts)))
+        ends = np.cumsum(counts)
+        assert [ids[b - n : b].tolist() for b, n in zip(ends, counts, strict=True)] == want
+
+
 def test_words_and_hashes():
     texts = ["One two", None, "", "three", "  A\x0bB  "]
     data, offs = B.text_buffer(pa.array(texts))
