@@ -13,17 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm import langid, neardup, quality, queries, secrets
-from corpuslake.session import shared_dir
+from corpuslake.session import cut, shared_dir
 
 #: A language is rejected where nothing was recognised or its share of the posterior is below this.
 LANGUAGE_SCORE = 0.4
 
 
-def _with_verdict(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``verdict`` (doc_id); ids are distinct in documents."""
-    return docs.join(verdict.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier, fitted on all labels, scores below its threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -39,12 +34,22 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest id."""
-    return _with_verdict(docs, neardup.near_duplicates(docs).where("kept"))
+    """Keeps one document of each group of near-duplicates, the one with the smallest id.
+
+    Each row is a document for itself: rows that repeat an id are judged by their own
+    texts, and of exact repeats one stays. Rows without an id are kept.
+    """
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    ids = rows.select("__row", F.col("doc_id").cast("long").alias("__id"))
+    named = rows.where("doc_id is not null").select("__row", "text")
+    groups = neardup.near_duplicates(named, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = groups.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("first")).select("first.__row")
+    kept = first.unionByName(ids.where("__id is null").select("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks credentials that look live; widely copied examples and all other text stay."""
+    """Masks credentials that look live, row by row whatever the ids; widely copied examples and all other text stay."""
     masked = secrets.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

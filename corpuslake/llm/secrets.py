@@ -108,11 +108,12 @@ def joined(spans: str) -> str:
 def redact(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source") -> DataFrame:
     """``docs`` with each live value in ``text_col`` replaced by ``mask``; copied examples and all other text stay.
 
-    Ids must be distinct (of repeated ids, the spans of all would be masked). Few rows
+    Each row is masked by its own spans; ``id_col`` may be null, repeated or absent. Few rows
     have live values: their spans are broadcast while they are few, else joined by a shuffle.
     """
-    spans = scan(docs, id_col, text_col, repo_col).select("doc_id", F.expr("filter(added, x -> x.kind = 'live')").alias("__live")).where("size(__live) > 0 and doc_id is not null")
-    spans = cut(spans.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__live")))).alias("__live")).withColumnRenamed("doc_id", "__id"))
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    spans = scan(rows, "__row", text_col, repo_col).select(F.col("doc_id").alias("__row"), F.expr("filter(added, x -> x.kind = 'live')").alias("__live"))
+    spans = cut(spans.where("size(__live) > 0"))
     if spans.count() <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
     fold = f"""aggregate(__live, cast(struct('' as done, 0L as at) as struct<done: string, at: bigint>),
@@ -120,6 +121,6 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text
         cast(struct(concat(acc.done, substring(`{text_col}`, cast(acc.at + 1 as int), cast(x.s - acc.at as int)), '{mask}') as done, x.e as at) as struct<done: string, at: bigint>),
         cast(struct(acc.done as done, greatest(acc.at, x.e) as at) as struct<done: string, at: bigint>)),
       acc -> concat(acc.done, substring(`{text_col}`, cast(acc.at + 1 as int))))"""
-    out = docs.join(spans, F.col(id_col).cast("long") == F.col("__id"), "left")
+    out = rows.join(spans, "__row", "left")
     masked = F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(F.expr(fold))
     return out.withColumn(text_col, masked).select(*docs.columns)

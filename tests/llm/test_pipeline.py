@@ -56,6 +56,39 @@ def test_near_duplicate_stage(stages):
     assert stages[3].doc_id.tolist() == [i for i, _, c in rows if c == i]
 
 
+ROWS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def near_rows():
+    a = " ".join(f"a{k}" for k in range(60))
+    b = " ".join(f"b{k}" for k in range(60))
+    c = " ".join(f"c{k}" for k in range(60))
+    # 5: two texts under one id, one of them a copy of 2's; 7: an exact repeat; null ids stay, copies or not
+    rows = [(9, a), (2, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, a), (None, "own words only"), (3, "")]
+    want = [(2, a), (3, ""), (5, b), (7, c), (None, a), (None, a), (None, "own words only")]
+    return rows, want
+
+
+def test_near_duplicate_stage_on_null_and_repeated_ids(spark, sf):
+    rows, want = near_rows()
+    docs = spark.createDataFrame([(i, t, "en", "s/r", len(t)) for i, t in rows], ROWS).repartition(3)
+    got = P.near_duplicate_stage(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert P.near_duplicate_stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_secret_stage_on_null_and_repeated_ids(spark, sf):
+    key = "token = {}"
+    live = ["q8Zr2LkV9wXcT4bN", "m3Yt7HsB1dQpJ6uG", "z5Wn8FvR2kAxC9eL"]
+    rows = [(None, key.format(live[0])), (4, "x " + key.format(live[1])), (4, "plain words that must stay as they are, all of them"), (4, key.format(live[2]) + " end"), (None, "nothing")]
+    docs = spark.createDataFrame([(i, t, "en", f"o{k}/r", len(t)) for k, (i, t) in enumerate(rows)], ROWS).repartition(2)
+    got = P.secret_stage(spark, docs, sf).collect()
+    want = [(None, "token = [SECRET]"), (4, "x token = [SECRET]"), rows[2], (4, "token = [SECRET] end"), rows[4]]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 def test_secret_stage(stages):
     before, after = stages[3].set_index("doc_id").text, stages[4].set_index("doc_id").text
     assert before.index.equals(after.index)
