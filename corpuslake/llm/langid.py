@@ -11,6 +11,7 @@ them by document in numpy.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,9 +40,9 @@ class LanguageModel:
 
 @lru_cache(None)
 def _fold_table() -> np.ndarray:
-    """For each code point below 0x10000 its lower-case letter, or 32 where it is no letter."""
-    out = np.full(0x10000, 32, np.uint32)
-    for c in range(0x10000):
+    """For each code point its lower-case letter, or 32 where it is no letter."""
+    out = np.full(sys.maxunicode + 1, 32, np.uint32)
+    for c in range(sys.maxunicode + 1):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
@@ -52,9 +53,7 @@ def _fold_table() -> np.ndarray:
 def folded(text: str) -> np.ndarray:
     """Code points of ``text`` between two spaces, letters in lower case, all else one space a run."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = _fold_table()
-    out = np.where(raw < 0x10000, table[np.minimum(raw, 0xFFFF)], raw)  # beyond the first plane: kept, counted as letters
-    out = np.concatenate([[32], out, [32]]).astype(np.uint32)
+    out = np.concatenate([[32], _fold_table()[raw], [32]]).astype(np.uint32)
     space = out == 32
     return out[~(space & np.concatenate([[False], space[:-1]]))]
 

@@ -172,6 +172,16 @@ def test_language(spark, odd, empty):
     assert langid.gram_counts("ab " * 300_000).sum() > 1_000_000
 
 
+def test_language_beyond_the_first_plane(spark):
+    model = langid.fit(spark.createDataFrame([("the cat and the dog", "en"), ("der Hund und die Katze", "de")], "text string, lang string"))
+    df = spark.createDataFrame([(1, "🙂🙃 🚀"), (2, "𝟘𝟙 🎉!"), (3, "𐐀𐐁"), (4, "the🙂cat")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark, df, model).collect()}
+    assert got[1] == got[2] == ("und", 0.0)
+    assert got[3][0] != "und" and got[4][0] == "en"
+    assert langid.folded("the🙂cat").tolist() == langid.folded("the cat").tolist()
+    assert langid.folded("𐐀").tolist() == langid.folded("𐐨").tolist()
+
+
 def test_quality(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     d = quality.describe(odd)
