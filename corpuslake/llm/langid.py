@@ -58,12 +58,13 @@ def folded(text: str) -> np.ndarray:
     return out[~(space & np.concatenate([[False], space[:-1]]))]
 
 
-def _grams(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """Bucket numbers of the n-grams of each order; a lone space is none."""
-    c = codes.astype(np.uint32)
-    one = c[c != 32]
+def _grams(codes: np.ndarray, starts: int) -> Iterator[np.ndarray]:
+    """Bucket numbers of the n-grams of each order that begin at the first ``starts`` places; a lone space is none."""
+    codes = codes.astype(np.uint32)
     for n in range(1, ORDERS + 1):
+        c = codes[: starts + n - 1]
         if n == 1:
+            one = c[c != 32]
             h = one * np.uint32(0x9E3779B1) + np.uint32(1)
         else:
             if len(c) < n:
@@ -76,20 +77,20 @@ def _grams(codes: np.ndarray) -> Iterator[np.ndarray]:
         yield (h >> np.uint32(32 - 14)).astype(np.int32)
 
 
-def _pieces(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """Slices that overlap by ORDERS - 1, so that a very long text needs little memory at a time."""
-    if len(codes) <= _SLICE:
-        yield codes
-        return
+def _pieces(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Slices and how many places of each begin n-grams, so that a very long text needs little memory at a time.
+
+    Slices overlap by ORDERS - 1, so each n-gram is in the slice that it begins in.
+    """
     for at in range(0, len(codes), _SLICE):
-        yield codes[at : at + _SLICE]
+        yield codes[at : at + _SLICE + ORDERS - 1], _SLICE
 
 
 def gram_counts(text: str) -> np.ndarray:
     """Counts of ``text``'s n-grams by bucket."""
     out = np.zeros(BUCKETS, np.int64)
-    for codes in _pieces(folded(text)):
-        for g in _grams(codes):
+    for part in _pieces(folded(text)):
+        for g in _grams(*part):
             out += np.bincount(g, minlength=BUCKETS)
     return out
 
@@ -148,7 +149,7 @@ def _score(model_of, text_at: int, keep: int):
                 if not (k and letters[r]):
                     continue
                 for part in _pieces(codes):
-                    idx = np.concatenate(list(_grams(part)))
+                    idx = np.concatenate(list(_grams(*part)))
                     sparse = np.bincount(idx, minlength=BUCKETS) if len(idx) > BUCKETS else None
                     if sparse is None:
                         total[r] += columns[idx].sum(axis=0, dtype=np.float64)

@@ -172,6 +172,15 @@ def test_language(spark, odd, empty):
     assert langid.gram_counts("ab " * 300_000).sum() > 1_000_000
 
 
+def test_language_slices_lose_no_grams(monkeypatch):
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice("abc de") for _ in range(n)) for n in (0, 1, 5, 6, 7, 12, 13, 50, 99)]
+    want = [langid.gram_counts(t) for t in texts]
+    for size in (1, 2, 7, 8):
+        monkeypatch.setattr(langid, "_SLICE", size)
+        assert all((langid.gram_counts(t) == w).all() for t, w in zip(texts, want, strict=True))
+
+
 def test_language_beyond_the_first_plane(spark):
     model = langid.fit(spark.createDataFrame([("the cat and the dog", "en"), ("der Hund und die Katze", "de")], "text string, lang string"))
     df = spark.createDataFrame([(1, "🙂🙃 🚀"), (2, "𝟘𝟙 🎉!"), (3, "𐐀𐐁"), (4, "the🙂cat")], "doc_id long, text string")
