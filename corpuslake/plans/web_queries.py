@@ -121,6 +121,10 @@ ENTRIES = {
         r"""WITH p AS (SELECT doc_id, ['RT @u: ', '"@user: ', 'hello @u ', 'http://x.y/'][doc_id % 4 + 1] || substr(text, 1, 2) AS p FROM documents)
         SELECT doc_id, regexp_matches(p, '^["“]?(RT\s+)?@\w+[:\-]?\s*') AS is_repost, length(trim(regexp_replace(p, 'https?://\S+', '', 'g'))) >= 3 AS is_substantive FROM p""",
     ),
+    "retweet_filter_whole": (
+        lambda s, d: table(s, d, "documents").select("doc_id", T.is_repost("text").alias("is_repost"), T.is_substantive("text").alias("is_substantive")),
+        r"""SELECT doc_id, regexp_matches(text, '^["“]?(RT\s+)?@\w+[:\-]?\s*') AS is_repost, length(trim(regexp_replace(text, 'https?://\S+', '', 'g'))) >= 3 AS is_substantive FROM documents""",
+    ),
     "parse_date_multi": (
         lambda s, d: _literals(s, DATES, "id int, t string").select("id", dates.parse_date("t").alias("date")),
         "SELECT id, CAST(d AS DATE) AS date FROM (VALUES (1, '2015-06-16'), (2, '2015-06-16'), (3, '2015-06-05'), (4, '2015-06-06'), (5, '2015-06-16'), (6, NULL), (7, NULL), (8, NULL), (9, NULL), (10, NULL)) v(id, d)",

@@ -1,5 +1,7 @@
 """Hand-checked literals and properties of the text metrics."""
 
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,14 @@ def test_topics_need_enough_documents(spark):
     got = topics.fit(many, vec, k=2).collect()
     assert len(got) == 40 and {r.topics.corpus for r in got} == {"short_form"} and {r.topics.topic_id for r in got} == {0, 1}
     assert all(r.keywords == r.topics.topic_keywords for r in got)
+
+
+def test_repost_and_length_rules_see_whole_texts(spark):
+    from corpuslake.plans.catalogue import QUERIES
+
+    link = "see http://x.y/" + "z" * 300
+    cases = [(1, "RT @u: hello", True, True), (2, '"@user: hi', True, True), (3, "hello @u", False, True), (4, "http://x.y/abc https://z.w/d", False, False), (5, "a " + "http://x.y/q " * 40 + "b", False, True), (6, link, False, True), (7, "ok", False, False), (8, "http://x.y/ words that stand after a link", False, True), (9, None, None, None)]
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame([(i, t) for i, t, *_ in cases], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: (r.is_repost, r.is_substantive) for r in QUERIES["retweet_filter_whole"](spark, folder).collect()}
+    assert got == {i: (a, b) for i, _, a, b in cases}
