@@ -39,20 +39,36 @@ def _keyword_match(spark, d):  # noqa: ANN001, ANN202
     return rows.select("page_id", F.array_join("m", ",").alias("matched"))
 
 
-def _crawl(spark, d):  # noqa: ANN001, ANN202
-    """Pages that lead on by number: a crawl over generated links between the table's own pages."""
+def _linked(spark, d):  # noqa: ANN001, ANN202
+    """The table's own pages by number, with generated links, and how many there are."""
     rows = pages(spark, d).select("page_id", "url")
-    n = F.lit(rows.count())
+    count = rows.count()
+    n = F.lit(count)
     link = lambda k: F.concat(F.lit("<a href='http://site.test/"), F.pmod(F.col("page_id") * 2 + k, n), F.lit("'>x</a>"))
     made = rows.select(F.concat(F.lit("http://site.test/"), "page_id").alias("url"), F.concat(F.lit("<title>page</title>"), link(1), link(2)).alias("html"))
+    return made, count
+
+
+def _crawl(spark, d):  # noqa: ANN001, ANN202
+    """Pages that lead on by number: a crawl over generated links between the table's own pages."""
+    made, _ = _linked(spark, d)
     return crawl.crawl(made, ["http://site.test/0"], ["page"], max_depth=4, max_pages=10_000).select("url", "crawl_depth")
 
 
+def _crawl_whole(spark, d):  # noqa: ANN001, ANN202
+    """The same crawl as deep as it takes to reach every page, so that the frontier grows with the table."""
+    made, count = _linked(spark, d)
+    return crawl.crawl(made, ["http://site.test/0"], ["page"], max_depth=count.bit_length(), max_pages=count).select("url", "crawl_depth")
+
+
 _CRAWL = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS a, (page_id * 2 + k) % (SELECT n FROM n) AS b FROM pages, (VALUES (1), (2)) v(k)),
     w(p, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.p WHERE w.depth < 4)
     SELECT 'http://site.test/' || p AS url, min(depth) AS crawl_depth FROM w GROUP BY p"""
 
 
+_CRAWL_WHOLE = _CRAWL.replace("w.depth < 4", "w.depth < (SELECT length(bin(n)) FROM n)")
+
+
 def _segments(spark, d):  # noqa: ANN001, ANN202
     """Turns of a conversation as segments: excluded roles out, the rest joined in order."""
     rows = table(spark, d, "conversations")
@@ -108,6 +124,7 @@ ENTRIES = {
         "WITH m AS (SELECT page_id, [k FOR k IN [" + ", ".join(f"'{k}'" for k in KEYWORDS) + "] IF contains(lower(' ' || html || ' ' || url), k)] AS m FROM pages) SELECT page_id, array_to_string(m, ',') AS matched FROM m WHERE len(m) >= 2",
     ),
     "crawl_bfs": (_crawl, _CRAWL),
+    "crawl_bfs_whole": (_crawl_whole, _CRAWL_WHOLE),
     "segments_included_join": (
         _segments,
         r"SELECT conv_id, count(*) AS n_segments, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations WHERE NOT (turn = 0 AND conv_id % 4 = 0) AND trim(text) <> '' GROUP BY 1",

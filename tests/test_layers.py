@@ -231,3 +231,14 @@ def test_streams(spark, tmp_path):
     seen = []
     streaming.process_pending(streaming.staged_stream(spark, str(src)).select("path"), str(tmp_path / "cp2"), lambda b: seen.append(b.count()))
     assert sum(seen) == 4
+
+
+def test_uncapped_queries_see_every_row(spark):
+    from corpuslake.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").count()
+    assert pages > 31 and QUERIES["crawl_bfs_whole"](spark, sf).count() == pages
+    rest = [r.doc_id for r in QUERIES["gold_pending_labels_all"](spark, sf).collect()]
+    capped = [r.doc_id for r in QUERIES["gold_pending_labels"](spark, sf).collect()]
+    assert sorted(rest)[:100] == sorted(capped)
