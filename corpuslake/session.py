@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ def build_session(app_name: str = "corpuslake", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     for k, v in {**defaults, **conf}.items():
@@ -44,11 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared folder, which is deleted when the application ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read from the shared folder from then on.
 
-    A reliable checkpoint: it survives lost executors, later plans start from it,
-    and Spark's cleaner removes the files once nothing refers to them.
+    A reliable checkpoint: it survives lost executors and later plans start from it. Spark
+    removes the files once nothing refers to them, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as build_session() does.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), but a table of columns: later plans read those that they need."""
+    at = scratch(df.sparkSession, "table")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
