@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.operators.skew import joined_by_key
 from corpuslake.session import cut
 
 
@@ -12,22 +13,28 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """(node, component): for each node of ``edges`` the smallest node reachable from it.
 
     ``edges`` holds integer pairs, in any direction; nulls and self-loops are
-    ignored. Each round hands every node its neighbours' smallest label (a
-    partial aggregate, so a node with very many neighbours is no hot spot) and
-    then jumps to its label's label, which takes a number of rounds logarithmic
-    in a chain's length. Rounds are cut by checkpoints; only the number of
-    changed rows reaches the driver.
+    ignored, repeated edges count once, an empty table has no nodes. Each round hands every
+    node its neighbours' smallest label and then jumps to its label's label, which takes a
+    number of rounds logarithmic in a chain's length. Sums are partial aggregates, and the
+    joins deal out a hub's edges and a large component's nodes, so neither is a hot key.
+    Rounds are cut by checkpoints; only counts reach the driver.
     """
     both = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     both = cut(both.union(both.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    ends = cut(both.groupBy("a").agg(F.count(F.lit(1)).alias("copies"), F.min("b").alias("least")))
+    degrees = ends.select(F.col("a").alias("b"), "copies")
+    labels = ends.select(F.col("a").alias("node"), F.least("least", "a").alias("component"))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        step = cut(step)
-        up = step.select(F.col("node").alias("up"), F.col("component").alias("jump"))
-        nxt = cut(step.join(up, step.component == up.up, "left").select("node", "old", F.least("component", "jump").alias("component")))
-        changed = nxt.where("component <> old").limit(1).count()
-        labels = nxt.select("node", "component")
+        near = joined_by_key(both, labels.select(F.col("node").alias("b"), "component"), degrees, ["b"], "a").groupBy("a").agg(F.min("component").alias("near"))
+        step = cut(labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")))
+        # a label that has moved on takes its nodes with it
+        members = cut(step.groupBy("component").agg(F.count(F.lit(1)).alias("copies")))
+        moved = step.where("component < node").select(F.col("node").alias("component"), F.col("component").alias("jump"))
+        moved = cut(moved.join(members, "component"))
+        changed = step.where("component < old").limit(1).count()
+        if moved.limit(1).count():
+            step = cut(joined_by_key(step, moved.select("component", "jump"), moved.select("component", "copies"), ["component"], "node", "left").select("node", F.least("component", "jump").alias("component")))
+            changed = 1
+        labels = step.select("node", "component")
         if not changed:
             return labels

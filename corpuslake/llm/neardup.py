@@ -10,11 +10,16 @@ only loss is a true link that shares no band (about 5e-6 at similarity 0.75) or
 that the bound drops (at most ``miss`` a batch).
 
 Scale. Equal sets are collapsed to one node before anything else, so copies cost
-one row each. Buckets are counted by partial aggregation; a large bucket is split
-into blocks that meet pairwise, so that no task gets a whole bucket and the pairs
-of a bucket are only ever numpy index arrays within a task, never rows. Only
-documents with a surviving pair have their text read again. Links leave a task as
-a spanning forest: fewer rows than documents.
+one row each. Candidates are verified in two rounds. First every member of a bucket
+meets the bucket's smallest node only (each node one such leader): that is linear in a
+bucket's size, and a large group of near copies becomes one component. Then buckets
+that still hold several components are compared in full, across components only:
+the largest component's members meet the others in blocks, the others meet each other, so
+that no task gets a whole bucket and pairs are only ever numpy index arrays within a
+task, never rows. Only documents with a surviving pair have their text read again, once
+for the leader and once more for each block that they still have a survivor in. Links leave
+a task as a spanning forest: fewer rows than documents. Joins on keys that
+many rows share (equal sets, buckets, leaders) deal such keys out.
 """
 
 from __future__ import annotations
@@ -29,11 +34,14 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm import _buffers as B
 from corpuslake.llm.components import connected_components
-from corpuslake.session import cut
+from corpuslake.operators.skew import joined_by_key
+from corpuslake.session import cut, stored
 
 HASHES, BANDS, ROWS, BATCH = 128, 32, 4, 32
 #: Members of a block and the shingles that they may have between them.
 BLOCK_DOCS, BLOCK_SHINGLES = 400, 2_000_000
+#: Index pairs that are worked on together.
+PAIRS = 1 << 18
 #: Up to so many document ids (16 bytes each) are broadcast to pick out texts; beyond, a shuffled join does it.
 BROADCAST_IDS = 1_000_000
 _BASE = 0xD1342543DE82EF95
@@ -109,10 +117,9 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def surviving_pairs(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray | int, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (i, j) that pass every batch and first collide in ``band``, with their agreements."""
+def surviving_pairs(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (i, j) that pass every batch and first collide in ``band`` (-1: in any), with their agreements."""
     keep_i, keep_j, keep_m = [], [], []
-    band = np.broadcast_to(np.asarray(band), i.shape)
     for at in range(0, len(i), 1 << 15):
         a, b, w = i[at : at + (1 << 15)], j[at : at + (1 << 15)], band[at : at + (1 << 15)]
         matches = np.zeros(len(a), np.int32)
@@ -125,7 +132,7 @@ def surviving_pairs(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.nda
                 break
         if len(a):
             hit = (sigs[a] == sigs[b]).reshape(len(a), BANDS, ROWS).all(axis=2)
-            first = hit.argmax(axis=1) == w
+            first = (hit.argmax(axis=1) == w) | (w < 0)
             keep_i.append(a[first])
             keep_j.append(b[first])
             keep_m.append(matches[first])
@@ -205,42 +212,53 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-_TASK = ["bucket", "x", "y"]
+#: A task's key: a leader or bucket, what meets in it, and which blocks.
+_TASK = ["group", "kind", "x", "y"]
+_LEADER, _ACROSS, _AMONG = 0, 1, 2
+_MEMBER = "group long, kind int, x int, y int, side int, component long, band int, node long"
 
 
 def _pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within each run of equal task; in a task of two blocks only pairs across them."""
-    cols = [table.column(c).to_numpy() for c in _TASK]
-    block = table.column("block").to_numpy()
-    n = len(block)
+    """Index pairs of different components within each run of equal task; where both sides are there, across the sides only.
+
+    The rows of a run are sorted by side.
+    """
+    side, component = table.column("side").to_numpy(), table.column("component").to_numpy()
+    n = len(side)
     edge = np.zeros(n, bool)
     edge[0] = True
-    for c in cols:
-        edge[1:] |= c[1:] != c[:-1]
-    start = np.flatnonzero(edge)
-    size = np.diff(np.append(start, n))
-    for m in np.unique(size[size > 1]):
-        at = start[size == m]
-        if m <= 64:
-            i, j = np.triu_indices(int(m), 1)
-            for q in range(0, len(at), max(1, (1 << 18) // len(i))):
-                base = at[q : q + max(1, (1 << 18) // len(i)), None]
-                a, b = (base + i).ravel(), (base + j).ravel()
-                ok = (cols[1][a] == cols[2][a]) | (block[a] != block[b])
-                yield a[ok], b[ok]
-        else:
-            for s in at:
-                left = np.arange(s, s + m)
-                if cols[1][s] == cols[2][s]:
-                    for r in range(0, m, 256):
-                        a, b = np.meshgrid(left[r : r + 256], left[r:], indexing="ij")
-                        ok = a < b
-                        yield a[ok], b[ok]
-                else:
-                    one, two = left[block[left] == cols[1][s]], left[block[left] == cols[2][s]]
-                    for r in range(0, len(one), 256):
-                        a, b = np.meshgrid(one[r : r + 256], two, indexing="ij")
-                        yield a.ravel(), b.ravel()
+    for c in _TASK:
+        v = table.column(c).to_numpy()
+        edge[1:] |= v[1:] != v[:-1]
+    run = np.cumsum(edge) - 1
+    end = np.append(np.flatnonzero(edge)[1:], n)[run]
+    other = end - np.bincount(run, weights=side).astype(np.int64)[run]  # where a run's second side begins
+    low = np.where(other == end, np.arange(n) + 1, np.where(side == 0, other, end))
+    many = end - low
+    before = np.concatenate([[0], np.cumsum(many)])
+    at = 0
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS, side="right")) - 1)
+        m = many[at:upto]
+        if total := int(m.sum()):
+            i = np.repeat(np.arange(at, upto), m)
+            j = np.arange(total) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[at:upto], m)
+            ok = component[i] != component[j]
+            yield i[ok], j[ok]
+        at = upto
+
+
+def _leaders(threshold: float, miss: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, _TASK):
+            sigs = _matrix(table.column("sig").combine_chunks())
+            node, band = table.column("node").to_numpy(), table.column("band").to_numpy()
+            for a, b in _pairs(table):
+                i, j, m = surviving_pairs(sigs, a, b, band[a], threshold, miss)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[j]), pa.array(node[i]), pa.array(m.astype(np.int32))], ["node", "leader", "matches"])
+
+    return run
 
 
 def _screen(threshold: float, miss: float):
@@ -254,8 +272,7 @@ def _screen(threshold: float, miss: float):
                 hit[i] = True
                 hit[j] = True
             if hit.any():
-                out = table.filter(pa.array(hit)).select(["bucket", "x", "y", "band", "block", "node"]).combine_chunks()
-                yield from out.to_batches()
+                yield from table.filter(pa.array(hit)).drop_columns("sig").combine_chunks().to_batches()
 
     return run
 
@@ -270,7 +287,9 @@ def _confirm(threshold: float, miss: float, size: int):
             band = table.column("band").to_numpy()
             sets = list(shingle_sets(data, offsets, size))
             sigs = np.stack([signature(s) if len(s) else np.zeros(HASHES, np.uint32) for s in sets])
-            parent = np.arange(len(nodes))
+            # rows of one component are one from the start, whichever group of the table they are in
+            _, first, back = np.unique(table.column("component").to_numpy(), return_index=True, return_inverse=True)
+            parent = first[back]
 
             def find(x: int) -> int:
                 while parent[x] != x:
@@ -292,7 +311,8 @@ def _confirm(threshold: float, miss: float, size: int):
                     at[at == len(t)] = 0
                     both = int((t[at] == s).sum())
                     if 100 * both >= percent * (len(s) + len(t) - both):
-                        parent[find(p)] = find(q)
+                        one, two = find(p), find(q)
+                        parent[max(one, two)] = min(one, two)
                         links.append((p, q))
             if links:
                 one = np.array(links)
@@ -301,6 +321,58 @@ def _confirm(threshold: float, miss: float, size: int):
     return run
 
 
+def _following(pairs: DataFrame) -> DataFrame:
+    """Tasks in which a leader (first side) meets a block of its followers, for (node, leader, size) pairs."""
+    many = cut(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("total")))
+    blocks = many.select("leader", "copies", _blocks("copies", "total").alias("blocks"))
+    followers = joined_by_key(pairs, blocks.select("leader", "blocks"), many.select("leader", "copies"), ["leader"], "node")
+    place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = followers.select(F.col("leader").alias("group"), place.alias("x"), F.lit(1).alias("side"), "node")
+    heads = blocks.select(F.col("leader").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.lit(0).alias("side"), F.col("leader").alias("node"))
+    rows = rows.unionByName(heads)
+    return rows.select("group", F.lit(_LEADER).alias("kind"), "x", F.lit(0).alias("y"), "side", F.col("node").alias("component"), F.lit(-1).alias("band"), "node")
+
+
+def _blocks(members: str, total: str):  # noqa: ANN202
+    return F.ceil(F.greatest(F.lit(1.0), F.col(members) / BLOCK_DOCS, F.col(total) / BLOCK_SHINGLES)).cast("int")
+
+
+def _meeting(members: DataFrame) -> DataFrame:
+    """Tasks in which the rows of each bucket with several components meet, for (bucket, band, node, size, component) rows."""
+    parts = cut(members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")))
+    largest = F.max(F.struct("n", "total", "component"))
+    buckets = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("copies"), F.sum("total").alias("total"), largest.alias("big")).where("parts > 1")
+    buckets = cut(
+        buckets.withColumns({"rest": F.col("copies") - F.col("big.n"), "rest_total": F.col("total") - F.col("big.total")}).select(
+            "bucket", "copies", F.col("big.component").alias("big"), _blocks("big.n", "big.total").alias("big_blocks"), _blocks("rest", "rest_total").alias("rest_blocks")
+        )
+    )
+    rows = joined_by_key(members, buckets.drop("copies"), buckets.select("bucket", "copies"), ["bucket"], "node")
+    rows = rows.withColumn("side", (F.col("component") != F.col("big")).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 1, F.col("rest_blocks")).otherwise(F.col("big_blocks"))).cast("int"))
+    base = [F.col("bucket").alias("group"), F.col("component"), F.col("band"), F.col("node")]
+    met = F.when(F.col("side") == 1, F.col("big_blocks")).otherwise(F.col("rest_blocks"))
+    across = rows.withColumn("met", F.explode(F.sequence(F.lit(0), met - 1)))
+    x, y = (F.when(F.col("side") == k, F.col("block")).otherwise(F.col("met")) for k in (0, 1))
+    across = across.select(*base, F.lit(_ACROSS).alias("kind"), x.alias("x"), y.alias("y"), "side")
+    among = rows.where("side = 1").withColumn("met", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)))
+    x, y = F.least("block", "met"), F.greatest("block", "met")
+    among = among.select(*base, F.lit(_AMONG).alias("kind"), x.alias("x"), y.alias("y"), ((x != y) & (F.col("block") == y)).cast("int").alias("side"))
+    return across.unionByName(among).select(*_TASK, "side", "component", "band", "node")
+
+
+def _dealt(tasks: DataFrame, rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """``tasks`` with the ``payload`` of their nodes from ``rows`` (named by ``key``), each task's rows in one partition, sorted by task and side."""
+    needed = cut(tasks.groupBy("node").agg(F.count(F.lit(1)).alias("copies")))
+    wanted = needed.select("node")
+    if needed.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    held = rows.join(wanted, rows[key] == wanted.node).select("node", payload)
+    columns = [*_TASK, "side", "component", "band", "node"]
+    met = joined_by_key(tasks, held, needed, ["node"], "x").select(*columns, payload)
+    return met.repartition(*_TASK).sortWithinPartitions(*_TASK, "side", "node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.75, shingle: int = 5, miss: float = 1e-6) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -309,47 +381,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the document with that id. A null or blank text has no shingles and no links.
     Rows that repeat an id count as one document, with the smallest of their texts,
     and each gets that document's result. A row without an id is linked with
-    nothing: its component is null and it is kept. Other columns are ignored.
+    nothing: its component is null and it is kept. Other columns are ignored. An empty
+    table gives no rows; texts of any length are read whole.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        ids = base.where("doc_id is not null").select("doc_id", F.monotonically_increasing_id().alias("row"))
+        copies = cut(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")))
         one = base.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
         got = near_duplicates(one.unionByName(base.where("doc_id is null")), threshold=threshold, shingle=shingle, miss=miss)
-        again = base.where("doc_id is not null").select("doc_id").join(got.where("doc_id is not null"), "doc_id")
+        again = joined_by_key(ids, got.where("doc_id is not null"), copies, ["doc_id"], "row").drop("row")
         return again.unionByName(got.where("doc_id is null"))
-    signed = cut(base.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
+    signed = stored(base.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
     linked = signed.where("n_shingles > 0 and doc_id is not null")
 
     # Equal sets are one node, named by the smallest id among them.
-    reps = cut(linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
-    nodes = cut(linked.join(reps, ["k1", "k2"]).where("doc_id = node").select("node", F.col("n_shingles").alias("size"), "sig"))
-
-    member = nodes.select("node", "size", "sig").mapInArrow(_keys, "bucket long, band int, node long, size long")
-    big = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total")).where("members > 1")
-    big = big.select("bucket", F.ceil(F.greatest(F.col("members") / BLOCK_DOCS, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    tasks = (
-        member.join(big, "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "band", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    )
-    with_sig = tasks.join(nodes.select("node", "sig"), "node").select("bucket", "x", "y", "band", "block", "node", "sig")
-    screened = cut(
-        with_sig.repartition(*_TASK).sortWithinPartitions(*_TASK, "node").mapInArrow(_screen(threshold, miss), "bucket long, x int, y int, band int, block int, node long")
-    )
-
-    needed = cut(screened.select("node").distinct())
-    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    texts = base.join(wanted, base.doc_id == wanted.node, "inner").select("node", "text")
-    links = (
-        screened.join(texts, "node")
-        .select("bucket", "x", "y", "band", "block", "node", "text")
-        .repartition(*_TASK)
-        .sortWithinPartitions(*_TASK, "node")
-        .mapInArrow(_confirm(threshold, miss, shingle), "src long, dst long")
-    )
+    reps = cut(linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    nodes = cut(linked.join(reps.select("node"), linked.doc_id == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "sig"))
+    sigs = nodes.select(F.col("node").alias("signed"), "sig")
+
+    member = nodes.mapInArrow(_keys, "bucket long, band int, node long, size long")
+    big = cut(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("copies"), F.min("node").alias("leader")).where("copies > 1"))
+    shared = cut(joined_by_key(member, big.select("bucket", "leader"), big.select("bucket", "copies"), ["bucket"], "node"))
+
+    def links_of(tasks: DataFrame) -> DataFrame:
+        """Verified links of tasks; their nodes' texts are read."""
+        return _dealt(tasks, base, "doc_id", "text").mapInArrow(_confirm(threshold, miss, shingle), "src long, dst long")
+
+    # First round: every member of a bucket meets its leader.
+    tasks = cut(_following(cut(shared.where("node <> leader").groupBy("node", "leader").agg(F.first("size").alias("size")))))
+    stars = _dealt(tasks, sigs, "signed", "sig").mapInArrow(_leaders(threshold, miss), "node long, leader long, matches int")
+    best = stars.groupBy("node").agg(F.max(F.struct("matches", -F.col("leader"))).alias("best")).select("node", (-F.col("best")["col2"]).alias("leader"))
+    best = cut(best.join(nodes.select("node", "size"), "node"))
+    links = cut(links_of(cut(_following(best))))
     found = connected_components(links)
-    named = reps.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
-    out = signed.join(named, ["k1", "k2"], "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
+    # Second round: buckets in which several components are left.
+    grouped = shared.join(found, "node", "left").select("bucket", "band", "node", "size", F.coalesce("component", "node").alias("component"))
+    tasks = cut(_meeting(cut(grouped)))
+    screened = cut(_dealt(tasks, sigs, "signed", "sig").mapInArrow(_screen(threshold, miss), _MEMBER))
+    if screened.limit(1).count():
+        found = connected_components(found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(links_of(screened)))
+
+    named = reps.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
+    light = ["doc_id", "n_shingles", "component_id"]
+    out = joined_by_key(linked.select("doc_id", "n_shingles", "k1", "k2"), named, reps.select("k1", "k2", "copies"), ["k1", "k2"], "doc_id", "left").select(*light)
+    alone = signed.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).select(*light, F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
