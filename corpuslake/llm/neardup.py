@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.llm import _buffers as B
-from corpuslake.llm.components import connected_components
+from corpuslake.llm._rows import keyed
+from corpuslake.llm.components import connected_components, rooted
 from corpuslake.operators.skew import joined_by_key
 from corpuslake.session import cut, stored
 
 HASHES, BANDS, ROWS, BATCH = 128, 32, 4, 32
-#: Members of a block and the shingles that they may have between them.
-BLOCK_DOCS, BLOCK_SHINGLES = 400, 2_000_000
+#: Members of a block, those that meet a leader together, and the shingles that either may have between them.
+BLOCK_DOCS, FOLLOWERS, BLOCK_SHINGLES = 400, 128, 2_000_000
 #: Index pairs that are worked on together.
 PAIRS = 1 << 18
 #: Up to so many document ids (16 bytes each) are broadcast to pick out texts; beyond, a shuffled join does it.
@@ -311,8 +312,7 @@ def _confirm(threshold: float, miss: float, size: int):
                     at[at == len(t)] = 0
                     both = int((t[at] == s).sum())
                     if 100 * both >= percent * (len(s) + len(t) - both):
-                        one, two = find(p), find(q)
-                        parent[max(one, two)] = min(one, two)
+                        parent[find(q)] = find(p)
                         links.append((p, q))
             if links:
                 one = np.array(links)
@@ -324,7 +324,7 @@ def _confirm(threshold: float, miss: float, size: int):
 def _following(pairs: DataFrame) -> DataFrame:
     """Tasks in which a leader (first side) meets a block of its followers, for (node, leader, size) pairs."""
     many = cut(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("total")))
-    blocks = many.select("leader", "copies", _blocks("copies", "total").alias("blocks"))
+    blocks = many.select("leader", "copies", _blocks("copies", "total", FOLLOWERS).alias("blocks"))
     followers = joined_by_key(pairs, blocks.select("leader", "blocks"), many.select("leader", "copies"), ["leader"], "node")
     place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = followers.select(F.col("leader").alias("group"), place.alias("x"), F.lit(1).alias("side"), "node")
@@ -333,8 +333,8 @@ def _following(pairs: DataFrame) -> DataFrame:
     return rows.select("group", F.lit(_LEADER).alias("kind"), "x", F.lit(0).alias("y"), "side", F.col("node").alias("component"), F.lit(-1).alias("band"), "node")
 
 
-def _blocks(members: str, total: str):  # noqa: ANN202
-    return F.ceil(F.greatest(F.lit(1.0), F.col(members) / BLOCK_DOCS, F.col(total) / BLOCK_SHINGLES)).cast("int")
+def _blocks(members: str, total: str, most: int = BLOCK_DOCS):  # noqa: ANN202
+    return F.ceil(F.greatest(F.lit(1.0), F.col(members) / most, F.col(total) / BLOCK_SHINGLES)).cast("int")
 
 
 def _meeting(members: DataFrame) -> DataFrame:
@@ -413,8 +413,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = _dealt(tasks, sigs, "signed", "sig").mapInArrow(_leaders(threshold, miss), "node long, leader long, matches int")
     best = stars.groupBy("node").agg(F.max(F.struct("matches", -F.col("leader"))).alias("best")).select("node", (-F.col("best")["col2"]).alias("leader"))
     best = cut(best.join(nodes.select("node", "size"), "node"))
-    links = cut(links_of(cut(_following(best))))
-    found = connected_components(links)
+    # a leader is smaller than its followers, so their links make up trees
+    found = rooted(links_of(cut(_following(best))).select(F.col("dst").alias("node"), F.col("src").alias("component")))
 
     # Second round: buckets in which several components are left.
     grouped = shared.join(found, "node", "left").select("bucket", "band", "node", "size", F.coalesce("component", "node").alias("component"))
@@ -428,3 +428,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = joined_by_key(linked.select("doc_id", "n_shingles", "k1", "k2"), named, reps.select("k1", "k2", "copies"), ["k1", "k2"], "doc_id", "left").select(*light)
     alone = signed.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).select(*light, F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.75, shingle: int = 5, miss: float = 1e-6) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates left, the one with the smallest id.
+
+    Each row is a document for itself: rows that repeat an id are judged by their own texts, and of
+    exact repeats one stays. Rows without an id, or without words, stay. All columns are kept. What goes
+    is broadcast while it is few rows, so that the texts that stay are not shuffled.
+    """
+    rows, key, by_id = keyed(docs, id_col)
+    has_id = rows.where(F.col(id_col).isNotNull())
+    groups = near_duplicates(has_id.select(key, text_col), key, text_col, threshold=threshold, shingle=shingle, miss=miss)
+    if by_id:
+        gone = groups.where("not kept").select(F.col("doc_id").alias(key))
+    else:
+        groups = cut(groups.select(F.col("doc_id").alias(key), "component_id").join(has_id.select(key, F.col(id_col).cast("long").alias("__id")), key))
+        first = groups.groupBy("component_id").agg(F.min(F.struct("__id", key)).alias("first")).select(F.col(f"first.{key}").alias(key))
+        gone = groups.join(first, key, "left_anti").select(key)
+    gone = cut(gone)
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
