@@ -5,7 +5,7 @@ texts. Values are hashed and counted over the corpus by distinct repository and
 distinct owner: a value that many owners have is a copied example, one that a
 single owner has and that looks random is taken for live. The counts are partial
 aggregates in three levels (repository, owner, value), so a value that a third of
-all rows hold is no hot key, and the way back to the rows is salted.
+all rows hold is no hot key, and the way back to the rows deals such values out.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.llm._rows import keyed
+from corpuslake.operators.skew import joined_by_key
 from corpuslake.session import cut
 
 #: (kind, pattern, group of the value, fewest characters of the value), in the order of kinds.
@@ -21,12 +23,14 @@ PATTERNS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]+", 0, 16),
 )
+#: Patterns that find just the matches of PATTERNS that are long enough: those matches are whole runs of a class, so shorter ones need not be found first.
+_LONG = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 #: Kinds that the ownership counts add, after those of PATTERNS.
 ADDED = ("live", "copied")
 #: A value of so many distinct owners or more is a copied example.
 COPIED_OWNERS = 3
-SALTS = 8
-BROADCAST_ROWS = 200_000
+#: Rows and spans (16 bytes each) that are broadcast to mask texts at most; beyond, a shuffled join brings them there.
+BROADCAST_ROWS, BROADCAST_SPANS = 200_000, 1_000_000
 _PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[-_]?|xxxx|0000000|1234567|abcdef0|(.)\1{7}"
 
 
@@ -34,25 +38,36 @@ def _literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _with(value: str, name: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` stands for ``value``, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _before(lengths: str, width: str) -> str:
+    """SQL: for each of an array of bigints the sum of those before it.
+
+    In blocks of ``width`` (the root of their number), so that the work is the number to the power 1.5.
+    """
+    block = f"slice({lengths}, k * {width} + 1, {width})"
+    sums = f"""aggregate(sequence(0, size({lengths}) div {width}), cast(struct(0L as at, array() as out) as struct<at: bigint, out: array<bigint>>),
+      (acc, k) -> cast(struct(aggregate({block}, acc.at, (n, x) -> n + x) as at, concat(acc.out, array(acc.at)) as out) as struct<at: bigint, out: array<bigint>>), acc -> acc.out)"""
+    inner = f"""aggregate({block}, cast(struct(b as at, array() as out) as struct<at: bigint, out: array<bigint>>),
+      (acc, x) -> cast(struct(acc.at + x as at, concat(acc.out, array(acc.at)) as out) as struct<at: bigint, out: array<bigint>>), acc -> acc.out)"""
+    return f"flatten(transform({sums}, (b, k) -> {inner}))"
+
+
 def _spans(kind: str, number: int, pattern: str, group: int, least: int, text: str = "text") -> str:
     """SQL: array of (s, k, e, kind, v) of a pattern's leftmost non-overlapping matches whose value is long enough.
 
     Places come from the lengths of what lies between matches and of the matches.
     """
-    rx = _literal(pattern)
-    quick = _literal(pattern if least < 2 or group else pattern[:-1] + f"{{{least if kind == 'hex' else least - 4},}}")
-    kind_of = "array<struct<s: bigint, k: int, e: bigint, kind: string, v: string>>"
-    return f"""if({text} rlike {quick},
-      aggregate(
-        arrays_zip(slice(split({text}, {rx}, -1), 1, size(regexp_extract_all({text}, {rx}, 0))), regexp_extract_all({text}, {rx}, 0), regexp_extract_all({text}, {rx}, {group})),
-        cast(struct(0L as at, array() as found) as struct<at: bigint, found: {kind_of}>),
-        (acc, x) -> cast(struct(
-          acc.at + length(x['0']) + length(x['1']) as at,
-          if(length(x['2']) >= {least},
-             concat(acc.found, array(struct(acc.at + length(x['0']) as s, {number} as k, acc.at + length(x['0']) + length(x['1']) as e, '{kind}' as kind, x['2'] as v))),
-             acc.found) as found) as struct<at: bigint, found: {kind_of}>),
-        acc -> acc.found),
-      cast(array() as {kind_of}))"""
+    rx = _literal(_LONG.get(kind, pattern))
+    parts = f"struct(split({text}, {rx}, -1) as g, regexp_extract_all({text}, {rx}, 0) as m, regexp_extract_all({text}, {rx}, {group}) as v)"
+    sizes = "struct(transform(r.m, (x, i) -> cast(length(r.g[i]) + length(x) as bigint)) as l, cast(ceil(sqrt(size(r.m))) as int) as w)"
+    start = "at[i] + length(r.g[i])"
+    span = f"struct({start} as s, {number} as k, {start} + length(x) as e, '{kind}' as kind, r.v[i] as v)"
+    found = _with(_before("t.l", "t.w"), "at", f"filter(transform(r.m, (x, i) -> {span}), f -> length(f.v) >= {least})")
+    return f"if({text} rlike {rx}, {_with(parts, 'r', _with(sizes, 't', found))}, cast(array() as array<struct<s: bigint, k: int, e: bigint, kind: string, v: string>>))"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source") -> DataFrame:
@@ -87,15 +102,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     """doc_id, base, added of every row: arrays of (s, k, e, kind, v) with places in characters, ends exclusive.
 
     ``base`` are the pattern matches, ``added`` the values that ownership() calls live or copied.
-    Rows that repeat an id are scanned each for itself.
+    Rows that repeat an id, or have none, are scanned each for itself; spans that start at one place
+    stand in the order of kinds. An empty table gives no rows. Whole texts are read whatever their length:
+    the work for one is the number of its matches to the power 1.5. Other columns are ignored.
     """
     held = candidates(docs, id_col, text_col, repo_col)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    named = ownership(held).where("kind is not null").select("value_hash", F.col("kind").alias("added_kind"), salts.alias("salt"))
-    each = held.where("size(found) > 0").select("row", F.explode("found").alias("f")).withColumn("value_hash", F.sha2("f.v", 256)).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    named = cut(ownership(held).where("kind is not null"))
+    each = held.where("size(found) > 0").select("row", F.explode("found").alias("f")).withColumn("value_hash", F.sha2("f.v", 256))
+    each = joined_by_key(each, named.select("value_hash", F.col("kind").alias("added_kind")), named.select("value_hash", F.col("n_rows").alias("copies")), ["value_hash"], "row")
     number = F.when(F.col("added_kind") == "live", len(PATTERNS)).otherwise(len(PATTERNS) + 1)
     span = F.struct((F.col("f.e") - F.length("f.v")).alias("s"), number.alias("k"), F.col("f.e").alias("e"), F.col("added_kind").alias("kind"), F.col("f.v").alias("v"))
-    added = each.join(named, ["value_hash", "salt"]).groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("added"))
+    added = each.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("added"))
     out = held.join(added, "row", "left").select("doc_id", F.col("found").alias("base"), "added")
     return out.withColumn("added", F.expr("coalesce(added, filter(base, x -> false))"))
 
@@ -105,22 +122,41 @@ def joined(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
 
 
+def _masked(text: str, spans: str, mask: str) -> str:
+    """SQL: ``text`` with ``mask`` in place of its ``spans`` (s and e, ascending by s); those that overlap become one.
+
+    Blocks of spans (the root of their number) cut their own part of the text first, so that a text with very
+    many spans is not gone through from its start for each of them.
+    """
+    one = "array<struct<s: bigint, e: bigint>>"
+    join = f"""aggregate({spans}, cast(array() as {one}), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).e > x.s,
+      concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).s as s, greatest(element_at(acc, -1).e, x.e) as e))), concat(acc, array(x))))"""
+    merged = f"if(exists(sequence(1, size({spans})), i -> i > 1 and {spans}[i - 1].s < {spans}[i - 2].e), {join}, {spans})"
+    part = f"substring(`{text}`, cast(b.at + 1 as int), cast(element_at(b.x, -1).e - b.at as int))"
+    gap = "if(i = 0, b.at, b.x[i - 1].e)"
+    pieces = f"transform(b.x, (x, i) -> concat(substring(p, cast({gap} - b.at + 1 as int), cast(x.s - {gap} as int)), '{mask}'))"
+    blocks = "transform(sequence(0, (size(m) - 1) div w), k -> struct(if(k = 0, 0L, m[k * w - 1].e) as at, slice(m, k * w + 1, w) as x))"
+    done = f"concat(array_join(flatten(transform({blocks}, b -> {_with(part, 'p', pieces)})), ''), substring(`{text}`, cast(element_at(m, -1).e + 1 as int)))"
+    return _with(merged, "m", _with("cast(ceil(sqrt(size(m))) as int)", "w", done))
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source") -> DataFrame:
     """``docs`` with each live value in ``text_col`` replaced by ``mask``; copied examples and all other text stay.
 
-    Each row is masked by its own spans; ``id_col`` may be null, repeated or absent. Few rows
+    Each row is masked by its own spans; ``id_col`` may be null, repeated or absent, and further columns are kept
+    whatever their names. A null text stays null, an empty table is empty. Few rows
     have live values: their spans are broadcast while they are few, else joined by a shuffle.
     """
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    spans = scan(rows, "__row", text_col, repo_col).select(F.col("doc_id").alias("__row"), F.expr("filter(added, x -> x.kind = 'live')").alias("__live"))
+    rows, key, _ = keyed(docs, id_col)
+    live = "transform(filter(added, x -> x.kind = 'live'), x -> struct(x.s as s, x.e as e))"
+    spans = scan(rows, key, text_col, repo_col).select(F.col("doc_id").alias(key), F.expr(live).alias("__live"))
     spans = cut(spans.where("size(__live) > 0"))
-    if spans.count() <= BROADCAST_ROWS:
+    size = spans.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("__live")).alias("spans")).first()
+    if size["rows"] <= BROADCAST_ROWS and (size["spans"] or 0) <= BROADCAST_SPANS:
         spans = F.broadcast(spans)
-    fold = f"""aggregate(__live, cast(struct('' as done, 0L as at) as struct<done: string, at: bigint>),
-      (acc, x) -> if(x.s >= acc.at,
-        cast(struct(concat(acc.done, substring(`{text_col}`, cast(acc.at + 1 as int), cast(x.s - acc.at as int)), '{mask}') as done, x.e as at) as struct<done: string, at: bigint>),
-        cast(struct(acc.done as done, greatest(acc.at, x.e) as at) as struct<done: string, at: bigint>)),
-      acc -> concat(acc.done, substring(`{text_col}`, cast(acc.at + 1 as int))))"""
-    out = rows.join(spans, "__row", "left")
-    masked = F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(F.expr(fold))
-    return out.withColumn(text_col, masked).select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    texts = names[docs.columns.index(text_col)]
+    plain = rows.select(F.col(key).alias("__key"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    out = plain.join(spans.withColumnRenamed(key, "__key"), "__key", "left")
+    masked = F.when(F.col("__live").isNull(), F.col(texts)).otherwise(F.expr(_masked(texts, "__live", mask)))
+    return out.withColumn(texts, masked).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
