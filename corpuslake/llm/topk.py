@@ -1,114 +1,203 @@
 """Exact top-k inner products by no-random-access aggregation (NRA).
 
-Each dimension is a list of candidates sorted by its share of the score: descending
-where the query's component is positive, ascending where it is negative. Reading all
-lists to a depth gives every candidate a lower and an upper bound: what has been seen
-counts as it is, what has not counts as the list's end or as the value read last. A
-query stops once nothing outside can reach its k-th lower bound; the few that still
-could are scored in full.
-
-Candidates and queries are dealt into blocks that meet pairwise in a task (queries
-are a stated set, all rows are candidates). Within a pair of blocks the bounds of all
-queries at one depth are two matrix products, since "seen or the value read last" is
-max(x, v) for descending and min(x, v) for ascending lists. Each pair hands on k rows
-a query.
+Each dimension is a list of candidates sorted by their share of the score: descending
+where the query's component is positive, ascending where it is negative. Lists are read
+in sequence, a chunk at a time, those first whose ends differ most; one that has been begun
+is read on, since its last chunks tell most, so at any time one list at most is read in part and
+bounds cost one addition a candidate. A candidate's lower bound counts what has been read of it, and the least of a list
+where nothing has; its upper bound counts the value read last there instead. A query stops
+once so few candidates can still reach the k-th lower bound that they are scored in
+full; nothing outside them can qualify then, read or not.
+
+Candidates are dealt into blocks once, and each block's lists are sorted once for
+all queries of a broadcast (queries are a stated set, all rows are candidates; a set of
+more than QUERY_BYTES goes in several broadcasts). A task carries each query's best k
+from block to block, so a later block starts with their least score as a bound, and
+hands on k rows a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 512
-#: Depths at which bounds are taken, as shares of the lists.
-DEPTHS = (0.05, 0.2, 0.5, 1.0)
-#: Scoring begins when so small a share of the candidates is still open.
+#: Candidates whose lists are sorted together, and chunks that a list is read in.
+BLOCK, CHUNKS = 8192, 4
+#: Queries of so many bytes are broadcast together.
+QUERY_BYTES = 32 << 20
+#: Scoring begins when so small a share of a block's candidates is still open.
 RESOLVE = 0.02
 SCALE = 1024
 
 
+class Lists:
+    """The sorted lists of a block: ``order`` and ``values`` by dimension, ascending."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.order = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T.astype(np.int32))
+        self.values = np.take_along_axis(x.T, self.order, axis=1).astype(np.float64)
+        self.largest = float(np.abs(self.values).max(initial=0))
+        #: List entries read, bounds formed and dimensions of candidates scored in full, over all queries so far.
+        self.read = self.bounds = self.scored = 0
+
+    def open_after_reading(self, q: np.ndarray, k: int, own: np.ndarray, known: float = -np.inf) -> np.ndarray:
+        """Candidates (but ``own``) that can be among the k best for ``q``; ``known`` is a score that k others reach."""
+        n, d = self.x.shape
+        q = q.astype(np.float64)
+        high, low = np.maximum(q * self.values[:, 0], q * self.values[:, -1]), np.minimum(q * self.values[:, 0], q * self.values[:, -1])
+        lists = np.argsort(low - high, kind="stable")
+        rest = np.append(np.cumsum((high - low)[lists][::-1])[::-1], 0.0)  # what the lists from each on can still add
+        slack = 0.0 if self.largest * np.abs(q).max(initial=0) * d < 2**53 else self.largest * np.abs(q).max() * d * 1e-12
+        few = max(k, int(RESOLVE * n))
+        lower = np.full(n, low.sum())
+        lower[own] = -np.inf
+        typical = float(low.sum())
+        at = np.delete(np.arange(n), own)
+        for turn, j in enumerate(lists):
+            order, shares = self.order[j], q[j] * self.values[j]
+            if q[j] > 0:
+                order, shares = order[::-1], shares[::-1]
+            for a in range(0, n, -(-n // CHUNKS)):
+                b = min(n, a - (-n // CHUNKS))
+                lower[order[a:b]] += shares[a:b] - low[j]
+                self.read += b - a
+                edge = (shares[b - 1] - low[j]) if b < n else 0.0  # what the list can still add to those that it has not shown
+                typical += float((shares[a:b] - low[j]).sum()) / n
+                if (edge and 4 * len(at) > n) or typical + rest[turn + 1] + edge * (n - b) / n >= max(known, lower.max()):
+                    continue  # the greater part is open in any case, or this list is soon read
+                floor = max(known, np.partition(lower, n - k)[n - k] if n > k else -np.inf) - slack
+                upper = lower[at] + rest[turn + 1]
+                if edge:
+                    unread = np.zeros(n, bool)
+                    unread[order[b:]] = True
+                    upper += edge * unread[at]
+                self.bounds += len(at)
+                at = at[upper >= floor]
+                if len(at) <= few:
+                    return at
+        return at
+
+
 def nra(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score) of each query's k best candidates with another id; ties to smaller ids."""
-    xf, qf = x.astype(np.float64), q.astype(np.float64)
-    order = np.sort(xf, axis=0)
-    n, low, high = len(x), order[0], order[-1]
-    slack = 0.0 if np.abs(xf).max(initial=0) * np.abs(qf).max(initial=0) * x.shape[1] < 2**53 else float(np.abs(xf).max() * np.abs(qf).max() * x.shape[1]) * 1e-12
-    plus, minus = np.maximum(qf, 0).T, np.minimum(qf, 0).T
-    open_q = np.arange(len(q))
-    out_q, out_c = [], []
-    for depth in DEPTHS:
-        t = min(n - 1, int(n * depth)) if depth < 1 else n - 1
-        down, up = order[n - 1 - t], order[t]
-        p, m = plus[:, open_q], minus[:, open_q]
-        own = ids[:, None] == query_ids[open_q][None, :]
-        upper = np.maximum(xf, down) @ p + np.minimum(xf, up) @ m
-        lower = np.where(xf >= down, xf, low) @ p + np.where(xf <= up, xf, high) @ m
-        lower[own] = -np.inf
-        kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(open_q), -np.inf)
-        able = (upper >= kth[None, :] - slack) & ~own
-        left = able.sum(axis=0)
-        done = (left <= max(k, RESOLVE * n)) | (depth == 1.0)
-        c, r = np.nonzero(able[:, done])
-        out_q.append(open_q[done][r])
-        out_c.append(c)
-        open_q = open_q[~done]
-        if not len(open_q):
-            break
-    rows, cands = np.concatenate(out_q), np.concatenate(out_c)
-    score = np.empty(len(rows), np.int64)
-    for at in range(0, len(rows), 1 << 16):
-        s = slice(at, at + (1 << 16))
-        score[s] = np.einsum("ij,ij->i", q[rows[s]], x[cands[s]])
-    by = np.lexsort((ids[cands], -score, rows))
-    rows, cands, score = rows[by], cands[by], score[by]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < k
-    return rows[keep], cands[keep], score[keep]
+    best = Best(q, query_ids, k)
+    best.meet(Lists(x), ids)
+    return best.rows, best.cands, best.score
+
+
+class Best:
+    """The k best (candidate row, id, score) of each query over the blocks that it has met."""
+
+    def __init__(self, q: np.ndarray, query_ids: np.ndarray, k: int):
+        self.q, self.query_ids, self.k = q, query_ids, k
+        none = np.zeros(0, np.int64)
+        self.rows = self.cands = self.ids = self.score = self.marks = none
+
+    def meet(self, lists: Lists, ids: np.ndarray, marks: np.ndarray | None = None) -> None:
+        """Takes in the candidates of a block. ``marks`` tell rows of one id apart; equal ones count once."""
+        marks = np.arange(len(ids)) if marks is None else marks
+        rows, cands, score = [self.rows], [self.cands], [self.score]
+        got, mark = [self.ids], [self.marks]
+        ends = np.searchsorted(self.rows, np.arange(len(self.q) + 1))
+        sort = np.argsort(ids, kind="stable")
+        low, high = np.searchsorted(ids[sort], self.query_ids, "left"), np.searchsorted(ids[sort], self.query_ids, "right")
+        for r, q in enumerate(self.q):
+            held = self.score[ends[r] : ends[r + 1]]
+            own = sort[low[r] : high[r]]
+            at = lists.open_after_reading(q, self.k, own, float(held.min()) if len(held) >= self.k else -np.inf)
+            lists.scored += len(at) * len(q)
+            rows.append(np.full(len(at), r))
+            cands.append(at)
+            score.append(lists.x[at] @ q)
+            got.append(ids[at])
+            mark.append(marks[at])
+        rows, cands, score, got, mark = (np.concatenate(p) for p in (rows, cands, score, got, mark))
+        by = np.lexsort((mark, got, -score, rows))
+        rows, cands, score, got, mark = (v[by] for v in (rows, cands, score, got, mark))
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (got[1:] != got[:-1]) | (mark[1:] != mark[:-1])
+        rows, cands, score, got, mark = (v[new] for v in (rows, cands, score, got, mark))
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < self.k
+        self.rows, self.cands, self.score, self.ids, self.marks = (v[keep] for v in (rows, cands, score, got, mark))
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and v (integers floor(SCALE * x)) of rows whose id and vector are whole: no null, no non-finite component, not empty."""
+    """vec_id and v (integers floor(SCALE * x)) of rows whose id and vector are whole: no null, no non-finite component, not empty.
+
+    Other columns are ignored; an empty table gives no rows.
+    """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     rows = rows.where("vec_id is not null and size(x) > 0 and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))")
     return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
 
 
+def _query_blocks(queries: DataFrame, m: int) -> Iterator[list]:
+    """The distinct queries, as many at a time as make up QUERY_BYTES at most."""
+    size = 8 * (queries.agg(F.sum(F.size("v") + 1).alias("n")).first()["n"] or 0)
+    groups = max(1, -(-2 * size // QUERY_BYTES)) if size > QUERY_BYTES else 1
+    for g in range(groups):
+        some = queries if groups == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g)
+        if rows := some.distinct().collect():
+            yield rows
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products with rows of other ids, ties to smaller ids.
 
-    Both sides have vec_id and v (whole numbers); vectors of different lengths do not meet.
-    Equal rows that repeat an id count once.
+    Both sides have vec_id and v (whole numbers); vectors of different lengths do not meet, and an empty side
+    gives no rows. Equal rows that repeat an id count once; different vectors of one query id have one list
+    between them. Other columns are ignored.
     """
-    n, m = candidates.count(), queries.count()
-    blocks, groups = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    block = lambda of: F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    width = F.size("v").alias("width")
-    left = candidates.select(width, block(blocks).alias("b"), every(groups).alias("g"), "vec_id", "v")
-    right = queries.select(width, block(groups).alias("g"), every(blocks).alias("b"), "vec_id", "v")
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        if not len(a) or not len(b):
-            return empty
-
-        def both(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            column = t.column("v").combine_chunks()
-            v = column.flatten().to_numpy().reshape(len(t), -1)
-            ids = t.column("vec_id").to_numpy()
-            order = np.lexsort((*v.T[::-1], ids)) if len(np.unique(ids)) < len(ids) else np.arange(len(ids))
-            v, ids = v[order], ids[order]
-            new = np.ones(len(ids), bool)
-            new[1:] = (ids[1:] != ids[:-1]) | (v[1:] != v[:-1]).any(axis=1)
-            return v[new], ids[new]
-
-        (x, ids), (q, query_ids) = both(a), both(b)
-        rows, cands, score = nra(x, ids, q, query_ids, k)
-        return pa.table({"query_id": pa.array(query_ids[rows]), "vec_id": pa.array(ids[cands]), "score": pa.array(score)})
-
-    keys = ["width", "b", "g"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
+    spark = candidates.sparkSession
+    blocks = max(1, -(-candidates.count() // BLOCK))
+    # a block and a half for each task, so that two tasks' blocks are not of very unequal size
+    dealt = candidates.select("vec_id", "v", F.size("v").alias("width"), F.xxhash64("v").alias("mark")).repartition(blocks)
+    schema = "query_id long, vec_id long, score long, mark long"
+
+    def against(rows: list) -> DataFrame:
+        wide: dict[int, tuple[list, list]] = {}
+        for r in rows:
+            ids, vectors = wide.setdefault(len(r["v"]), ([], []))
+            ids.append(r["vec_id"])
+            vectors.append(r["v"])
+        shared = spark.sparkContext.broadcast({w: (np.array(vectors, np.int64), np.array(ids, np.int64)) for w, (ids, vectors) in wide.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {w: Best(q, ids, k) for w, (q, ids) in shared.value.items()}
+            held: list[pa.RecordBatch] = []
+
+            def meet() -> None:
+                table = pa.Table.from_batches(held).combine_chunks()
+                widths = table.column("width").to_numpy()
+                for w in np.unique(widths):
+                    if w not in best:
+                        continue
+                    t = table.filter(pa.array(widths == w)).combine_chunks()
+                    x = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+                    for at in range(0, len(t), 2 * BLOCK):
+                        s = slice(at, at + 2 * BLOCK)
+                        best[w].meet(Lists(x[s]), t.column("vec_id").to_numpy()[s], t.column("mark").to_numpy()[s])
+                held.clear()
+
+            for batch in batches:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= BLOCK:
+                    meet()
+            if held:
+                meet()
+            for b in best.values():
+                yield pa.RecordBatch.from_arrays([pa.array(b.query_ids[b.rows]), pa.array(b.ids), pa.array(b.score), pa.array(b.marks)], ["query_id", "vec_id", "score", "mark"])
+
+        return dealt.mapInArrow(run, schema)
+
+    parts = [against(rows) for rows in _query_blocks(queries.select("vec_id", "v"), queries.count())]
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    found = found.dropDuplicates(["query_id", "vec_id", "mark"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
