@@ -5,8 +5,9 @@ characters are hashed into BUCKETS. Fitting counts (language, bucket) over every
 labelled row in one pass: tasks emit their own sums, which Spark adds up, so what
 is shuffled is bounded by tasks x languages x BUCKETS small rows. The
 log-probability matrix (languages x BUCKETS floats) is bounded by the number of
-languages and broadcast. Scoring gathers its columns for a batch's n-grams and sums
-them by document in numpy.
+languages, at most MOST_LANGUAGES, and broadcast. Scoring takes a batch as a sparse matrix in
+compressed rows (bucket numbers of all texts in a row, and where each text's begin)
+and multiplies it by the log-probabilities at once in numpy.
 """
 
 from __future__ import annotations
@@ -21,12 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.llm import _buffers as B
+from corpuslake.llm._rows import without
+
 BUCKETS = 1 << 14
 ORDERS = 3
 #: Additive smoothing of the n-gram counts.
 ALPHA = 0.5
 UNKNOWN = "und"
-_SLICE = 1 << 19
+#: More distinct labels than this are taken for a mistake: counts of MOST_LANGUAGES x (BUCKETS + 1) are all that reaches the driver.
+MOST_LANGUAGES = 1_000
+#: Bytes of text that are worked on together, and code points of a longer text.
+_CHUNK, _SLICE = 1 << 19, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -50,31 +57,57 @@ def _fold_table() -> np.ndarray:
     return out
 
 
-def folded(text: str) -> np.ndarray:
-    """Code points of ``text`` between two spaces, letters in lower case, all else one space a run."""
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.concatenate([[32], _fold_table()[raw], [32]]).astype(np.uint32)
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, offsets) of UTF-8 texts in one buffer: each between two spaces, letters in lower case, all else one space a run."""
+    raw = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # in code points
+    rows = len(offsets) - 1
+    out = np.full(len(raw) + 2 * rows, 32, np.uint32)
+    out[np.arange(len(raw)) + 2 * np.repeat(np.arange(rows), np.diff(starts)) + 1] = _fold_table()[raw]
+    begins = starts[:-1] + 2 * np.arange(rows)
     space = out == 32
-    return out[~(space & np.concatenate([[False], space[:-1]]))]
+    keep = np.ones(len(out), bool)
+    keep[1:] = ~(space[1:] & space[:-1])
+    keep[begins] = True
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[np.append(begins, len(out))]
+
+
+def _hashed(codes: np.ndarray, n: int) -> np.ndarray:
+    """Bucket numbers of the n-grams that begin at each place but the last n - 1."""
+    if n == 1:
+        h = codes * np.uint32(0x9E3779B1) + np.uint32(1)
+    else:
+        many = max(len(codes) - n + 1, 0)
+        h = np.full(many, n, np.uint32)
+        for k in range(n):
+            h = (h ^ codes[k : many + k]) * np.uint32(0x01000193)
+            h ^= h >> np.uint32(15)
+        h *= np.uint32(0x9E3779B1)
+    return (h >> np.uint32(32 - 14)).astype(np.int32)
 
 
 def _grams(codes: np.ndarray, starts: int) -> Iterator[np.ndarray]:
-    """Bucket numbers of the n-grams of each order that begin at the first ``starts`` places; a lone space is none."""
-    codes = codes.astype(np.uint32)
+    """Bucket numbers of the n-grams of each order that begin at the first ``starts`` places of one text; a lone space is none."""
     for n in range(1, ORDERS + 1):
         c = codes[: starts + n - 1]
-        if n == 1:
-            one = c[c != 32]
-            h = one * np.uint32(0x9E3779B1) + np.uint32(1)
-        else:
-            if len(c) < n:
-                continue
-            h = np.full(len(c) - n + 1, n, np.uint32)
-            for k in range(n):
-                h = (h ^ c[k : len(c) - n + 1 + k]) * np.uint32(0x01000193)
-                h ^= h >> np.uint32(15)
-            h *= np.uint32(0x9E3779B1)
-        yield (h >> np.uint32(32 - 14)).astype(np.int32)
+        yield _hashed(c[c != 32] if n == 1 else c, n)
+
+
+def sparse_rows(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket numbers, row offsets) of the n-grams of folded texts: a matrix of counts in compressed rows, repeats as repeats."""
+    rows = len(offsets) - 1
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(rows), size)
+    left = np.repeat(offsets[1:], size) - np.arange(len(codes))  # places up to the text's end
+    parts, owners = [], []
+    for n in range(1, ORDERS + 1):
+        h = _hashed(codes, n)
+        ok = (left[: len(h)] >= n) if n > 1 else codes != 32
+        parts.append(h[ok])
+        owners.append(row[: len(h)][ok])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(parts)[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
 
 
 def _pieces(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -86,37 +119,56 @@ def _pieces(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         yield codes[at : at + _SLICE + ORDERS - 1], _SLICE
 
 
-def gram_counts(text: str) -> np.ndarray:
-    """Counts of ``text``'s n-grams by bucket."""
+def gram_counts(codes: np.ndarray) -> np.ndarray:
+    """Counts of the n-grams of one folded text by bucket."""
     out = np.zeros(BUCKETS, np.int64)
-    for part in _pieces(folded(text)):
+    for part in _pieces(codes):
         for g in _grams(*part):
             out += np.bincount(g, minlength=BUCKETS)
     return out
 
 
+def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row behind the last, folded code points, their offsets) for a column's texts, some at a time."""
+    data, offsets = B.text_buffer(column)
+    for i, j in B.chunks(offsets, _CHUNK):
+        yield i, j, *folded(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
     for batch in batches:
-        for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-            text, lang = text.as_py(), lang.as_py()
-            docs[lang] = docs.get(lang, 0) + 1
-            if text:
-                if lang not in sums:
-                    sums[lang] = np.zeros(BUCKETS, np.int64)
-                sums[lang] += gram_counts(text)
+        labels = batch.column(1).dictionary_encode()
+        names, number = labels.dictionary.to_pylist(), labels.indices.to_numpy()
+        for name, n in zip(names, np.bincount(number, minlength=len(names)), strict=True):
+            docs[name] = docs.get(name, 0) + int(n)
+            sums.setdefault(name, np.zeros(BUCKETS, np.int64))
+        for i, j, codes, offsets in _chunks(batch.column(0)):
+            if j == i + 1:
+                sums[names[number[i]]] += gram_counts(codes)
+                continue
+            idx, at = sparse_rows(codes, offsets)
+            here, local = np.unique(number[i:j], return_inverse=True)
+            got = np.bincount(np.repeat(local, np.diff(at)) * BUCKETS + idx, minlength=len(here) * BUCKETS).reshape(len(here), BUCKETS)
+            for k, n in zip(here, got, strict=True):
+                sums[names[k]] += n
     for lang, n in docs.items():
-        got = sums.get(lang, np.zeros(BUCKETS, np.int64))
-        at = np.flatnonzero(got)
+        at = np.flatnonzero(sums[lang])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(got[at], n))], ["lang", "bucket", "n"]
+            [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(sums[lang][at], n))], ["lang", "bucket", "n"]
         )
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learn from every row whose text and language are not null. Without such rows the model knows no language."""
+    """Learn from every row whose text and language are not null. Without such rows the model knows no language.
+
+    Rows that repeat count as often as they are there; other columns are ignored. More than
+    MOST_LANGUAGES distinct labels are an error, before any text is read.
+    """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} distinct languages")
     sums = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toPandas()  # languages x (BUCKETS + 1) rows at most
     langs = tuple(sorted(got["lang"].unique()))
@@ -132,63 +184,67 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
     return LanguageModel(langs, log_prob.astype(np.float32), np.log(prior / prior.sum()) if len(langs) else prior)
 
 
-def _score(model_of, text_at: int, keep: int):
+def _log_likelihood(column: pa.Array, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log likelihood by language, number of n-grams, whether there is a letter) of each text."""
+    n, k = len(column), columns.shape[1]
+    total, grams, letters = np.zeros((n, k)), np.zeros(n), np.zeros(n, bool)
+    for i, j, codes, offsets in _chunks(column):
+        letters[i:j] = np.bincount(np.repeat(np.arange(j - i), np.diff(offsets)), weights=codes != 32, minlength=j - i) > 0
+        if j == i + 1:  # a text as long as a chunk
+            counts = gram_counts(codes)
+            at = np.flatnonzero(counts)
+            total[i], grams[i] = counts[at] @ columns[at].astype(np.float64), counts.sum()
+            continue
+        idx, at = sparse_rows(codes, offsets)
+        grams[i:j] = np.diff(at)
+        some = np.flatnonzero(np.diff(at))
+        if len(some):
+            total[i + some] = np.add.reduceat(columns[idx], at[some], axis=0, dtype=np.float64)
+    return total, grams, letters
+
+
+def _score(model_of, text_at: int, keep: int, out: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = model_of()
         columns = np.ascontiguousarray(model.log_prob.T)
-        k = len(model.languages)
         for batch in batches:
             n = batch.num_rows
-            total, grams, letters = np.zeros((n, max(k, 1))), np.zeros(n), np.zeros(n, bool)
-            for r, text in enumerate(batch.column(text_at)):
-                text = text.as_py()
-                if not text:
-                    continue
-                codes = folded(text)
-                letters[r] = bool((codes != 32).any())
-                if not (k and letters[r]):
-                    continue
-                for part in _pieces(codes):
-                    idx = np.concatenate(list(_grams(*part)))
-                    sparse = np.bincount(idx, minlength=BUCKETS) if len(idx) > BUCKETS else None
-                    if sparse is None:
-                        total[r] += columns[idx].sum(axis=0, dtype=np.float64)
-                    else:
-                        at = np.flatnonzero(sparse)
-                        total[r] += sparse[at] @ columns[at].astype(np.float64)
-                    grams[r] += len(idx)
-            known = letters & (k > 0)
-            if k:
+            if not len(model.languages) or not n:
+                names, score = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
+            else:
+                total, grams, letters = _log_likelihood(batch.column(text_at), columns)
                 # n-grams of one text depend on each other: the evidence is spread over them by a root
                 post = total / np.sqrt(np.maximum(grams, 1))[:, None] + model.log_prior
                 post = np.exp(post - post.max(axis=1, keepdims=True))
                 post /= post.sum(axis=1, keepdims=True)
                 best = post.argmax(axis=1)
-                names = np.where(known, np.array(model.languages, dtype=object)[best], UNKNOWN)
-                score = np.where(known, post[np.arange(n), best], 0.0)
-            else:
-                names, score = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[:keep], "lang_pred", "score"])
+                names = np.where(letters, np.array(model.languages, dtype=object)[best], UNKNOWN)
+                score = np.where(letters, post[np.arange(n), best], 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[:keep], *out])
 
     return run
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row with lang_pred and score.
+def predict(
+    spark: SparkSession, docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The columns ``keep`` of every row with the prediction and its score, named by ``out``.
 
-    lang_pred is ``und`` and score 0 where the text is null or has no letter, or where
-    nothing was learned. score is the winner's share of the posterior, in which the
+    The prediction is ``und`` and the score 0 where the text is null or has no letter, or where
+    nothing was learned. The score is the winner's share of the posterior, in which the
     log likelihood is divided by the root of the number of n-grams. Ties go to the
-    language that sorts first.
+    language that sorts first. Each row is judged by itself, so repeated rows get equal results and an
+    empty table none. A kept column that is called as one of ``out`` gives way to it.
     """
     shared = spark.sparkContext.broadcast(model)
     types = dict(docs.dtypes)
+    keep = without(keep, *out)
     # a text that is kept anyway is sent to the workers once
     again = text_col not in keep or types[text_col] != "string"
-    rows = docs.select(*keep, *([F.col(text_col).cast("string").alias("__text")] if again else []))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([F.col(text_col).cast("string").alias("__text")] if again else []))
     at = len(keep) if again else keep.index(text_col)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["lang_pred string", "score double"])
-    return rows.mapInArrow(_score(lambda: shared.value, at, len(keep)), schema)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"`{out[0]}` string", f"`{out[1]}` double"])
+    return rows.mapInArrow(_score(lambda: shared.value, at, len(keep), list(out)), schema)
 
 
 def held_out(id_col: str = "doc_id"):
