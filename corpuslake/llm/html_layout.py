@@ -10,13 +10,16 @@ their number, preformatted text as it is, table cells padded to their columns.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.llm._rows import without
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title".split())
 #: Not drawn within math.
@@ -51,31 +54,39 @@ _CLOSES = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 _SCOPE = frozenset({"table", "td", "th", "caption", "html"})
-#: Deeper elements become siblings, as browsers do past their own bound.
-DEEPEST = 200
+#: Lists and quotes are indented up to so many levels; deeper ones stand at the last.
+INDENTED = 40
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 _SOLID = re.compile(r"[^ \t\n\r\f]")
 
 
 class Node:
-    """An element: tag, attributes, children (elements and strings)."""
+    """An element: tag, attributes, children (elements and strings), and the lines of a table or preformatted text once laid out."""
 
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "lines", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.lines = tag, attrs, [], None
 
 
 class TreeBuilder(HTMLParser):
-    """Builds a tree of Nodes from tag soup; never fails on malformed input."""
+    """Builds a tree of Nodes, as deep as the page is, from tag soup; never fails on malformed input."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        #: How many elements of each tag are open, so that a deep page is not searched for what is not there.
+        self.count: Counter[str] = Counter()
+
+    def _drop(self, low: int) -> None:
+        self.count.subtract(n.tag for n in self.open[low:])
+        del self.open[low:]
 
     def _close_to(self, tags: set[str], bound: set[str]) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             tag = self.open[k].tag
             if tag in bound:
@@ -85,15 +96,17 @@ class TreeBuilder(HTMLParser):
                 low = k
                 while low - 1 > 0 and self.open[low - 1].tag in tags:
                     low -= 1
-                del self.open[low:]
+                self._drop(low)
                 return
 
     def _leave_head(self) -> None:
         if self.open[-1].tag == "head":
-            self.open.pop()
+            self._drop(len(self.open) - 1)
 
     def _leave_foreign(self) -> None:
         """Ends svg and math around the place where an HTML tag opens."""
+        if not (self.count["svg"] or self.count["math"]):
+            return
         low = 0
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in _HTML_WITHIN:
@@ -101,7 +114,7 @@ class TreeBuilder(HTMLParser):
             if self.open[k].tag in ("svg", "math"):
                 low = k
         if low:
-            del self.open[low:]
+            self._drop(low)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in _IN_HEAD:
@@ -122,7 +135,7 @@ class TreeBuilder(HTMLParser):
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._push(Node("tr", {}))
         node = Node(tag, {k: v or "" for k, v in attrs})
-        if tag in _MATH_UNSEEN and any(n.tag == "math" for n in self.open):
+        if tag in _MATH_UNSEEN and self.count["math"]:
             node.attrs["hidden"] = ""
         if tag in VOID:
             self.open[-1].children.append(node)
@@ -130,15 +143,14 @@ class TreeBuilder(HTMLParser):
             self._push(node)
 
     def _push(self, node: Node) -> None:
-        if len(self.open) >= DEEPEST:
-            self.open.pop()
         self.open[-1].children.append(node)
         self.open.append(node)
+        self.count[node.tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in ("html", "body") and self.open[-1].tag == tag and tag not in BLOCK:
-            self.open.pop()
+            self._drop(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("br", "p"):
@@ -148,12 +160,13 @@ class TreeBuilder(HTMLParser):
             return
         if tag in ("html", "body"):
             return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in _SCOPE and tag not in ("table", "tr", "thead", "tbody", "tfoot"):
-                break
+        if self.count[tag]:
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k].tag == tag:
+                    self._drop(k)
+                    return
+                if self.open[k].tag in _SCOPE and tag not in ("table", "tr", "thead", "tbody", "tfoot"):
+                    break
         if tag == "p":
             self.open[-1].children.append(Node("p", {}))
 
@@ -169,7 +182,7 @@ class TreeBuilder(HTMLParser):
         """
         if not self.rawdata.startswith("<![", i):
             return super().parse_html_declaration(i)
-        if self.rawdata.startswith("<![CDATA[", i) and any(n.tag in ("svg", "math") for n in self.open):
+        if self.rawdata.startswith("<![CDATA[", i) and (self.count["svg"] or self.count["math"]):
             end = self.rawdata.find("]]>", i)
             self.handle_data(self.rawdata[i + 9 : end if end >= 0 else None])
             return end + 3 if end >= 0 else len(self.rawdata)
@@ -221,9 +234,9 @@ class _Lines:
         if self.blank and self.lines and self.lines[-1]:
             self.lines.append("")
         self.blank = False
-        lead = "".join(self.prefix)
+        lead = "".join(self.prefix[:INDENTED])
         if self.marker is not None:
-            lead, self.marker = "".join(self.prefix[:-1]) + self.marker, None
+            lead, self.marker = "".join(self.prefix[: min(INDENTED, len(self.prefix) - 1)]) + self.marker, None
         self.lines.append((lead + text).rstrip())
 
     def done(self) -> str:
@@ -231,99 +244,122 @@ class _Lines:
         return "\n".join(self.lines).strip("\n")
 
 
-def render(node: Node, depth: int = 0) -> str:
-    """The visible text of a tree."""
+def render(tree: Node) -> str:
+    """The visible text of a tree, however deep: tables and preformatted texts are laid out first, the innermost before those around them."""
+    found: list[Node] = []
+    stack = [tree]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("table", "pre"):
+            found.append(node)
+        stack.extend(x for x in reversed(node.children) if not isinstance(x, str) and visible(x))
+    for node in reversed(found):
+        node.lines = table_lines(node) if node.tag == "table" else _plain(node).strip("\n").split("\n")
+    return _text(tree)
+
+
+def _text(node: Node) -> str:
     out = _Lines()
-    _render(node, out, depth)
+    _render(node, out)
     return out.done()
 
 
-def _render_svg(node: Node, out: _Lines, depth: int) -> None:
-    """The texts of a drawing, apart by a space."""
-    for child in node.children:
-        if isinstance(child, str) or child.tag in _SVG_UNSEEN or not visible(child):
-            continue
-        if child.tag in _SVG_TEXT:
-            out.text(" ")
-            _render(child, out, depth)
-            out.text(" ")
-        else:
-            _render_svg(child, out, depth)
-
-
-def _render(node: Node, out: _Lines, depth: int) -> None:
-    if node.tag == "svg":
-        _render_svg(node, out, depth)
-        return
-    number = 1
-    if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "").strip()):
-        number = int(node.attrs["start"])
-    closed = node.tag == "details" and "open" not in node.attrs
-    for child in node.children:
-        if isinstance(child, str):
-            if not closed:
+class _Frame:
+    """An element whose children are being rendered, and what is to be done behind the last."""
+
+    __slots__ = ("after", "closed", "drawing", "node", "number", "rest")
+
+    def __init__(self, node: Node, after: Callable[[], object] | None = None, drawing: bool = False):
+        self.node, self.after, self.rest = node, after, iter(node.children)
+        self.closed = node.tag == "details" and "open" not in node.attrs
+        self.drawing = drawing or node.tag == "svg"
+        self.number = 1
+        if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "").strip()):
+            self.number = int(node.attrs["start"])
+
+
+def _render(node: Node, out: _Lines) -> None:
+    frames = [_Frame(node)]
+    while frames:
+        frame = frames[-1]
+        child = next(frame.rest, None)
+        if child is None:
+            frames.pop()
+            if frame.after:
+                frame.after()
+        elif isinstance(child, str):
+            if not frame.closed and not frame.drawing:
                 out.text(child)
-            continue
-        tag = child.tag
-        if not visible(child) or (closed and tag != "summary"):
-            continue
-        if tag == "br":
-            if out.line:
-                out.end()
-            elif out.lines:
-                out.blank = True
-        elif tag == "hr":
-            out.end(blank=True)
-            out.raw("---")
-            out.blank = True
-        elif tag == "img":
-            if child.attrs.get("alt"):
-                out.text(child.attrs["alt"])
-        elif tag == "wbr" or (tag == "desc" and node.tag in ("text", "tspan")):
-            continue
-        elif tag == "pre":
-            out.end(blank=True)
-            for line in _plain(child).strip("\n").split("\n"):
-                out.raw(line)
-            out.blank = True
-        elif tag == "table" and depth < 20:
-            out.end(blank=True)
-            for line in table_lines(child, depth + 1):
-                out.raw(line)
-            out.blank = True
-        elif tag == "li":
-            out.end()
-            ordered = node.tag == "ol"
-            mark = f"{number}. " if ordered else "- "
-            number += 1
-            out.prefix.append(" " * len(mark))
-            out.marker = mark
-            _render(child, out, depth)
-            out.end()
-            out.marker = None
-            out.prefix.pop()
-        elif tag in ("ul", "ol", "menu") and node.tag == "li":
-            out.end()
-            if out.marker is not None:
-                out.raw("")
-            _render(child, out, depth)
+        elif visible(child) and not (frame.closed and child.tag != "summary"):
+            entered = _drawn(child, out) if frame.drawing else _entered(child, frame, out)
+            if entered:
+                frames.append(entered)
+
+
+def _drawn(child: Node, out: _Lines) -> _Frame | None:
+    """The frame of a part of a drawing; its texts are apart by a space."""
+    if child.tag in _SVG_UNSEEN:
+        return None
+    if child.tag not in _SVG_TEXT:
+        return _Frame(child, drawing=True)
+    out.text(" ")
+    return _Frame(child, lambda: out.text(" "))
+
+
+def _entered(child: Node, frame: _Frame, out: _Lines) -> _Frame | None:
+    """The frame of a visible element, or None where it is done with."""
+    tag = child.tag
+    if tag == "br":
+        if out.line:
             out.end()
-        elif tag in ("blockquote", "dd"):
-            out.end(blank=tag == "blockquote")
-            out.prefix.append("  ")
-            _render(child, out, depth)
-            out.end(blank=tag == "blockquote")
-            out.prefix.pop()
-        elif tag in BLOCK:
-            out.end(blank=tag in SPACED)
-            _render(child, out, depth)
-            out.end(blank=tag in SPACED)
-        else:
-            if tag == "q":
-                out.text('"')
-            _render(child, out, depth)
-            if tag == "q":
-                out.text('"')
+        elif out.lines:
+            out.blank = True
+    elif tag == "hr":
+        out.end(blank=True)
+        out.raw("---")
+        out.blank = True
+    elif tag == "img":
+        if child.attrs.get("alt"):
+            out.text(child.attrs["alt"])
+    elif tag == "wbr" or (tag == "desc" and frame.node.tag in ("text", "tspan")):
+        pass
+    elif tag in ("pre", "table"):
+        out.end(blank=True)
+        for line in child.lines:
+            out.raw(line)
+        child.lines = None
+        out.blank = True
+    elif tag == "li":
+        out.end()
+        mark = f"{frame.number}. " if frame.node.tag == "ol" else "- "
+        frame.number += 1
+        out.prefix.append(" " * len(mark))
+        out.marker = mark
+        return _Frame(child, lambda: _end_item(out))
+    elif tag in ("ul", "ol", "menu") and frame.node.tag == "li":
+        out.end()
+        if out.marker is not None:
+            out.raw("")
+        return _Frame(child, out.end)
+    elif tag in ("blockquote", "dd"):
+        out.end(blank=tag == "blockquote")
+        out.prefix.append("  ")
+        return _Frame(child, lambda: (out.end(blank=tag == "blockquote"), out.prefix.pop()))
+    elif tag in BLOCK:
+        out.end(blank=tag in SPACED)
+        return _Frame(child, lambda: out.end(blank=tag in SPACED))
+    elif tag == "q":
+        out.text('"')
+        return _Frame(child, lambda: out.text('"'))
+    else:
+        return _Frame(child)
+    return None
+
+
+def _end_item(out: _Lines) -> None:
+    out.end()
+    out.marker = None
+    out.prefix.pop()
 
 
 def _plain(node: Node) -> str:
@@ -336,7 +372,7 @@ def _plain(node: Node) -> str:
         elif x.tag == "br":
             out.append("\n")
         elif x.tag == "svg" and visible(x):
-            out.append(render(x))
+            out.append(_text(x))
         elif visible(x):
             stack.extend(reversed(x.children))
     return "".join(out)
@@ -346,7 +382,7 @@ def _span(value: str) -> int:
     return min(max(int(value), 1), 1000) if re.fullmatch(r"\d{1,6}", value.strip() or "x") else 1
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
+def table_lines(table: Node) -> list[str]:
     """A table's caption and rows; cells stand in columns as wide as their widest line, apart by " | "."""
     caption: list[str] = []
     rows: list[Node] = []
@@ -362,7 +398,7 @@ def table_lines(table: Node, depth: int) -> list[str]:
             rows.append(x)
         elif x.tag in ("thead", "tbody", "tfoot"):
             stack.extend(reversed(x.children))
-        elif text := render(x, depth):
+        elif text := _text(x):
             caption += text.split("\n")
     grid: list[list[list[str]]] = []
     held: dict[int, int] = {}
@@ -383,14 +419,14 @@ def table_lines(table: Node, depth: int) -> list[str]:
                 continue
             skip()
             wide, tall = _span(x.attrs.get("colspan", "1")), _span(x.attrs.get("rowspan", "1"))
-            cells.append(render(x, depth).split("\n"))
+            cells.append(_text(x).split("\n"))
             if tall > 1:
                 held[len(cells) - 1] = tall - 1
             cells.extend([] for _ in range(wide - 1))
         skip()
         extra = Node("div", {})
         extra.children = loose
-        if text := render(extra, depth):
+        if text := _text(extra):
             caption += text.split("\n")
         grid.append(cells)
     columns = max((len(r) for r in grid), default=0)
@@ -409,8 +445,12 @@ def extract_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """page_id, the columns ``keep`` and text of every row; row by row, no shuffle."""
-    columns = [c for c in keep if c in pages.columns]
+    """page_id, the columns ``keep`` and text of every row; row by row, no shuffle.
+
+    Null and empty pages give the empty text. Rows that repeat give equal rows, an empty table none. A kept
+    column called page_id or text gives way to the result's; other columns are ignored.
+    """
+    columns = [c for c in without(keep, "page_id", "text") if c in pages.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
