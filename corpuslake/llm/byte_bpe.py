@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.llm import _buffers as B
+from corpuslake.llm._rows import without
 from corpuslake.llm.segments import SegmentEncoder, byte_characters, quiet_library
 
 
@@ -93,6 +94,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    if len(values) >= 2**31:
+        raise ValueError(f"{len(values)} ids in one slice of rows")
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
@@ -135,7 +138,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, offsets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (with ``offsets`` also starts, ends in characters) of every whole text; null counts as empty.
 
-    ``pattern`` is the byte-level pattern whose tokens begin with at most one space.
+    ``pattern`` is the byte-level pattern whose tokens begin with at most one space. Each row is encoded
+    for itself, whether its id is null or repeated; other columns are ignored; an empty table gives no rows. Texts of
+    any length are encoded whole; a slice of rows with 2**31 ids or more is an error.
     """
     schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
     return _texts(docs, id_col, text_col).mapInArrow(lambda b: _encoded(b, ranks_path, pattern, offsets), schema)
@@ -145,8 +150,9 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``, the bytes of their ids (null ids: null).
 
     Characters that tokens split come out whole, since bytes are joined before anything
-    reads them as UTF-8.
+    reads them as UTF-8. A column of ``rows`` called decoded gives way to the result.
     """
+    rows = rows.select(*[F.col(f"`{c}`") for c in without(rows.columns, "decoded")])
     return rows.mapInArrow(lambda b: _decoded(b, ranks_path, ids_col), ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "decoded binary"]))
 
 

@@ -23,6 +23,8 @@ ROW_STRIDE = 1000
 STRIPE_BYTES = 64 << 20
 #: Offsets of up to so many files (16 bytes each) are broadcast; beyond, a shuffled join brings them to the rows.
 BROADCAST_PARTS = 100_000
+#: Rows that a file holds, roughly, and files at most.
+FILE_ROWS, MOST_FILES = 20_000, 65_536
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
@@ -31,7 +33,9 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, *, spaced: bool
 
     Rows ascend by doc_id over the files' part numbers, null ids first, rows of one id by
     their texts. part is the file's place in that order and start_in_part the number
-    of ids before the row in its file. An empty table leaves a readable empty folder.
+    of ids before the row in its file. An empty table leaves a readable empty folder. The number of ranges
+    grows with the rows. Rows that repeat an id stand one after the other; other columns are
+    ignored. A slice of rows with 2**31 ids or more is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,6 +49,8 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, *, spaced: bool
                 if end_id is not None:
                     ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
                 ends = np.cumsum(counts)
+                if len(ids) >= 2**31:
+                    raise ValueError(f"{len(ids)} ids in one slice of rows")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.full(len(counts), part, np.int32)), pa.array(before + ends - counts), pa.array(counts), lists], ["doc_id", "part", "start_in_part", "n_tokens", "ids"]
@@ -52,7 +58,8 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, *, spaced: bool
                 before += int(ends[-1]) if len(ends) else 0
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), min(MOST_FILES, rows.select("doc_id").count() // FILE_ROWS))
+    ordered = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     (
         ordered.mapInArrow(run, SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")

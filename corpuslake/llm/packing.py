@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.llm import _buffers as B
+from corpuslake.llm._rows import without
 from corpuslake.llm.segments import encoder
 from corpuslake.session import cut
 
@@ -125,6 +126,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, spaced: bool = False, end_i
     """doc_id, piece, start, length, ids of every row: its tokens (null text: empty) and ``end_id``, cut only beyond ``capacity``.
 
     ids are little-endian unsigned 32-bit integers. A row without any token (no end id) gives no piece.
+    Rows that repeat an id, or have none, are cut each for itself; texts are encoded whole, however long; other
+    columns are ignored; an empty table gives no pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,21 +162,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
 
     Every row is placed; a null length or one outside 1 to ``capacity`` is an error.
     Rows of one length are alike: which of them goes where follows their place in
-    the input. ``pieces`` is computed once; drop wide columns first.
+    the input, so rows that repeat are placed each for itself. Columns of ``pieces`` that are called
+    sequence_id or offset give way to the result's; an empty table gives no rows. ``pieces``
+    is computed once; drop wide columns first.
     """
-    held = cut(pieces.withColumn("__row", F.monotonically_increasing_id()))
-    held = held.withColumn("__part", F.shiftright("__row", 33)).withColumn("__len", F.col(length_col).cast("int"))
-    sums = cut(held.groupBy("__part", "__len").agg(F.count(F.lit(1)).alias("n")))
-    counts = {r["__len"]: r["n"] for r in sums.groupBy("__len").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    if None in counts:
-        raise ValueError("a piece has no length")
+    columns = without(pieces.columns, "sequence_id", "offset")
+    names = [f"c{k}" for k in range(len(columns))]
+    kept = [F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)]
+    held = cut(pieces.select(*kept, F.col(f"`{length_col}`").cast("int").alias("len"), F.monotonically_increasing_id().alias("row")))
+    held = held.withColumn("part", F.shiftright("row", 33))
+    sums = cut(held.groupBy("part", "len").agg(F.count(F.lit(1)).alias("n")))
+    bad = sums.where(f"len is null or len < 1 or len > {capacity}").select("len").limit(1).collect()
+    if bad:
+        raise ValueError(f"a piece has the length {bad[0]['len']}")
+    counts = {r["len"]: r["n"] for r in sums.groupBy("len").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     runs, _ = best_fit_decreasing(counts, capacity)
     table = np.array(sorted(runs), dtype=np.int64).reshape(-1, 6)
-    before = sums.withColumn("__before", F.sum("n").over(Window.partitionBy("__len").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).select("__part", "__len", F.coalesce("__before", F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__part", "__len").orderBy("__row"))
-    ranked = held.withColumn("__local", local).join(before, ["__part", "__len"]).withColumn("__rank", F.col("__before") + F.col("__local") - 1)
-    columns = pieces.columns
-    ranked = ranked.select(F.col("__len"), F.col("__rank").cast("long"), *[F.col(c) for c in columns])
+    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("len").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "len", F.coalesce("before", F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy("part", "len").orderBy("row"))
+    ranked = held.withColumn("local", local).join(before, ["part", "len"])
+    ranked = ranked.select("len", (F.col("before") + F.col("local") - 1).cast("long").alias("rank"), *names)
     shared = pieces.sparkSession.sparkContext.broadcast(table)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,5 +195,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
             bins, offset = t[k, 3] + within // each, t[k, 5] + within % each * length
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(bins), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in pieces.dtypes), "sequence_id long", "offset long"])
+    types = dict(pieces.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), "sequence_id long", "offset long"])
     return ranked.mapInArrow(place, schema)

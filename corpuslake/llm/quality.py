@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm import _buffers as B
+from corpuslake.llm._rows import without
 from corpuslake.session import cut
 
 STATISTICS = (
@@ -36,6 +37,8 @@ GAMMA, PENALTY = 0.02, 1e-3
 BINS = 400
 #: Rows that one task sums.
 TASK_ROWS = 200_000
+#: Up to so many labelled ids (16 bytes each) are broadcast to pick out texts; beyond, a shuffled join does it.
+BROADCAST_IDS = 1_000_000
 
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[65:91] = _LETTER[97:123] = 1
@@ -149,7 +152,11 @@ def pool_adjacent_violators(value: np.ndarray, weight: np.ndarray) -> np.ndarray
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and stats (STATISTICS as packed float32) of every row, computed once."""
+    """doc_id and stats (STATISTICS as packed float32) of every row.
+
+    A null text counts as an empty one; texts of any length are read whole; rows that repeat an id are described each for
+    itself; other columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,6 +169,20 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, stats binary")
 
 
+def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """doc_id and y of the ids that ``labels`` marks 0 or 1; labels of one id that differ are averaged, null ids and labels are none."""
+    y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y"))
+    return y.where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
+
+
+def describe_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """describe() of the rows whose id is labelled; texts of the others are not looked at. The ids are broadcast while they are few."""
+    ids = cut(labelled(labels, id_col, label_col).select(F.col("doc_id").alias("__labelled")))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return describe(docs.join(ids, docs[id_col].cast("long") == F.col("__labelled"), "left_semi"), id_col, text_col)
+
+
 def _unpack(column: pa.Array) -> np.ndarray:
     raw = b"".join(column.to_pylist())
     return np.frombuffer(raw, np.float32).reshape(-1, len(STATISTICS)).astype(np.float64)
@@ -188,13 +209,12 @@ def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     """Fit on the rows of ``described`` that ``labels`` marks 0 or 1 (a null label is none).
 
     Labels of one id that differ are averaged. With no labelled row every score is
-    0.5. A row's fold is a hash of its id.
+    0.5. A row's fold is a hash of its id; rows that repeat an id all count.
     """
     rng = np.random.default_rng(seed)
     k = len(STATISTICS)
     directions, phases = rng.normal(0, np.sqrt(2 * GAMMA), (k, WAVES)), rng.uniform(0, 2 * np.pi, WAVES)
-    y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
-    train = cut(described.join(y, "doc_id").select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")))
+    train = cut(described.join(labelled(labels, id_col, label_col), "doc_id").select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")))
     rows = train.count()
     if not rows:
         return QualityModel(np.zeros(k), np.ones(k), directions, phases, np.zeros(WAVES + 1), np.zeros(0), 0.0, 1.0)
@@ -264,7 +284,10 @@ def _packed(part: int, total: np.ndarray) -> pa.RecordBatch:
 
 
 def score(spark: SparkSession, described: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (1 where score >= threshold) of every described row."""
+    """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (1 where score >= threshold) of every described row.
+
+    Rows that repeat an id are scored each for itself; an empty table gives no rows.
+    """
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,13 +300,14 @@ def score(spark: SparkSession, described: DataFrame, model: QualityModel, thresh
     return described.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``docs`` with score and predicted, straight from the texts and with all columns kept: no shuffle brings the scores back.
+def score_texts(spark: SparkSession, docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.7, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with score and predicted, named by ``out``, straight from the texts and with all columns kept: no shuffle brings the scores back.
 
-    ``docs`` must not have columns of those names. A null text is scored as an empty one.
+    Columns of ``docs`` that are called as one of ``out`` give way to them. A null text is scored as an
+    empty one, rows that repeat each for itself; an empty table gives no rows.
     """
     shared = spark.sparkContext.broadcast(model)
-    columns = docs.columns
+    columns = without(docs.columns, *out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -292,6 +316,8 @@ def score_texts(spark: SparkSession, docs: DataFrame, model: QualityModel, text_
                 batch = whole.slice(at, 2000)
                 data, offsets = B.text_buffer(batch.column(columns.index(text_col)))
                 s = m.calibrated(m.waves(statistics(data, offsets).astype(np.float64)) @ m.weights)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*columns, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*columns, *out])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "score double", "predicted int"]))
+    types = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), f"`{out[0]}` double", f"`{out[1]}` int"])
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm import byte_bpe, fingerprints, html_layout, langid, neardup, orc_tokens, packing, quality, secrets, topk
-from corpuslake.session import cut, shared_dir
+from corpuslake.session import cut, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,9 +91,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to ORC files and read back."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/token-orc-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-orc")
     orc_tokens.write_token_orc(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=2)
     back = orc_tokens.read_token_orc(spark, path)
     return orc_tokens.ids_crc32(back.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), "ids"))
