@@ -3,49 +3,54 @@
 Each stage gets what its predecessor kept as a table with the columns of documents and
 returns a DataFrame, which is written as Parquet to the shared folder and read again
 as the next stage's input.
+
+Every stage judges each row by itself, whether its doc_id is null, repeated or its own; null texts count
+as empty; further columns are kept whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm import langid, neardup, quality, queries, secrets
-from corpuslake.session import cut, shared_dir
+from corpuslake.llm._rows import free_name
+from corpuslake.session import scratch
 
 #: A language is rejected where nothing was recognised or its share of the posterior is below this.
 LANGUAGE_SCORE = 0.4
 
 
+def _names(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    return tuple(free_name(docs.columns, n) for n in names)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier, fitted on all labels, scores below its threshold."""
+    """Drops documents that the quality classifier, fitted on all labelled ones, scores below its threshold.
+
+    A row without an id is scored like any other; it takes no part in fitting.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(quality.describe(docs), labels)
-    return quality.score_texts(spark, docs, model).where("predicted = 1").select(*docs.columns)
+    model = quality.fit(quality.describe_labelled(docs, labels), labels)
+    score, predicted = _names(docs, "score", "predicted")
+    return quality.score_texts(spark, docs, model, out=(score, predicted)).where(F.col(predicted) == 1).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognised language; the others keep their columns as they are."""
+    """Drops documents without a recognised language (null and empty texts too); the others keep their columns as they are."""
     model = langid.fit(docs)
-    rows = langid.predict(spark, docs, model, keep=tuple(docs.columns))
-    return rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = _names(docs, "lang_pred", "score")
+    rows = langid.predict(spark, docs, model, keep=tuple(docs.columns), out=(lang, score))
+    return rows.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest id.
 
-    Each row is a document for itself: rows that repeat an id are judged by their own
-    texts, and of exact repeats one stays. Rows without an id are kept.
+    Rows that repeat an id are judged by their own texts, and of exact repeats one stays. Rows
+    without an id are kept.
     """
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    ids = rows.select("__row", F.col("doc_id").cast("long").alias("__id"))
-    named = rows.where("doc_id is not null").select("__row", "text")
-    groups = neardup.near_duplicates(named, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    first = groups.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("first")).select("first.__row")
-    kept = first.unionByName(ids.where("__id is null").select("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    return neardup.without_near_duplicates(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of ``sf_dir``."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
