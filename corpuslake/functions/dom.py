@@ -81,15 +81,19 @@ class _Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """As the library's, but "<![" is a comment up to the next ">", as in browsers: the library refuses broken ones."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
 
 def parse(html: str | bytes | None) -> Element:
     """The tree of a page; null gives an empty one. Bytes are read as UTF-8, bad ones replaced."""
     if isinstance(html, (bytes, bytearray)):
         html = bytes(html).decode("utf-8", "replace")
     b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except AssertionError:
-        pass
+    b.feed(html or "")
+    b.close()
     return b.root

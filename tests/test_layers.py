@@ -96,27 +96,81 @@ TRUTHS = """<div class="field-docs-content"><table><tbody><tr><td>1</td><td><p>M
 <tr><td>2</td><td><p>Not mine</p></td></tr><tr><td><a href="https://truthsocial.com/@other/posts/2">l</a></td></tr></tbody></table></div>"""
 
 
-def test_page_extractors():
-    assert extract.speech_page(SPEECH, "", {}) == ("One.\n\nTwo.", "Title", "June 16, 2015")
+def read(spark, extractor, page, meta="{}"):
+    kind = {"miller_center": "miller_center", "ucsb": "ucsb"}.get(extractor, "x")
+    df = spark.createDataFrame([(1, "u", "text", json.dumps({"source_name": kind}), page)], "doc_id long, source_url string, source_type string, raw_metadata string, content string")
+    return extract.silver(df).first()
+
+
+def test_page_extractors(spark):
+    assert extract.speech_page(SPEECH, "", {})[:3] == ("One.\n\nTwo.", "Title", "June 16, 2015")
     for footer in ("", '<tr><td colspan="2">data as of today</td></tr>'):
-        got = extract.posts_page(TWEETS.format(footer), "", {})
-        assert got == ("Great day !", "Tweets of May 1", "2015-06-16")
-    assert extract.posts_page(TRUTHS, "", {}).content == "Mine here more"
+        got = read(spark, "ucsb", TWEETS.format(footer))
+        assert (got.transcript, got.title, str(got.publication_date)) == ("Great day !", "Tweets of May 1", "2015-06-16")
+    assert read(spark, "ucsb", TRUTHS).transcript == "Mine here more"
     assert extract.speech_page("<p>x</p>", "", {}).content is None
+    assert read(spark, "ucsb", "<p>no table</p>").error_message == "ucsb: no content"
+
+
+def test_posts_and_links_take_turns(spark):
+    link = '<a href="https://truthsocial.com/@{}/posts/1">l</a>'
+    post = lambda text, handle="": f"<tr><td>1</td><td>{text}{link.format(handle) if handle else ''}</td></tr>"
+    one = lambda handle: f"<tr><td>{link.format(handle)}</td></tr>"
+    page = lambda *rows: f'<div class="field-docs-content"><table><tbody>{"".join(rows)}</tbody></table></div>'
+    # two-cell rows in a run: the second is the first's link, the third is a post again, its link the row behind the run
+    assert read(spark, "ucsb", page(post("first"), post("as a link", "other"), post("third"), one("realDonaldTrump"), one("x"))).transcript == "third"
+    assert read(spark, "ucsb", page(one("x"), post("last, without a link"))).transcript == "last, without a link"
+    assert read(spark, "ucsb", page(one("x"), post("ab"), one("x"))).error_message == "ucsb: no content"
+    inner = "<tr><td>1</td><td><table><tr><td>x</td></tr></table>said</td></tr>"
+    assert read(spark, "ucsb", page(inner, one("realDonaldTrump"))).status_processing in ("success", "failed")
+
+
+def test_titles(spark):
+    cases = [
+        ('<meta property="og:title" content="A &amp; B"><title>C</title>', "A & B"),
+        ('<meta property="og:title" content=" "><meta name="title" content="M"><title>C</title>', "M"),
+        ("<title>Remarks on the Economy | Site</title>", "Remarks on the Economy"),
+        ("<h1>Hi</h1>", None),
+        ("<h1>Hello <span>all</span></h1>", "Hello all"),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(cases)], "page_id long, html string")
+    assert {r.page_id: r.title for r in extract.titles(df).collect()} == {k: t for k, (_, t) in enumerate(cases)}
 
 
-def test_titles():
-    assert extract.guess_title(parse('<meta property="og:title" content="A &amp; B"><title>C</title>')) == "A & B"
-    assert extract.guess_title(parse("<title>Remarks on the Economy | Site</title>")) == "Remarks on the Economy"
-    assert extract.guess_title(parse("<h1>Hi</h1>")) is None
-    assert extract.guess_title(parse("<h1>Hello <span>all</span></h1>")) == "Hello all"
+def test_main_text():
+    read = lambda h: extract.main_text(parse(h))
+    assert read("<body><p>one</p><div>loose text</div>") == "one\n\nloose text"
+    assert read("<li><p>x</p></li>") == "x" and read("<div>a<p>b <b>bold</b> c</p>d</div>") == "a\n\nb bold c\n\nd"
+    assert read("<nav>no</nav><article>in<script>no</script></article><p>out") == "in"
+    assert read("plain<br>lines") == "plain lines" and read("") == ""
+    assert read("<p>a</p><![foo[ x ]]><p>b</p>") == "a\n\nb"
 
 
 def test_segments():
     segs = [{"idx": k, "start_sec": None if k == 2 else k, "end_sec": k + 1, "caption_text": f"s{k}"} for k in range(4)]
-    assert extract.archive_item("", "", {"segments": segs, "excluded_indices": [0]}).content == "s1\n\ns3"
+    assert extract.archive_item(None, {"segments": segs, "excluded_indices": [0]}, "", extract.Captions()).content == "s1\n\ns3"
     with pytest.raises(ValueError):
-        extract.archive_item("", "", {"segments": []})
+        extract.archive_item(None, {"segments": []}, "", extract.Captions())
+
+
+class Loud:
+    """Says which slice it got, of what, with which prompt."""
+
+    def decode(self, raw, metadata):
+        return bytes(raw or b"").decode()
+
+    def say(self, media, start_ms, end_ms, prompt, segment):
+        return f"{media}:{start_ms}-{end_ms}:{prompt}"
+
+
+def test_a_transcriber_goes_through_silver(spark):
+    segs = [{"idx": k, "start_sec": k, "end_sec": k + 1.5} for k in range(3)]
+    meta = json.dumps({"source_name": "internet_archive", "segments": segs, "excluded_indices": [1], "title": "T", "extra": {"summary": " why "}})
+    df = spark.createDataFrame([(1, "u", "video", meta, "sound"), (2, "u", "audio", "{}", "all")], "doc_id long, source_url string, source_type string, raw_metadata string, content string")
+    got = {r.doc_id: r.transcript for r in extract.silver(df, transcriber=Loud(), prompt="Base.").collect()}
+    prompt = "Base. Title: T. Context: why"
+    assert got == {1: f"sound:0-1500:{prompt}\n\nsound:2000-3500:{prompt}", 2: "all:None-None:Base."}
 
 
 def test_extractor_dispatch_and_failed_rows(spark):
