@@ -1,15 +1,12 @@
 """Syntactic metrics over tagged tokens, and a rule-based tagger that stands in for a model.
 
 Any tagger that gives array<struct<text, lower, lemma, tag, is_alpha, sent>> in a column
-``doc`` can be used; the metrics read that column only.
+``doc`` can be used; the metrics read that column only. The tagger here is a few array expressions
+over each text's sentences, inside the JVM.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,82 +33,85 @@ POS_BUCKETS = {
     "modal": ("MD",),
 }
 
-_CLOSED = {
+#: Words of one tag, contractions among them.
+CLOSED = {
     "DT": "a an the this that these those each every no some any all both",
     "IN": "of in on at by for with from into through during before after above below about against between under over without within if because while as than since until",
     "CC": "and or but nor yet so",
-    "MD": "can could may might must shall should will would ought",
+    "MD": "can could may might must shall should will would ought 'll 'd wo ca sha",
     "PRP": "i you he she it we they me him us them myself yourself himself herself itself ourselves themselves",
     "PRP$": "my your his her its our their",
-    "RB": "not never always now then here there very also just only perhaps maybe too again",
+    "RB": "not never always now then here there very also just only perhaps maybe too again n't",
     "TO": "to",
     "WP": "who whom what",
     "WDT": "which",
     "WRB": "when where why how",
     "VBZ": "is has does",
-    "VBP": "am are have do",
+    "VBP": "am are have do 're 've 'm",
     "VBD": "was were had did said made went took came",
     "VB": "be",
     "VBN": "been done gone taken",
     "VBG": "being having doing",
+    "POS": "'s",
 }
-_TAG_OF = {w: tag for tag, words in _CLOSED.items() for w in words.split()}
-_LEMMAS = {"has": "have", "had": "have", "having": "have", "'ve": "have", "needs": "need", "needed": "need", "needing": "need", "requires": "require", "required": "require", "requiring": "require", "'ll": "will", "wo": "will", "ca": "can", "sha": "shall"}
-_SUFFIXES = (("ing", "VBG"), ("ed", "VBD"), ("ly", "RB"), ("est", "JJS"), ("ous", "JJ"), ("ful", "JJ"), ("able", "JJ"), ("ible", "JJ"), ("ive", "JJ"), ("al", "JJ"), ("s", "NNS"))
-_PIECE = re.compile(r"[^\W\d_]+|\d[\d.,]*|[^\w\s]|_", re.UNICODE)
-_CONTRACTION = re.compile(r"(?i)^(.+?)(n['’]t)$|^(.+?)(['’](?:re|ve|ll|d|s|m))$")
-
-
-def tag_text(text: str | None) -> list[dict]:
-    """Tokens of a text with tags by word lists, endings and capitals; contractions are split in two."""
-    out: list[dict] = []
-    for number, sentence in enumerate(s for s in re.split(r"(?<=[.!?])\s+", (text or "").strip()) if s.strip()):
-        previous, first = "", True
-        for chunk in sentence.split():
-            parts: list[str] = []
-            core = chunk.strip(".,;:!?\"()[]")
-            m = _CONTRACTION.match(core) if core else None
-            if m:
-                lead, tail = chunk[: chunk.index(core)], chunk[chunk.index(core) + len(core) :]
-                parts = [*_PIECE.findall(lead), *[g for g in m.groups() if g], *_PIECE.findall(tail)]
-            else:
-                parts = _PIECE.findall(chunk)
-            for p in parts:
-                low = p.lower().replace("’", "'")
-                alpha = p.isalpha()
-                if not any(c.isalnum() for c in p):
-                    tag = p if p in ",;:()" else "." if p in ".!?" else ":"
-                elif low[0].isdigit():
-                    tag = "CD"
-                elif low == "n't":
-                    tag = "RB"
-                elif low in ("'ll", "'d", "wo", "ca", "sha"):
-                    tag = "MD"
-                elif low in ("'re", "'ve", "'m"):
-                    tag = "VBP"
-                elif low == "'s":
-                    tag = "POS"
-                elif low in _TAG_OF:
-                    tag = _TAG_OF[low]
-                elif previous in ("MD", "TO") or (previous == "RB" and len(out) > 1 and out[-2]["tag"] == "MD"):
-                    tag = "VB"
-                elif p[0].isupper() and not first:
-                    tag = "NNP"
-                else:
-                    tag = next((t for s, t in _SUFFIXES if len(low) > len(s) + 2 and low.endswith(s)), "NN")
-                out.append({"text": p, "lower": low, "lemma": _LEMMAS.get(low, low), "tag": tag, "is_alpha": alpha, "sent": number})
-                previous, first = tag, False
-    return out
+#: Forms and the lemma that modality goes by; any other form is its own.
+LEMMAS = {
+    "have": "has had having 've",
+    "need": "needs needed needing",
+    "require": "requires required requiring",
+    "will": "'ll wo",
+    "can": "ca",
+    "shall": "sha",
+}
+#: Endings of words of over two letters more, in the order in which they are tried.
+SUFFIXES = (("ing", "VBG"), ("ed", "VBD"), ("ly", "RB"), ("est", "JJS"), ("ous", "JJ"), ("ful", "JJ"), ("able", "JJ"), ("ible", "JJ"), ("ive", "JJ"), ("al", "JJ"), ("s", "NNS"))
+PARTS = ("n't", "'re", "'ve", "'ll", "'d", "'s", "'m")
+#: A word and the part that is cut off its end; the pieces of what holds no such part.
+CONTRACTION = r"(?i)^(.*\p{L})(n['’]t|['’](?:re|ve|ll|d|s|m))([^\p{L}\p{N}]*)$"
+PIECE = r"\p{L}+|[0-9][0-9.,]*|[^\s\p{L}\p{N}]"
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """doc_id, text, doc: every text tagged once, over Arrow batches."""
+def _quoted(words) -> str:  # noqa: ANN001
+    return "(" + ", ".join('"' + w + '"' for w in words) + ")"
+
+
+def _tokens_of(sentence: str) -> str:
+    """SQL: the tokens of a sentence; contractions are split in two, punctuation stands alone."""
+    part = f"lower(translate(a, '’', \"'\")) in {_quoted(PARTS)}"
+    split_up = f"transform(split(trim({sentence}), '\\\\s+'), a -> regexp_replace(a, r\"{CONTRACTION}\", '$1 $2 $3'))"
+    return f"flatten(transform(split(array_join({split_up}, ' '), ' '), a -> if({part}, array(a), regexp_extract_all(a, r\"{PIECE}\", 0))))"
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "doc": [tag_text(t) for t in b["text"]]})
+def _own_tag(text: str, low: str) -> str:
+    """SQL: the tag that a token has whatever stands before it; null for open words."""
+    closed = " ".join(f"when {low} in {_quoted(words.split())} then '{tag}'" for tag, words in CLOSED.items())
+    return rf"""case when not {text} rlike r'[\p{{L}}\p{{N}}]' and not {low} in {_quoted(PARTS)} then
+      case when {text} in (',', ';', ':', '(', ')') then {text} when {text} in ('.', '!', '?') then '.' else ':' end
+      when {text} rlike '^[0-9]' then 'CD' {closed} end"""
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, text string, doc {DOC_TYPE}")
+
+def _open_tag(t: str) -> str:
+    """SQL: the tag of an open word by its capital, unless it begins the sentence, or its ending."""
+    endings = " ".join(f"when length({t}.lower) > {len(s) + 2} and {t}.lower like '%{s}' then '{tag}'" for s, tag in SUFFIXES)
+    return rf"case when k > 0 and {t}.text rlike r'^\p{{Lu}}' then 'NNP' {endings} else 'NN' end"
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text, doc: every text tagged once (N1); a null text has no tokens.
+
+    An open word behind a modal or "to", or behind a modal and an adverb, is a verb's base form. Row by row, no shuffle.
+    """
+    lemma = " ".join(f"when t.lower in {_quoted(forms.split())} then '{word}'" for word, forms in LEMMAS.items())
+    before = "coalesce(get(ts, k - 1).own, '')", "coalesce(get(ts, k - 2).own, '')"
+    after_modal = f"({before[0]} in ('MD', 'TO') or ({before[0]} = 'RB' and {before[1]} = 'MD'))"
+    token = rf"""struct(t.text as text, t.lower as lower, case {lemma} else t.lower end as lemma,
+      coalesce(t.own, if({after_modal}, 'VB', {_open_tag('t')})) as tag, t.text rlike r'^\p{{L}}+$' as is_alpha, n as sent)"""
+    low = "lower(translate(t, '’', \"'\"))"
+    rows = docs.select("doc_id", "text", T.sentences("text").alias("ss"))
+    rows = rows.select("doc_id", "text", F.expr(f"transform(ss, s -> {_tokens_of('s')})").alias("ts"))
+    rows = rows.select("doc_id", "text", F.expr(f"transform(ts, x -> transform(x, t -> struct(t as text, {low} as lower)))").alias("ts"))
+    rows = rows.select("doc_id", "text", F.expr(f"transform(ts, x -> transform(x, t -> struct(t.text as text, t.lower as lower, {_own_tag('t.text', 't.lower')} as own)))").alias("ts"))
+    return rows.select("doc_id", "text", F.expr(f"flatten(transform(ts, (ts, n) -> transform(ts, (t, k) -> {token})))").alias("doc"))
 
 
 def _stats_columns() -> list[Column]:

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from corpuslake.functions import text as T
 from corpuslake.operators import bronze as B
 from corpuslake.operators import chunking, embeddings, entities, lexical, scores, syntactic, topics
+from corpuslake.plans import syntax_sql as X
 from corpuslake.plans.derived import half_up, table
+from corpuslake.plans.syntax_sql import SENTENCES as _SENT
+from corpuslake.plans.syntax_sql import SENTS
+from corpuslake.plans.syntax_sql import TOKENS as _T
 
 
 def docs(spark, d):  # noqa: ANN001, ANN201
@@ -18,12 +22,9 @@ def _list(words) -> str:  # noqa: ANN001
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-_T = r"[x FOR x IN regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+') IF regexp_full_match(x, '\p{{L}}+')]"
-_SENT = r"[x FOR x IN string_split(regexp_replace(trim({0}), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF trim(x) <> '']"
 TOK = f"tok AS (SELECT doc_id, text, {_T.format('text')} AS t FROM documents)"
 ROWS = "r AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS pos FROM tok)"
 STOP = _list(T.STOPWORDS)
-SENTS = f"sent AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS pos FROM (SELECT doc_id, {_SENT.format('text')} AS s FROM documents))"
 
 
 def _ranked(src: str, name: str, having: str = "") -> str:
@@ -79,15 +80,13 @@ def _scored_sql(lists: dict[str, tuple[str, ...]], kind: str) -> str:
     rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(label), label) AS rank FROM ds) """
 
 
+#: The twelve labels, each with words that the test texts hold, so that scores reach the threshold.
+TOPICS = {label: (*scores.TOPIC_WORDS[label], word) for label, word in zip(scores.TOPIC_LABELS, ("the", "is", "and", "of", "in", "to", "und", "der", "que", "le", "de", "la"), strict=True)}
 EMO = {"anger": ("the", "on"), "disgust": ("der",), "fear": ("is", "le"), "joy": ("a", "la"), "neutral": ("of", "und"), "sadness": ("in", "de"), "surprise": ("to", "que")}
 
 
-def _scores(lists, how):  # noqa: ANN001, ANN202
-    def run(spark, d):  # noqa: ANN001, ANN202
-        scored = scores.word_list_scorer(lists)(scores.sentence_chunks(docs(spark, d)))
-        return how(scored)
-
-    return run
+def _scores(lists, how, of):  # noqa: ANN001, ANN202
+    return lambda s, d: of(scores.within_rows(docs(s, d), lists, how))
 
 
 def _dedup(spark, d):  # noqa: ANN001, ANN202
@@ -95,16 +94,33 @@ def _dedup(spark, d):  # noqa: ANN001, ANN202
     return B.deduplicated(rows).select("doc_id", "checksum", "file_size", "outcome")
 
 
-_MODAL = " , ".join(
-    f"{half_up(f'1000 * len([x FOR x IN t IF x IN {_list(ws)}])', 'greatest(len(t), 1)', 2)} AS {name}" for name, ws in syntactic.MODAL_MARKERS.items()
-)
+def _paired(spark, d):  # noqa: ANN001, ANN202
+    """The documents with the words of pairs in place of common ones."""
+    text = F.col("text")
+    for common, word in X.SWAPS:
+        text = F.regexp_replace(text, f" {common} ", f" {word} ")
+    return docs(spark, d).select("doc_id", text.alias("text"))
+
+
+def _flat(entries: str, name: str):  # noqa: ANN202
+    return F.array_join(F.transform(entries, lambda x: F.concat_ws(":", x[name], x["count"].cast("string"))), ",")
 
 
-def _modal(spark, d):  # noqa: ANN001, ANN202
-    """Markers by surface form over plain tokens: the lemma-free core of the modality metric."""
-    rows = docs(spark, d).select("doc_id", T.tokens("text").alias("t"))
-    n = F.greatest(F.size("t"), F.lit(1))
-    return rows.select("doc_id", *[F.round(T.count_in("t", ws) * 1000 / n, 2).alias(name) for name, ws in syntactic.MODAL_MARKERS.items()])
+def _lexical_payload(spark, d):  # noqa: ANN001, ANN202
+    """The payload's parts as columns; lists as text."""
+    rows = lexical.payload(docs(spark, d)).select("doc_id", "lex_metrics.*")
+    return rows.select(
+        "doc_id", "total_words", F.round("lexical_diversity.ttr", 6).alias("ttr"), F.round("lexical_diversity.mtld", 6).alias("mtld"), *[F.col("pronoun_ratios")[k].alias(k) for k in T.PRONOUNS],
+        _flat("top_content_words", "word").alias("words"), _flat("repetitions", "phrase").alias("repetitions"), _flat("bigrams", "phrase").alias("bigrams"), _flat("trigrams", "phrase").alias("trigrams"),
+        F.size("oppositions").cast("long").alias("n_oppositions"),
+    )
+
+
+def _syntactic_payload(spark, d):  # noqa: ANN001, ANN202
+    """The payload's parts as columns."""
+    rows = syntactic.payload(docs(spark, d)).select("doc_id", "syntactic_metrics.*")
+    maps = [F.col(m)[k].alias(k) for m, names in (("modality", syntactic.MODAL_MARKERS), ("pos_distribution", syntactic.POS_BUCKETS), ("verb_tense", X.TENSES)) for k in names]
+    return rows.select("doc_id", "speech_stats.*", *maps, "total_tagged_tokens")
 
 
 #: name: (function of (spark, sf_dir), SQL or None)
@@ -128,12 +144,7 @@ ENTRIES = {
         lambda s, d: lexical.anaphora(docs(s, d)),
         f"WITH {SENTS}, o AS (SELECT doc_id, {_T.format('s')} AS t FROM sent) SELECT doc_id, concat_ws(' ', t[1], t[2], t[3]) AS phrase, count(*) AS cnt FROM o WHERE len(t) >= 3 GROUP BY 1, 2 HAVING count(*) >= 2",
     ),
-    "oppositions": (
-        lambda s, d: lexical.oppositions(docs(s, d)),
-        f"""WITH {TOK}, p AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in T.OPPOSITIONS)}) v(left_word, right_word)),
-        c AS (SELECT doc_id, left_word, right_word, len([x FOR x IN t IF x = left_word]) AS left_count, len([x FOR x IN t IF x = right_word]) AS right_count FROM tok, p)
-        SELECT * FROM c WHERE left_count > 0 OR right_count > 0""",
-    ),
+    "oppositions": (lambda s, d: lexical.oppositions(_paired(s, d)), X.OPPOSED),
     "punctuation_counts": (
         lambda s, d: docs(s, d).select("doc_id", T.count_of("text", "?").alias("questions"), T.count_of("text", "!").alias("exclamations")),
         "SELECT doc_id, length(text) - length(replace(text, '?', '')) AS questions, length(text) - length(replace(text, '!', '')) AS exclamations FROM documents",
@@ -147,17 +158,15 @@ ENTRIES = {
         f"""WITH {TOK}, q AS (SELECT doc_id, text, t, len({_SENT.format('text')}) AS n FROM tok) SELECT doc_id, n AS sentence_count, CASE WHEN n > 0 THEN {half_up('len(t)', 'n', 2)} ELSE 0.0 END AS avg_sentence_length,
         CASE WHEN len(t) > 0 THEN {half_up(_LETTERS, 'len(t)', 2)} ELSE 0.0 END AS avg_word_length, length(text) - length(replace(text, '?', '')) AS question_count, length(text) - length(replace(text, '!', '')) AS exclamation_count FROM q""",
     ),
-    "modality_surface": (_modal, f"WITH {TOK} SELECT doc_id, {_MODAL} FROM tok"),
-    "modality_markers": (lambda s, d: syntactic.modality(syntactic.tagged(docs(s, d))), None),
-    "pos_distribution": (lambda s, d: syntactic.pos_distribution(syntactic.tagged(docs(s, d))), None),
-    "verb_future_lookahead": (lambda s, d: syntactic.verb_tense(syntactic.tagged(docs(s, d))), None),
-    "lexical_payload": (lambda s, d: lexical.payload(docs(s, d)).select("doc_id", F.to_json("lex_metrics").alias("lex_metrics")), None),
-    "syntactic_payload": (lambda s, d: syntactic.payload(docs(s, d)).select("doc_id", F.to_json("syntactic_metrics").alias("syntactic_metrics")), None),
-    "entity_mentions": (lambda s, d: entities.grouped(entities.mentions_by_rule(docs(s, d))), None),
+    "modality_markers": (lambda s, d: syntactic.modality(syntactic.tagged(docs(s, d))), X.MODALITY),
+    "pos_distribution": (lambda s, d: syntactic.pos_distribution(syntactic.tagged(docs(s, d))), X.POS),
+    "verb_future_lookahead": (lambda s, d: syntactic.verb_tense(syntactic.tagged(docs(s, d))), X.TENSE),
+    "entity_mentions": (lambda s, d: entities.grouped(entities.mentions_by_rule(docs(s, d))), X.MENTIONS),
     "chunk_pack": (lambda s, d: chunking.chunks(docs(s, d), 60), _CHUNKS),
-    "weighted_sentiment": (_scores(LISTS, lambda x: scores.dominant(scores.weighted(x))), _scored_sql(LISTS, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
-    "weighted_emotion": (_scores(EMO, lambda x: scores.dominant(scores.weighted(x))), _scored_sql(EMO, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
-    "zero_shot_labels": (_scores(EMO, lambda x: scores.selected(scores.strongest(x), 0.3)), _scored_sql(EMO, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.3 OR rank = 1"),
+    "weighted_sentiment": (_scores(LISTS, "weighted", scores.first_of), _scored_sql(LISTS, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
+    "weighted_emotion": (_scores(EMO, "weighted", scores.first_of), _scored_sql(EMO, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
+    "zero_shot_labels": (_scores(EMO, "strongest", lambda x: scores.chosen_of(x, 0.3)), _scored_sql(EMO, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.3 OR rank = 1"),
+    "topic_labels": (_scores(TOPICS, "strongest", scores.chosen_of), _scored_sql(TOPICS, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.5 OR rank = 1"),
     "bronze_dedup": (
         _dedup,
         """WITH h AS (SELECT doc_id, sha256(text) AS checksum, CAST(octet_length(encode(text)) AS BIGINT) AS file_size FROM documents)
@@ -189,3 +198,24 @@ ENTRIES = {
     ),
     "topic_clusters": (lambda s, d: topics.clusters(table(s, d, "embeddings")), None),
 }
+
+_SQL = {name: sql for name, (_, sql) in ENTRIES.items()}
+
+
+def _joined(name: str, label: str, order: str) -> str:
+    return f"(SELECT doc_id, string_agg({label} || ':' || cnt, ',' ORDER BY {order}) AS x FROM ({_SQL[name]}) GROUP BY doc_id)"
+
+
+#: Payloads: their parts by the SQL of the parts' own queries, joined.
+ENTRIES["lexical_payload"] = (
+    _lexical_payload,
+    f"""SELECT doc_id, total_words, ttr, mtld, {', '.join(T.PRONOUNS)}, coalesce(w.x, '') AS words, coalesce(a.x, '') AS repetitions, coalesce(b.x, '') AS bigrams, coalesce(t.x, '') AS trigrams, coalesce(o.n, 0) AS n_oppositions
+    FROM ({_SQL['lexical_diversity_ttr']}) JOIN ({_SQL['lexical_diversity_mtld']}) USING (doc_id) JOIN ({_SQL['pronoun_ratios']}) USING (doc_id)
+    LEFT JOIN {_joined('top_content_words', 'word', 'rank')} w USING (doc_id) LEFT JOIN {_joined('anaphora', 'phrase', 'cnt DESC, phrase')} a USING (doc_id)
+    LEFT JOIN {_joined('bigrams_top', 'phrase', 'rank')} b USING (doc_id) LEFT JOIN {_joined('trigrams_top', 'phrase', 'rank')} t USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({X.OPPOSED_AS_IS}) GROUP BY doc_id) o USING (doc_id)""",
+)
+ENTRIES["syntactic_payload"] = (
+    _syntactic_payload,
+    f"SELECT * FROM ({_SQL['speech_stats']}) JOIN ({_SQL['modality_markers']}) USING (doc_id) JOIN ({_SQL['pos_distribution']}) USING (doc_id) JOIN ({_SQL['verb_future_lookahead']}) USING (doc_id)",
+)
