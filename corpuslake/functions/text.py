@@ -115,7 +115,7 @@ def clean_title(title: Column | str) -> Column:
     n = F.size(parts)
     short = lambda p: (F.length(p) < 20) | (F.length(p) / F.length(t) < 0.25)
     last, first = F.trim(F.element_at(parts, -1)), F.trim(parts[0])
-    trimmed = F.transform(parts, F.trim)
+    trimmed = F.transform(parts, lambda p: F.trim(p))  # a bare function would take the index as its second argument
     return (
         F.when((n > 1) & short(last), F.array_join(F.slice(trimmed, F.lit(1), n - 1), " - "))
         .when((n > 1) & short(first), F.array_join(F.slice(trimmed, F.lit(2), n - 1), " - "))
