@@ -68,12 +68,12 @@ def by_robots(rows: DataFrame, robots: DataFrame | None, on_missing: bool = Fals
     return out.drop("__domain", "__path")
 
 
-def crawl(pages: DataFrame, seeds: list[str], keywords: list[str], *, domains: list[str] | None = None, max_depth: int = 2, max_pages: int = 50, threshold: int = 1, robots: DataFrame | None = None, on_missing: bool = False) -> DataFrame:
+def crawl(pages: DataFrame, seeds: list[str], keywords: list[str], *, domains: list[str] | None = None, max_depth: int = 2, max_pages: int | None = 50, threshold: int = 1, robots: DataFrame | None = None, on_missing: bool = False) -> DataFrame:
     """url, crawl_depth, discovered_via, matched_keywords, page_title of up to ``max_pages`` pages with enough keywords.
 
     A page is visited at the smallest depth at which it is found. A pagination link keeps its
     page's depth, others add one; links are followed below ``max_depth`` only. The cap counts
-    yielded pages, the shallowest first and then by URL.
+    yielded pages, the shallowest first and then by URL; None is no cap.
     """
     spark = pages.sparkSession
     rows = pages.where("url is not null")
@@ -97,7 +97,7 @@ def crawl(pages: DataFrame, seeds: list[str], keywords: list[str], *, domains: l
         visited = cut(visited.join(frontier.select("url"), "url", "left_anti").unionByName(frontier))
     hits = visited.join(parsed, "url").withColumn("matched_keywords", matched_keywords(F.col("title"), F.col("page_text"), F.col("url"), keywords))
     out = hits.where(F.size("matched_keywords") >= threshold).select("url", F.col("depth").alias("crawl_depth"), F.col("via").alias("discovered_via"), "matched_keywords", F.col("title").alias("page_title"))
-    return out.orderBy("crawl_depth", "url").limit(max_pages)
+    return out if max_pages is None else out.orderBy("crawl_depth", "url").limit(max_pages)
 
 
 def follow_chain(links: DataFrame, start: str, max_depth: int = 100) -> DataFrame:
