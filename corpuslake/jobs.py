@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import json
 
+from pyspark.sql import DataFrame
+
 from corpuslake.lake import Lake
 from corpuslake.operators import repair
 from corpuslake.session import build_session
@@ -27,11 +29,25 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("path", help="a .xlsx file, or a folder for CSV")
     r = sub.add_parser("repair-urls")
     r.add_argument("--dry-run", action="store_true")
+    m = sub.add_parser("merge-metadata", help="recovered metadata, JSON lines of doc_id and found")
+    m.add_argument("path")
+    m.add_argument("--speaker", required=True)
+    t = sub.add_parser("topics")
+    t.add_argument("--clusters", type=int)
     for name in ("statuses", "health", "overview"):
         sub.add_parser(name)
     return p
 
 
+def _lines(rows: DataFrame) -> int:
+    """Prints every row as a line of JSON, one partition at a time; their number."""
+    n = 0
+    for r in rows.toJSON().toLocalIterator():
+        print(r)
+        n += 1
+    return n
+
+
 def main(argv: list[str] | None = None) -> object:
     """Runs one command and prints its outcome as JSON lines."""
     a = parser().parse_args(argv)
@@ -55,13 +71,15 @@ def main(argv: list[str] | None = None) -> object:
             lake.bronze.replace(repair.repaired_urls(lake.bronze.read()))
     elif a.command == "health":
         out = lake.health()
+    elif a.command == "merge-metadata":
+        found = spark.read.schema("doc_id long, found map<string,string>").json(a.path)
+        out = {"merged": lake.merge_metadata(found, a.speaker)}
+    elif a.command == "topics":
+        out = lake.run_topics(k=a.clusters)
     elif a.command == "statuses":
-        lake.statuses().show(100, truncate=False)
-        out = {}
+        out = {"statuses": _lines(lake.statuses())}
     else:
-        for df in lake.overview().values():
-            df.show(100, truncate=False)
-        out = {}
+        out = {name: _lines(df) for name, df in lake.overview().items()}
     print(json.dumps(out))
     return out
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from corpuslake import gold as G
 from corpuslake import schemas, sources
-from corpuslake.operators import bronze, dashboard, extract, pending, topics
+from corpuslake.operators import bronze, dashboard, embeddings, extract, pending, repair, topics
 from corpuslake.operators.store import SnapshotTable
-from corpuslake.session import cut
+from corpuslake.session import cut, few
+from corpuslake.sources.fetching import Policy
+from corpuslake.sources.files import object_contents
 
 OBJECTS = "storage_path string, content binary"
 
@@ -28,9 +30,9 @@ class Lake:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         root = root.rstrip("/")
-        self.bronze = SnapshotTable(spark, f"{root}/bronze_documents", schemas.BRONZE)
-        self.objects = SnapshotTable(spark, f"{root}/objects", OBJECTS)
-        self.silver = SnapshotTable(spark, f"{root}/silver_text", schemas.SILVER)
+        self.bronze = SnapshotTable(spark, f"{root}/bronze_documents", schemas.BRONZE, violation=schemas.bronze_violations)
+        self.objects = SnapshotTable(spark, f"{root}/objects", OBJECTS, key=None)
+        self.silver = SnapshotTable(spark, f"{root}/silver_text", schemas.SILVER, violation=schemas.silver_violations)
         self.gold = SnapshotTable(spark, f"{root}/gold_analytics", schemas.GOLD)
 
     def ingest_bronze(self, source: str, fetch: Callable[[DataFrame], DataFrame] | None = None, **options) -> dict[str, int]:  # noqa: ANN003
@@ -45,20 +47,21 @@ class Lake:
         if "content" not in found.columns:
             raise ValueError(f"{source} gives no content; pass fetch")
         staged = cut(bronze.with_checksum(found))
-        known = self.bronze.read()
-        outcome = bronze.deduplicated(staged, known)
-        counts = bronze.counters(outcome).first().asDict()
+        known, light = self.bronze.read(), staged.drop("content")
+        counts = bronze.counters(bronze.deduplicated(light, known)).first().asDict()
         if counts["ingested"]:
-            rows = cut(bronze.register(staged, known))
-            first = staged.groupBy("checksum").agg(F.first("content").alias("content"))
-            self.objects.append(rows.join(first, "checksum").select("storage_path", "content"))
-            self.bronze.append(rows)
+            fresh = cut(bronze.fresh(light, known))
+            # contents are neither shuffled nor read again but for those that are new
+            new = staged.join(few(fresh.select("checksum", "discovery_order")), ["checksum", "discovery_order"], "left_semi")
+            self.objects.append(new.select(bronze.storage_path().alias("storage_path"), "content"))
+            self.bronze.append(bronze.register(fresh, known))
         return counts
 
-    def ingest_silver(self, limit: int | None = None, doc_ids: list[int] | None = None) -> dict[str, int]:
-        """Extracts what Silver does not have; failures are rows and are tried again by the next run."""
+    def ingest_silver(self, limit: int | None = None, doc_ids: list[int] | None = None, transcriber: extract.Transcriber | None = None, prompt: str = "") -> dict[str, int]:
+        """Extracts what Silver does not have; failures are rows and are tried again by the next run. Media go to ``transcriber``."""
         todo = pending.silver(self.bronze.read(), self.silver.read(), limit, doc_ids)
-        rows = cut(extract.silver(todo.join(self.objects.read(), "storage_path", "left")))
+        given = object_contents(cut(todo), self.objects.read())
+        rows = cut(extract.silver(given, transcriber=transcriber, prompt=prompt))
         counts = dashboard.status_counts(rows).first().asDict()
         if counts["success"] or counts["failed"]:
             self.silver.upsert_rows(_typed(rows, schemas.SILVER, self.silver.read().columns))
@@ -74,10 +77,13 @@ class Lake:
             self.gold.upsert_columns(rows)
         return n
 
-    def run_topics(self, vectors: DataFrame, k: int = 10) -> dict[str, int]:
-        """Fits the topics of both corpora anew over all eligible documents (T5); counts over both."""
+    def run_topics(self, vectors: DataFrame | None = None, k: int | None = None, encoder: embeddings.Encoder | None = None) -> dict[str, int]:
+        """Fits the topics of both corpora anew over all eligible documents (T5); counts over both.
+
+        Without ``vectors`` the documents are embedded by ``encoder``. ``k`` clusters, or as many as part best.
+        """
         docs = cut(pending.eligible(self.silver.read()).select("doc_id", F.col("transcript").alias("text"), "word_count"))
-        rows = cut(topics.fit(docs, vectors, k))
+        rows = cut(topics.fit(docs, cut(embeddings.embedded(docs, encoder)) if vectors is None else vectors, k))
         counts = rows.agg(
             F.count(F.lit(1)).alias("documents"),
             F.count_if(F.col("topics.topic_id") == topics.OUTLIER).alias("outliers"),
@@ -127,7 +133,18 @@ class Lake:
     def entities(self, top: int = 15) -> DataFrame:
         return dashboard.entities_top(self.gold.read(), top)
 
-    def health(self) -> dict[str, str]:
-        """Each layer's table: ok, or that it has no snapshot yet."""
-        tables = {"bronze_documents": self.bronze, "silver_text": self.silver, "gold_analytics": self.gold}
-        return {name: "ok" if t.version() else "missing" for name, t in tables.items()}
+    def health(self, policy: Policy = Policy(retries=3, wait=0.0)) -> dict[str, str]:
+        """Each layer's table and the object store: ok, or that nothing has been written yet (K14); a store that fails is asked again."""
+        tables = {"bronze_documents": self.bronze, "silver_text": self.silver, "gold_analytics": self.gold, "objects": self.objects}
+        return {name: "ok" if policy.tried(t.version) else "missing" for name, t in tables.items()}
+
+    def merge_metadata(self, found: DataFrame, speaker: str) -> int:
+        """Recovered metadata (doc_id, found map) over that of Bronze rows; new values win, the speaker is set (K10). Returns their number."""
+        rows = self.bronze.read().join(found, "doc_id")
+        kind = "map<string,string>"
+        merged = F.to_json(repair.merged_metadata(F.coalesce(F.from_json("raw_metadata", kind), F.expr(f"cast(map() as {kind})")), F.col("found"), speaker), {"ignoreNullFields": "false"})
+        rows = cut(rows.select("doc_id", merged.alias("raw_metadata")))
+        n = rows.count()
+        if n:
+            self.bronze.upsert_columns(rows)
+        return n

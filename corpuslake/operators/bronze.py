@@ -51,11 +51,20 @@ def with_ids(rows: DataFrame, last_id: int, order: str = "discovery_order") -> D
     return out.drop("__row", "__part", "__at", "__before")
 
 
-def register(staged: DataFrame, bronze: DataFrame) -> DataFrame:
-    """New Bronze rows for staged candidates (checksum, file_size, discovery_order) that Bronze does not have yet."""
-    fresh = deduplicated(staged, bronze).where("outcome = 'ingested'")
+def storage_path() -> Column:
+    """Where a content is kept: its checksum and its file's suffix."""
+    return urls.object_key(F.col("checksum"), "file_name")
+
+
+def fresh(staged: DataFrame, bronze: DataFrame) -> DataFrame:
+    """Staged candidates that Bronze does not have yet, one for each checksum."""
+    return deduplicated(staged, bronze).where("outcome = 'ingested'").drop("outcome")
+
+
+def register(new: DataFrame, bronze: DataFrame) -> DataFrame:
+    """New Bronze rows for fresh() candidates (checksum, file_size, discovery_order), with the next ids."""
     last = bronze.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("m")).first()["m"]
-    rows = with_ids(fresh, last)
+    rows = with_ids(new, last)
     return rows.select(
         "doc_id",
         "source_url",
@@ -66,7 +75,7 @@ def register(staged: DataFrame, bronze: DataFrame) -> DataFrame:
         F.lit(False).alias("excluded"),
         F.lit(None).cast("string").alias("exclusion_reason"),
         "checksum",
-        urls.object_key(F.col("checksum"), "file_name").alias("storage_path"),
+        storage_path().alias("storage_path"),
         "raw_metadata",
         F.current_timestamp().alias("ingestion_date"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -53,13 +54,22 @@ def export_csv(rows: DataFrame, path: str) -> tuple[int, int]:
 #: Rows that one sheet can hold, its header apart.
 SHEET_ROWS = 1_048_575
 _WIDTHS = (10, 40, 100, 16)
+#: UTF-16 units that a cell can hold.
+CELL = 32_767
+
+
+def _cells(text: str) -> list[str]:
+    """A text without what a sheet can not hold, cut into cells."""
+    text = "".join(c for c in text if c >= " " or c in "\n\t")
+    size = CELL if not text or max(text) <= "\uffff" else CELL // 2
+    return [text[k : k + size] for k in range(0, len(text), size)]
 
 
 def export_xlsx(rows: DataFrame, path: str) -> tuple[int, int]:
     """Writes export_rows() as a workbook with one sheet "Documents": frozen header, column widths (K8).
 
-    Rows stream to the driver one partition at a time. More rows than a sheet can hold are an
-    error; export_csv() has no bound. Returns (documents, documents with a transcript).
+    Rows stream to the driver one partition at a time. A text that a cell can not hold goes on below, in rows whose
+    other cells are empty. More rows than a sheet can hold are an error; export_csv() has no bound. Returns (documents, documents with a transcript).
     """
     n = rows.count()
     if n > SHEET_ROWS:
@@ -68,12 +78,18 @@ def export_xlsx(rows: DataFrame, path: str) -> tuple[int, int]:
     def cell(v: object) -> str:
         if isinstance(v, int):
             return f"<c><v>{v}</v></c>"
-        text = "".join(c for c in str(v if v is not None else "")[:32767] if c >= " " or c in "\n\t")
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v or "")}</t></is></c>'
+
+    def lines(values: tuple) -> Iterator[str]:
+        """The sheet's rows of one row: texts that a cell can not hold go on in the rows below."""
+        cells = [v if isinstance(v, int) else _cells(str(v if v is not None else "")) for v in values]
+        for k in range(max([1, *(len(c) for c in cells if isinstance(c, list))])):
+            parts = [(c if k == 0 else None) if isinstance(c, int) else (c[k] if k < len(c) else "") for c in cells]
+            yield "<row>" + "".join(cell(p) for p in parts) + "</row>"
 
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with_text = 0
+    with_text = written = 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr(
             "[Content_Types].xml",
@@ -92,6 +108,10 @@ def export_xlsx(rows: DataFrame, path: str) -> tuple[int, int]:
             f.write(("<row>" + "".join(cell(c) for c in rows.columns) + "</row>").encode())
             for r in rows.orderBy("doc_id").toLocalIterator():
                 with_text += r["has_transcript"] == "yes"
-                f.write(("<row>" + "".join(cell(v) for v in r) + "</row>").encode())
+                for line in lines(r):
+                    written += 1
+                    if written > SHEET_ROWS:
+                        raise ValueError("the texts, cut into cells, do not fit a sheet; use export_csv")
+                    f.write(line.encode())
             f.write(b"</sheetData></worksheet>")
     return n, with_text

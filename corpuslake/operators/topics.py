@@ -1,7 +1,8 @@
 """Corpus topics: split by length, clusters of embeddings, class-based TF-IDF keywords.
 
-Density clustering has no counterpart in Spark; clusters come from k-means on the
-vectors, and those of fewer than LEAST_TOPIC members become outliers (-1). The contract
+Density clustering has no counterpart in Spark; clusters come from k-means on the vectors'
+principal components, for the number of clusters with the best silhouette. Those of fewer than
+LEAST_TOPIC members, and vectors far off their cluster, become outliers (-1). The contract
 (ids, keywords, probabilities) holds, the assignments are not those of another library.
 """
 
@@ -11,9 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
+from corpuslake.session import cut
 
 LONG_FORM_WORDS, LEAST_DOCS, LEAST_TOPIC, KEYWORDS = 500, 20, 10, 10
 OUTLIER = -1
+#: Principal components, numbers of clusters that are tried, and standard deviations beyond the mean distance at which a vector is off.
+COMPONENTS, TRIED, FAR = 5, (2, 3, 4, 6, 8, 10, 12), 3.0
+#: Vectors that components and the number of clusters are found on, at most: a hash of the id picks them. All are clustered.
+FIT_ROWS = 100_000
 
 
 def with_corpus(docs: DataFrame, words: str = "word_count") -> DataFrame:
@@ -32,12 +38,12 @@ def ctfidf(docs: DataFrame, topic: str, top: int = KEYWORDS, least_topics: int =
 
     Terms are tokens of two letters or more that are no stop words, with ``bigrams`` also
     pairs of neighbours; those in fewer than ``least_topics`` topics are left out.
-    Counts are partial sums by (topic, term); the totals by term and by topic are summed from those.
+    Counts are partial sums by (topic, term), computed once; the totals by term and by topic are summed from those.
     """
     words = F.filter(T.tokens("text"), lambda w: (F.length(w) >= 2) & ~T.in_words(w, T.STOPWORDS))
     rows = docs.where(F.col(topic).isNotNull()).select(F.col(topic).alias("topic"), words.alias("ws"))
     terms = F.expr("concat(ws, transform(slice(ws, 2, greatest(size(ws) - 1, 0)), (w, k) -> concat(ws[k], ' ', w)))") if bigrams else F.col("ws")
-    counts = rows.select("topic", F.explode(terms).alias("term")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(rows.select("topic", F.explode(terms).alias("term")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")))
     by_term = counts.groupBy("term").agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("topics")).where(F.col("topics") >= least_topics)
     kept = counts.join(by_term, "term")
     by_topic = kept.groupBy("topic").agg(F.sum("n").alias("size"))
@@ -47,30 +53,46 @@ def ctfidf(docs: DataFrame, topic: str, top: int = KEYWORDS, least_topics: int =
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("topic", "rank", "term", "score")
 
 
-def clusters(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 10, least: int = LEAST_TOPIC, seed: int = 42) -> DataFrame:
-    """id, topic_id, probability: k-means clusters, numbered by size; small ones are outliers (-1, probability 0).
+def clusters(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int | None = None, least: int = LEAST_TOPIC, seed: int = 42) -> DataFrame:
+    """id, topic_id, probability: clusters numbered by size; small ones and vectors far off are outliers (-1, probability 0).
 
-    probability falls from 1 with the distance to the cluster's centre relative to the distances to all.
+    ``k`` clusters, or as many of TRIED as have the best silhouette. probability falls from 1 with the
+    distance to the cluster's centre relative to the distances to all.
     """
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    if rows.limit(least).count() < least:
+    rows = cut(vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("given")))
+    n = rows.count()
+    if n < least:
         return rows.select("id", F.lit(OUTLIER).alias("topic_id"), F.lit(0.0).alias("probability"))
+    picked = lambda df: df if n <= FIT_ROWS else df.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * FIT_ROWS // n)
+    dimensions = rows.first()["given"].size
+    pca = PCA(k=min(COMPONENTS, dimensions), inputCol="given", outputCol="features").fit(picked(rows))
+    rows = cut(pca.transform(rows).select("id", "features"))
+    some = cut(picked(rows))
+    if k is None:
+        score, scores = ClusteringEvaluator(featuresCol="features", predictionCol="c"), {}
+        for tried in (t for t in TRIED if t == TRIED[0] or t * least <= n):
+            found = KMeans(k=tried, seed=seed, featuresCol="features", predictionCol="c").fit(some).transform(some)
+            scores[tried] = score.evaluate(found) if found.select("c").distinct().count() > 1 else -1.0
+        k = max(scores, key=lambda t: (round(scores[t], 6), -t))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="c").fit(rows)
     centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     out = model.transform(rows).withColumn("x", vector_to_array("features"))
     d = F.transform(centers, lambda c: F.sqrt(F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)))
-    out = out.withColumn("d", d).withColumn("w", F.transform("d", lambda v: 1 / (v + 1e-9)))
-    out = out.withColumn("probability", F.round(F.get("w", F.col("c")) / F.aggregate("w", F.lit(0.0), lambda s, v: s + v), 4))
-    sizes = out.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    numbered = sizes.withColumn("topic_id", F.when(F.col("n") >= least, F.row_number().over(Window.orderBy(F.desc("n"), "c")) - 1).otherwise(OUTLIER)).select("c", "topic_id")
+    out = out.withColumn("d", d).withColumn("own", F.get("d", F.col("c")))
+    out = cut(out.withColumn("probability", F.round(1 / (F.col("own") + 1e-9) / F.aggregate("d", F.lit(0.0), lambda s, v: s + 1 / (v + 1e-9)), 4)).select("id", "c", "own", "probability"))
+    sizes = out.groupBy("c").agg(F.count(F.lit(1)).alias("n"), (F.avg("own") + FAR * F.coalesce(F.stddev("own"), F.lit(0.0)) + 1e-9).alias("far"))
+    numbered = sizes.withColumn("topic_id", F.when(F.col("n") >= least, F.row_number().over(Window.orderBy(F.desc("n"), "c")) - 1).otherwise(OUTLIER)).select("c", "far", "topic_id")
     out = out.join(F.broadcast(numbered), "c")  # k rows
-    return out.select("id", "topic_id", F.when(F.col("topic_id") == OUTLIER, 0.0).otherwise(F.col("probability")).alias("probability"))
+    topic = F.when(F.col("own") > F.col("far"), OUTLIER).otherwise(F.col("topic_id"))
+    return out.select("id", topic.alias("topic_id"), F.when(topic == OUTLIER, 0.0).otherwise(F.col("probability")).alias("probability"))
 
 
-def fit(docs: DataFrame, vectors: DataFrame, k: int = 10, least_docs: int = LEAST_DOCS) -> DataFrame:
+def fit(docs: DataFrame, vectors: DataFrame, k: int | None = None, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id, topics (corpus, topic_id, topic_keywords, probability), keywords for each corpus that is large enough.
 
     ``docs`` has doc_id, text, word_count; ``vectors`` has doc_id and embedding. A corpus of fewer

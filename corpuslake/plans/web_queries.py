@@ -120,8 +120,7 @@ def _stream(spark, d):  # noqa: ANN001, ANN202
 
     folder = scratch(spark, "stream")
     source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    dedup_stream(source.select("user_id"), f"{folder}/out", f"{folder}/checkpoint", key="user_id")
-    return spark.read.schema("user_id long").parquet(f"{folder}/out")
+    return dedup_stream(source.select("user_id"), f"{folder}/out", f"{folder}/checkpoint", key="user_id").read()
 
 
 _WWW = "regexp_replace({0}, '^www\\.', '')"

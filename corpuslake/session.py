@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "corpuslake", master: str | None = None, **conf: str) -> SparkSession:
@@ -70,3 +71,8 @@ def stored(df: DataFrame) -> DataFrame:
     at = scratch(df.sparkSession, "table")
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def few(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``rows`` (narrow ones, computed already) with the hint to broadcast them if they are at most ``most``."""
+    return F.broadcast(rows) if rows.count() <= most else rows

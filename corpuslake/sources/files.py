@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import urls
 from corpuslake.schemas import CANDIDATE
+from corpuslake.session import few
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -57,8 +58,12 @@ def exclusions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def object_contents(bronze: DataFrame, objects: DataFrame) -> DataFrame:
-    """Bronze rows with the content of their object by storage_path; null where it is missing."""
-    return bronze.join(objects.select("storage_path", "content"), "storage_path", "left")
+    """Bronze rows (computed already) with the content of their object by storage_path; null where it is missing.
+
+    Objects that no row asks for are left out before anything is shuffled.
+    """
+    asked = few(bronze.select("storage_path").distinct())
+    return bronze.join(objects.select("storage_path", "content").join(asked, "storage_path", "left_semi"), "storage_path", "left")
 
 
 def transform_lines(spark: SparkSession, path: str, out: str) -> None:

@@ -12,16 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.operators import bronze
+from corpuslake.operators.store import SnapshotTable
+from corpuslake.session import cut
 
 
-def dedup_stream(rows: DataFrame, out: str, checkpoint: str, key: str = "checksum", event_time: str | None = None, delay: str = "1 day") -> None:
-    """Appends each key's first row to the Parquet table ``out``.
+def dedup_stream(rows: DataFrame, out: str, checkpoint: str, key: str = "checksum", event_time: str | None = None, delay: str = "1 day") -> SnapshotTable:
+    """Appends each key's first row to the table at ``out``, and returns it. Runs what is available, then returns.
 
-    State holds the keys seen; with ``event_time`` only those within ``delay`` of the
-    watermark, so it stays bounded. Runs what is available, then returns.
+    What has been seen is the table itself: a batch leaves out the keys that it holds, so no state grows in
+    the executors, and a batch that runs again adds nothing. With ``event_time`` the stream forgets keys ``delay``
+    behind the watermark before that.
     """
-    stream = rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key]) if event_time else rows.dropDuplicates([key])
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    table = SnapshotTable(rows.sparkSession, out, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes), key=None)
+    stream = rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key]) if event_time else rows
+
+    def add(batch: DataFrame) -> None:
+        fresh = cut(batch.dropDuplicates([key]).join(table.read().select(key), key, "left_anti").select(*rows.columns))
+        if fresh.limit(1).count():
+            table.append(fresh)
+
+    process_pending(stream, checkpoint, add)
+    return table
 
 
 def process_pending(rows: DataFrame, checkpoint: str, apply: Callable[[DataFrame], None]) -> None:

@@ -1,15 +1,19 @@
 """Bronze, Silver and Gold transitions, sources, extraction, crawl, store, repair, streams."""
 
+import hashlib
 import json
+import time
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslake import schemas, sources
 from corpuslake.functions import urls
 from corpuslake.functions.dom import parse
-from corpuslake.operators import bronze, crawl, dashboard, extract, pending, repair, store
-from corpuslake.sources import files, listings, web
+from corpuslake.operators import bronze, crawl, dashboard, embeddings, extract, pending, repair, store, topics
+from corpuslake.sources import fetching, files, listings, web
 
 
 def test_dedup_counts_and_second_run_ingests_nothing(spark):
@@ -31,7 +35,7 @@ def test_ingest_extract_gold_end_to_end(spark, tmp_path):
     cands = bronze.with_checksum(sources.read(spark, "local", folder=str(src)))
     assert cands.count() == 3
     table = store.SnapshotTable(spark, str(tmp_path / "bronze"), schemas.BRONZE)
-    table.append(bronze.register(cands, table.read()))
+    table.append(bronze.register(bronze.fresh(cands, table.read()), table.read()))
     rows = table.read()
     assert sorted(r.doc_id for r in rows.collect()) == [1, 2]
     assert rows.where(schemas.bronze_violations().isNotNull()).count() == 0
@@ -69,6 +73,92 @@ def test_snapshot_table(spark, tmp_path):
     assert {r.doc_id: r.v for r in t.read().collect()} == {0: "v2", 1: "v3"} and t.version() == 4
 
 
+def files_of(table):
+    return {p.path: sorted((f.name, f.stat().st_mtime_ns) for f in (Path(table.path) / p.path).iterdir()) for p in table.parts()}
+
+
+def test_writes_touch_only_what_is_new(spark, tmp_path):
+    t = store.SnapshotTable(spark, str(tmp_path / "t"), "doc_id long, v string, w int", width=10)
+    rows = lambda ids, v: spark.createDataFrame([(i, v, i) for i in ids], "doc_id long, v string, w int")
+    t.append(rows(range(25), "a"))
+    before = files_of(t)
+    assert len(before) == 3
+    t.append(rows(range(30, 32), "b"))
+    assert before.items() <= files_of(t).items() and t.read().count() == 27
+    t.upsert_rows(rows([31, 33], "c"))
+    assert before.items() <= files_of(t).items() and t.read().where("v = 'c'").count() == 2
+    t.upsert_columns(spark.createDataFrame([(12, "d"), (None, "n")], "doc_id long, v string"))
+    after = files_of(t)
+    assert sum(p in after for p in before) == 2 and t.read().where("doc_id = 12").first() == (12, "d", 12) and t.read().count() == 29
+    assert len(list((tmp_path / "t").glob("MANIFEST-*"))) == 2
+    kept = {p.path for v in (3, 4) for p in t.parts(v)}
+    assert {str(x.relative_to(tmp_path / "t")) for x in (tmp_path / "t").glob("w-*/__range=*")} == kept
+    ruled = store.SnapshotTable(spark, str(tmp_path / "b"), schemas.BRONZE, violation=schemas.bronze_violations)
+    with pytest.raises(ValueError, match="source_type"):
+        ruled.append(spark.createDataFrame([(1,)], "doc_id long").select("doc_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in ruled.read().schema if f.name != "doc_id"]))
+    assert ruled.version() == 0
+
+
+def test_fetching_waits_tries_again_and_records_failures(spark):
+    rows = spark.createDataFrame([(1, "http://a.t/ok"), (2, "http://a.t/flaky"), (3, "http://b.t/dead"), (4, None)], "id int, source_url string")
+
+    def get(url, policy):
+        import pathlib
+        import tempfile
+
+        if "dead" in url:
+            raise OSError("gone")
+        if "flaky" in url:
+            seen = pathlib.Path(tempfile.gettempdir()) / f"corpuslake-flaky-{policy.timeout}"
+            if not seen.exists():
+                seen.write_text("x")
+                raise OSError("not yet")
+            seen.unlink()
+        yield from (b"ab", b"cd")
+
+    policy = fetching.Policy(retries=1, wait=0.0, delay=0.3, timeout=12345.5)
+    began = time.monotonic()
+    got = {r.id: (r.content and bytes(r.content), r.fetch_error) for r in fetching.fetched(rows, get, policy).collect()}
+    assert got[1] == got[2] == (b"abcd", None) and got[3] == (None, "OSError: gone") and got[4][0] is None
+    assert time.monotonic() - began >= 0.3
+
+
+def test_staging_hashes_in_pieces(spark, tmp_path):
+    data = bytes(range(256)) * 100
+    (tmp_path / "big").write_bytes(data)
+    (tmp_path / "none").write_bytes(b"")
+    rows = spark.createDataFrame([(str(tmp_path / n),) for n in ("big", "none", "missing")], "local_path string")
+    got = {}
+    for r in fetching.staged(rows, policy=fetching.Policy(0, 0.0, 0.0), chunk=1000).collect():
+        got.setdefault(Path(r.location).name, []).append(r)
+    pieces = sorted(got["big"], key=lambda r: r.chunk_no)
+    assert b"".join(bytes(r.content) for r in pieces[:-1]) == data and max(len(r.content) for r in pieces[:-1]) == 1000
+    assert (pieces[-1].checksum, pieces[-1].file_size) == (hashlib.sha256(data).hexdigest(), len(data))
+    assert [(r.checksum, r.file_size) for r in got["none"]] == [(hashlib.sha256(b"").hexdigest(), 0)]
+    assert [(r.checksum, r.file_size) for r in got["missing"]] == [(None, None)]
+
+
+def test_embedding_texts(spark):
+    texts = ["peace and hope " * 300, "", None, "war", "peace and hope"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.array(r.embedding) for r in embeddings.embedded(df).collect()}
+    assert all(len(v) == embeddings.DIMENSIONS for v in got.values()) and not got[1].any() and not got[2].any()
+    assert abs(got[0] @ got[4] / np.linalg.norm(got[0]) - 1) < 0.02 and np.linalg.norm(got[3]) > 0.99
+    ones = embeddings.embedded(df, lambda ts: np.array([[len(t.split())] for t in ts]), dimensions=1)
+    lengths = {r.doc_id: r.embedding[0] for r in ones.collect()}
+    assert lengths[4] == 3 and lengths[0] == (2 * 382**2 + 136**2) / 900
+
+
+def test_clusters_find_their_number_and_leave_out_what_is_far(spark):
+    rng = np.random.default_rng(1)
+    centres = np.eye(6)[:3] * 10
+    x = np.concatenate([c + rng.normal(0, 0.3, (40, 6)) for c in centres] + [centres[:1] + 4.0])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.id: (r.topic_id, r.probability) for r in topics.clusters(df).collect()}
+    groups = [{got[k][0] for k in range(40 * g, 40 * g + 40)} - {-1} for g in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3 and got[120] == (-1, 0.0)
+
+
 def test_gold_status(spark):
     cols = list(schemas.GOLD_MODULES.values())
     rows = [tuple(1 if k < n else None for k in range(8)) for n in (0, 3, 8)]
@@ -256,6 +346,7 @@ def test_repair_and_export(spark, tmp_path):
     assert [r.source_url for r in repair.repaired_urls(b).orderBy("doc_id").collect()] == ["https://www.youtube.com/watch?v=ydE7Gkl6MmI", "https://x.y"]
     assert repair.url_repairs(b).count() == 1
     s = spark.createDataFrame([(1, "T", "text"), (2, None, " ")], "doc_id long, title string, transcript string")
+    assert repair._cells("a\x00b" + "x" * 40_000)[1] == "x" * (40_002 - 32_767) and repair._cells("") == []
     assert repair.export_csv(repair.export_rows(b, s), str(tmp_path / "e")) == (2, 1)
     m = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": None, "c": "3"})], "o map<string,string>, n map<string,string>")
     assert m.select(repair.merged_metadata(F.col("o"), F.col("n"), "S").alias("m")).first().m == {"a": "1", "b": None, "c": "3", "speaker": "S"}
@@ -280,8 +371,8 @@ def test_streams(spark, tmp_path):
     out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
     streaming.dedup_stream(streaming.staged_stream(spark, str(src)).select("checksum"), out, cp)
     (src / "9.txt").write_text("a")
-    streaming.dedup_stream(streaming.staged_stream(spark, str(src)).select("checksum"), out, cp)
-    assert spark.read.parquet(out).count() == 2
+    table = streaming.dedup_stream(streaming.staged_stream(spark, str(src)).select("checksum"), out, cp)
+    assert table.read().count() == 2 and table.version() == 1
     seen = []
     streaming.process_pending(streaming.staged_stream(spark, str(src)).select("path"), str(tmp_path / "cp2"), lambda b: seen.append(b.count()))
     assert sum(seen) == 4
