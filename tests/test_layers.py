@@ -39,7 +39,7 @@ def test_ingest_extract_gold_end_to_end(spark, tmp_path):
     rows = table.read()
     assert sorted(r.doc_id for r in rows.collect()) == [1, 2]
     assert rows.where(schemas.bronze_violations().isNotNull()).count() == 0
-    assert bronze.register(cands, rows).count() == 0
+    assert bronze.fresh(cands, rows).count() == 0
     content = cands.select("checksum", "content").dropDuplicates(["checksum"])
     silver = {r.status_processing: r for r in extract.silver(rows.join(content, "checksum")).collect()}
     assert silver["success"].transcript == "Hello world\n\nAgain." and silver["success"].word_count == 3
