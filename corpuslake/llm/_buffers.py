@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text looked at together; bounds the temporaries of one step.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)

@@ -33,7 +33,7 @@ UNKNOWN = "und"
 #: More distinct labels than this are taken for a mistake: counts of MOST_LANGUAGES x (BUCKETS + 1) are all that reaches the driver.
 MOST_LANGUAGES = 1_000
 #: Bytes of text that are worked on together, and code points of a longer text.
-_CHUNK, _SLICE = 1 << 19, 1 << 19
+_CHUNK, _SLICE = 1 << 17, 1 << 17
 
 
 @dataclass(frozen=True)
