@@ -79,6 +79,8 @@ class TreeBuilder(HTMLParser):
         self.open = [self.root]
         #: How many elements of each tag are open, so that a deep page is not searched for what is not there.
         self.count: Counter[str] = Counter()
+        #: Tables and preformatted texts in the order in which they open.
+        self.laid: list[Node] = []
 
     def _drop(self, low: int) -> None:
         self.count.subtract(n.tag for n in self.open[low:])
@@ -146,6 +148,8 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(node)
         self.open.append(node)
         self.count[node.tag] += 1
+        if node.tag in ("table", "pre"):
+            self.laid.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -190,19 +194,24 @@ class TreeBuilder(HTMLParser):
         return end + 1 if end >= 0 else len(self.rawdata)
 
 
-def parse(html: str) -> Node:
-    """The tree of a page."""
+def parse(html: str) -> TreeBuilder:
+    """The tree of a page, with what has to be laid out within it."""
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    return builder
 
 
 def visible(node: Node) -> bool:
     """Whether an element is rendered, by its tag and attributes."""
-    if node.tag in UNSEEN or "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs):
+    if node.tag in UNSEEN:
+        return False
+    attrs = node.attrs
+    if not attrs:
+        return node.tag != "dialog"
+    if "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs):
         return False
-    return not _HIDDEN.search(node.attrs.get("style", ""))
+    return "style" not in attrs or not _HIDDEN.search(attrs["style"])
 
 
 class _Lines:
@@ -244,18 +253,11 @@ class _Lines:
         return "\n".join(self.lines).strip("\n")
 
 
-def render(tree: Node) -> str:
-    """The visible text of a tree, however deep: tables and preformatted texts are laid out first, the innermost before those around them."""
-    found: list[Node] = []
-    stack = [tree]
-    while stack:
-        node = stack.pop()
-        if node.tag in ("table", "pre"):
-            found.append(node)
-        stack.extend(x for x in reversed(node.children) if not isinstance(x, str) and visible(x))
-    for node in reversed(found):
+def render(page: TreeBuilder) -> str:
+    """The visible text of a page, however deep: tables and preformatted texts are laid out first, the innermost before those around them."""
+    for node in reversed(page.laid):
         node.lines = table_lines(node) if node.tag == "table" else _plain(node).strip("\n").split("\n")
-    return _text(tree)
+    return _text(page.root)
 
 
 def _text(node: Node) -> str:
@@ -327,7 +329,6 @@ def _entered(child: Node, frame: _Frame, out: _Lines) -> _Frame | None:
         out.end(blank=True)
         for line in child.lines:
             out.raw(line)
-        child.lines = None
         out.blank = True
     elif tag == "li":
         out.end()
