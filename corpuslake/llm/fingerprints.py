@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslake.llm._rows import free_name, without
+
 _PIECES = r"(?:\S*[^\s.!?]\s+){0,11}\S+\s*|\s+"
 _LOWEST = -(2**63)
 
@@ -23,23 +25,27 @@ def with_tree(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
 
     root is a hex string; the others are arrays of hex strings in text order. A
     null text counts as empty: it has one paragraph without pieces. Row by row,
-    no shuffle.
+    no shuffle: repeated rows get equal trees, an empty table none, and a text of any length is hashed
+    whole. Columns of ``df`` with those four names give way; all others stay.
     """
     p = prefix
+    gone = [f"{p}{level}" for level in ("root", "sections", "paragraphs", "pieces")]
+    columns = without(df.columns, *[g for g in gone if g != text_col])
+    lines, end = free_name(df.columns, f"{p}lines"), free_name(df.columns, f"{p}ends")
     pieces = f"""transform(split(coalesce(`{text_col}`, ''), '(?<=\\n)', -1), line -> transform(regexp_extract_all(line, r'{_PIECES}', 0), x -> sha2(x, 256)))"""
-    out = df.withColumn(f"{p}__lines", F.expr(pieces))
+    out = df.select(*[F.col(f"`{c}`") for c in columns], F.expr(pieces).alias(lines))
     out = out.withColumns(
         {
-            f"{p}paragraphs": F.expr(f"transform(`{p}__lines`, x -> sha2(concat('p', array_join(x, '')), 256))"),
-            f"{p}pieces": F.expr(f"flatten(`{p}__lines`)"),
+            f"{p}paragraphs": F.expr(f"transform(`{lines}`, x -> sha2(concat('p', array_join(x, '')), 256))"),
+            f"{p}pieces": F.expr(f"flatten(`{lines}`)"),
         }
     )
     # a line that is a line feed alone is a blank line
-    ends = f"""filter(sequence(1, size(`{p}paragraphs`)), i -> i = size(`{p}paragraphs`) or element_at(`{p}paragraphs`, i) < '2' or element_at(`{p}__lines`, i) = array(sha2('\\n', 256)))"""
-    out = out.withColumn(f"{p}__ends", F.expr(ends)).drop(f"{p}__lines")
-    starts = f"if(k = 0, 0, element_at(`{p}__ends`, k))"
-    sections = f"transform(`{p}__ends`, (e, k) -> sha2(concat('s', array_join(slice(`{p}paragraphs`, {starts} + 1, e - {starts}), '')), 256))"
-    out = out.withColumn(f"{p}sections", F.expr(sections)).drop(f"{p}__ends")
+    ends = f"""filter(sequence(1, size(`{p}paragraphs`)), i -> i = size(`{p}paragraphs`) or element_at(`{p}paragraphs`, i) < '2' or element_at(`{lines}`, i) = array(sha2('\\n', 256)))"""
+    out = out.withColumn(end, F.expr(ends)).drop(lines)
+    starts = f"if(k = 0, 0, element_at(`{end}`, k))"
+    sections = f"transform(`{end}`, (e, k) -> sha2(concat('s', array_join(slice(`{p}paragraphs`, {starts} + 1, e - {starts}), '')), 256))"
+    out = out.withColumn(f"{p}sections", F.expr(sections)).drop(end)
     return out.withColumn(f"{p}root", F.expr(f"sha2(concat('r', array_join(`{p}sections`, '')), 256)"))
 
 
