@@ -437,3 +437,54 @@ def test_tree_sum_over_many_parts(spark):
     packed = parts.mapInPandas(lambda bs: (b.assign(packed=[np.array([1.0, k]).tobytes() for k in b["part"]]) for b in bs), "part long, packed binary")
     assert quality._tree_sum(packed, 300, width=4).tolist() == [300.0, 300 * 299 / 2]
     assert quality._tree_sum(packed.limit(0), 1) is None
+
+
+CLASHING = "score double, predicted string, lang_pred int, offset string, sequence_id string, `Offset2` int, __row int, __row_ string, __live string, __lang string, c0 int, len int, rank int, decoded int, t_root int, t_lines string, `LEN_` int"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Two columns that matter and many whose names operators use themselves; null and repeated ids, null and empty texts."""
+    texts = [(1, "the cat and the dog of the house"), (1, "the cat and the dog of the house"), (2, None), (None, "words without an id, token = q8Zr2LkV9wXcT4bN"), (3, ""), (4, "der Hund und die Katze " * 9)]
+    rest = (0.5, "p", 7, "o", "q", 1, 2, "r", "l", "g", 3, 4, 5, 6, 7, "t", 8)
+    rows = [(i, t, "en" if k % 2 else "de", "a/b", len(t or ""), *rest) for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}")
+
+
+def test_operators_take_any_column_names(spark, clashing):
+    rest = ("p", 7, "o", "q")
+    model = langid.fit(clashing)
+    got = langid.predict(spark, clashing, model, keep=tuple(clashing.columns))
+    assert [c for c in got.columns if c not in ("lang_pred", "score")] == [c for c in clashing.columns if c not in ("lang_pred", "score")]
+    assert {type(r.lang_pred) for r in got.collect()} == {str}
+    flat = quality.fit(quality.describe(clashing), spark.createDataFrame([], "doc_id long, quality int"))
+    scored = quality.score_texts(spark, clashing, flat)
+    assert {(r.score, r.predicted) for r in scored.collect()} == {(0.5, 0)} and len(scored.columns) == len(clashing.columns)
+    pieces = packing.token_pieces(clashing, WORD).drop("ids").withColumns({"offset": F.lit("o"), "sequence_id": F.lit("s"), "c0": F.lit(1), "row": F.lit(2), "part": F.lit(3), "len": F.lit(4)})
+    packed = packing.pack(pieces)
+    assert packed.count() == 6 and dict(packed.dtypes)["offset"] == "bigint" and {(r.c0, r.row, r.part, r.len) for r in packed.collect()} == {(1, 2, 3, 4)}
+    tree = fingerprints.with_tree(clashing, "text", "t_")
+    assert len({r.t_root for r in tree.collect()}) == 4 and {r.t_lines for r in tree.collect()} == {"t"}
+    masked = secrets.redact(clashing)
+    assert masked.columns == clashing.columns and masked.count() == 6 and {tuple(r)[6:10] for r in masked.collect()} == {rest}
+    assert neardup.without_near_duplicates(clashing).columns == clashing.columns
+    pages = spark.createDataFrame([(1, "<p>a", "x", 5)], "page_id long, html string, text string, url int")
+    assert [tuple(r) for r in html_layout.extract(pages, keep=("url", "text", "page_id")).collect()] == [(1, 5, "a")]
+    coded = byte_bpe.decode(byte_bpe.encode(clashing, RANKS, public_tokenizers.PATTERN).withColumn("decoded", F.lit(1)), RANKS)
+    assert coded.columns == ["doc_id", "ids", "decoded"] and dict(coded.dtypes)["decoded"] == "binary"
+
+
+def test_stages_take_any_column_names_nulls_repeats_and_empty_tables(spark, clashing, sf, monkeypatch):
+    import corpus_pipeline as P
+
+    n = {}
+    for name, stage in P.STAGES[:-1]:
+        got, none = stage(spark, clashing, sf), stage(spark, clashing.limit(0), sf)
+        assert got.columns == clashing.columns == none.columns and got.dtypes == clashing.dtypes
+        assert none.count() == 0
+        n[name] = sorted((r.doc_id or 0, (r.text or "")[:9]) for r in got.collect())
+    assert len(n["language ID"]) == 4 and (2, "") not in n["language ID"]
+    assert n["near-duplicates"] == [(0, "words wit"), (1, "the cat a"), (2, ""), (3, ""), (4, "der Hund ")]
+    assert len(n["secret scan"]) == 6
+    packed = P.packing_stage(spark, clashing, sf)
+    assert packed.count() == 6 and P.packing_stage(spark, clashing.limit(0), sf).count() == 0
