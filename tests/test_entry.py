@@ -21,7 +21,7 @@ import sys
 class Gone:
     def find_spec(self, name, *a):
         if name == "corpus_pipeline" or name.startswith("corpuslake.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert "top_content_words" in e.queries() and not any(q.startswith("op") and q[2].isdigit() for q in e.queries()) and "pipeline" not in e.queries()
