@@ -57,6 +57,14 @@ def likeness(one: str, other: str):  # noqa: ANN201
     return F.expr(f"if(size(`{one}`) = 0 and size(`{other}`) = 0, 1.0D, size(array_intersect(`{one}`, `{other}`)) / cast(size(array_union(`{one}`, `{other}`)) as double))")
 
 
+def branches_edited(one: str, other: str):  # noqa: ANN201
+    """How many distinct branches (sections, or paragraphs) of one tree the other lacks; 0 where the roots are equal.
+
+    The arguments name the columns of one level. The work goes with the branches, not with their pairs.
+    """
+    return F.size(F.array_except(one, other)).cast("long")
+
+
 def differing_branches(df: DataFrame, one: str, other: str) -> DataFrame:
     """``df`` with sections_edited and paragraphs_edited: numbers (from 0) of ``one``'s branches that ``other`` lacks.
 

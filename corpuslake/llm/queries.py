@@ -31,6 +31,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("b_root").alias("edited_fingerprint"),
         fingerprints.likeness("a_pieces", "b_pieces").alias("near_edited"),
         fingerprints.likeness("a_pieces", "c_pieces").alias("near_next"),
+        fingerprints.branches_edited("a_sections", "b_sections").alias("sections_edited"),
+        fingerprints.branches_edited("a_paragraphs", "b_paragraphs").alias("paragraphs_edited"),
     )
 
 
@@ -115,14 +117,27 @@ QUERIES = {
 }
 
 
+#: Fixed values, stated here again for the SQL: the pieces of a paragraph, and each kind of secret with the group and least length of its value.
+_PIECES = r"(?:\S*[^\s.!?]\s+){0,11}\S+\s*|\s+"
+_KINDS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+)
+
+
 def _tree_sql(src: str, text: str, p: str) -> str:
     """CTEs {p}1 to {p}4: hashes of pieces, paragraphs, sections and root of ``text`` in ``src``, by doc_id."""
     return rf"""
     {p}0 AS (SELECT doc_id, string_split({text}, chr(10)) AS ls FROM {src}),
-    {p}1 AS (SELECT doc_id, [[sha256(x) FOR x IN regexp_extract_all(CASE WHEN i < len(ls) THEN ls[i] || chr(10) ELSE ls[i] END, '{fingerprints._PIECES}')] FOR i IN range(1, len(ls) + 1)] AS h FROM {p}0),
+    {p}1 AS (SELECT doc_id, [[sha256(x) FOR x IN regexp_extract_all(CASE WHEN i < len(ls) THEN ls[i] || chr(10) ELSE ls[i] END, '{_PIECES}')] FOR i IN range(1, len(ls) + 1)] AS h FROM {p}0),
     {p}2 AS (SELECT doc_id, h, flatten(h) AS pieces, [sha256('p' || array_to_string(x, '')) FOR x IN h] AS pars FROM {p}1),
     {p}3 AS (SELECT doc_id, pieces, pars, [i FOR i IN range(1, len(pars) + 1) IF i = len(pars) OR pars[i] < '2' OR h[i] = [sha256(chr(10))]] AS ends FROM {p}2),
-    {p}4 AS (SELECT doc_id, pieces, sha256('r' || array_to_string([sha256('s' || array_to_string(pars[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END:ends[k]], '')) FOR k IN range(1, len(ends) + 1)], '')) AS root FROM {p}3)"""
+    {p}4 AS (SELECT doc_id, pieces, pars, [sha256('s' || array_to_string(pars[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END:ends[k]], '')) FOR k IN range(1, len(ends) + 1)] AS secs, sha256('r' || array_to_string([sha256('s' || array_to_string(pars[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END:ends[k]], '')) FOR k IN range(1, len(ends) + 1)], '')) AS root FROM {p}3)"""
+
+
+def _lacking_sql(a: str, b: str) -> str:
+    return f"CAST(len(list_distinct({a})) - len(list_distinct(list_intersect({a}, {b}))) AS BIGINT)"
 
 
 def _like_sql(a: str, b: str) -> str:
@@ -144,7 +159,8 @@ ORACLE_SQL = {
         e AS (SELECT doc_id, text, nxt, substring(text, 1, length(text) - length(text) // 2) || substring(nxt, 1, length(text) // 2) AS edited FROM n),
         {_tree_sql('e', 'text', 'a')}, {_tree_sql('e', 'edited', 'b')}, {_tree_sql('e', 'nxt', 'c')}
         SELECT e.doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, a4.root AS fingerprint, b4.root AS edited_fingerprint,
-            {_like_sql('a4.pieces', 'b4.pieces')} AS near_edited, {_like_sql('a4.pieces', 'c4.pieces')} AS near_next
+            {_like_sql('a4.pieces', 'b4.pieces')} AS near_edited, {_like_sql('a4.pieces', 'c4.pieces')} AS near_next,
+            {_lacking_sql('a4.secs', 'b4.secs')} AS sections_edited, {_lacking_sql('a4.pars', 'b4.pars')} AS paragraphs_edited
         FROM e JOIN a4 USING (doc_id) JOIN b4 USING (doc_id) JOIN c4 USING (doc_id)""",
     "op2_near_duplicates": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -157,12 +173,12 @@ ORACLE_SQL = {
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
     "op3_secret_scan": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents),
-        m AS ({' UNION ALL '.join(_spans_sql(kind, k, rx, group, least) for k, (kind, rx, group, least) in enumerate(secrets.PATTERNS))}),
+        m AS ({' UNION ALL '.join(_spans_sql(kind, k, rx, group, least) for k, (kind, rx, group, least) in enumerate(_KINDS))}),
         f AS (SELECT doc_id, source, kind, k, v[i] AS v, CAST(list_sum([length(gaps[j]) FOR j IN range(1, i + 1)]) + coalesce(list_sum([length(m[j]) FOR j IN range(1, i)]), 0) AS BIGINT) AS s, length(m[i]) AS n
             FROM m WHERE length(v[i]) >= least),
         b AS (SELECT doc_id, source, kind, k, v, s, s + n AS e FROM f),
         o AS (SELECT v, count(DISTINCT split_part(source, '/', 1)) AS owners, len([c FOR c IN range(1, length(v)) IF length(v) - c >= 7 AND v[c:c + 7] = repeat(v[c:c], 8)]) > 0 AS repeated FROM b GROUP BY v),
-        g AS (SELECT v, CASE WHEN owners >= {secrets.COPIED_OWNERS} THEN 'copied' WHEN owners = 1 AND {_LOOKS} THEN 'live' END AS kind FROM o),
+        g AS (SELECT v, CASE WHEN owners >= 3 THEN 'copied' WHEN owners = 1 AND {_LOOKS} THEN 'live' END AS kind FROM o),
         a AS (SELECT DISTINCT doc_id, g.kind, CASE g.kind WHEN 'live' THEN 3 ELSE 4 END AS k, b.e - length(b.v) AS s, b.e, b.v FROM b JOIN g USING (v) WHERE g.kind IS NOT NULL),
         x AS (SELECT doc_id, kind, k, s, e, true AS base FROM b UNION ALL SELECT doc_id, kind, k, s, e, false FROM a),
         j AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (WHERE base), '') AS base,

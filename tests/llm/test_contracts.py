@@ -39,6 +39,7 @@ def test_op1(spark, sf, docs):
     for i, t in zip(docs.doc_id, texts, strict=True):
         assert by.setdefault(t, got.fingerprint[i]) == got.fingerprint[i]
     assert len(set(by.values())) == len(by)
+    assert ((got.paragraphs_edited == 0) == (got.fingerprint == got.edited_fingerprint)).mean() > 0.99 and (got.sections_edited <= got.paragraphs_edited).mean() > 0.9
     assert got.near_edited.between(0, 1).all() and got.near_next.between(0, 1).all()
     assert got.near_edited.mean() > got.near_next.mean() + 0.2
 
@@ -147,9 +148,7 @@ def test_op7_held_out_accuracy(spark, sf, docs):
 def word_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def check_packing(got, ids_of, capacity=4096):
