@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from corpuslake.lake import Lake
 from corpuslake.operators import repair
 from corpuslake.session import build_session
+from corpuslake.settings import Settings, checked
+from corpuslake.sources import fetching
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,9 +20,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("lake", help="folder of the layers")
     p.add_argument("--master")
     sub = p.add_subparsers(dest="command", required=True)
-    b = sub.add_parser("bronze", help="ingest a source that has its content at hand")
+    b = sub.add_parser("bronze", help="ingest a source; without --fetch, one that has its content at hand")
     b.add_argument("--source", default="local")
     b.add_argument("--options", type=json.loads, default={}, help='JSON, such as {"folder": "/in"}')
+    b.add_argument("--fetch", action="store_true", help="get the candidates' content by HTTP")
+    for name, default in zip(("retries", "wait", "delay"), fetching.Policy(), strict=False):
+        b.add_argument(f"--{name}", type=type(default), default=default)
     for name in ("silver", "linguistic", "sentiment", "labels"):
         c = sub.add_parser(name)
         c.add_argument("--limit", type=int)
@@ -51,11 +56,12 @@ def _lines(rows: DataFrame) -> int:
 def main(argv: list[str] | None = None) -> object:
     """Runs one command and prints its outcome as JSON lines."""
     a = parser().parse_args(argv)
-    spark = build_session("corpuslake-jobs", a.master)
+    spark = build_session("corpuslake-jobs", a.master, **Settings.of().objects())
     lake = Lake(spark, a.lake)
     out: object
     if a.command == "bronze":
-        out = lake.ingest_bronze(a.source, **a.options)
+        fetch = (lambda rows: fetching.fetched(rows, policy=fetching.Policy(a.retries, a.wait, a.delay))) if a.fetch else None
+        out = lake.ingest_bronze(a.source, fetch, **checked(a.source, a.options))
     elif a.command == "silver":
         out = lake.ingest_silver(a.limit, a.doc_ids)
     elif a.command in ("linguistic", "sentiment", "labels"):

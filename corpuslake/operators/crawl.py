@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import urls
 from corpuslake.functions.dom import parse
-from corpuslake.session import cut
+from corpuslake.session import cut, few
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -61,10 +61,11 @@ def by_robots(rows: DataFrame, robots: DataFrame | None, on_missing: bool = Fals
     if robots is None:
         return rows
     keyed = rows.withColumns({"__domain": urls.domain(url), "__path": urls.path(url)})
-    bad = robots.select(F.col("domain").alias("__domain"), F.col("disallowed_prefix").alias("__rule"))
-    out = keyed.join(bad.where("__rule <> ''"), (keyed["__domain"] == bad["__domain"]) & F.startswith(keyed["__path"], bad["__rule"]), "left_anti")
+    # rules are few where they fit a broadcast, and then a domain with very many pages is no hot key
+    bad = cut(robots.select(F.col("domain").alias("__domain"), F.col("disallowed_prefix").alias("__rule")).distinct())
+    out = keyed.join(few(bad.where("__rule <> ''")), (keyed["__domain"] == bad["__domain"]) & F.startswith(keyed["__path"], bad["__rule"]), "left_anti")
     if not on_missing:
-        out = out.join(bad.select("__domain").distinct(), "__domain", "left_semi")
+        out = out.join(few(bad.select("__domain").distinct()), "__domain", "left_semi")
     return out.drop("__domain", "__path")
 
 
@@ -101,12 +102,17 @@ def crawl(pages: DataFrame, seeds: list[str], keywords: list[str], *, domains: l
 
 
 def follow_chain(links: DataFrame, start: str, max_depth: int = 100) -> DataFrame:
-    """url, depth along a chain of (url, next_url) from ``start``: stops at a repeated page, a dead end or the cap."""
-    spark = links.sparkSession
-    seen: list[tuple[str, int]] = []
-    here: str | None = start
-    while here and here not in {u for u, _ in seen} and len(seen) < max_depth:
-        seen.append((here, len(seen)))
-        row = links.where(F.col("url") == here).select("next_url").orderBy("next_url").first()
-        here = row["next_url"] if row else None
-    return spark.createDataFrame(seen, "url string, depth int")
+    """url, depth along a chain of (url, next_url) from ``start``: stops at a repeated page, a dead end or the cap.
+
+    Links are doubled round by round, so a chain takes a number of joins logarithmic in its length; a page's
+    first visit counts. Of several next links of a page the first by name counts.
+    """
+    step = cut(links.where("url is not null and next_url is not null").groupBy("url").agg(F.min("next_url").alias("next")))
+    seen, span = links.sparkSession.createDataFrame([(start, 0)], "url string, depth int"), 1
+    while span < max_depth:
+        ahead = seen.join(step, "url").select(F.col("next").alias("url"), (F.col("depth") + span).alias("depth"))
+        seen = cut(seen.unionByName(ahead).groupBy("url").agg(F.min("depth").alias("depth")))
+        onward = step.select(F.col("url").alias("next"), F.col("next").alias("onward"))
+        step = cut(step.join(onward, "next").select("url", F.col("onward").alias("next")))
+        span *= 2
+    return seen.where(F.col("depth") < max_depth)

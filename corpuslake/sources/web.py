@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions import urls
 from corpuslake.functions.dom import parse
 from corpuslake.operators import crawl as C
+from corpuslake.session import cut
 from corpuslake.sources.files import _candidates
 
 
@@ -52,7 +53,7 @@ def listing(spark: SparkSession, pages: DataFrame, listing_url: str, link_text_f
 
     Distinct by URL without fragment, in the order of pages and links, at most ``max_documents``.
     """
-    links = _links(pages)
+    links = cut(_links(pages))
     order = C.follow_chain(links.select("url", "next_url"), listing_url, max_pages)
     rows = links.join(F.broadcast(order), "url").select("depth", F.posexplode("anchors").alias("k", "a"))
     kind = F.coalesce(*[F.when(F.contains(F.lower("a.text"), F.lit(f.lower())), F.lit(f)) for f in link_text_filter])

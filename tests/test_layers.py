@@ -310,6 +310,29 @@ def test_chain_listing_and_probe(spark):
     assert (p[0].source_kind, p[0].detected_title) == ("youtube", "Hi") and p[1].warnings == ["File not found: /no/file.pdf"]
 
 
+def test_chains_stop_where_they_have_to(spark):
+    rows = [(f"p{k}", f"p{k + 1}") for k in range(37)] + [("p5", "p6x"), ("a", "b"), ("b", "c"), ("c", "a"), ("x", None), (None, "x")]
+    links = spark.createDataFrame(rows, "url string, next_url string")
+    got = lambda *a: {r.url: r.depth for r in crawl.follow_chain(links, *a).collect()}
+    assert got("p0") == {f"p{k}": k for k in range(38)}
+    assert got("p0", 5) == {f"p{k}": k for k in range(5)} and got("p0", 1) == {"p0": 0}
+    assert got("b") == {"b": 0, "c": 1, "a": 2} and got("x") == {"x": 0} and got("nowhere") == {"nowhere": 0}
+
+
+def test_settings_and_requests():
+    from corpuslake.settings import Settings, checked
+
+    s = Settings.of({"CORPUSLAKE_DATABASE_HOST": "db", "CORPUSLAKE_DATABASE_NAME": "a b", "CORPUSLAKE_OBJECTS_ENDPOINT": "https://o:9000", "CORPUSLAKE_SCHEDULER_FLOW": "a/b c", "OTHER": "x"})
+    assert s.jdbc("t")["url"] == "jdbc:postgresql://db:5432/a%20b" and s.objects()["spark.hadoop.fs.s3a.connection.ssl.enabled"] == "true"
+    assert s.deployment_url() == "http://localhost:4200/api/deployments/name/a%2Fb%20c/default" and Settings.of({}).objects() == {}
+    assert checked("crawl", {"seed_urls": ["u"], "keywords": ["k"], "max_depth": 2, "max_pages": None}) == {"seed_urls": ["u"], "keywords": ["k"], "max_depth": 2}
+    assert checked("local", {"folder": "/x"}) == {"folder": "/x"}
+    bad = [("crawl", {"seed_urls": [], "keywords": ["k"]}), ("crawl", {"seed_urls": ["u"], "keywords": ["k"], "max_depth": 6}), ("crawl", {"seed_urls": ["u"], "keywords": ["k"], "max_pages": 0}), ("single", {"location": " ", "source_type": "text"}), ("single", {"location": "u", "source_type": "image"})]
+    for source, options in bad:
+        with pytest.raises(ValueError, match=source):
+            checked(source, options)
+
+
 def test_crawl(spark):
     page = lambda body, *links: f"<title>t</title>{body}" + "".join(f'<a href="{x}">l</a>' for x in links)
     rows = [
