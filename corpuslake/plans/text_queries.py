@@ -89,8 +89,13 @@ def _scores(lists, how, of):  # noqa: ANN001, ANN202
     return lambda s, d: of(scores.within_rows(docs(s, d), lists, how))
 
 
+_GIVEN = "given AS (SELECT doc_id, CASE WHEN doc_id % 17 <> 3 THEN text END AS text FROM documents)"
+
+
 def _dedup(spark, d):  # noqa: ANN001, ANN202
-    rows = B.with_checksum(docs(spark, d), "text").withColumn("discovery_order", F.col("doc_id"))
+    """Documents as candidates, some of them without content."""
+    given = docs(spark, d).withColumn("text", F.when(F.col("doc_id") % 17 != 3, F.col("text")))
+    rows = B.with_checksum(given, "text").withColumn("discovery_order", F.col("doc_id"))
     return B.deduplicated(rows).select("doc_id", "checksum", "file_size", "outcome")
 
 
@@ -169,13 +174,13 @@ ENTRIES = {
     "topic_labels": (_scores(TOPICS, "strongest", scores.chosen_of), _scored_sql(TOPICS, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.5 OR rank = 1"),
     "bronze_dedup": (
         _dedup,
-        """WITH h AS (SELECT doc_id, sha256(text) AS checksum, CAST(octet_length(encode(text)) AS BIGINT) AS file_size FROM documents)
-        SELECT doc_id, checksum, file_size, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY checksum) THEN 'ingested' ELSE 'skipped' END AS outcome FROM h""",
+        f"""WITH {_GIVEN}, h AS (SELECT doc_id, sha256(text) AS checksum, CAST(octet_length(encode(text)) AS BIGINT) AS file_size FROM given)
+        SELECT doc_id, checksum, file_size, CASE WHEN checksum IS NULL THEN 'failed' WHEN doc_id = min(doc_id) OVER (PARTITION BY checksum) THEN 'ingested' ELSE 'skipped' END AS outcome FROM h""",
     ),
-    "bronze_counters": (lambda s, d: B.counters(_dedup(s, d)), "SELECT count(DISTINCT text) AS ingested, count(*) - count(DISTINCT text) AS skipped, CAST(0 AS BIGINT) AS failed FROM documents"),
+    "bronze_counters": (lambda s, d: B.counters(_dedup(s, d)), f"WITH {_GIVEN} SELECT count(DISTINCT text) AS ingested, count(text) - count(DISTINCT text) AS skipped, count(*) - count(text) AS failed FROM given"),
     "bronze_ids": (
         lambda s, d: B.with_ids(_dedup(s, d).where("outcome = 'ingested'").withColumn("discovery_order", F.col("doc_id")).select("checksum", "discovery_order"), 100).select("doc_id", "checksum"),
-        "SELECT 100 + row_number() OVER (ORDER BY m) AS doc_id, checksum FROM (SELECT sha256(text) AS checksum, min(doc_id) AS m FROM documents GROUP BY 1)",
+        f"WITH {_GIVEN} SELECT 100 + row_number() OVER (ORDER BY m) AS doc_id, checksum FROM (SELECT sha256(text) AS checksum, min(doc_id) AS m FROM given WHERE text IS NOT NULL GROUP BY 1)",
     ),
     "corpus_split": (
         lambda s, d: topics.corpora(docs(s, d)),
@@ -188,6 +193,13 @@ ENTRIES = {
         s AS (SELECT topic, term, round(n / size * ln(1 + a / f), 8) AS score FROM c JOIN bt USING (term) JOIN tp USING (topic), av)
         SELECT topic, CAST(k AS INTEGER) AS rank, term, score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS k FROM s) WHERE k <= 10""",
     ),
+    "ctfidf_bigrams": (
+        lambda s, d: topics.ctfidf(docs(s, d), "source", least_topics=2, bigrams=True),
+        rf"""WITH {TOK}, w AS (SELECT d.source AS topic, [x FOR x IN t IF length(x) >= 2 AND x NOT IN {STOP}] AS f FROM tok JOIN documents d USING (doc_id)), r AS (SELECT topic, unnest(f || [f[i] || ' ' || f[i + 1] FOR i IN range(1, len(f))]) AS term FROM w),
+        c AS (SELECT topic, term, count(*) AS n FROM r GROUP BY 1, 2), bt AS (SELECT term, sum(n) AS f FROM c GROUP BY 1 HAVING count(*) >= 2), k0 AS (SELECT topic, term, n, f FROM c JOIN bt USING (term)), tp AS (SELECT topic, sum(n) AS size FROM k0 GROUP BY 1), av AS (SELECT avg(size) AS a FROM tp),
+        s AS (SELECT topic, term, round(n / size * ln(1 + a / f), 8) AS score FROM k0 JOIN tp USING (topic), av)
+        SELECT topic, CAST(k AS INTEGER) AS rank, term, score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS k FROM s) WHERE k <= 10""",
+    ),
     "embedding_mean": (
         lambda s, d: embeddings.dimension_means(table(s, d, "embeddings"), "label"),
         "WITH u AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings) SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM u GROUP BY 1, 2",
