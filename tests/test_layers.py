@@ -237,6 +237,22 @@ def test_main_text():
     assert read("<p>a</p><![foo[ x ]]><p>b</p>") == "a\n\nb"
 
 
+def test_main_texts_of_the_test_pages_by_patterns(spark):
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.page_id: r.content for r in extract.main_texts(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    for row in pq.read_table(f"{sf}/pages.parquet").to_pylist():
+        article = re.search(r"(?s)<article>(.*?)</article>", row["html"])[1]
+        article = re.sub(r"(?s)<(script|style|nav|footer)\b.*?</\1>|<!--.*?-->", "", article)
+        blocks = re.split(r"</?(?:p|h1|h2|h3|li|ul|div|article)\b[^>]*>", article)
+        texts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<br>", " ", re.sub(r"<(?!br>)[^>]*>", "", b)))).strip() for b in blocks]
+        assert got[row["page_id"]] == "\n\n".join(t for t in texts if t)
+
+
 def test_segments():
     segs = [{"idx": k, "start_sec": None if k == 2 else k, "end_sec": k + 1, "caption_text": f"s{k}"} for k in range(4)]
     assert extract.archive_item(None, {"segments": segs, "excluded_indices": [0]}, "", extract.Captions()).content == "s1\n\ns3"
