@@ -67,3 +67,22 @@ def test_a_gold_module_can_be_added(spark, tmp_path):
         gold.GOLD_COLUMNS.clear()
         gold.GOLD_COLUMNS.update(saved[1])
     assert topics.OUTLIER == -1
+
+
+def test_fetched_pages_go_through_the_layers(spark, tmp_path):
+    """Recorded responses in place of a network; a dead link is a failed candidate."""
+    from corpuslake.sources import fetching
+
+    pages = {f"http://s.t/{k}.html": f"<title>Page number {k} of the site</title><p>Text {k % 3} here." for k in range(6)}
+
+    def get(url, policy):
+        yield pages[url].encode()
+
+    lake = Lake(spark, str(tmp_path / "l"))
+    ask = {"urls_list": [*pages, "http://s.t/dead.html"], "source_type": "text"}
+    fetch = lambda rows: fetching.fetched(rows, get, fetching.Policy(0, 0.0, 0.0))
+    assert lake.ingest_bronze("urls", fetch, **ask) == {"ingested": 6, "skipped": 0, "failed": 1}
+    assert lake.ingest_bronze("urls", fetch, **ask) == {"ingested": 0, "skipped": 6, "failed": 1}
+    assert lake.ingest_silver() == {"success": 6, "failed": 0}
+    assert {r.transcript for r in lake.silver.read().collect()} == {f"Text {k} here." for k in range(3)}
+    assert lake.objects.read().count() == 6 and lake.bronze.version() == 1
