@@ -17,12 +17,14 @@ PRONOUNS = {
     "second_person": ("you", "your", "yours", "yourself", "yourselves"),
     "third_person_plural": ("they", "them", "their", "theirs", "themselves"),
 }
-STOPWORDS = tuple(
-    """a an the and or but if of at by for with about against between into through during before after above below to from up down in
-    out on off over under again further then once is are was were be been being have has had having do does did doing will would
-    should can could this that these those it its as so not no very just also there here what which who whom when where why how
-    all each few more most other some such than too s t now""".split()
-) + tuple(w for words in PRONOUNS.values() for w in words)
+STOPWORDS = (
+    "a", "an", "the", "and", "or", "but", "if", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during",
+    "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once",
+    "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "will", "would", "should",
+    "can", "could", "this", "that", "these", "those", "it", "its", "as", "so", "not", "no", "very", "just", "also", "there", "here", "what", "which",
+    "who", "whom", "when", "where", "why", "how", "all", "each", "few", "more", "most", "other", "some", "such", "than", "too", "s", "t", "now",
+    *(w for words in PRONOUNS.values() for w in words),
+)
 OPPOSITIONS = (
     ("freedom", "tyranny"), ("strength", "weakness"), ("winning", "losing"), ("truth", "lies"), ("safe", "dangerous"), ("prosperity", "decline"),
     ("hope", "fear"), ("unity", "division"), ("greatness", "failure"), ("peace", "war"), ("patriots", "radicals"), ("jobs", "unemployment"),
