@@ -93,21 +93,15 @@ def _grams(codes: np.ndarray, starts: int) -> Iterator[np.ndarray]:
         yield _hashed(c[c != 32] if n == 1 else c, n)
 
 
-def sparse_rows(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket numbers, row offsets) of the n-grams of folded texts: a matrix of counts in compressed rows, repeats as repeats."""
-    rows = len(offsets) - 1
+def sparse_rows(codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order (bucket numbers, row offsets) of the n-grams of folded texts: a matrix of counts in compressed rows, repeats as repeats."""
     size = np.diff(offsets)
-    row = np.repeat(np.arange(rows), size)
     left = np.repeat(offsets[1:], size) - np.arange(len(codes))  # places up to the text's end
-    parts, owners = [], []
     for n in range(1, ORDERS + 1):
         h = _hashed(codes, n)
         ok = (left[: len(h)] >= n) if n > 1 else codes != 32
-        parts.append(h[ok])
-        owners.append(row[: len(h)][ok])
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(parts)[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
+        before = np.concatenate([[0], np.cumsum(ok)])
+        yield h[ok], before[np.minimum(offsets, len(h))]
 
 
 def _pieces(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -148,11 +142,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if j == i + 1:
                 sums[names[number[i]]] += gram_counts(codes)
                 continue
-            idx, at = sparse_rows(codes, offsets)
             here, local = np.unique(number[i:j], return_inverse=True)
-            got = np.bincount(np.repeat(local, np.diff(at)) * BUCKETS + idx, minlength=len(here) * BUCKETS).reshape(len(here), BUCKETS)
-            for k, n in zip(here, got, strict=True):
-                sums[names[k]] += n
+            for idx, at in sparse_rows(codes, offsets):
+                got = np.bincount(np.repeat(local, np.diff(at)) * BUCKETS + idx, minlength=len(here) * BUCKETS).reshape(len(here), BUCKETS)
+                for k, n in zip(here, got, strict=True):
+                    sums[names[k]] += n
     for lang, n in docs.items():
         at = np.flatnonzero(sums[lang])
         yield pa.RecordBatch.from_arrays(
@@ -195,11 +189,12 @@ def _log_likelihood(column: pa.Array, columns: np.ndarray) -> tuple[np.ndarray,
             at = np.flatnonzero(counts)
             total[i], grams[i] = counts[at] @ columns[at].astype(np.float64), counts.sum()
             continue
-        idx, at = sparse_rows(codes, offsets)
-        grams[i:j] = np.diff(at)
-        some = np.flatnonzero(np.diff(at))
-        if len(some):
-            total[i + some] = np.add.reduceat(columns[idx], at[some], axis=0, dtype=np.float64)
+        for idx, at in sparse_rows(codes, offsets):
+            many = np.diff(at)
+            grams[i:j] += many
+            some = np.flatnonzero(many)
+            if len(some):
+                total[i + some] += np.add.reduceat(np.take(columns, idx, axis=0), at[some], axis=0, dtype=np.float64)
     return total, grams, letters
 
 
