@@ -291,7 +291,7 @@ def test_html_of_any_depth_hides_what_is_hidden():
 
 # -- op2 and op3 on hot keys and many matches --------------------------------
 def test_near_duplicates_with_hot_keys(spark, monkeypatch):
-    """Thousands of copies and near copies, empties among them, with every join by shuffles and every hot key dealt out."""
+    """Hundreds of copies and near copies, empties among them, with every join by shuffles and every hot key dealt out."""
     from tests.llm.test_contracts import near_components
 
     monkeypatch.setattr(skew, "FEW", 50)
@@ -301,12 +301,12 @@ def test_near_duplicates_with_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", 40)
     rnd = random.Random(6)
     base = [f"b{k}" for k in range(40)]
-    texts = [" ".join(base)] * 1500 + [""] * 700
-    for k in range(700):
+    texts = [" ".join(base)] * 600 + [""] * 200
+    for k in range(160):
         words = list(base)
         words[rnd.randrange(40)] = f"x{k}"
         texts.append(" ".join(words))
-    for k in range(200):  # chains: each shares most with the one before
+    for k in range(100):  # chains: each shares most with the one before
         texts.append(" ".join(f"c{k // 50}_{j}" for j in range(k % 50 * 3, k % 50 * 3 + 30)))
     rnd.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
