@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.operators.skew import joined_by_key
+from corpuslake.operators.skew import joined_by_key, sizes_of
 from corpuslake.session import cut
 
 
@@ -20,9 +20,10 @@ def rooted(labels: DataFrame) -> DataFrame:
         below = labels.where("component < node")
         moved = below.select(F.col("node").alias("component"), F.col("component").alias("jump")).join(below.groupBy("component").agg(F.count(F.lit(1)).alias("copies")), "component")
         moved = cut(moved)
-        if not moved.limit(1).count():
+        sizes = sizes_of(moved)
+        if not sizes.keys:
             return labels
-        labels = joined_by_key(labels, moved.drop("copies"), moved.drop("jump"), ["component"], "node", "left").select("node", F.least("component", "jump").alias("component"))
+        labels = joined_by_key(labels, moved.drop("copies"), moved.drop("jump"), ["component"], "node", "left", sizes).select("node", F.least("component", "jump").alias("component"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -39,9 +40,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     both = cut(both.union(both.select("b", "a")).distinct())
     ends = cut(both.groupBy("a").agg(F.count(F.lit(1)).alias("copies"), F.min("b").alias("least")))
     degrees = ends.select(F.col("a").alias("b"), "copies")
+    sizes = sizes_of(degrees)
     labels = rooted(ends.select(F.col("a").alias("node"), F.least("least", "a").alias("component")))
     while True:
-        near = joined_by_key(both, labels.select(F.col("node").alias("b"), "component"), degrees, ["b"], "a").groupBy("a").agg(F.min("component").alias("near"))
+        near = joined_by_key(both, labels.select(F.col("node").alias("b"), "component"), degrees, ["b"], "a", sizes=sizes).groupBy("a").agg(F.min("component").alias("near"))
         step = cut(labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")))
         if not step.where("component < old").limit(1).count():
             return labels

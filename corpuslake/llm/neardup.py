@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from corpuslake.llm import _buffers as B
 from corpuslake.llm._rows import keyed
 from corpuslake.llm.components import connected_components, rooted
-from corpuslake.operators.skew import joined_by_key
+from corpuslake.operators.skew import joined_by_key, sizes_of
 from corpuslake.session import cut, stored
 
 HASHES, BANDS, ROWS, BATCH = 128, 32, 4, 32
@@ -364,16 +364,16 @@ def _meeting(members: DataFrame) -> DataFrame:
 def _dealt(tasks: DataFrame, rows: DataFrame, key: str, payload: str) -> DataFrame:
     """``tasks`` with the ``payload`` of their nodes from ``rows`` (named by ``key``), each task's rows in one partition, sorted by task and side."""
     needed = cut(tasks.groupBy("node").agg(F.count(F.lit(1)).alias("copies")))
-    wanted = needed.select("node")
-    if needed.count() <= BROADCAST_IDS:
+    wanted, sizes = needed.select("node"), sizes_of(needed)
+    if sizes.keys <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     held = rows.join(wanted, rows[key] == wanted.node).select("node", payload)
     columns = [*_TASK, "side", "component", "band", "node"]
-    met = joined_by_key(tasks, held, needed, ["node"], "x").select(*columns, payload)
+    met = joined_by_key(tasks, held, needed, ["node"], "x", sizes=sizes).select(*columns, payload)
     return met.repartition(*_TASK).sortWithinPartitions(*_TASK, "side", "node")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.75, shingle: int = 5, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.75, shingle: int = 5, miss: float = 1e-6, own_ids: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if their shingle sets' Jaccard similarity is at least
@@ -382,14 +382,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id count as one document, with the smallest of their texts,
     and each gets that document's result. A row without an id is linked with
     nothing: its component is null and it is kept. Other columns are ignored. An empty
-    table gives no rows; texts of any length are read whole.
+    table gives no rows; texts of any length are read whole. ``own_ids`` says that no id is repeated, which is looked up else.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    if not own_ids and base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         ids = base.where("doc_id is not null").select("doc_id", F.monotonically_increasing_id().alias("row"))
         copies = cut(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")))
         one = base.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-        got = near_duplicates(one.unionByName(base.where("doc_id is null")), threshold=threshold, shingle=shingle, miss=miss)
+        got = near_duplicates(one.unionByName(base.where("doc_id is null")), threshold=threshold, shingle=shingle, miss=miss, own_ids=True)
         again = joined_by_key(ids, got.where("doc_id is not null"), copies, ["doc_id"], "row").drop("row")
         return again.unionByName(got.where("doc_id is null"))
     signed = stored(base.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
@@ -439,7 +439,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     rows, key, by_id = keyed(docs, id_col)
     has_id = rows.where(F.col(id_col).isNotNull())
-    groups = near_duplicates(has_id.select(key, text_col), key, text_col, threshold=threshold, shingle=shingle, miss=miss)
+    groups = near_duplicates(has_id.select(key, text_col), key, text_col, threshold=threshold, shingle=shingle, miss=miss, own_ids=True)
     if by_id:
         gone = groups.where("not kept").select(F.col("doc_id").alias(key))
     else:
