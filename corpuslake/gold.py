@@ -28,21 +28,20 @@ def linguistic(docs: DataFrame) -> DataFrame:
 
 
 def sentiment(docs: DataFrame, by: scores.Scorer | None = None, emotions_by: scores.Scorer | None = None) -> DataFrame:
-    """Sentiment and emotion payloads from chunk scores weighted by words; without a scorer, of word lists within the rows."""
+    """Sentiment and emotion payloads from chunk scores weighted by words."""
+    chunks = scores.sentence_chunks(docs)
 
-    def scored(scorer: scores.Scorer | None, lists: dict, name: str, top_name: str) -> DataFrame:
-        if scorer is None:
-            return scores.ranked_payload(scores.within_rows(docs, lists), name, top_name)
-        return scores.score_payload(docs, scores.weighted(scorer(scores.sentence_chunks(docs))), name, top_name)
+    def scored(scorer: scores.Scorer, name: str, top_name: str) -> DataFrame:
+        return scores.score_payload(docs, scores.weighted(scorer(chunks)), name, top_name)
 
-    return scored(by, scores.SENTIMENT, "sentiment", "label").join(scored(emotions_by, scores.EMOTION, "emotions", "dominant_emotion"), "doc_id")
+    s = scored(by or scores.word_list_scorer(scores.SENTIMENT), "sentiment", "label")
+    return s.join(scored(emotions_by or scores.word_list_scorer(scores.EMOTION), "emotions", "dominant_emotion"), "doc_id")
 
 
 def labels(docs: DataFrame, by: scores.Scorer | None = None, threshold: float = 0.5) -> DataFrame:
     """Label payload: maxima over chunks, labels from the threshold on and the best one in any case."""
-    if by is None:
-        return scores.ranked_labels(scores.within_rows(docs, scores.TOPIC_WORDS, "strongest"), threshold)
-    return scores.label_payload(docs, scores.strongest(by(scores.sentence_chunks(docs))), threshold)
+    scorer = by or scores.word_list_scorer(scores.TOPIC_WORDS)
+    return scores.label_payload(docs, scores.strongest(scorer(scores.sentence_chunks(docs))), threshold)
 
 
 MODULES: dict[str, Module] = {"linguistic": Module(GOLD_COLUMNS["linguistic"], linguistic), "sentiment": Module(GOLD_COLUMNS["sentiment"], sentiment), "labels": Module(GOLD_COLUMNS["labels"], labels)}

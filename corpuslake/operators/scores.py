@@ -1,17 +1,17 @@
 """Chunk scores of pluggable scorers, brought together by document.
 
 A scorer turns rows of (doc_id, chunk_no, chunk, n_words) into (doc_id, chunk_no, n_words,
-label, score), which are brought together by document with one shuffle. The word-list scorer is a
-stand-in for a model: it is exact, fast and inside the JVM, so the rules of aggregation can be held
-against SQL. It needs no rows of its own: within_rows() scores a document's sentences and brings them together as
-array expressions, without exploding or shuffling anything.
+label, score), which are brought together by document: sums by document and label are partial
+aggregates, so what is shuffled is one row a document and label, whatever the number of chunks. The
+word-list scorer is a stand-in for a model: it is exact, fast and inside the JVM, so the rules of aggregation
+can be held against SQL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
@@ -56,55 +56,6 @@ def word_list_scorer(lists: dict[str, tuple[str, ...]], smoothing: float = 1.0)
     return score
 
 
-def within_rows(docs: DataFrame, lists: dict[str, tuple[str, ...]], how: str = "weighted", smoothing: float = 1.0, digits: int = 6) -> DataFrame:
-    """doc_id and ranked: each label's score over the sentences of its row, best first, for the scores of word_list_scorer().
-
-    ``how`` is weighted (means weighted by words, A18) or strongest (maxima, at least 0, A19). Scores are
-    rounded before they are ranked; ties go to the shorter, then the alphabetically first label. A text
-    without words has an empty array. Rows are judged each for itself.
-    """
-    every = tuple({w for ws in lists.values() for w in ws})
-    rows = docs.select("doc_id", F.transform(T.sentences("text"), lambda s: F.struct(F.regexp_count(s, F.lit(r"\S+")).cast("long").alias("n"), F.filter(T.tokens(s), lambda w: w.isin(*every)).alias("t"))).alias("c"))
-    rows = rows.select("doc_id", F.transform("c", lambda c: F.struct(c["n"].alias("n"), F.array(*[T.count_in(c["t"], ws) for ws in lists.values()]).alias("h"))).alias("c"))
-    total = lambda c: F.aggregate(c["h"], F.lit(0), lambda a, h: a + h) + smoothing * len(lists)
-    rows = rows.select("doc_id", F.transform("c", lambda c: F.struct(c["n"].alias("n"), total(c).alias("total"), c["h"].alias("h"))).alias("c"), F.aggregate("c", F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("words"))
-    score = lambda c, k: (c["h"][k] + smoothing) / c["total"]
-    if how == "weighted":
-        of = lambda k: F.aggregate("c", F.lit(0.0), lambda a, c: a + score(c, k) * c["n"]) / F.col("words")
-    else:
-        of = lambda k: F.greatest(F.array_max(F.transform("c", lambda c: score(c, k))), F.lit(0.0))
-    each = F.array(*[F.struct((-F.round(of(k), digits)).alias("o"), F.length(F.lit(x)).alias("l"), F.lit(x).alias("label"), of(k).alias("score")) for k, x in enumerate(lists)])
-    ranked = F.transform(F.array_sort(each), lambda x: F.struct(x["label"].alias("label"), F.round(x["score"], digits).alias("score")))
-    none = F.expr("cast(array() as array<struct<label: string, score: double>>)")
-    return rows.select("doc_id", F.when(F.col("words") > 0, ranked).otherwise(none).alias("ranked"))
-
-
-def first_of(ranked: DataFrame) -> DataFrame:
-    """doc_id, label, score: the best label of each document that has one."""
-    return ranked.where(F.size("ranked") > 0).select("doc_id", F.col("ranked")[0]["label"].alias("label"), F.col("ranked")[0]["score"].alias("score"))
-
-
-def chosen_of(ranked: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, rank, label, score: labels of at least ``threshold``, and the best one in any case."""
-    rows = ranked.select("doc_id", F.posexplode("ranked").alias("k", "r"))
-    return rows.where((F.col("r.score") >= threshold) | (F.col("k") == 0)).select("doc_id", (F.col("k") + 1).alias("rank"), "r.label", "r.score")
-
-
-def _score_map(ranked: str) -> Column:
-    return F.map_from_entries(F.transform(ranked, lambda r: F.struct(r["label"].alias("label"), F.round(r["score"], 4).alias("score"))))
-
-
-def ranked_payload(ranked: DataFrame, name: str, top_name: str) -> DataFrame:
-    """doc_id and a struct of the best label and the map of scores (4 decimals); null label and empty map without text."""
-    return ranked.select("doc_id", F.struct(F.get("ranked", F.lit(0))["label"].alias(top_name), _score_map("ranked").alias("scores")).alias(name))
-
-
-def ranked_labels(ranked: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, labels: struct of scores, chosen labels in rank order, threshold."""
-    chosen = F.filter("ranked", lambda r, k: (r["score"] >= threshold) | (k == 0))
-    return ranked.select("doc_id", F.struct(_score_map("ranked").alias("scores"), F.transform(chosen, lambda r: r["label"]).alias("labels"), F.lit(threshold).alias("threshold")).alias("labels"))
-
-
 def sentence_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, chunk_no, chunk, n_words with each sentence as a chunk."""
     rows = docs.select("doc_id", F.posexplode(T.sentences("text")).alias("chunk_no", "chunk"))

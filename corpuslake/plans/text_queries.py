@@ -85,8 +85,8 @@ TOPICS = {label: (*scores.TOPIC_WORDS[label], word) for label, word in zip(score
 EMO = {"anger": ("the", "on"), "disgust": ("der",), "fear": ("is", "le"), "joy": ("a", "la"), "neutral": ("of", "und"), "sadness": ("in", "de"), "surprise": ("to", "que")}
 
 
-def _scores(lists, how, of):  # noqa: ANN001, ANN202
-    return lambda s, d: of(scores.within_rows(docs(s, d), lists, how))
+def _scores(lists, how):  # noqa: ANN001, ANN202
+    return lambda s, d: how(scores.word_list_scorer(lists)(scores.sentence_chunks(docs(s, d))))
 
 
 _GIVEN = "given AS (SELECT doc_id, CASE WHEN doc_id % 17 <> 3 THEN text END AS text FROM documents)"
@@ -168,10 +168,10 @@ ENTRIES = {
     "verb_future_lookahead": (lambda s, d: syntactic.verb_tense(syntactic.tagged(docs(s, d))), X.TENSE),
     "entity_mentions": (lambda s, d: entities.grouped(entities.mentions_by_rule(docs(s, d))), X.MENTIONS),
     "chunk_pack": (lambda s, d: chunking.chunks(docs(s, d), 60), _CHUNKS),
-    "weighted_sentiment": (_scores(LISTS, "weighted", scores.first_of), _scored_sql(LISTS, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
-    "weighted_emotion": (_scores(EMO, "weighted", scores.first_of), _scored_sql(EMO, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
-    "zero_shot_labels": (_scores(EMO, "strongest", lambda x: scores.chosen_of(x, 0.3)), _scored_sql(EMO, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.3 OR rank = 1"),
-    "topic_labels": (_scores(TOPICS, "strongest", scores.chosen_of), _scored_sql(TOPICS, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.5 OR rank = 1"),
+    "weighted_sentiment": (_scores(LISTS, lambda x: scores.dominant(scores.weighted(x))), _scored_sql(LISTS, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
+    "weighted_emotion": (_scores(EMO, lambda x: scores.dominant(scores.weighted(x))), _scored_sql(EMO, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
+    "zero_shot_labels": (_scores(EMO, lambda x: scores.selected(scores.strongest(x), 0.3)), _scored_sql(EMO, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.3 OR rank = 1"),
+    "topic_labels": (_scores(TOPICS, lambda x: scores.selected(scores.strongest(x))), _scored_sql(TOPICS, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.5 OR rank = 1"),
     "bronze_dedup": (
         _dedup,
         f"""WITH {_GIVEN}, h AS (SELECT doc_id, sha256(text) AS checksum, CAST(octet_length(encode(text)) AS BIGINT) AS file_size FROM given)

@@ -102,19 +102,6 @@ def test_tagger(spark):
     assert got[1] == got[2] == [] and got[3] == [("a", "DT", 0), ("_", ":", 0), ("b", "NN", 0), ("12,5", "CD", 0), ("%", ":", 0)]
 
 
-def test_scores_within_rows_equal_those_of_rows(spark):
-    d = docs(spark, "This is good. War is bad and the worst! Nothing here.", "", None, "love love hate. win", ". ! ?", "peace")
-    for lists in (scores.SENTIMENT, scores.EMOTION, scores.TOPIC_WORDS):
-        scored = scores.word_list_scorer(lists)(scores.sentence_chunks(d))
-        want = {(r.doc_id, r.label): r.score for r in scores.dominant(scores.weighted(scored)).collect()}
-        got = {(r.doc_id, r.label): r.score for r in scores.first_of(scores.within_rows(d, lists)).collect()}
-        assert got == want
-        want = {tuple(r) for r in scores.selected(scores.strongest(scored), 0.4).collect()}
-        assert {tuple(r) for r in scores.chosen_of(scores.within_rows(d, lists, "strongest"), 0.4).collect()} == want
-        one, two = scores.ranked_labels(scores.within_rows(d, lists, "strongest"), 0.4), scores.label_payload(d, scores.strongest(scored), 0.4)
-        assert {r.doc_id: r.labels for r in one.collect()} == {r.doc_id: r.labels for r in two.collect()}
-
-
 def test_entities_fold_case_and_show_the_commonest_spelling(spark):
     m = spark.createDataFrame([(1, 0, "Biden", "PERSON"), (1, 1, "biden", "PERSON"), (1, 2, "Biden", "PERSON"), (1, 3, "Ohio", "GPE"), (1, 4, "  ", "GPE"), (1, 5, "five", "CARDINAL")], "doc_id long, pos long, text string, label string")
     got = {(r.grp, r.text): r.cnt for r in entities.grouped(m).collect()}
