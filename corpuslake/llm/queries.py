@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import byte_bpe, fingerprints, html_layout, langid, neardup, orc_tokens, packing, quality, secrets, topk
+from corpuslake.llm import byte_bpe, fingerprints, html_layout, langid, neardup, orc_tokens, packing, quality, secrets, topk, tree_bpe
 from corpuslake.session import cut, scratch
 
 
@@ -111,9 +111,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by tree concatenation and the text that they decode to."""
+    rows = tree_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_near_duplicates, op3_secret_scan, op4_top_k, op5_language_id, op6_html_layout, op7_quality, op8_best_fit_packing, op9_token_orc, op10_byte_bpe)
+    for f in (
+        *(op1_fingerprints, op2_near_duplicates, op3_secret_scan, op4_top_k, op5_language_id, op6_html_layout, op7_quality, op8_best_fit_packing, op9_token_orc, op10_byte_bpe),
+        op11_tree_bpe,
+    )
 }
 
 
