@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import byte_bpe, fingerprints, html_layout, langid, neardup, orc_tokens, packing, quality, secrets, topk, tree_bpe
+from corpuslake.llm import byte_bpe, fingerprints, html_layout, langid, neardup, orc_tokens, packing, periodic, quality, secrets, topk, tree_bpe
 from corpuslake.session import cut, scratch
 
 
@@ -122,11 +122,42 @@ def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where h % 10 = 0 the words from number a on repeat the first p of them (h, a and p as op12 fixes them)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = rows.where("h % 10 = 0").withColumn("w", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).where("size(w) > 0")
+    words = words.withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("cast(g % n as int)"))
+    words = words.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    edited = F.expr("array_join(transform(sequence(0, n - 1), i -> w[if(i < a, i, a + (i - a) % p)]), ' ')")
+    same = rows.where(f"h is null or h % 10 <> 0 or text is null or not text rlike '{_WORD}'")
+    return same.select("doc_id", "text").unionByName(words.select("doc_id", edited.alias("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of repeated words of every text, the longest one, and what is left without the repeats."""
+    rows = periodic.find_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    rows = rows.withColumn("best", F.when(F.size("runs") > 0, best))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.expr("sha2(array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), ''), 256)").alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         *(op1_fingerprints, op2_near_duplicates, op3_secret_scan, op4_top_k, op5_language_id, op6_html_layout, op7_quality, op8_best_fit_packing, op9_token_orc, op10_byte_bpe),
-        op11_tree_bpe,
+        *(op11_tree_bpe, op12_periodic_runs),
     )
 }
 
