@@ -1,9 +1,7 @@
 """Corpus topics: split by length, clusters of embeddings, class-based TF-IDF keywords.
 
-Density clustering has no counterpart in Spark; clusters come from k-means on the vectors'
-principal components, for the number of clusters with the best silhouette. Those of fewer than
-LEAST_TOPIC members, and vectors far off their cluster, become outliers (-1). The contract
-(ids, keywords, probabilities) holds, the assignments are not those of another library.
+Vectors are reduced by ``layout`` and clustered by ``density``, both fitted on FIT_ROWS vectors at most; every
+vector gets a cluster or is an outlier (-1).
 """
 
 from __future__ import annotations
@@ -12,14 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
+from corpuslake.operators import density, layout
 from corpuslake.session import cut
 
 LONG_FORM_WORDS, LEAST_DOCS, LEAST_TOPIC, KEYWORDS = 500, 20, 10, 10
 OUTLIER = -1
-#: Principal components, numbers of clusters that are tried, and standard deviations beyond the mean distance at which a vector is off.
-COMPONENTS, TRIED, FAR = 5, (2, 3, 4, 6, 8, 10, 12), 3.0
-#: Vectors that components and the number of clusters are found on, at most: a hash of the id picks them. All are clustered.
-FIT_ROWS = 100_000
+#: Standard deviations beyond the mean distance at which a vector is off its k-means cluster.
+FAR = 3.0
+#: Vectors that the reduction and the density levels are fitted on, at most: those of the smallest hashes. All are clustered.
+FIT_ROWS = density.FIT_ROWS
 
 
 def with_corpus(docs: DataFrame, words: str = "word_count") -> DataFrame:
@@ -53,32 +52,43 @@ def ctfidf(docs: DataFrame, topic: str, top: int = KEYWORDS, least_topics: int =
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("topic", "rank", "term", "score")
 
 
-def clusters(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int | None = None, least: int = LEAST_TOPIC, seed: int = 42) -> DataFrame:
-    """id, topic_id, probability: clusters numbered by size; small ones and vectors far off are outliers (-1, probability 0).
+def clusters(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int | None = None, least: int = LEAST_TOPIC, seed: int = 42, reduce: bool = True) -> DataFrame:
+    """id, topic_id, probability: clusters numbered by size, -1 (with probability 0) for outliers.
 
-    ``k`` clusters, or as many of TRIED as have the best silhouette. probability falls from 1 with the
-    distance to the cluster's centre relative to the distances to all.
+    The vectors are reduced (``reduce``) to a few dimensions that keep neighbours together and clustered by density, without a number
+    of clusters; probability is the membership in the cluster. With ``k`` it is that many clusters by k-means instead.
+    """
+    if k is not None:
+        return _by_number(vectors, id_col, vector, k, least, seed)
+    fitted, _, n = density.fitted_points(vectors, id_col, vector, most=FIT_ROWS)
+    if reduce and n >= 2:
+        small = layout.reduced(fitted.select("node", "x"), n, seed=seed)
+        rows = density.density_clusters(fitted.select("node", "id").join(small, "node"), "id", "x", least, most=FIT_ROWS)
+        if n >= FIT_ROWS:
+            rows = _carried(vectors, id_col, vector, fitted, rows, n)
+    else:
+        rows = density.density_clusters(vectors, id_col, vector, least, most=FIT_ROWS)
+    return rows.select("id", F.col("cluster").alias("topic_id"), F.round("probability", 4).alias("probability"))
+
+
+def _carried(vectors: DataFrame, id_col: str, vector: str, fitted: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` of the fitted vectors, and for every other one those of the fitted vector that is nearest before reduction."""
+    rest = density.fitted_points(vectors, id_col, vector, most=FIT_ROWS)[1]
+    known = fitted.join(rows, "id").withColumn("core", F.lit(0.0))
+    return rows.unionByName(density.assigned(rest, known, n))
+
+
+def _by_number(vectors: DataFrame, id_col: str, vector: str, k: int, least: int, seed: int) -> DataFrame:
+    """As clusters(), for ``k`` clusters by k-means; those of fewer than ``least`` members, and vectors far off their cluster, are outliers.
+
+    probability falls from 1 with the distance to the cluster's centre relative to the distances to all.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = cut(vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("given")))
-    n = rows.count()
-    if n < least:
+    rows = cut(vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
+    if rows.count() < least:
         return rows.select("id", F.lit(OUTLIER).alias("topic_id"), F.lit(0.0).alias("probability"))
-    picked = lambda df: df if n <= FIT_ROWS else df.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * FIT_ROWS // n)
-    dimensions = rows.first()["given"].size
-    pca = PCA(k=min(COMPONENTS, dimensions), inputCol="given", outputCol="features").fit(picked(rows))
-    rows = cut(pca.transform(rows).select("id", "features"))
-    some = cut(picked(rows))
-    if k is None:
-        score, scores = ClusteringEvaluator(featuresCol="features", predictionCol="c"), {}
-        for tried in (t for t in TRIED if t == TRIED[0] or t * least <= n):
-            found = KMeans(k=tried, seed=seed, featuresCol="features", predictionCol="c").fit(some).transform(some)
-            scores[tried] = score.evaluate(found) if found.select("c").distinct().count() > 1 else -1.0
-        k = max(scores, key=lambda t: (round(scores[t], 6), -t))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="c").fit(rows)
     centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     out = model.transform(rows).withColumn("x", vector_to_array("features"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
 from corpuslake.operators import bronze as B
-from corpuslake.operators import chunking, embeddings, entities, lexical, scores, syntactic, topics
+from corpuslake.operators import chunking, density, embeddings, entities, lexical, scores, syntactic, topics
 from corpuslake.plans import syntax_sql as X
 from corpuslake.plans.derived import half_up, table
 from corpuslake.plans.syntax_sql import SENTENCES as _SENT
@@ -128,6 +128,34 @@ def _syntactic_payload(spark, d):  # noqa: ANN001, ANN202
     return rows.select("doc_id", "speech_stats.*", *maps, "total_tagged_tokens")
 
 
+_REACH = """v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS x FROM embeddings),
+    d AS (SELECT a.i, b.i AS j, list_distance(a.x, b.x) AS d FROM v a, v b),
+    c AS (SELECT i, list(d ORDER BY d)[10] AS core FROM d GROUP BY i)"""
+
+
+def _core_distances(spark, d):  # noqa: ANN001, ANN202
+    fitted, _, n = density.fitted_points(table(spark, d, "embeddings"), "vec_id", "embedding")
+    points = density.with_core(fitted.select("node", "x"), max(1, -(-n // density.BLOCK)), 10)
+    return fitted.select("node", "id").join(points, "node").select(F.col("id").alias("vec_id"), F.round("core", 6).alias("core"))
+
+
+def _tree_weights(spark, d):  # noqa: ANN001, ANN202
+    """How often each weight is in the minimum spanning tree; that does not depend on which tree it is."""
+    fitted, _, n = density.fitted_points(table(spark, d, "embeddings"), "vec_id", "embedding")
+    _, edges = density.tree_edges(fitted.select("node", "x"), n, 10)
+    return edges.groupBy(F.round("w", 6).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Prim's method: ``best`` has each point's least reachability from the tree so far, null inside it.
+_TREE = f"""WITH RECURSIVE {_REACH},
+    m AS (SELECT d.i, list(greatest(d.d, a.core, b.core) ORDER BY j) AS r FROM d JOIN c a ON a.i = d.i JOIN c b ON b.i = d.j GROUP BY d.i),
+    t(k, w, best) AS (
+        SELECT 1, NULL::DOUBLE, [CASE WHEN q = 1 THEN NULL ELSE r[q] END FOR q IN range(1, len(r) + 1)] FROM m WHERE i = 1
+        UNION ALL
+        SELECT k + 1, s.w, [CASE WHEN s.best[q] IS NULL OR q = s.now THEN NULL ELSE least(s.best[q], m.r[q]) END FOR q IN range(1, len(m.r) + 1)]
+        FROM (SELECT k, best, list_min(best) AS w, list_position(best, list_min(best)) AS now FROM t WHERE list_min(best) IS NOT NULL) s JOIN m ON m.i = s.now)
+    SELECT round(w, 6) AS weight, count(*) AS n FROM t WHERE w IS NOT NULL GROUP BY 1"""
+
 #: name: (function of (spark, sf_dir), SQL or None)
 ENTRIES = {
     "tokens_basic": (
@@ -208,6 +236,8 @@ ENTRIES = {
         lambda s, d: embeddings.weighted_pool(table(s, d, "embeddings"), "label", "embedding", F.col("vec_id") % 7 + 1).withColumn("value", F.round("value", 6)),
         "WITH u AS (SELECT label, vec_id % 7 + 1 AS w, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings) SELECT label, CAST(dim AS INTEGER) AS dim, round(sum(CAST(x AS DOUBLE) * w) / sum(w), 6) AS value FROM u GROUP BY 1, 2",
     ),
+    "topic_core_distances": (_core_distances, f"WITH {_REACH} SELECT vec_id, round(core, 6) AS core FROM v JOIN c USING (i)"),
+    "topic_tree_weights": (_tree_weights, _TREE),
     "topic_clusters": (lambda s, d: topics.clusters(table(s, d, "embeddings")), None),
 }
 

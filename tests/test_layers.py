@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpuslake import schemas, sources
 from corpuslake.functions import urls
 from corpuslake.functions.dom import parse
-from corpuslake.operators import bronze, crawl, dashboard, embeddings, extract, pending, repair, store, topics
+from corpuslake.operators import bronze, crawl, dashboard, embeddings, extract, pending, repair, store
 from corpuslake.sources import fetching, files, listings, web
 
 
@@ -149,16 +149,6 @@ def test_embedding_texts(spark):
     assert lengths[4] == 3 and lengths[0] == (2 * 382**2 + 136**2) / 900
 
 
-def test_clusters_find_their_number_and_leave_out_what_is_far(spark):
-    rng = np.random.default_rng(1)
-    centres = np.eye(6)[:3] * 10
-    x = np.concatenate([c + rng.normal(0, 0.3, (40, 6)) for c in centres] + [centres[:1] + 4.0])
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r.id: (r.topic_id, r.probability) for r in topics.clusters(df).collect()}
-    groups = [{got[k][0] for k in range(40 * g, 40 * g + 40)} - {-1} for g in range(3)]
-    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3 and got[120] == (-1, 0.0)
-
-
 def test_gold_status(spark):
     cols = list(schemas.GOLD_MODULES.values())
     rows = [tuple(1 if k < n else None for k in range(8)) for n in (0, 3, 8)]
