@@ -25,17 +25,17 @@ class Element:
             yield x
             stack.extend(c for c in reversed(x.children) if isinstance(c, Element))
 
-    def all(self, tag: str | None = None, *, cls: str | None = None, where: Callable[[Element], bool] | None = None, **attrs: str) -> list[Element]:
-        """Elements below by tag, class and attribute values."""
-        return [
-            e
-            for e in self.walk()
-            if (tag is None or e.tag == tag) and (cls is None or cls in e.attrs.get("class", "").split()) and all(e.attrs.get(k) == v for k, v in attrs.items()) and (where is None or where(e))
-        ]
+    def matching(self, tag: str | None = None, *, cls: str | None = None, where: Callable[[Element], bool] | None = None, **attrs: str) -> Iterator[Element]:
+        """Elements below by tag, class and attribute values, in document order."""
+        for e in self.walk():
+            if (tag is None or e.tag == tag) and (cls is None or cls in e.attrs.get("class", "").split()) and all(e.attrs.get(k) == v for k, v in attrs.items()) and (where is None or where(e)):
+                yield e
+
+    def all(self, tag: str | None = None, **kwargs) -> list[Element]:  # noqa: ANN003
+        return list(self.matching(tag, **kwargs))
 
     def first(self, tag: str | None = None, **kwargs) -> Element | None:  # noqa: ANN003
-        got = self.all(tag, **kwargs)
-        return got[0] if got else None
+        return next(self.matching(tag, **kwargs), None)
 
     def strings(self, skip: frozenset[str] = frozenset()) -> Iterator[str]:
         """Text pieces below, in document order, without those inside ``skip`` tags."""
@@ -95,5 +95,7 @@ def parse(html: str | bytes | None) -> Element:
         html = bytes(html).decode("utf-8", "replace")
     b = _Builder()
     b.feed(html or "")
+    if b.rawdata.startswith("<!--"):  # a comment without an end goes on to the end of the page
+        b.rawdata = ""
     b.close()
     return b.root

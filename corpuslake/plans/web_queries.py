@@ -125,13 +125,18 @@ def _stream(spark, d):  # noqa: ANN001, ANN202
 
 _WWW = "regexp_replace({0}, '^www\\.', '')"
 
+#: The pages of the test tables have one article each, beside navigation, an advertisement and a footer.
+_MAIN_TEXT = r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+    b AS (SELECT page_id, [trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) FOR x IN string_split_regex(a, '</?(?:p|h1|h2|h3|li|ul|div)(?:\s[^>]*)?>')] AS bs FROM a)
+    SELECT page_id, nullif(array_to_string([x FOR x IN bs IF x <> ''], chr(10) || chr(10)), '') AS content FROM b"""
+
 ENTRIES = {
     "html_title": (
         lambda s, d: web.probe(pages(s, d).select(F.col("url").alias("location"), F.lit(False).alias("is_local"), F.col("html").alias("content"))).select("location", "source_kind", "detected_title", "detected_size_bytes"),
         f"SELECT url AS location, 'single' AS source_kind, nullif(trim({_TITLE.replace('html,', 'substr(html, 1, 8192),')}), '') AS detected_title, length(html) AS detected_size_bytes FROM pages",
     ),
     "html_title_guess": (lambda s, d: extract.titles(pages(s, d)), _cleaned(f"SELECT page_id, replace({_TITLE}, '&amp;', '&') AS title FROM pages", "page_id")),
-    "html_main_text": (lambda s, d: extract.main_texts(pages(s, d)), None),
+    "html_main_text": (lambda s, d: extract.main_texts(pages(s, d)), _MAIN_TEXT),
     "title_clean": (lambda s, d: _titles(s, d).select("doc_id", T.clean_title("title").alias("title")), _cleaned(_TITLES, "doc_id")),
     "url_host": (lambda s, d: pages(s, d).select("page_id", urls.host("url").alias("host"), urls.domain("url").alias("domain")), f"SELECT page_id, nullif({_HOST.format('url')}, '') AS host, {_WWW.format(_HOST.format('url'))} AS domain FROM pages"),
     "url_classify": (

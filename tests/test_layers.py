@@ -1,7 +1,10 @@
 """Bronze, Silver and Gold transitions, sources, extraction, crawl, store, repair, streams."""
 
 import hashlib
+import itertools
 import json
+import random
+import re
 import time
 from pathlib import Path
 
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from corpuslake import schemas, sources
 from corpuslake.functions import urls
 from corpuslake.functions.dom import parse
-from corpuslake.operators import bronze, crawl, dashboard, embeddings, extract, pending, repair, store
+from corpuslake.operators import bronze, crawl, dashboard, embeddings, extract, maintext, pending, repair, store
 from corpuslake.sources import fetching, files, listings, web
 
 
@@ -227,6 +230,65 @@ def test_main_text():
     assert read("<p>a</p><![foo[ x ]]><p>b</p>") == "a\n\nb"
 
 
+LONG = "A sentence of running text that says something, and goes on. " * 4
+
+
+def test_main_text_keeps_articles_and_drops_link_blocks():
+    read = lambda h, **k: extract.main_text(parse(h), **k)
+    text = LONG.strip()
+    assert read("<article><p>one</p></article><article><p>two</p></article>") == "one\n\ntwo"
+    links = "".join(f"<li><a href='/{k}'>some other story number {k}</a></li>" for k in range(9))
+    assert read(f"<body><ul>{links}</ul><div><p>{LONG}</p><p>{LONG}</p></div><div class='story'><ul>{links}</ul></div></body>") == f"{text}\n\n{text}"
+    assert read(f"<article><p>{LONG}</p><ul>{links}</ul><p>{LONG}<a href='/x'>a link</a></p></article>") == f"{text}\n\n{text} a link"
+    for beside in ("<div class='ad box'>", "<div id='side-bar' role='navigation'>", "<section class='related_stories'>", "<div hidden>", "<aside>"):
+        tag = re.match(r"<(\w+)", beside)[1]
+        assert read(f"<body>{beside}{LONG}</{tag}><main><p>{LONG}</p></main></body>") == text
+    loose = f"<article><p>{LONG}</p></article><div><p>A loose remark of some length.</p></div><p>short</p>"
+    assert read(loose) == f"{text}\n\nA loose remark of some length.\n\nshort" and read(loose, price=maintext.PRECISION) == text
+    assert read("<ul><li><a href='/a'>only</a></li><li><a href='/b'>links</a></li></ul>") == "only\n\nlinks"
+    assert read("<p>a</p><!-- open <p>b") == "a" and read("<p>a</p><!-- x --><p>b</p>") == "a\n\nb"
+    assert read("<div>" * 20_000 + LONG) == text
+
+
+def plain_choice(html, price):
+    """The largest net text of any set of subtrees and loose blocks, by trying every set on a small page."""
+    _, nodes = maintext._tree(parse(html))
+    blocks = [(n, x) for n in nodes for x in n.parts if isinstance(x, maintext._Text)]
+    net = [len(x.text()) - maintext.LINK * x.linked for _, x in blocks]
+
+    def above(n):
+        while n:
+            yield n
+            n = n.parent
+
+    options = [(frozenset(k for k, (m, _) in enumerate(blocks) if n in above(m)), 0.0 if n.free else price) for n in nodes] + [(frozenset([k]), price) for k in range(len(blocks))]
+    best = 0.0
+    for size in range(1, 6):
+        for some in itertools.combinations(options, size):
+            if sum(len(s) for s, _ in some) == len(frozenset().union(*(s for s, _ in some))):
+                best = max(best, sum(sum(net[k] for k in s) - cost for s, cost in some))
+    return best
+
+
+def test_the_choice_of_subtrees_is_the_best_one():
+    rnd = random.Random(9)
+
+    def made(depth):
+        kind = rnd.choice(["text", "link", "div", "article", "p"]) if depth else rnd.choice(["text", "link"])
+        if kind == "text":
+            return "w" * rnd.randrange(1, 60)
+        if kind == "link":
+            return f"<a href='/'>{'l' * rnd.randrange(1, 40)}</a>"
+        return f"<{kind}>{''.join(made(depth - 1) for _ in range(rnd.randrange(1, 3)))}</{kind}>"
+
+    for _ in range(150):
+        page = f"<body>{made(2)}{made(2)}</body>"
+        _, nodes = maintext._tree(parse(page))
+        got = maintext.gains(nodes, 25.0)
+        if sum(isinstance(x, maintext._Text) for n in nodes for x in n.parts) <= 5 and len(nodes) <= 7:
+            assert got == pytest.approx(plain_choice(page, 25.0))
+
+
 def test_main_texts_of_the_test_pages_by_patterns(spark):
     import html
     import re
