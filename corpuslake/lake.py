@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslake import gold as G
 from corpuslake import schemas, sources
-from corpuslake.operators import bronze, dashboard, embeddings, extract, pending, repair, topics
+from corpuslake.operators import bronze, dashboard, embeddings, extract, pending, repair, topics, wordvectors
 from corpuslake.operators.store import SnapshotTable
 from corpuslake.session import cut, few
 from corpuslake.sources.fetching import Policy
@@ -77,13 +77,17 @@ class Lake:
             self.gold.upsert_columns(rows)
         return n
 
+    @staticmethod
+    def _vectors(docs: DataFrame, encoder: embeddings.Encoder | None) -> DataFrame:
+        return cut(embeddings.embedded(docs, encoder) if encoder else wordvectors.document_vectors(docs))
+
     def run_topics(self, vectors: DataFrame | None = None, k: int | None = None, encoder: embeddings.Encoder | None = None) -> dict[str, int]:
         """Fits the topics of both corpora anew over all eligible documents (T5); counts over both.
 
-        Without ``vectors`` the documents are embedded by ``encoder``. ``k`` clusters, or as many as part best.
+        Without ``vectors`` the documents are embedded by ``encoder``, or by word vectors of their own. ``k`` clusters, or as many as their density has.
         """
         docs = cut(pending.eligible(self.silver.read()).select("doc_id", F.col("transcript").alias("text"), "word_count"))
-        rows = cut(topics.fit(docs, cut(embeddings.embedded(docs, encoder)) if vectors is None else vectors, k))
+        rows = cut(topics.fit(docs, self._vectors(docs, encoder) if vectors is None else vectors, k))
         counts = rows.agg(
             F.count(F.lit(1)).alias("documents"),
             F.count_if(F.col("topics.topic_id") == topics.OUTLIER).alias("outliers"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
 from corpuslake.operators import bronze as B
-from corpuslake.operators import chunking, density, embeddings, entities, lexical, scores, syntactic, topics
+from corpuslake.operators import chunking, density, embeddings, entities, lexical, scores, syntactic, topics, wordvectors
 from corpuslake.plans import syntax_sql as X
 from corpuslake.plans.derived import half_up, table
 from corpuslake.plans.syntax_sql import SENTENCES as _SENT
@@ -146,6 +146,29 @@ def _tree_weights(spark, d):  # noqa: ANN001, ANN202
     return edges.groupBy(F.round("w", 6).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _pairs(spark, d):  # noqa: ANN001, ANN202
+    """(pairs by numbers, words by number) of all documents."""
+    words = [r["word"] for r in wordvectors.vocabulary(docs(spark, d)).collect()]
+    names = spark.createDataFrame(list(enumerate(words)), "k long, w string")
+    return wordvectors.pair_counts(docs(spark, d), words), names
+
+
+def _named(rows, names):  # noqa: ANN001, ANN202
+    """``rows`` with the words of i and j; the vocabulary is bounded."""
+    a, b = (F.broadcast(names.select(F.col("k").alias(c), F.col("w").alias(f"word_{c}"))) for c in "ij")
+    return rows.join(a, "i").join(b, "j")
+
+
+def _information(spark, d):  # noqa: ANN001, ANN202
+    pairs, names = _pairs(spark, d)
+    return _named(wordvectors.positive_information(pairs), names).select("word_i", "word_j", F.round("v", 6).alias("information"))
+
+
+_COUNTED = f"""{TOK}, {ROWS}, vocab AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS k FROM r GROUP BY w HAVING count(*) >= {wordvectors.LEAST}),
+    known AS (SELECT doc_id, pos, w, k FROM r JOIN vocab USING (w) WHERE k <= {wordvectors.VOCABULARY}),
+    pairs AS (SELECT CASE WHEN a.k <= b.k THEN a.w ELSE b.w END AS word_i, CASE WHEN a.k <= b.k THEN b.w ELSE a.w END AS word_j, count(*) AS n
+        FROM (SELECT *, unnest(range(1, {wordvectors.WINDOW} + 1)) AS gap FROM known) a JOIN known b ON a.doc_id = b.doc_id AND b.pos = a.pos + a.gap GROUP BY 1, 2)"""
+
 #: Prim's method: ``best`` has each point's least reachability from the tree so far, null inside it.
 _TREE = f"""WITH RECURSIVE {_REACH},
     m AS (SELECT d.i, list(greatest(d.d, a.core, b.core) ORDER BY j) AS r FROM d JOIN c a ON a.i = d.i JOIN c b ON b.i = d.j GROUP BY d.i),
@@ -236,6 +259,14 @@ ENTRIES = {
         lambda s, d: embeddings.weighted_pool(table(s, d, "embeddings"), "label", "embedding", F.col("vec_id") % 7 + 1).withColumn("value", F.round("value", 6)),
         "WITH u AS (SELECT label, vec_id % 7 + 1 AS w, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings) SELECT label, CAST(dim AS INTEGER) AS dim, round(sum(CAST(x AS DOUBLE) * w) / sum(w), 6) AS value FROM u GROUP BY 1, 2",
     ),
+    "word_pairs": (lambda s, d: _named(*_pairs(s, d)).select("word_i", "word_j", "n"), f"WITH {_COUNTED} SELECT word_i, word_j, n FROM pairs"),
+    "word_information": (
+        _information,
+        f"""WITH {_COUNTED}, c AS (SELECT word_i AS i, word_j AS j, CASE WHEN word_i = word_j THEN 2 * n ELSE n END AS n FROM pairs UNION ALL SELECT word_j, word_i, n FROM pairs WHERE word_i <> word_j),
+        s AS (SELECT i, sum(n) AS s FROM c GROUP BY i), x AS (SELECT c.i, c.j, ln(CAST(n AS DOUBLE) * (SELECT sum(n) FROM c) / (CAST(a.s AS DOUBLE) * b.s)) AS v FROM c JOIN s a ON a.i = c.i JOIN s b ON b.i = c.j)
+        SELECT i AS word_i, j AS word_j, round(v, 6) AS information FROM x WHERE v > 0""",
+    ),
+    "document_vectors": (lambda s, d: wordvectors.document_vectors(docs(s, d)), None),
     "topic_core_distances": (_core_distances, f"WITH {_REACH} SELECT vec_id, round(core, 6) AS core FROM v JOIN c USING (i)"),
     "topic_tree_weights": (_tree_weights, _TREE),
     "topic_clusters": (lambda s, d: topics.clusters(table(s, d, "embeddings")), None),
