@@ -5,13 +5,19 @@ open paragraph, an item ends the item before it, cells and rows end each other,
 missing rows are made). The renderer emits all visible text: blocks on lines of their
 own, one blank line around paragraphs, headings, lists and tables, items behind "- " or
 their number, preformatted text as it is, table cells padded to their columns.
+
+The output is linear in the page. A column is as wide as its widest line of at most WIDE characters; a longer line is not
+cut, it ends the alignment behind it. Empty columns between two cells take GAP characters at most, else one
+separator. Indentation comes to INDENT characters for each one of the page (and 64 K) at most, then deeper levels stand at the 40th.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -21,7 +27,12 @@ from pyspark.sql import functions as F
 from corpuslake.llm._rows import without
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title".split())
+UNSEEN = frozenset("head script style template noscript noembed noframes iframe object audio video canvas datalist title rp".split())
+#: What they hold is text, not markup; in those of the second set character references are read.
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_ESCAPABLE = frozenset("textarea title".split())
+#: Shown as it is.
+_PREFORMATTED = frozenset("pre xmp listing".split())
 #: Not drawn within math.
 _MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
 #: May stand in an open head; any other tag, or text, ends it.
@@ -34,7 +45,7 @@ _BREAKS_OUT = frozenset(
     "b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
 _HTML_WITHIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset menu".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp listing blockquote figure hr fieldset menu".split())
 BLOCK = SPACED | frozenset(
     "html body div section article header footer main nav aside address form li dt dd tr td th thead tbody tfoot caption figcaption details summary legend center hgroup dialog optgroup option search".split()
 )
@@ -54,25 +65,35 @@ _CLOSES = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 _SCOPE = frozenset({"table", "td", "th", "caption", "html"})
-#: Lists and quotes are indented up to so many levels; deeper ones stand at the last.
-INDENTED = 40
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: Bounds of the layout, as the module's text says.
+WIDE, GAP, INDENT, LEVELS = 80, 240, 16, 40
+#: The most columns and rows that a cell spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 _SOLID = re.compile(r"[^ \t\n\r\f]")
 
 
 class Node:
-    """An element: tag, attributes, children (elements and strings), and the lines of a table or preformatted text once laid out."""
+    """An element: tag, attributes, children (elements and strings), the lines of a table or preformatted text once laid out.
+
+    ``shown``: whether its own text is visible. Visibility is inherited, and an element can take it back.
+    """
 
-    __slots__ = ("attrs", "children", "lines", "tag")
+    __slots__ = ("attrs", "children", "lines", "shown", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children, self.lines = tag, attrs, [], None
+    def __init__(self, tag: str, attrs: dict[str, str], shown: bool = True):
+        self.tag, self.attrs, self.children, self.lines, self.shown = tag, attrs, [], None, shown
+        if "style" in attrs and (said := _VISIBILITY.findall(attrs["style"])):
+            self.shown = said[-1].lower() == "visible"
 
 
 class TreeBuilder(HTMLParser):
     """Builds a tree of Nodes, as deep as the page is, from tag soup; never fails on malformed input."""
 
+    CDATA_CONTENT_ELEMENTS = tuple(_RAW)
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
@@ -82,6 +103,11 @@ class TreeBuilder(HTMLParser):
         #: Tables and preformatted texts in the order in which they open.
         self.laid: list[Node] = []
 
+    def set_cdata_mode(self, elem: str) -> None:
+        """From here on all is text, to the end tag; within svg and math that holds for scripts and styles only."""
+        if elem in ("script", "style") or not (self.count["svg"] or self.count["math"]):
+            super().set_cdata_mode(elem)
+
     def _drop(self, low: int) -> None:
         self.count.subtract(n.tag for n in self.open[low:])
         del self.open[low:]
@@ -124,7 +150,10 @@ class TreeBuilder(HTMLParser):
         if tag in _BREAKS_OUT:
             self._leave_foreign()
         if tag in ("html", "body"):
-            self.open[0].attrs.update({k: v or "" for k, v in attrs if k not in self.open[0].attrs})
+            root = self.open[0]
+            root.attrs.update({k: v or "" for k, v in attrs if k not in root.attrs})
+            if said := _VISIBILITY.findall(dict(attrs).get("style") or ""):
+                root.shown = said[-1].lower() == "visible"
             if tag == "body":
                 self._close_to({"head"}, set())
             return
@@ -135,8 +164,8 @@ class TreeBuilder(HTMLParser):
         if tag in _CLOSES:
             self._close_to(*_CLOSES[tag])
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            self._push(Node("tr", {}))
-        node = Node(tag, {k: v or "" for k, v in attrs})
+            self._push(Node("tr", {}, self.open[-1].shown))
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1].shown)
         if tag in _MATH_UNSEEN and self.count["math"]:
             node.attrs["hidden"] = ""
         if tag in VOID:
@@ -148,7 +177,7 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(node)
         self.open.append(node)
         self.count[node.tag] += 1
-        if node.tag in ("table", "pre"):
+        if node.tag == "table" or node.tag in _PREFORMATTED:
             self.laid.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -175,6 +204,8 @@ class TreeBuilder(HTMLParser):
             self.open[-1].children.append(Node("p", {}))
 
     def handle_data(self, data: str) -> None:
+        if self.cdata_elem in _ESCAPABLE:
+            data = unescape(data)
         if _SOLID.search(data):
             self._leave_head()
         self.open[-1].children.append(data)
@@ -198,12 +229,17 @@ def parse(html: str) -> TreeBuilder:
     """The tree of a page, with what has to be laid out within it."""
     builder = TreeBuilder()
     builder.feed(html)
+    if builder.rawdata.startswith(("<!", "<?")):  # a comment without an end goes on to the end of the page
+        builder.rawdata = ""
+    if builder.cdata_elem and builder.rawdata:  # as does the text of an element without an end tag
+        builder.handle_data(builder.rawdata)
+        builder.rawdata = ""
     builder.close()
     return builder
 
 
 def visible(node: Node) -> bool:
-    """Whether an element is rendered, by its tag and attributes."""
+    """Whether an element takes part in the layout, by its tag and attributes; whether its text is visible says ``shown``."""
     if node.tag in UNSEEN:
         return False
     attrs = node.attrs
@@ -211,15 +247,16 @@ def visible(node: Node) -> bool:
         return node.tag != "dialog"
     if "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs):
         return False
-    return "style" not in attrs or not _HIDDEN.search(attrs["style"])
+    return "style" not in attrs or not _GONE.search(attrs["style"])
 
 
 class _Lines:
     """Collects text: collapses white space within a line, keeps the breaks that blocks ask for."""
 
-    def __init__(self) -> None:
+    def __init__(self, indent: int = 1 << 16) -> None:
         self.lines: list[str] = []
         self.line: list[str] = []
+        self.indent = indent  # characters of indentation that are left
         self.blank = False
         self.prefix: list[str] = []
         self.marker: str | None = None
@@ -243,27 +280,37 @@ class _Lines:
         if self.blank and self.lines and self.lines[-1]:
             self.lines.append("")
         self.blank = False
-        lead = "".join(self.prefix[:INDENTED])
-        if self.marker is not None:
-            lead, self.marker = "".join(self.prefix[: min(INDENTED, len(self.prefix) - 1)]) + self.marker, None
-        self.lines.append((lead + text).rstrip())
+        levels = self.prefix if self.marker is None else self.prefix[:-1]
+        if len(levels) > LEVELS and 2 * len(levels) > self.indent:
+            levels = levels[:LEVELS]
+        lead = "".join(levels)
+        self.indent -= len(lead)
+        self.lines.append((lead + (self.marker or "") + text).rstrip())
+        self.marker = None
 
     def done(self) -> str:
         self.end()
         return "\n".join(self.lines).strip("\n")
 
 
-def render(page: TreeBuilder) -> str:
-    """The visible text of a page, however deep: tables and preformatted texts are laid out first, the innermost before those around them."""
+def render(page: TreeBuilder, indent: int = 1 << 16) -> str:
+    """The visible text of a page, however deep: tables and preformatted texts are laid out first, the innermost before those around them.
+
+    ``indent`` is how many characters of indentation there may be in all.
+    """
+    left = [indent]
     for node in reversed(page.laid):
-        node.lines = table_lines(node) if node.tag == "table" else _plain(node).strip("\n").split("\n")
-    return _text(page.root)
+        node.lines = table_lines(node, left) if node.tag == "table" else _plain(node).strip("\n").split("\n")
+    return _text(page.root, left)
 
 
-def _text(node: Node) -> str:
-    out = _Lines()
+def _text(node: Node, left: list[int] | None = None) -> str:
+    out = _Lines(left[0]) if left else _Lines()
     _render(node, out)
-    return out.done()
+    text = out.done()
+    if left:
+        left[0] = out.indent
+    return text
 
 
 class _Frame:
@@ -290,7 +337,7 @@ def _render(node: Node, out: _Lines) -> None:
             if frame.after:
                 frame.after()
         elif isinstance(child, str):
-            if not frame.closed and not frame.drawing:
+            if frame.node.shown and not frame.closed and not frame.drawing:
                 out.text(child)
         elif visible(child) and not (frame.closed and child.tag != "summary"):
             entered = _drawn(child, out) if frame.drawing else _entered(child, frame, out)
@@ -318,16 +365,17 @@ def _entered(child: Node, frame: _Frame, out: _Lines) -> _Frame | None:
             out.blank = True
     elif tag == "hr":
         out.end(blank=True)
-        out.raw("---")
+        if child.shown:
+            out.raw("---")
         out.blank = True
     elif tag == "img":
-        if child.attrs.get("alt"):
+        if child.attrs.get("alt") and child.shown:
             out.text(child.attrs["alt"])
     elif tag == "wbr" or (tag == "desc" and frame.node.tag in ("text", "tspan")):
         pass
-    elif tag in ("pre", "table"):
+    elif tag == "table" or tag in _PREFORMATTED:
         out.end(blank=True)
-        for line in child.lines:
+        for line in child.lines if any(child.lines) else []:
             out.raw(line)
         out.blank = True
     elif tag == "li":
@@ -335,7 +383,7 @@ def _entered(child: Node, frame: _Frame, out: _Lines) -> _Frame | None:
         mark = f"{frame.number}. " if frame.node.tag == "ol" else "- "
         frame.number += 1
         out.prefix.append(" " * len(mark))
-        out.marker = mark
+        out.marker = mark if child.shown else None
         return _Frame(child, lambda: _end_item(out))
     elif tag in ("ul", "ol", "menu") and frame.node.tag == "li":
         out.end()
@@ -350,8 +398,9 @@ def _entered(child: Node, frame: _Frame, out: _Lines) -> _Frame | None:
         out.end(blank=tag in SPACED)
         return _Frame(child, lambda: out.end(blank=tag in SPACED))
     elif tag == "q":
-        out.text('"')
-        return _Frame(child, lambda: out.text('"'))
+        quote = '"' if child.shown else ""
+        out.text(quote)
+        return _Frame(child, lambda: out.text(quote))
     else:
         return _Frame(child)
     return None
@@ -365,84 +414,147 @@ def _end_item(out: _Lines) -> None:
 
 def _plain(node: Node) -> str:
     out: list[str] = []
-    stack = list(reversed(node.children))
+    stack: list[tuple[Node | str, Node]] = [(x, node) for x in reversed(node.children)]
     while stack:
-        x = stack.pop()
+        x, around = stack.pop()
         if isinstance(x, str):
-            out.append(x.expandtabs(8))
+            if around.shown:
+                out.append(x.expandtabs(8))
         elif x.tag == "br":
             out.append("\n")
         elif x.tag == "svg" and visible(x):
             out.append(_text(x))
         elif visible(x):
-            stack.extend(reversed(x.children))
+            stack.extend((y, x) for y in reversed(x.children))
     return "".join(out)
 
 
-def _span(value: str) -> int:
-    return min(max(int(value), 1), 1000) if re.fullmatch(r"\d{1,6}", value.strip() or "x") else 1
+def _span(value: str | None, most: int) -> int:
+    """A cell's span: the digits that the value begins with, at most ``most``; 1 where there are none."""
+    found = re.match(r"[ \t\n\f\r]*\+?0*(\d*)", value or "")
+    if not found or not found[0].strip(" \t\n\f\r+"):
+        return 1
+    return min(int(found[1][:6] or 0), most)
+
 
+class _Held:
+    """Columns that cells of rows above still take: spans [start, stop) apart from each other, in order, each up to a row."""
 
-def table_lines(table: Node) -> list[str]:
-    """A table's caption and rows; cells stand in columns as wide as their widest line, apart by " | "."""
-    caption: list[str] = []
-    rows: list[Node] = []
-    stack = [x for x in reversed(table.children)]
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int, int]] = []
+
+    def drop(self, row: int) -> None:
+        """Forgets what ends above ``row``."""
+        if any(last < row for _, _, last in self.spans):
+            self.spans = [x for x in self.spans if x[2] >= row]
+
+    def free(self, column: int) -> int:
+        """The first column from ``column`` on that none takes."""
+        k = bisect_left(self.spans, (column + 1,)) - 1
+        if k >= 0 and self.spans[k][1] > column:
+            column = self.spans[k][1]
+        k += 1
+        while k < len(self.spans) and self.spans[k][0] == column:
+            column = self.spans[k][1]
+            k += 1
+        return column
+
+    def take(self, start: int, stop: int, last: int) -> None:
+        """Takes columns; a neighbour that ends with the same row becomes one with them. Where a cell reaches over others, they keep theirs."""
+        k = bisect_left(self.spans, (start,))
+        if k < len(self.spans):
+            stop = min(stop, self.spans[k][0])
+        if k and self.spans[k - 1][1] == start and self.spans[k - 1][2] == last:
+            self.spans[k - 1] = (self.spans[k - 1][0], stop, last)
+        elif stop > start:
+            self.spans.insert(k, (start, stop, last))
+
+
+def _rows(table: Node, caption: list[str], left: list[int] | None) -> list[tuple[int, Node]]:
+    """(number of its group, row) of a table's rows; what is outside of rows goes to ``caption``."""
+    rows: list[tuple[int, Node]] = []
+    stack: list[tuple[int, Node | str, Node]] = [(0, x, table) for x in reversed(table.children)]
+    group = 0
     while stack:
-        x = stack.pop()
+        of, x, around = stack.pop()
         if isinstance(x, str):
-            if x.strip():
+            if x.strip() and around.shown:
                 caption.append(_WHITE.sub(" ", x).strip())  # text outside cells is shown before the table
         elif not visible(x):
             continue
         elif x.tag == "tr":
-            rows.append(x)
+            rows.append((of, x))
         elif x.tag in ("thead", "tbody", "tfoot"):
-            stack.extend(reversed(x.children))
-        elif text := _text(x):
+            group += 1
+            stack.extend((group, y, x) for y in reversed(x.children))
+        elif text := _text(x, left):
             caption += text.split("\n")
-    grid: list[list[list[str]]] = []
-    held: dict[int, int] = {}
-    for row in rows:
-        cells: list[list[str]] = []
+    return rows
 
-        def skip() -> None:
-            while held.get(len(cells), 0) > 0:  # noqa: B023
-                held[len(cells)] -= 1  # noqa: B023
-                cells.append([])  # noqa: B023
 
-        loose: list = []
+def table_lines(table: Node, left: list[int] | None = None) -> list[str]:
+    """A table's caption and rows; cells stand in columns as wide as their widest line (of WIDE characters at most), apart by " | "."""
+    out: list[str] = []
+    grid: list[dict[int, list[str]]] = []
+    held, before = _Held(), -1
+    rows = _rows(table, out, left)
+    for number, (group, row) in enumerate(rows):
+        if group != before:  # no cell reaches into another group of rows
+            held, before = _Held(), group
+        held.drop(number)
+        cells: dict[int, list[str]] = {}
+        column, loose = 0, []
         for x in row.children:
             if isinstance(x, str) or x.tag not in ("td", "th"):
                 loose.append(x)
-                continue
-            if not visible(x):
-                continue
-            skip()
-            wide, tall = _span(x.attrs.get("colspan", "1")), _span(x.attrs.get("rowspan", "1"))
-            cells.append(_text(x).split("\n"))
-            if tall > 1:
-                held[len(cells) - 1] = tall - 1
-            cells.extend([] for _ in range(wide - 1))
-        skip()
-        extra = Node("div", {})
+            elif visible(x):
+                column = held.free(column)
+                wide, tall = _span(x.attrs.get("colspan"), MOST_COLUMNS) or 1, _span(x.attrs.get("rowspan"), MOST_ROWS) or MOST_ROWS
+                if text := _text(x, left):
+                    cells[column] = text.split("\n")
+                if tall > 1:
+                    held.take(column, column + wide, number + tall - 1)
+                column += wide
+        extra = Node("div", {}, row.shown)
         extra.children = loose
-        if text := _text(extra):
-            caption += text.split("\n")
+        if text := _text(extra, left):
+            out += text.split("\n")
         grid.append(cells)
-    columns = max((len(r) for r in grid), default=0)
-    widths = [max((len(line) for r in grid if k < len(r) for line in r[k]), default=0) for k in range(columns)]
-    out = caption
-    for r in grid:
-        for line in range(max((len(c) for c in r), default=0)):
-            text = " | ".join((r[k][line] if k < len(r) and line < len(r[k]) else "").ljust(widths[k]) for k in range(columns) if widths[k])
-            out.append(text.rstrip())
+    widths: dict[int, int] = {}
+    for cells in grid:
+        for column, lines in cells.items():
+            widths[column] = max(widths.get(column, 0), *(len(x) for x in lines if len(x) <= WIDE), 0)
+    used = sorted(widths)
+    place = {column: k for k, column in enumerate(used)}
+    starts = [0]  # where each used column begins if all before are as wide as they are
+    for column in used:
+        starts.append(starts[-1] + widths[column] + 3)
+
+    def gap(a: int, b: int) -> str:
+        """What stands for the empty columns a to b (places), each behind a separator."""
+        return "".join(" | " + " " * widths[used[k]] for k in range(a, b)) if starts[b] - starts[a] <= GAP else ""
+
+    for cells in grid:
+        order = sorted(cells)
+        for line in range(max((len(c) for c in cells.values()), default=0)):
+            text, at = [], 0
+            for column in order:
+                if line >= len(cells[column]):
+                    continue
+                k = place[column]
+                lead = gap(at, k)
+                text.append((lead[3:] + " | " if lead else "") if not at and k else lead + " | " if k else "")
+                text.append(cells[column][line].ljust(widths[column]))
+                at = k + 1
+            if at < len(used):
+                text.append(gap(at, len(used)))
+            out.append("".join(text).rstrip())
     return out
 
 
 def extract_text(html: str | None) -> str:
     """The visible text of a page, laid out; null and empty pages give the empty text."""
-    return render(parse(html)) if html else ""
+    return render(parse(html), (1 << 16) + INDENT * len(html)) if html else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -4,6 +4,7 @@ import html as H
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -246,8 +247,11 @@ def made(rnd, depth):
         return "<pre>" + H.escape("\n".join(lines)) + "</pre>", [("block", lines)]
     if kind == "hidden":
         inner, _ = made(rnd, max(depth - 1, 0))
-        how = rnd.choice(['<div hidden>{}</div>', '<section style="display:none">{}</section>', "<template>{}</template>"])
-        return how.format(inner), []
+        if rnd.random() < 0.3:
+            seen, unseen = word(), rnd.choice(["<p>{}</p>", "<pre>{}</pre>", "<ul><li>{}</ul>", "<table><tr><td>{}</table>"]).format(H.escape(word()))
+            return f'<div style="visibility:hidden">{unseen}<p style="visibility:visible">{H.escape(seen)}</p>{unseen}</div>', [("block", [seen])]
+        how = rnd.choice(['<div hidden>{}</div>', '<section style="display:none">{}</section>', "<template>{}</template>", "<!-- {} -->"])
+        return how.format(inner.replace("--", "")), []
     if kind == "div":
         parts = [made(rnd, depth - 1) for _ in range(rnd.randint(1, 3))]
         return "<div>" + "".join(p[0] for p in parts) + "</div>", [b for p in parts for b in p[1]]
@@ -286,7 +290,81 @@ def test_html_of_any_depth_hides_what_is_hidden():
         assert x("<svg>" + "<g>" * depth + "<defs><text>no</text></defs><text>yes</text>") == "yes"
     rows = x("<table><tr><td>a<td>" * 300 + "deep").split("\n")
     assert rows == [" | ".join(["a"] * 300 + ["deep"])]
-    assert x("<ul><li>a" * 100).split("\n")[-1] == " " * 80 + "- a"
+    for depth in (40, 100, 300):
+        assert x("<ul><li>a" * depth).split("\n")[-1] == "  " * (depth - 1) + "- a"
+
+
+def plain_table(rnd):
+    """(html, lines) of a table with spans, its cells placed one by one on a grid of places."""
+    n, taken, cells, page = rnd.randint(1, 6), set(), {}, []
+    for r in range(n):
+        c = 0
+        row = []
+        for _ in range(rnd.randint(0, 4)):
+            while (r, c) in taken:
+                c += 1
+            wide, tall = rnd.choice([1, 1, 2, 3]), rnd.choice([1, 1, 2, 3, 7])
+            word = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 5)))
+            said = [f' colspan="{wide}"' if wide > 1 else "", f' rowspan="{tall}"' if tall > 1 else ""]
+            row.append(f"<td{said[0]}{said[1]}>{word}")
+            if word:
+                cells[r, c] = word
+            free = 0
+            while free < wide and (r, c + free) not in taken:  # a span from above keeps its columns
+                free += 1
+            for k in range(tall if tall > 1 else 1):
+                taken |= {(r + k, c + j) for j in range(free)}
+            c += wide
+        page.append("<tr>" + "".join(row) + "</tr>")
+    used = sorted({c for _, c in cells})
+    width = {c: max(len(w) for (_, d), w in cells.items() if d == c) for c in used}
+    lines = [" | ".join(cells.get((r, c), "").ljust(width[c]) for c in used).rstrip() for r in range(n) if any((r, c) in cells for c in used)]
+    return "<table>" + "".join(page) + "</table>", lines
+
+
+def test_spans_equal_cells_placed_one_by_one():
+    rnd = random.Random(12)
+    for _ in range(2000):
+        page, lines = plain_table(rnd)
+        assert html_layout.extract_text(page).split("\n") == "\n".join(lines).strip("\n").split("\n"), page
+    x = html_layout.extract_text
+    far = x("<table><tr><td rowspan=70000>A<td>1</tr>" + "".join(f"<tr><td>{k}</tr>" for k in range(2, 3000)) + "</table>").split("\n")
+    assert far[0] == "A | 1" and far[2998] == "  | 2999" and len({len(line) for line in far}) <= 4
+    assert x("<table><tbody><tr><td rowspan=0>A<td>1<tr><td>2<tbody><tr><td>3<td>4</table>") == "A | 1\n  | 2\n3 | 4"
+    assert x("<table><tr><td colspan='2px'>a<td>b<tr><td>c<td>d<td>e</table>") == "a |   | b\nc | d | e"
+
+
+def test_the_layout_is_linear_in_the_page():
+    x = html_layout.extract_text
+    wide = "<table><tr><td>" + "w" * 80_000 + "<td>b</tr>" + "<tr><td>a<td>b</tr>" * 800 + "</table>"
+    lines = x(wide).split("\n")
+    assert len("\n".join(lines)) < 2 * len(wide) and lines[0] == "w" * 80_000 + " | b" and lines[1] == "a | b"
+    many = "<table><tr>" + "<td colspan=1000>a" * 2000 + "</table>"
+    tracemalloc.start()
+    assert x(many) == " | ".join(["a"] * 2000)
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    n = 2000
+    held = "<table><tr>" + "<td rowspan=65534>a" * n + "</tr>" + "<tr><td>b" * n + "</table>"
+    assert len(x(held)) < 2 * len(held)
+    deep = "<ul><li>a" * 20_000
+    assert len(x(deep)) < (2 * html_layout.INDENT + 2 * html_layout.LEVELS) * len(deep)
+
+
+def test_visibility_is_inherited_and_taken_back():
+    x = html_layout.extract_text
+    assert x('<div style="visibility:hidden">h<span style="visibility:visible">SEEN</span>h<p>no<b style="visibility: visible">also</b></p></div>') == "SEEN\n\nalso"
+    assert x('<div style="display:none"><p style="visibility:visible;display:block">no</p></div>yes') == "yes"
+    assert x('<body style="visibility:hidden">a<ul><li>b<li style="visibility:visible">c</ul><table><tr><td>d<td style="visibility:visible">e</table><pre>f</pre><img alt="g"><hr>') == "- c\n\ne"
+    assert x('<pre style="visibility:hidden">a\n<b style="visibility:visible">b</b></pre><p>c') == "b\n\nc"
+
+
+def test_comments_and_elements_that_hold_text():
+    x = html_layout.extract_text
+    assert x("<p>a</p><!-- open <p>b") == "a" and x("<p>a</p><!-- <p>b</p> --><p>c</p><!doctype") == "a\n\nc" and x("a<?php b") == "a"
+    assert x("<textarea><p>x</p> &amp; y</textarea>") == "<p>x</p> & y" and x("<p>a<textarea>open &lt;b>") == "aopen <b>"
+    assert x("a<xmp><b>t</b>\n  &amp;</xmp>b") == "a\n\n<b>t</b>\n  &amp;\n\nb"
+    assert x("<ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby>") == "kr" and x("<noframes><p>x</noframes>y<iframe><p>z</iframe>") == "y"
 
 
 # -- op2 and op3 on hot keys and many matches --------------------------------
