@@ -9,17 +9,15 @@ where nothing has; its upper bound counts the value read last there instead. A q
 once so few candidates can still reach the k-th lower bound that they are scored in
 full; nothing outside them can qualify then, read or not.
 
-Candidates are dealt into blocks once, and each block's lists are sorted once for
-all queries of a broadcast (queries are a stated set, all rows are candidates; a set of
-more than QUERY_BYTES goes in several broadcasts). A task carries each query's best k
-from block to block, so a later block starts with their least score as a bound, and
-hands on k rows a query.
+Queries (a stated set; all rows are candidates) are dealt into blocks of QUERY_BYTES, candidates into shares; each block meets
+each share in a task, both sides shuffled there, nothing through the driver. A task takes its share in blocks of BLOCK candidates, whose lists are
+sorted once for all its queries, and carries each query's best k from block to block, so
+a later block starts with their least score as a bound. It hands on k rows a query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +26,8 @@ from pyspark.sql import functions as F
 
 #: Candidates whose lists are sorted together, and chunks that a list is read in.
 BLOCK, CHUNKS = 8192, 4
-#: Queries of so many bytes are broadcast together.
-QUERY_BYTES = 32 << 20
+#: Bytes of a block of queries; blocks of candidates that a share has, where there are more of them than tasks to run.
+QUERY_BYTES, CARRIED = 32 << 20, 16
 #: Scoring begins when so small a share of a block's candidates is still open.
 RESOLVE = 0.02
 SCALE = 1024
@@ -130,74 +128,85 @@ class Best:
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and v (integers floor(SCALE * x)) of rows whose id and vector are whole: no null, no non-finite component, not empty.
 
-    Other columns are ignored; an empty table gives no rows.
+    A vector of d components of which one is beyond sqrt(2**63 / d) when scaled is left out too: its products may not fit a
+    whole number of 64 bits, so it has no score to rank by (in 64 dimensions: components beyond 370,000). Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     rows = rows.where("vec_id is not null and size(x) > 0 and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))")
+    rows = rows.where(f"forall(x, c -> abs(c) * {SCALE} <= sqrt(9.2e18D / size(x)) - 1)")
     return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
 
 
-def _query_blocks(queries: DataFrame, m: int) -> Iterator[list]:
-    """The distinct queries, as many at a time as make up QUERY_BYTES at most."""
-    size = 8 * (queries.agg(F.sum(F.size("v") + 1).alias("n")).first()["n"] or 0)
-    groups = max(1, -(-2 * size // QUERY_BYTES)) if size > QUERY_BYTES else 1
-    for g in range(groups):
-        some = queries if groups == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g)
-        if rows := some.distinct().collect():
-            yield rows
+def _share(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (queries' block, candidates' share, side) to the best of each query in that share."""
+    columns = ["query_id", "vec_id", "score", "mark"]
+    best: dict[int, Best] = {}
+    asked: list[pa.RecordBatch] = []
+    held: list[pa.RecordBatch] = []
+    now = None
+
+    def by_width(rows: list[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray]]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        widths = table.column("width").to_numpy()
+        for w in np.unique(widths):
+            t = table.filter(pa.array(widths == w)).combine_chunks()
+            yield int(w), t, t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+
+    def meet() -> None:
+        if asked:  # all queries of the block come first
+            best.update({w: Best(x, t.column("vec_id").to_numpy(), k) for w, t, x in by_width(asked)})
+            asked.clear()
+        for w, t, x in by_width(held):
+            if w in best:
+                for at in range(0, len(t), 2 * BLOCK):
+                    s = slice(at, at + 2 * BLOCK)
+                    best[w].meet(Lists(x[s]), t.column("vec_id").to_numpy()[s], t.column("mark").to_numpy()[s])
+        held.clear()
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            meet()
+        for b in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(b.query_ids[b.rows]), pa.array(b.ids), pa.array(b.score), pa.array(b.marks)], columns)
+        best.clear()
+        asked.clear()
+
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("block", "share", "side")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if now is not None and now != tuple(keys[a, :2]):
+                yield from done()
+            now = tuple(keys[a, :2])
+            (held if keys[a, 2] else asked).append(batch.slice(a, b - a))
+            if sum(x.num_rows for x in held) >= BLOCK:
+                meet()
+    yield from done()
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products with rows of other ids, ties to smaller ids.
 
-    Both sides have vec_id and v (whole numbers); vectors of different lengths do not meet, and an empty side
+    Both sides have vec_id and v (whole numbers, as usable() gives them); vectors of different lengths do not meet, and an empty side
     gives no rows. Equal rows that repeat an id count once; different vectors of one query id have one list
     between them. Other columns are ignored.
+
+    Candidates are shuffled once for each block of queries (QUERY_BYTES), queries once for each share of the candidates.
     """
     spark = candidates.sparkSession
-    blocks = max(1, -(-candidates.count() // BLOCK))
-    # a block and a half for each task, so that two tasks' blocks are not of very unequal size
-    dealt = candidates.select("vec_id", "v", F.size("v").alias("width"), F.xxhash64("v").alias("mark")).repartition(blocks)
-    schema = "query_id long, vec_id long, score long, mark long"
-
-    def against(rows: list) -> DataFrame:
-        wide: dict[int, tuple[list, list]] = {}
-        for r in rows:
-            ids, vectors = wide.setdefault(len(r["v"]), ([], []))
-            ids.append(r["vec_id"])
-            vectors.append(r["v"])
-        shared = spark.sparkContext.broadcast({w: (np.array(vectors, np.int64), np.array(ids, np.int64)) for w, (ids, vectors) in wide.items()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = {w: Best(q, ids, k) for w, (q, ids) in shared.value.items()}
-            held: list[pa.RecordBatch] = []
-
-            def meet() -> None:
-                table = pa.Table.from_batches(held).combine_chunks()
-                widths = table.column("width").to_numpy()
-                for w in np.unique(widths):
-                    if w not in best:
-                        continue
-                    t = table.filter(pa.array(widths == w)).combine_chunks()
-                    x = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-                    for at in range(0, len(t), 2 * BLOCK):
-                        s = slice(at, at + 2 * BLOCK)
-                        best[w].meet(Lists(x[s]), t.column("vec_id").to_numpy()[s], t.column("mark").to_numpy()[s])
-                held.clear()
-
-            for batch in batches:
-                held.append(batch)
-                if sum(b.num_rows for b in held) >= BLOCK:
-                    meet()
-            if held:
-                meet()
-            for b in best.values():
-                yield pa.RecordBatch.from_arrays([pa.array(b.query_ids[b.rows]), pa.array(b.ids), pa.array(b.score), pa.array(b.marks)], ["query_id", "vec_id", "score", "mark"])
-
-        return dealt.mapInArrow(run, schema)
-
-    parts = [against(rows) for rows in _query_blocks(queries.select("vec_id", "v"), queries.count())]
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    asked = queries.select("vec_id", "v").distinct()
+    size = 8 * (asked.agg(F.sum(F.size("v") + 1).alias("n")).first()["n"] or 0)
+    blocks = max(1, -(-size // QUERY_BYTES))
+    pieces = max(1, -(-candidates.count() // BLOCK))
+    shares = max(-(-pieces // CARRIED), min(pieces, 2 * spark.sparkContext.defaultParallelism))
+    columns = ["vec_id", "v", F.size("v").alias("width"), F.xxhash64("v").alias("mark")]
+    left = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("side"), *columns)
+    dealt = candidates.select("vec_id", "v", F.pmod(F.monotonically_increasing_id(), F.lit(shares)).cast("int").alias("share"))
+    right = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "share", F.lit(1).alias("side"), *columns)
+    rows = left.unionByName(right).repartition(blocks * shares, "block", "share").sortWithinPartitions("block", "share", "side")
+    found = rows.mapInArrow(lambda b: _share(b, k), "query_id long, vec_id long, score long, mark long")
     found = found.dropDuplicates(["query_id", "vec_id", "mark"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

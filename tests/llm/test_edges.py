@@ -162,6 +162,16 @@ def test_top_k_over_many_blocks_and_broadcasts(spark, monkeypatch):
     assert got == want
 
 
+def test_vectors_whose_products_do_not_fit_have_no_score(spark):
+    far = [float(2**40)] * 2
+    edge = (9.2e18 / 2) ** 0.5 / 1024 - 1
+    rows = [(0, [1.0, 1.0]), (100, far), (1, far), (2, [edge, edge]), (3, [-edge, -edge]), (200, [edge, edge])]
+    df = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), 10).orderBy("query_id", "rank").collect()]
+    big = int(edge * 1024 // 1)
+    assert got == [(0, 1, 2, 2048 * big), (0, 2, 200, 2048 * big), (0, 3, 3, 2048 * int(-edge * 1024 // 1)), (200, 1, 2, 2 * big * big), (200, 2, 0, 2048 * big), (200, 3, 3, 2 * big * int(-edge * 1024 // 1))]
+
+
 def test_nra_reads_less_than_the_product(sf):
     import pyarrow.parquet as pq
 
