@@ -64,6 +64,22 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+#: Rows, and bytes of text, that are worked on together; a batch from Spark may hold many more.
+SLICE_ROWS, SLICE_BYTES = 2000, 1 << 30
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose texts are so few and so short that offsets of 32 bits are enough; a longer text stands alone."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE_ROWS):
+            some = whole.slice(at, SLICE_ROWS)
+            if some.column(column).nbytes <= SLICE_BYTES:
+                yield some
+            else:
+                for i, j in chunks(text_buffer(some.column(column))[1], SLICE_BYTES):
+                    yield some.slice(i, j - i)
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 

@@ -71,8 +71,6 @@ def character_offsets(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray
 
 _TOKENIZERS: dict[tuple[str, str], SegmentEncoder] = {}
 _TABLES: dict[str, ByteTable] = {}
-#: Rows that are worked on together; a batch from Spark may hold many more.
-_ROWS = 2000
 
 
 def _tokenizer(path: str, pattern: str) -> SegmentEncoder:
@@ -88,21 +86,20 @@ def _table(path: str) -> ByteTable:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose lists have offsets of 32 bits already."""
     for whole in batches:
-        for at in range(0, whole.num_rows, _ROWS):
-            yield whole.slice(at, _ROWS)
+        for at in range(0, whole.num_rows, B.SLICE_ROWS):
+            yield whole.slice(at, B.SLICE_ROWS)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    if len(values) >= 2**31:
-        raise ValueError(f"{len(values)} ids in one slice of rows")
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) batches to (doc_id, ids[, starts, ends])."""
     tokenizer = _tokenizer(path, pattern)
-    for batch in _slices(batches):
+    for batch in B.row_slices(batches, 1):
         data, offs = B.text_buffer(batch.column(1))
         ids, counts = tokenizer.encode(data, offs)
         out, names = [batch.column(0), _lists(ids, counts)], ["doc_id", "ids"]
@@ -140,7 +137,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, offsets: bool = Fa
 
     ``pattern`` is the byte-level pattern whose tokens begin with at most one space. Each row is encoded
     for itself, whether its id is null or repeated; other columns are ignored; an empty table gives no rows. Texts of
-    any length are encoded whole; a slice of rows with 2**31 ids or more is an error.
+    any length are encoded whole.
     """
     schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
     return _texts(docs, id_col, text_col).mapInArrow(lambda b: _encoded(b, ranks_path, pattern, offsets), schema)

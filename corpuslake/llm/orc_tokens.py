@@ -32,34 +32,33 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, *, spaced: bool
     """Encode every whole text (null: empty), append ``end_id`` and write one row per row of ``docs`` to ``path``.
 
     Rows ascend by doc_id over the files' part numbers, null ids first, rows of one id by
-    their texts. part is the file's place in that order and start_in_part the number
+    a hash of their texts. part is the file's place in that order and start_in_part the number
     of ids before the row in its file. An empty table leaves a readable empty folder. The number of ranges
-    grows with the rows. Rows that repeat an id stand one after the other; other columns are
-    ignored. A slice of rows with 2**31 ids or more is an error.
+    grows with the rows. Rows that repeat an id stand one after the other, in several files where they are many; other columns are
+    ignored. Texts of any length are encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, part, before = encoder(tokenizer, spaced).encode, TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                ids, counts = encode(*B.text_buffer(batch.column(1)))
-                if end_id is not None:
-                    ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
-                ends = np.cumsum(counts)
-                if len(ids) >= 2**31:
-                    raise ValueError(f"{len(ids)} ids in one slice of rows")
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(counts), part, np.int32)), pa.array(before + ends - counts), pa.array(counts), lists], ["doc_id", "part", "start_in_part", "n_tokens", "ids"]
-                )
-                before += int(ends[-1]) if len(ends) else 0
+        for batch in B.row_slices(batches, 1):
+            ids, counts = encode(*B.text_buffer(batch.column(1)))
+            if end_id is not None:
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+            ends = np.cumsum(counts)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.full(len(counts), part, np.int32)), pa.array(before + ends - counts), pa.array(counts), lists], ["doc_id", "part", "start_in_part", "n_tokens", "ids"]
+            )
+            before += int(ends[-1]) if len(ends) else 0
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), min(MOST_FILES, rows.select("doc_id").count() // FILE_ROWS))
-    ordered = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # behind the id, a hash of the text and the place in the input, so that no id, and no row that is repeated, is one range
+    rows = rows.withColumns({"h": F.xxhash64("text"), "no": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), "h", "no"]
+    ordered = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop("h", "no")
     (
         ordered.mapInArrow(run, SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")

@@ -23,6 +23,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     for column, prefix in (("text", "a_"), ("edited", "b_"), ("next_text", "c_")):
         rows = fingerprints.with_tree(rows, column, prefix)
+    rows = fingerprints.differing_branches(rows, "a_", "b_")
     return rows.select(
         "doc_id",
         "n_chars",
@@ -31,8 +32,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("b_root").alias("edited_fingerprint"),
         fingerprints.likeness("a_pieces", "b_pieces").alias("near_edited"),
         fingerprints.likeness("a_pieces", "c_pieces").alias("near_next"),
-        fingerprints.branches_edited("a_sections", "b_sections").alias("sections_edited"),
-        fingerprints.branches_edited("a_paragraphs", "b_paragraphs").alias("paragraphs_edited"),
+        F.concat_ws(",", F.col("sections_edited").cast("array<string>")).alias("sections_edited"),
+        F.size("paragraphs_edited").cast("long").alias("paragraphs_edited"),
     )
 
 
@@ -185,11 +186,12 @@ def _tree_sql(src: str, text: str, p: str) -> str:
     {p}1 AS (SELECT doc_id, [[sha256(x) FOR x IN regexp_extract_all(CASE WHEN i < len(ls) THEN ls[i] || chr(10) ELSE ls[i] END, '{_PIECES}')] FOR i IN range(1, len(ls) + 1)] AS h FROM {p}0),
     {p}2 AS (SELECT doc_id, h, flatten(h) AS pieces, [sha256('p' || array_to_string(x, '')) FOR x IN h] AS pars FROM {p}1),
     {p}3 AS (SELECT doc_id, pieces, pars, [i FOR i IN range(1, len(pars) + 1) IF i = len(pars) OR pars[i] < '2' OR h[i] = [sha256(chr(10))]] AS ends FROM {p}2),
-    {p}4 AS (SELECT doc_id, pieces, pars, [sha256('s' || array_to_string(pars[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END:ends[k]], '')) FOR k IN range(1, len(ends) + 1)] AS secs, sha256('r' || array_to_string([sha256('s' || array_to_string(pars[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END:ends[k]], '')) FOR k IN range(1, len(ends) + 1)], '')) AS root FROM {p}3)"""
+    {p}4 AS (SELECT doc_id, pieces, pars, ends, [sha256('s' || array_to_string(pars[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END:ends[k]], '')) FOR k IN range(1, len(ends) + 1)] AS secs, sha256('r' || array_to_string([sha256('s' || array_to_string(pars[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END:ends[k]], '')) FOR k IN range(1, len(ends) + 1)], '')) AS root FROM {p}3)"""
 
 
-def _lacking_sql(a: str, b: str) -> str:
-    return f"CAST(len(list_distinct({a})) - len(list_distinct(list_intersect({a}, {b}))) AS BIGINT)"
+#: From the root down: sections that the edited text lacks, then the paragraphs within those.
+_SECTIONS_SQL = "CASE WHEN a4.root = b4.root THEN [] ELSE [k FOR k IN range(1, len(a4.secs) + 1) IF NOT list_contains(b4.secs, a4.secs[k])] END"
+_PARAGRAPHS_SQL = f"len([i FOR i IN flatten([range(CASE WHEN k = 1 THEN 1 ELSE a4.ends[k - 1] + 1 END, a4.ends[k] + 1) FOR k IN {_SECTIONS_SQL}]) IF NOT list_contains(b4.pars, a4.pars[i])])"
 
 
 def _like_sql(a: str, b: str) -> str:
@@ -212,7 +214,7 @@ ORACLE_SQL = {
         {_tree_sql('e', 'text', 'a')}, {_tree_sql('e', 'edited', 'b')}, {_tree_sql('e', 'nxt', 'c')}
         SELECT e.doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, a4.root AS fingerprint, b4.root AS edited_fingerprint,
             {_like_sql('a4.pieces', 'b4.pieces')} AS near_edited, {_like_sql('a4.pieces', 'c4.pieces')} AS near_next,
-            {_lacking_sql('a4.secs', 'b4.secs')} AS sections_edited, {_lacking_sql('a4.pars', 'b4.pars')} AS paragraphs_edited
+            array_to_string([k - 1 FOR k IN {_SECTIONS_SQL}], ',') AS sections_edited, CAST({_PARAGRAPHS_SQL} AS BIGINT) AS paragraphs_edited
         FROM e JOIN a4 USING (doc_id) JOIN b4 USING (doc_id) JOIN c4 USING (doc_id)""",
     "op2_near_duplicates": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -286,7 +286,7 @@ def _met(batches: Iterator[pa.RecordBatch], path: str, leaf: int) -> Iterator[pa
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, leaf: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(path, leaf)
-    for batch in _slices(batches):
+    for batch in B.row_slices(batches, 1):
         yield pa.RecordBatch.from_arrays([batch.column(0), _lists(*enc.encode(*B.text_buffer(batch.column(1))))], ["doc_id", "ids"])
 
 

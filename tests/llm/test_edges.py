@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for each operator."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm import byte_bpe, components, fingerprints, html_layout, langid, neardup, orc_tokens, packing, quality, secrets, segments, topk
 from corpuslake.llm import _buffers as B
+from corpuslake.session import scratch
 
 EXTRA = "row string, found string, size int, node int, part int, bucket int, label string, salt int, next_text string, component_id int, __row int, value_hash string, lang string, source string, ids string, score string"
 SCHEMA = f"doc_id long, text string, {EXTRA}"
@@ -65,6 +67,49 @@ def test_fingerprint_pieces_make_up_the_text_and_locate_edits(spark):
     assert "".join(long) == a
 
 
+def neighbours_are_in_order(rows):
+    """Whether the next texts lead from the smallest id through all rows and back; ``rows``: (id, text, next text), texts all different."""
+    by_text = {t: (i, n) for i, t, n in rows}
+    assert len(by_text) == len(rows)
+    at = start = min(rows, key=lambda r: (r[0] is not None, r[0] or 0))[1]
+    ids = []
+    for _ in rows:
+        ids.append(by_text[at][0])
+        at = by_text[at][1]
+    assert at == start or ids[0] is None
+    turn = next((k for k in range(1, len(ids)) if (ids[k] is not None, ids[k] or 0) < (ids[k - 1] is not None, ids[k - 1] or 0)), 0)
+    ids = ids[turn:] + ids[:turn]  # rows of the first id may come before and after the place where the walk began
+    return ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(ids) == len(rows)
+
+
+@pytest.mark.parametrize("hot", [None, 5, 2000])
+def test_one_id_of_most_rows_is_many_ranges(spark, monkeypatch, hot):
+    monkeypatch.setattr(fingerprints, "FEW", 40)
+    rows = [(hot if k % 10 else k, f"text {k}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "text")
+    got = [tuple(r) for r in fingerprints.with_next_text(df).collect()]
+    assert sorted(t for _, t, _ in got) == sorted(t for _, t in rows) and neighbours_are_in_order(got)
+    same = [(hot if k % 10 else k, "one text" if k % 3 else f"text {k}") for k in range(3000)]
+    got = [tuple(r) for r in fingerprints.with_next_text(spark.createDataFrame(same, "doc_id long, text string")).collect()]
+    assert len(got) == 3000 and Counter(t for _, t, _ in got) == Counter(n for _, _, n in got)
+    assert sum(t != n for i, t, n in got if i == hot and t == "one text") <= 2  # the last of the id, and of those apart from it
+    sizes = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = fingerprints.with_next_text(sizes)._jdf.queryExecution().toString()
+    assert "__sub" in plan and "CartesianProduct" not in plan
+
+
+def test_ranges_of_one_id_are_even(spark):
+    """The largest partition of the files holds few times the rows of the median one."""
+    docs = spark.createDataFrame([(None if k % 10 else k, f"text {k % 700}") for k in range(20_000)], "doc_id long, text string")
+    path = scratch(spark, "even")
+    orc_tokens.write_token_orc(docs, path, BYTE)
+    sizes = sorted(r["count"] for r in spark.read.orc(path).groupBy("part").count().collect())
+    assert len(sizes) >= 4 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    back = orc_tokens.read_token_orc(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [None] * 18_000 + list(range(0, 20_000, 10))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(back[:-1], back[1:], strict=True))
+
+
 def test_near_duplicates(spark, odd, empty):
     got = neardup.near_duplicates(odd)
     assert got.count() == 11
