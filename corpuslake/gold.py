@@ -28,7 +28,10 @@ def linguistic(docs: DataFrame) -> DataFrame:
 
 
 def sentiment(docs: DataFrame, by: scores.Scorer | None = None, emotions_by: scores.Scorer | None = None) -> DataFrame:
-    """Sentiment and emotion payloads from chunk scores weighted by words."""
+    """Sentiment and emotion payloads from chunk scores weighted by words; both word lists in one pass."""
+    if by is None and emotions_by is None:
+        rows = scores.by_document(docs, {"s": scores.SENTIMENT, "e": scores.EMOTION})
+        return rows.select("doc_id", scores.score_struct("s_mean", "label").alias("sentiment"), scores.score_struct("e_mean", "dominant_emotion").alias("emotions"))
     chunks = scores.sentence_chunks(docs)
 
     def scored(scorer: scores.Scorer, name: str, top_name: str) -> DataFrame:
@@ -40,8 +43,10 @@ def sentiment(docs: DataFrame, by: scores.Scorer | None = None, emotions_by: sco
 
 def labels(docs: DataFrame, by: scores.Scorer | None = None, threshold: float = 0.5) -> DataFrame:
     """Label payload: maxima over chunks, labels from the threshold on and the best one in any case."""
-    scorer = by or scores.word_list_scorer(scores.TOPIC_WORDS)
-    return scores.label_payload(docs, scores.strongest(scorer(scores.sentence_chunks(docs))), threshold)
+    if by is None:
+        rows = scores.by_document(docs, {"t": scores.TOPIC_WORDS})
+        return rows.select("doc_id", scores.label_struct("t_most", threshold).alias("labels"))
+    return scores.label_payload(docs, scores.strongest(by(scores.sentence_chunks(docs))), threshold)
 
 
 MODULES: dict[str, Module] = {"linguistic": Module(GOLD_COLUMNS["linguistic"], linguistic), "sentiment": Module(GOLD_COLUMNS["sentiment"], sentiment), "labels": Module(GOLD_COLUMNS["labels"], labels)}

@@ -1,12 +1,21 @@
 """Syntactic metrics over tagged tokens, and a rule-based tagger that stands in for a model.
 
 Any tagger that gives array<struct<text, lower, lemma, tag, is_alpha, sent>> in a column
-``doc`` can be used; the metrics read that column only. The tagger here is a few array expressions
-over each text's sentences, inside the JVM.
+``doc`` can be used; modality(), pos_distribution() and verb_tense() read that column only.
+
+The tagger here works over Arrow batches: what white space sets apart (an atom) is split, looked up and classified
+once for each distinct atom that a worker meets; tags that depend on the words before are array operations over a batch's
+tokens. measured() counts what the metrics need in the same pass, so that no token leaves the worker.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,29 +80,150 @@ CONTRACTION = r"(?i)^(.*\p{L})(n['’]t|['’](?:re|ve|ll|d|s|m))([^\p{L}\p{N}]*
 PIECE = r"\p{L}+|[0-9][0-9.,]*|[^\s\p{L}\p{N}]"
 
 
-def _quoted(words) -> str:  # noqa: ANN001
-    return "(" + ", ".join('"' + w + '"' for w in words) + ")"
+#: Tokens that a worker remembers; beyond, it starts over.
+REMEMBERED = 500_000
+_ROWS = 1000
+_CONTRACTION, _PIECE = regex.compile(CONTRACTION), regex.compile(PIECE.replace(r"\s", r" \t\n\x0b\f\r"))
+_SOLID, _MARKS = regex.compile(r"[\p{L}\p{N}]"), frozenset(".,;:!?")
+_OWN = {w: tag for tag, words in reversed(CLOSED.items()) for w in words.split()}
+_LEMMA = {form: word for word, forms in reversed(LEMMAS.items()) for form in forms.split()}
 
 
-def _tokens_of(sentence: str) -> str:
-    """SQL: the tokens of a sentence; contractions are split in two, punctuation stands alone."""
-    part = f"lower(translate(a, '’', \"'\")) in {_quoted(PARTS)}"
-    split_up = f"transform(split(trim({sentence}), '\\\\s+'), a -> regexp_replace(a, r\"{CONTRACTION}\", '$1 $2 $3'))"
-    return f"flatten(transform(split(array_join({split_up}, ' '), ' '), a -> if({part}, array(a), regexp_extract_all(a, r\"{PIECE}\", 0))))"
+def _lower(text: str) -> str:
+    return text.replace("’", "'").lower()
 
 
-def _own_tag(text: str, low: str) -> str:
-    """SQL: the tag that a token has whatever stands before it; null for open words."""
-    closed = " ".join(f"when {low} in {_quoted(words.split())} then '{tag}'" for tag, words in CLOSED.items())
-    return rf"""case when not {text} rlike r'[\p{{L}}\p{{N}}]' and not {low} in {_quoted(PARTS)} then
-      case when {text} in (',', ';', ':', '(', ')') then {text} when {text} in ('.', '!', '?') then '.' else ':' end
-      when {text} rlike '^[0-9]' then 'CD' {closed} end"""
+def pieces_of(atom: str) -> list[str]:
+    """The tokens of what white space sets apart: contractions are split in two, punctuation stands alone."""
+    if atom.isalpha():
+        return [atom]
+    if atom[-1:] in _MARKS and atom[:-1].isalpha():
+        return [atom[:-1], atom[-1]]
+    out: list[str] = []
+    for part in _CONTRACTION.sub(r"\1 \2 \3", atom).split(" "):
+        out += [part] if _lower(part) in PARTS else _PIECE.findall(part)
+    return out
 
 
-def _open_tag(t: str) -> str:
-    """SQL: the tag of an open word by its capital, unless it begins the sentence, or its ending."""
-    endings = " ".join(f"when length({t}.lower) > {len(s) + 2} and {t}.lower like '%{s}' then '{tag}'" for s, tag in SUFFIXES)
-    return rf"case when k > 0 and {t}.text rlike r'^\p{{Lu}}' then 'NNP' {endings} else 'NN' end"
+def _own_tag(text: str, low: str) -> str | None:
+    """The tag that a token has whatever stands before it; None for open words."""
+    if not _SOLID.search(text) and low not in PARTS:
+        return text if text in ",;:()" else "." if text in ".!?" else ":"
+    return "CD" if "0" <= text[0] <= "9" else _OWN.get(low)
+
+
+_BY_LAST: dict[str, list[tuple[str, str]]] = {}
+for _end, _tag in SUFFIXES:
+    _BY_LAST.setdefault(_end[-1], []).append((_end, _tag))
+
+
+def _ending_tag(low: str) -> str:
+    for end, tag in _BY_LAST.get(low[-1:], ()):
+        if len(low) > len(end) + 2 and low.endswith(end):
+            return tag
+    return "NN"
+
+
+class _Lexicon:
+    """What is known of each distinct token and atom that this worker has met."""
+
+    def __init__(self) -> None:
+        self.tags: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.atoms: dict[str, tuple[int, ...]] = {}
+        self.number: dict[str, int] = {}
+        self.text: list[str] = []
+        self.low: list[str] = []
+        self.lemma: list[str] = []
+        self.own: list[int] = []  # -1 for open words
+        self.first: list[int] = []  # an open word's tag where it begins a sentence, and elsewhere
+        self.later: list[int] = []
+        self.alpha: list[bool] = []
+
+    def tag(self, name: str) -> int:
+        return self.tags.setdefault(name, len(self.tags))
+
+    def token(self, text: str) -> int:
+        got = self.number.get(text)
+        if got is None:
+            got = self.number[text] = len(self.text)
+            low, letters = _lower(text), text.isalpha()
+            own, ending = _OWN.get(low) if letters else _own_tag(text, low), _ending_tag(low)
+            self.text.append(text)
+            self.low.append(low)
+            self.lemma.append(_LEMMA.get(low, low))
+            self.own.append(-1 if own is None else self.tag(own))
+            self.first.append(self.tag(ending))
+            self.later.append(self.tag("NNP" if text[0].isupper() and text[0].isalpha() else ending))
+            self.alpha.append(letters)
+        return got
+
+    def of(self, atom: str) -> tuple[int, ...]:
+        got = self.atoms.get(atom)
+        if got is None:
+            got = self.atoms[atom] = tuple(self.token(t) for t in pieces_of(atom))
+        return got
+
+
+class _Tokens(NamedTuple):
+    """The tokens of a batch: the distinct ones by their numbers in the lexicon, and for each token which of them it is, its row, sentence (over the batch) and tag."""
+
+    distinct: list[int]
+    token: np.ndarray
+    row: np.ndarray
+    sentence: np.ndarray
+    tag: np.ndarray
+
+    def of(self, values: list, kind: type) -> np.ndarray:
+        """A property of the lexicon's tokens, for each token."""
+        return np.array([values[k] for k in self.distinct], kind)[self.token]
+
+
+_LEXICON = _Lexicon()
+
+
+def _tagged(column: pa.ListArray, known: _Lexicon) -> _Tokens:
+    """Tokens of rows of sentences of atoms, tagged."""
+    sentences = column.flatten()
+    atoms = sentences.flatten().dictionary_encode()
+    of = [known.of(a) for a in atoms.dictionary.to_pylist()]
+    size = np.array([len(x) for x in of], np.int64)
+    flat = np.array([x for y in of for x in y], np.int64)
+    start = np.cumsum(size) - size
+    code = atoms.indices.to_numpy()
+    n = size[code]
+    token = flat[np.repeat(start[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(code) else np.zeros(0, np.int64)
+    atom_sentence = np.repeat(np.arange(len(sentences)), sentences.value_lengths().to_numpy())
+    sentence = np.repeat(atom_sentence, n)
+    row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())[sentence] if len(sentences) else np.zeros(0, np.int64)
+    distinct, token = np.unique(token, return_inverse=True)
+    t = _Tokens(distinct.tolist(), token, row, sentence, row)
+    own = t.of(known.own, np.int64)
+    before = np.full((2, len(token)), -1)
+    for k in (1, 2):
+        same = sentence[k:] == sentence[:-k]
+        before[k - 1, k:][same] = own[:-k][same]
+    modal, adverb = known.tag("MD"), known.tag("RB")
+    after_modal = (before[0] == modal) | (before[0] == known.tag("TO")) | ((before[0] == adverb) & (before[1] == modal))
+    begins = np.append(True, sentence[1:] != sentence[:-1])[: len(token)]
+    guess = np.where(begins, t.of(known.first, np.int64), t.of(known.later, np.int64))
+    return t._replace(tag=np.where(own >= 0, own, np.where(after_modal, known.tag("VB"), guess)))
+
+
+def _atoms(docs: DataFrame, *keep: Column | str) -> DataFrame:
+    """doc_id, the atoms of each sentence, and whatever else is kept."""
+    atoms = F.transform(T.sentences("text"), lambda s: F.split(F.trim(s), r"\s+"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), atoms.alias("atoms"), *keep)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            if len(_LEXICON.text) > REMEMBERED or len(_LEXICON.atoms) > REMEMBERED:
+                _LEXICON.clear()
+            yield whole.slice(at, _ROWS)
 
 
 def tagged(docs: DataFrame) -> DataFrame:
@@ -101,17 +231,78 @@ def tagged(docs: DataFrame) -> DataFrame:
 
     An open word behind a modal or "to", or behind a modal and an adverb, is a verb's base form. Row by row, no shuffle.
     """
-    lemma = " ".join(f"when t.lower in {_quoted(forms.split())} then '{word}'" for word, forms in LEMMAS.items())
-    before = "coalesce(get(ts, k - 1).own, '')", "coalesce(get(ts, k - 2).own, '')"
-    after_modal = f"({before[0]} in ('MD', 'TO') or ({before[0]} = 'RB' and {before[1]} = 'MD'))"
-    token = rf"""struct(t.text as text, t.lower as lower, case {lemma} else t.lower end as lemma,
-      coalesce(t.own, if({after_modal}, 'VB', {_open_tag('t')})) as tag, t.text rlike r'^\p{{L}}+$' as is_alpha, n as sent)"""
-    low = "lower(translate(t, '’', \"'\"))"
-    rows = docs.select("doc_id", "text", T.sentences("text").alias("ss"))
-    rows = rows.select("doc_id", "text", F.expr(f"transform(ss, s -> {_tokens_of('s')})").alias("ts"))
-    rows = rows.select("doc_id", "text", F.expr(f"transform(ts, x -> transform(x, t -> struct(t as text, {low} as lower)))").alias("ts"))
-    rows = rows.select("doc_id", "text", F.expr(f"transform(ts, x -> transform(x, t -> struct(t.text as text, t.lower as lower, {_own_tag('t.text', 't.lower')} as own)))").alias("ts"))
-    return rows.select("doc_id", "text", F.expr(f"flatten(transform(ts, (ts, n) -> transform(ts, (t, k) -> {token})))").alias("doc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _LEXICON
+        for batch in _batches(batches):
+            t = _tagged(batch.column(1), known)
+            names = list(known.tags)
+            pick = pa.array(t.token)
+            starts = np.searchsorted(t.row, np.arange(batch.num_rows + 1))
+            first = np.cumsum(batch.column(1).value_lengths().to_numpy()) - batch.column(1).value_lengths().to_numpy()  # of the rows' sentences
+            columns = [pa.array([x[k] for k in t.distinct], pa.string()).take(pick) for x in (known.text, known.low, known.lemma)]
+            columns += [pa.array(names, pa.string()).take(pa.array(t.tag)), pa.array(t.of(known.alpha, bool)), pa.array((t.sentence - first[t.row]).astype(np.int32))]
+            items = pa.StructArray.from_arrays(columns, ["text", "lower", "lemma", "tag", "is_alpha", "sent"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), items)], ["doc_id", "text", "doc"])
+
+    return _atoms(docs, F.col("text").cast("string")).mapInArrow(run, f"doc_id long, text string, doc {DOC_TYPE}")
+
+
+_COUNTS = ("tokens", "alpha", *MODAL_MARKERS, *POS_BUCKETS, "past", "present", "future", "non_finite")
+
+
+def _counted(t: _Tokens, known: _Lexicon, rows: int) -> list[np.ndarray]:
+    """The numbers of _COUNTS for each row."""
+    per_row = lambda hit: np.bincount(t.row[hit], minlength=rows)
+    among = lambda values, words: np.array([values[k] in words for k in t.distinct], bool)[t.token]
+    tagged_as = lambda *names: np.isin(t.tag, [known.tag(x) for x in names])
+    next_same = np.append(t.row[1:] == t.row[:-1], False)[: len(t.row)]
+    out = [np.bincount(t.row, minlength=rows), per_row(t.of(known.alpha, bool))]
+    for name, lemmas in MODAL_MARKERS.items():
+        hits = per_row(among(known.lemma, lemmas))
+        for first, second in MODAL_PHRASES.get(name, ()):
+            follows = np.append(among(known.low, (second,))[1:], False)[: len(t.row)] & next_same
+            hits = hits + per_row(among(known.lemma, (first,)) & follows)
+        out.append(hits)
+    out += [per_row(tagged_as(*tags)) for tags in POS_BUCKETS.values()]
+    verb, mark = tagged_as(*POS_BUCKETS["verb"]), tagged_as(".", ",", "?", "!")
+    open_, ahead = np.ones(len(t.row), bool), np.zeros(len(t.row), bool)
+    for k in range(1, 5):  # a verb among the next four tokens, no mark before it
+        inside = np.zeros(len(t.row), bool)
+        inside[:-k] = t.row[k:] == t.row[:-k]
+        shift = lambda flags, k=k, inside=inside: np.concatenate([flags[k:], np.zeros(min(k, len(flags)), bool)]) & inside
+        ahead |= open_ & shift(verb)
+        open_ &= ~shift(mark)
+    will = tagged_as("MD") & among(known.low, ("will", "shall"))
+    return [*out, per_row(tagged_as("VBD")), per_row(tagged_as("VBP", "VBZ")), per_row(will & ahead), per_row(tagged_as("VBG", "VBN", "VB"))]
+
+
+def measured(docs: DataFrame, *keep: Column) -> DataFrame:
+    """doc_id, what else is kept, and the counts that the metrics are made of, one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batches(batches):
+            counts = _counted(_tagged(batch.column(1), _LEXICON), _LEXICON, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *(pa.array(c.astype(np.int64)) for c in counts)], ["doc_id", *batch.schema.names[2:], *(f"n_{c}" for c in _COUNTS)])
+
+    rows = _atoms(docs, *keep)
+    kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[2:])
+    return rows.mapInArrow(run, "doc_id long, " + (kept + ", " if kept else "") + ", ".join(f"n_{c} long" for c in _COUNTS))
+
+
+def modality_counts() -> list[Column]:
+    """The columns of modality() over measured()."""
+    return [F.when(F.col("n_alpha") > 0, F.round(F.col(f"n_{name}") * 1000 / F.col("n_alpha"), 2)).otherwise(F.lit(0.0)).alias(name) for name in MODAL_MARKERS]
+
+
+def pos_counts() -> list[Column]:
+    """The columns of pos_distribution() over measured(), but the last."""
+    return [_percent(F.col(f"n_{name}"), F.col("n_tokens")).alias(name) for name in POS_BUCKETS]
+
+
+def tense_counts() -> list[Column]:
+    """The columns of verb_tense() over measured()."""
+    return [_percent(F.col(f"n_{name}"), F.col("n_verb")).alias(name) for name in ("past", "present", "future", "non_finite")]
 
 
 def _stats_columns() -> list[Column]:
@@ -191,14 +382,15 @@ def verb_tense(rows: DataFrame) -> DataFrame:
 
 
 def payload(docs: DataFrame) -> DataFrame:
-    """doc_id, syntactic_metrics: the syntactic payload as one struct (N15), from one pass over the tagged texts."""
+    """doc_id, syntactic_metrics: the syntactic payload as one struct (N15), from one pass over the texts."""
+
     def as_map(names, columns: list[Column]) -> Column:  # noqa: ANN001
         return F.create_map(*[x for name, c in zip(names, columns, strict=True) for x in (F.lit(name), c)])
 
     fields = [
-        F.struct(*_stats_columns()).alias("speech_stats"),
-        as_map(MODAL_MARKERS, _modality_columns()).alias("modality"),
-        as_map(POS_BUCKETS, _pos_columns()).alias("pos_distribution"),
-        as_map(("past", "present", "future", "non_finite"), _tense_columns()).alias("verb_tense"),
+        "speech_stats",
+        as_map(MODAL_MARKERS, modality_counts()).alias("modality"),
+        as_map(POS_BUCKETS, pos_counts()).alias("pos_distribution"),
+        as_map(("past", "present", "future", "non_finite"), tense_counts()).alias("verb_tense"),
     ]
-    return tagged(docs).select("doc_id", F.struct(*fields, F.size("doc").cast("long").alias("total_tagged_tokens")).alias("syntactic_metrics"))
+    return measured(docs, F.struct(*_stats_columns()).alias("speech_stats")).select("doc_id", F.struct(*fields, F.col("n_tokens").alias("total_tagged_tokens")).alias("syntactic_metrics"))

@@ -86,7 +86,7 @@ EMO = {"anger": ("the", "on"), "disgust": ("der",), "fear": ("is", "le"), "joy":
 
 
 def _scores(lists, how):  # noqa: ANN001, ANN202
-    return lambda s, d: how(scores.word_list_scorer(lists)(scores.sentence_chunks(docs(s, d))))
+    return lambda s, d: how(scores.by_document(docs(s, d), {"x": lists}))
 
 
 _GIVEN = "given AS (SELECT doc_id, CASE WHEN doc_id % 17 <> 3 THEN text END AS text FROM documents)"
@@ -214,15 +214,15 @@ ENTRIES = {
         f"""WITH {TOK}, q AS (SELECT doc_id, text, t, len({_SENT.format('text')}) AS n FROM tok) SELECT doc_id, n AS sentence_count, CASE WHEN n > 0 THEN {half_up('len(t)', 'n', 2)} ELSE 0.0 END AS avg_sentence_length,
         CASE WHEN len(t) > 0 THEN {half_up(_LETTERS, 'len(t)', 2)} ELSE 0.0 END AS avg_word_length, length(text) - length(replace(text, '?', '')) AS question_count, length(text) - length(replace(text, '!', '')) AS exclamation_count FROM q""",
     ),
-    "modality_markers": (lambda s, d: syntactic.modality(syntactic.tagged(docs(s, d))), X.MODALITY),
-    "pos_distribution": (lambda s, d: syntactic.pos_distribution(syntactic.tagged(docs(s, d))), X.POS),
-    "verb_future_lookahead": (lambda s, d: syntactic.verb_tense(syntactic.tagged(docs(s, d))), X.TENSE),
+    "modality_markers": (lambda s, d: syntactic.measured(docs(s, d)).select("doc_id", *syntactic.modality_counts()), X.MODALITY),
+    "pos_distribution": (lambda s, d: syntactic.measured(docs(s, d)).select("doc_id", *syntactic.pos_counts(), F.col("n_tokens").alias("total_tagged_tokens")), X.POS),
+    "verb_future_lookahead": (lambda s, d: syntactic.measured(docs(s, d)).select("doc_id", *syntactic.tense_counts()), X.TENSE),
     "entity_mentions": (lambda s, d: entities.grouped(entities.mentions_by_rule(docs(s, d))), X.MENTIONS),
     "chunk_pack": (lambda s, d: chunking.chunks(docs(s, d), 60), _CHUNKS),
-    "weighted_sentiment": (_scores(LISTS, lambda x: scores.dominant(scores.weighted(x))), _scored_sql(LISTS, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
-    "weighted_emotion": (_scores(EMO, lambda x: scores.dominant(scores.weighted(x))), _scored_sql(EMO, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
-    "zero_shot_labels": (_scores(EMO, lambda x: scores.selected(scores.strongest(x), 0.3)), _scored_sql(EMO, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.3 OR rank = 1"),
-    "topic_labels": (_scores(TOPICS, lambda x: scores.selected(scores.strongest(x))), _scored_sql(TOPICS, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.5 OR rank = 1"),
+    "weighted_sentiment": (_scores(LISTS, lambda x: scores.dominant_entry(x, "x_mean")), _scored_sql(LISTS, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
+    "weighted_emotion": (_scores(EMO, lambda x: scores.dominant_entry(x, "x_mean")), _scored_sql(EMO, "weighted") + "SELECT doc_id, label, score FROM rk WHERE rank = 1"),
+    "zero_shot_labels": (_scores(EMO, lambda x: scores.selected_entries(x, "x_most", 0.3)), _scored_sql(EMO, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.3 OR rank = 1"),
+    "topic_labels": (_scores(TOPICS, lambda x: scores.selected_entries(x, "x_most")), _scored_sql(TOPICS, "max") + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, label, score FROM rk WHERE score >= 0.5 OR rank = 1"),
     "bronze_dedup": (
         _dedup,
         f"""WITH {_GIVEN}, h AS (SELECT doc_id, sha256(text) AS checksum, CAST(octet_length(encode(text)) AS BIGINT) AS file_size FROM given)

@@ -5,6 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslake import gold
 from corpuslake.functions import text as T
 from corpuslake.operators import chunking, entities, lexical, scores, syntactic, topics
 
@@ -121,6 +122,22 @@ def test_posts_titles_prompts(spark):
     assert [r.h for r in h] == ["some.one", "realdonaldtrump"]
 
 
+def test_scores_within_rows_equal_scores_by_shuffles(spark):
+    d = spark.createDataFrame([(1, "Good war. Great hope and fear! nothing here"), (2, None), (3, ""), (4, "..."), (5, "is is bad. Joy joy LOVE"), (None, "win")], "doc_id long, text string")
+    rows = scores.by_document(d, {"a": scores.SENTIMENT, "b": scores.EMOTION}).cache()
+    for name, lists in (("a", scores.SENTIMENT), ("b", scores.EMOTION)):
+        chunks = scores.word_list_scorer(lists)(scores.sentence_chunks(d))
+        for column, apart in ((f"{name}_mean", scores.weighted(chunks)), (f"{name}_most", scores.strongest(chunks))):
+            got = {(r.doc_id, x.label): round(x.score, 9) for r in rows.collect() for x in r[column] or []}
+            assert got == {(r.doc_id, r.label): round(r.score, 9) for r in apart.collect()}
+            key = lambda r: str(r)
+            assert sorted(scores.dominant_entry(rows, column).collect(), key=key) == sorted(scores.dominant(apart).collect(), key=key)
+            assert sorted(scores.selected_entries(rows, column, 0.2).collect(), key=key) == sorted(scores.selected(apart, 0.2).collect(), key=key)
+    plan = gold.sentiment(d)._jdf.queryExecution().executedPlan().toString() + gold.labels(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert scores.by_document(d.limit(0), {"a": scores.SENTIMENT}).count() == 0
+
+
 def test_topics_need_enough_documents(spark):
     d = docs(spark, *["word " * 3] * 5).withColumn("word_count", F.lit(3))
     v = d.select("doc_id", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
