@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import urls
+from corpuslake.operators.skew import joined_by_key
 from corpuslake.session import cut
 
 
@@ -17,16 +18,18 @@ def with_checksum(rows: DataFrame, content: str = "content") -> DataFrame:
 def deduplicated(batch: DataFrame, known: DataFrame | None = None, order: Column | str = "discovery_order") -> DataFrame:
     """``batch`` with outcome: ingested, skipped (checksum known or seen earlier in the batch), failed (no checksum).
 
-    Within the batch the first by ``order`` wins. That first is found by a partial aggregate,
-    so a content that fills half the batch is no hot key.
+    Within the batch the first by ``order`` wins. That first is found by a partial aggregate and brought back to
+    the rows by a join that deals out hot keys, so a content that fills half the batch is not one task's work.
     """
-    first = batch.where("checksum is not null").groupBy("checksum").agg(F.min(order).alias("__first"))
+    o = F.col(order) if isinstance(order, str) else order
+    batch = batch.withColumn("__order", o)
+    counts = cut(batch.where("checksum is not null").groupBy("checksum").agg(F.min("__order").alias("__first"), F.count(F.lit(1)).alias("copies")))
+    first = counts.select("checksum", "__first")
     if known is not None:
         first = first.join(known.select("checksum"), "checksum", "left_anti")
-    out = batch.join(first, "checksum", "left")
-    o = F.col(order) if isinstance(order, str) else order
-    outcome = F.when(F.col("checksum").isNull(), "failed").when(o == F.col("__first"), "ingested").otherwise("skipped")
-    return out.withColumn("outcome", outcome).drop("__first")
+    out = joined_by_key(batch, first, counts.select("checksum", "copies"), ["checksum"], "__order", "left")
+    outcome = F.when(F.col("checksum").isNull(), "failed").when(F.col("__order") == F.col("__first"), "ingested").otherwise("skipped")
+    return out.withColumn("outcome", outcome).drop("__first", "__order")
 
 
 def counters(outcomes: DataFrame) -> DataFrame:

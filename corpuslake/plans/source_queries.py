@@ -6,9 +6,8 @@ go through the sources and extractors as any page would.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslake import gold, schemas, sources
@@ -17,7 +16,7 @@ from corpuslake.operators import bronze as B
 from corpuslake.operators import crawl, dashboard, embeddings, extract, repair, scores, store
 from corpuslake.plans import derived, text_queries, web_queries
 from corpuslake.plans.derived import table
-from corpuslake.session import scratch
+from corpuslake.session import cut, scratch
 from corpuslake.sources import files
 
 _ESCAPED = "replace(replace(text, '&', '&amp;'), '<', '&lt;')"
@@ -102,8 +101,9 @@ def _archive_items(spark, d):  # noqa: ANN001, ANN202
     piece = f"""concat('<div class="tvcol" data-idx="', turn, '">', case when turn % 5 = 3 then '' else concat('<a class="js-tv2-col_clicked" href="/x/start/', turn * 60, '/end/', turn * 60 + 60, '">x</a>') end, '<div class="snipin">', {_ESCAPED}, '</div></div>')"""
     head = """concat('<input class="js-tv3-init" value=\\'{"TV3.identifier": "c', id, '"}\\'><h1 class="item-title">News ', id, '</h1><div class="tv-ttl"><div>June 16, 2015 noon</div></div>')"""
     pages = _per_conversation(spark, d, piece, head, "''").select(F.concat(F.lit("https://archive.org/details/c"), "id").alias("url"), "html")
-    settings = json.dumps({f"c{k}": [0, 2] for k in range(0, 4000, 4)})
-    excluded = files.exclusions(spark, _written(spark.createDataFrame([(settings,)], "value string").coalesce(1), "excluded"))
+    ids = table(spark, d, "conversations").select("conv_id").distinct().where("conv_id % 4 = 0")
+    settings = ids.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("c"), "conv_id"), F.array(F.lit(0), F.lit(2)))))).alias("value"))  # one file, as a user writes it
+    excluded = files.exclusions(spark, _written(settings.coalesce(1), "excluded"))
     found = sources.read(spark, "internet_archive", pages=pages, excluded=excluded)
     rows = found.select(F.regexp_extract("source_url", r"c(\d+)$", 1).cast("long").alias("doc_id"), "source_url", "source_type", "raw_metadata", F.lit(None).cast("binary").alias("content"))
     return extract.silver(rows).select("doc_id", "title", "publication_date", "transcript", "word_count")
@@ -144,13 +144,18 @@ def _posts_sql(kept: str, said: str) -> str:
     FROM (SELECT conv_id, string_agg({_CLEAN.format(said)}, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE {kept}) AS t FROM conversations GROUP BY conv_id)"""
 
 
-def _link_chain(spark, d):  # noqa: ANN001, ANN202
+def _link_chain(spark, d, most: int | None = 60):  # noqa: ANN001, ANN202
     rows = table(spark, d, "pages")
-    n = F.lit(rows.count())
+    size = rows.count()
+    n = F.lit(size)
     link = F.concat(F.lit('<li class="next"><a href="'), F.pmod(F.col("page_id") * 7 + 1, n), F.lit('">n</a></li>'))
     pages = rows.select(F.concat(F.lit("http://l.t/"), "page_id").alias("url"), F.concat("html", link).alias("html"))
-    return sources.read(spark, "miller_center", pages=pages, start_url="http://l.t/0", max_depth=60).select("source_url", "mime_type", F.col("discovery_order").cast("int").alias("place"))
+    return sources.read(spark, "miller_center", pages=pages, start_url="http://l.t/0", max_depth=most or size + 1).select("source_url", "mime_type", F.col("discovery_order").cast("int").alias("place"))
+
 
+#: The whole chain: it comes back to its start, or into itself, after as many steps as there are pages at most.
+_CHAIN_WHOLE = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), w(p, place) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT (p * 7 + 1) % (SELECT n FROM n), place + 1 FROM w WHERE place < (SELECT n FROM n))
+    SELECT 'http://l.t/' || p AS source_url, 'text/html' AS mime_type, min(place) AS place FROM w GROUP BY p"""
 
 _CHAIN = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), w(p, place) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT (p * 7 + 1) % (SELECT n FROM n), place + 1 FROM w WHERE place < 59)
     SELECT 'http://l.t/' || p AS source_url, 'text/html' AS mime_type, min(place) AS place FROM w GROUP BY p"""
@@ -162,7 +167,7 @@ def _listing(spark, d):  # noqa: ANN001, ANN202
     rows = docs(spark, d).select((F.col("doc_id") / 20).cast("long").alias("p"), "doc_id", F.expr(f"concat('<a href=\"/d/', doc_id, '#x\">', {says}, '</a><a href=\"/d/', doc_id, '\">tweets of it</a>')").alias("a"))
     rows = rows.groupBy("p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "a"))), lambda x: x["a"]), " ").alias("body"))
     pages = rows.select(F.concat(F.lit("http://l.t/"), "p").alias("url"), F.concat("body", F.lit('<li class="next"><a href="'), F.col("p") + 1, F.lit('">n</a></li>')).alias("html"))
-    found = sources.read(spark, "ucsb", pages=pages, listing_url="http://l.t/0", max_documents=10**8, max_pages=10**6)
+    found = sources.read(spark, "ucsb", pages=pages, listing_url="http://l.t/0", max_documents=None, max_pages=10**6)
     return found.select("source_url", F.get_json_object("raw_metadata", "$.content_type").alias("content_type"))
 
 
@@ -270,16 +275,29 @@ def _capped(spark, d):  # noqa: ANN001, ANN202
     return crawl.crawl(site.drop("page_id"), seeds, ["site.test", "nowhere"], max_depth=2, max_pages=9).select("url", "crawl_depth")
 
 
-def _placed(rows, columns: str):  # noqa: ANN001, ANN202
-    """A short ordered result with the place of each row."""
-    return rows.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(rows.collect())], f"place int, {columns}")
+def _placed(rows):  # noqa: ANN001, ANN202
+    """An ordered result with the place of each row: the rows of the partitions before, and the place within one."""
+    kept = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
+    kept = kept.withColumns({"__part": F.shiftright("__row", 33), "__at": F.col("__row").bitwiseAND((1 << 33) - 1)})
+    sizes = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return kept.join(F.broadcast(before), "__part").select((F.col("__before") + F.col("__at")).cast("int").alias("place"), *rows.columns)
+
+
+def _single_items(spark, d):  # noqa: ANN001, ANN202
+    """Each page's URL as a single item's candidate."""
+    rows = table(spark, d, "pages").where("url is not null").select(F.col("url").alias("source_url"), F.lit("text").alias("source_type"), F.lit(False).alias("is_local"), F.lit(None).cast("string").alias("raw_metadata"))
+    return files.single_items(rows).select("source_url", "source_type", "file_name", "is_local")
+
+
+_SINGLE = r"""SELECT url AS source_url, 'text' AS source_type, coalesce(nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[^:]+://[^/]*/(?:.*/)?([^/]+)/*$', 1), ''), 'downloaded_file') AS file_name, false AS is_local FROM pages"""
 
 
 ENTRIES = {
     "url_list": (_url_list, _URL_LIST),
     "transform_lines": (_lines_out, "SELECT CASE WHEN doc_id % 4 = 0 THEN doc_id || '. no link' ELSE 'http://' || source || '/http://' || doc_id END AS line FROM documents"),
     "local_files": (_local_files, "SELECT 'text' AS source_type, 'text/plain' AS mime_type, true AS is_local, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents"),
-    "single_item": (lambda s, d: sources.read(s, "single", location="https://a.b/c/d.mp3?x=1", source_type="audio").select("source_url", "source_type", "file_name", "is_local", "mime_type"), "SELECT 'https://a.b/c/d.mp3?x=1' AS source_url, 'audio' AS source_type, 'd.mp3' AS file_name, false AS is_local, 'audio/mpeg' AS mime_type"),
+    "single_item": (_single_items, _SINGLE),
     "video_records": (_videos(False), _VIDEOS),
     "video_playlists": (_videos(True), _PLAYLIST),
     "archive_items": (_archive_items, _ARCHIVE),
@@ -287,6 +305,7 @@ ENTRIES = {
     "post_pages_flat": (_flat_posts, _posts_sql("turn % 4 IN (0, 3) AND length(trim(text)) > 0", "'#tag ' || text || ' https://a.b/c'")),
     "post_pages_paired": (_paired_posts, _posts_sql("turn % 3 <> 1", "text || ' @me more'")),
     "link_chain": (_link_chain, _CHAIN),
+    "link_chain_whole": (lambda s, d: _link_chain(s, d, None), _CHAIN_WHOLE),
     "listing_links": (_listing, _LISTING),
     "robots_allowed": (_robots, _ROBOTS),
     "transcription_prompts": (_prompts, _PROMPTS),
@@ -299,11 +318,15 @@ ENTRIES = {
     "document_embeddings": (_embedded, _EMBEDDED),
     "crawl_capped": (_capped, f"SELECT * FROM ({web_queries._crawl_sql(2)}) ORDER BY crawl_depth, url LIMIT 9"),
     "overview_order": (
-        lambda s, d: _placed(dashboard.by_origin(derived.bronze(s, d)), "origin string, count long"),
+        lambda s, d: _placed(dashboard.by_origin(derived.bronze(s, d))),
         f"WITH {derived.BRONZE}, c AS (SELECT coalesce(source_name, 'unknown') AS origin, count(*) AS count FROM bronze GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY count DESC, origin) - 1 AS INTEGER) AS place, origin, count FROM c",
     ),
     "history_order": (
-        lambda s, d: _placed(dashboard.history(derived.bronze(s, d), derived.silver(s, d)).select("doc_id").limit(50), "doc_id long"),
+        lambda s, d: _placed(dashboard.history(derived.bronze(s, d), derived.silver(s, d)).select("doc_id").limit(50)),
         f"WITH {derived.BRONZE} SELECT CAST(row_number() OVER (ORDER BY ingestion_date DESC, doc_id) - 1 AS INTEGER) AS place, doc_id FROM bronze WHERE NOT excluded ORDER BY place LIMIT 50",
     ),
+    "history_order_whole": (
+        lambda s, d: _placed(dashboard.history(derived.bronze(s, d), derived.silver(s, d)).select("doc_id")),
+        f"WITH {derived.BRONZE} SELECT CAST(row_number() OVER (ORDER BY ingestion_date DESC, doc_id) - 1 AS INTEGER) AS place, doc_id FROM bronze WHERE NOT excluded",
+    ),
 }

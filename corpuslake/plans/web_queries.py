@@ -133,7 +133,7 @@ _MAIN_TEXT = r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(
 ENTRIES = {
     "html_title": (
         lambda s, d: web.probe(pages(s, d).select(F.col("url").alias("location"), F.lit(False).alias("is_local"), F.col("html").alias("content"))).select("location", "source_kind", "detected_title", "detected_size_bytes"),
-        f"SELECT url AS location, 'single' AS source_kind, nullif(trim({_TITLE.replace('html,', 'substr(html, 1, 8192),')}), '') AS detected_title, length(html) AS detected_size_bytes FROM pages",
+        f"SELECT url AS location, 'single' AS source_kind, nullif(trim({_TITLE.replace('html,', 'substr(html, 1, 8192),')}), '') AS detected_title, octet_length(encode(html)) AS detected_size_bytes FROM pages",
     ),
     "html_title_guess": (lambda s, d: extract.titles(pages(s, d)), _cleaned(f"SELECT page_id, replace({_TITLE}, '&amp;', '&') AS title FROM pages", "page_id")),
     "html_main_text": (lambda s, d: extract.main_texts(pages(s, d)), _MAIN_TEXT),

@@ -34,8 +34,13 @@ def single_item(spark: SparkSession, location: str, source_type: str, is_local:
     if is_local:
         content = spark.read.format("binaryFile").load(location).select("content")
         row = row.crossJoin(F.broadcast(content.limit(1)))  # one row each
+    return single_items(row)
+
+
+def single_items(rows: DataFrame) -> DataFrame:
+    """As single_item(), for each row of source_url, source_type, is_local, raw_metadata."""
     name = urls.last_segment("source_url", "downloaded_file")
-    row = row.withColumns({"file_name": name, "mime_type": urls.lookup(urls.extension(name), urls.MIME_TYPES), "local_path": F.when(F.col("is_local"), F.col("source_url")), "discovery_order": F.lit("0")})
+    row = rows.withColumns({"file_name": name, "mime_type": urls.lookup(urls.extension(name), urls.MIME_TYPES), "local_path": F.when(F.col("is_local"), F.col("source_url")), "discovery_order": F.lit("0")})
     return _candidates(row)
 
 
