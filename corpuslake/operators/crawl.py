@@ -56,13 +56,17 @@ def allowed(url: Column, domains: list[str] | None) -> Column:
 
 
 def by_robots(rows: DataFrame, robots: DataFrame | None, on_missing: bool = False, url: str = "url") -> DataFrame:
-    """``rows`` whose path no rule of (domain, disallowed_prefix) forbids; without a table of rules nothing is checked.
+    """``rows`` whose path no rule of (domain, disallowed_prefix) forbids, or no file of (domain, content); without either nothing is checked.
 
     A domain that the table does not know is refused, or allowed with ``on_missing``; one that
     forbids nothing has a row with an empty prefix.
     """
     if robots is None:
         return rows
+    if "content" in robots.columns:  # files as fetched
+        from corpuslake.sources import robots as files_of_robots  # sources read this module
+
+        return files_of_robots.allowed(rows, robots, on_missing=on_missing, url=url).drop("crawl_delay")
     keyed = rows.withColumns({"__domain": urls.domain(url), "__path": urls.path(url)})
     # rules are few where they fit a broadcast, and then a domain with very many pages is no hot key
     bad = cut(robots.select(F.col("domain").alias("__domain"), F.col("disallowed_prefix").alias("__rule")).distinct())

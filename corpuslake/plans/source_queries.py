@@ -17,7 +17,7 @@ from corpuslake.operators import crawl, dashboard, embeddings, extract, repair,
 from corpuslake.plans import derived, text_queries, web_queries
 from corpuslake.plans.derived import table
 from corpuslake.session import cut, scratch
-from corpuslake.sources import files
+from corpuslake.sources import files, robots
 
 _ESCAPED = "replace(replace(text, '&', '&amp;'), '<', '&lt;')"
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, 'https?://\S+', '', 'g'), '@\w+', '', 'g'), '#\w+', '', 'g'), '\s+', ' ', 'g'))"
@@ -186,6 +186,23 @@ _ROBOTS = f"""WITH p AS (SELECT page_id, {_DOMAIN} AS domain, {_PATH} AS path FR
     SELECT page_id FROM p WHERE EXISTS (SELECT 1 FROM r WHERE r.domain = p.domain) AND NOT EXISTS (SELECT 1 FROM r WHERE r.domain = p.domain AND rule <> '' AND starts_with(path, rule))"""
 
 
+def _robots_files(spark, d):  # noqa: ANN001, ANN202
+    """Each domain of pages with a file made of its first page's path: what is forbidden has a wild card and an end, a longer prefix is allowed."""
+    rows = table(spark, d, "pages").select("page_id", "url")
+    first = rows.groupBy(urls.domain("url").alias("domain")).agg(F.min(F.struct("page_id", urls.path("url").alias("p"))).alias("m"))
+    lines = F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-Agent: *  # all\nDisallow: "), F.substring("m.p", 1, 2), F.lit("*\nCrawl-delay: 2\nAllow: "), F.substring("m.p", 1, 3), F.lit("\nDisallow: /*"), F.expr("right(m.p, 1)"), F.lit("$\n"))
+    files_ = first.where("m.page_id % 7 < 6").select("domain", lines.alias("content"))
+    return robots.allowed(rows, files_).select("page_id", "crawl_delay")
+
+
+_ROBOTS_FILES = rf"""WITH p AS (SELECT page_id, {_DOMAIN} AS domain, {_PATH} AS path, CASE WHEN regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1) LIKE '/%' THEN regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1) ELSE '/' || regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1) END AS full_path FROM pages),
+    f AS (SELECT domain, arg_min(path, page_id) AS first FROM p GROUP BY domain HAVING min(page_id) % 7 < 6),
+    r AS (SELECT domain, unnest([{{'allow': false, 'p': substr(first, 1, 2) || '*'}}, {{'allow': true, 'p': substr(first, 1, 3)}}, {{'allow': false, 'p': '/*' || right(first, 1) || '$'}}]) AS r FROM f),
+    x AS (SELECT domain, r.allow AS allow, length(r.p) AS n, '^' || replace(regexp_escape(CASE WHEN r.p LIKE '%$' THEN left(r.p, -1) ELSE r.p END), '\*', '.*') || CASE WHEN r.p LIKE '%$' THEN '$' ELSE '' END AS rx FROM r WHERE r.p <> ''),
+    m AS (SELECT page_id, arg_max(allow, n * 2 + CAST(allow AS INT)) AS allow FROM p JOIN x ON x.domain = p.domain AND regexp_matches(full_path, x.rx) GROUP BY page_id)
+    SELECT page_id, 2.0::DOUBLE AS crawl_delay FROM p JOIN f USING (domain) LEFT JOIN m USING (page_id) WHERE coalesce(allow, true)"""
+
+
 def _prompts(spark, d):  # noqa: ANN001, ANN202
     meta = F.struct(F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("T"), "doc_id")).alias("title"), F.when(F.col("doc_id") % 4 == 0, " ").when(F.col("doc_id") % 4 == 1, F.col("text")).alias("description"), F.struct(F.when(F.col("doc_id") % 4 == 2, F.col("text")).alias("about")).alias("extra"))
     return docs(spark, d).select("doc_id", F.to_json(meta).alias("m")).select("doc_id", extract.prompt_of("m", "Base.").alias("prompt"))
@@ -308,6 +325,7 @@ ENTRIES = {
     "link_chain_whole": (lambda s, d: _link_chain(s, d, None), _CHAIN_WHOLE),
     "listing_links": (_listing, _LISTING),
     "robots_allowed": (_robots, _ROBOTS),
+    "robots_files": (_robots_files, _ROBOTS_FILES),
     "transcription_prompts": (_prompts, _PROMPTS),
     "object_contents": (_objects, _OBJECTS),
     "table_appends": (_appended, "SELECT doc_id, text, CAST(CASE WHEN doc_id % 100 < 10 THEN 9 ELSE doc_id % 3 END AS INTEGER) AS n FROM documents"),

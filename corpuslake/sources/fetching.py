@@ -81,6 +81,7 @@ def _by_domain(rows: DataFrame, url: str) -> DataFrame:
 def fetched(rows: DataFrame, get: Get = http_get, policy: Policy = Policy(), url: str = "source_url") -> DataFrame:
     """``rows`` with content (null where it failed) and fetch_error; null URLs fail.
 
+    A column crawl_delay (seconds, as robots.allowed() gives it) lengthens the wait between requests to its domain.
     Give it to Lake.ingest_bronze as ``fetch``. A content has to fit a cell (2 GiB); staged() has no bound.
     """
     kept = [c for c in rows.columns if c not in ("content", "fetch_error")]
@@ -89,8 +90,8 @@ def fetched(rows: DataFrame, get: Get = http_get, policy: Policy = Policy(), url
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, float] = {}
         for batch in batches:
-            for k, (at, domain) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                time.sleep(max(0.0, last.get(domain, -1e9) + policy.delay - time.monotonic()))
+            for k, (at, domain, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                time.sleep(max(0.0, last.get(domain, -1e9) + max(policy.delay, own or 0.0) - time.monotonic()))
                 content, error = None, None
                 try:
                     if at is None:
@@ -99,9 +100,10 @@ def fetched(rows: DataFrame, get: Get = http_get, policy: Policy = Policy(), url
                 except Exception as e:  # noqa: BLE001 - each row's failure is recorded with it
                     error = f"{type(e).__name__}: {e}"
                 last[domain] = time.monotonic()
-                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns[2:], pa.array([content], pa.binary()), pa.array([error], pa.string())], [*kept, "content", "fetch_error"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns[3:], pa.array([content], pa.binary()), pa.array([error], pa.string())], [*kept, "content", "fetch_error"])
 
-    dealt = _by_domain(rows, url).select(F.col(url).alias("__url"), "__domain", *kept)
+    own = F.col("crawl_delay").cast("double") if "crawl_delay" in rows.columns else F.lit(None).cast("double")
+    dealt = _by_domain(rows, url).select(F.col(url).alias("__url"), "__domain", own.alias("__delay"), *kept)
     return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "content binary, fetch_error string"]))
 
 
