@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
 from corpuslake.operators import bronze as B
-from corpuslake.operators import chunking, density, embeddings, entities, lexical, scores, syntactic, topics, wordvectors
+from corpuslake.operators import chunking, density, embeddings, entities, gazetteer, lexical, scores, syntactic, topics, wordvectors
 from corpuslake.plans import syntax_sql as X
 from corpuslake.plans.derived import half_up, table
 from corpuslake.plans.syntax_sql import SENTENCES as _SENT
@@ -267,6 +267,12 @@ ENTRIES = {
         SELECT i AS word_i, j AS word_j, round(v, 6) AS information FROM x WHERE v > 0""",
     ),
     "document_vectors": (lambda s, d: wordvectors.document_vectors(docs(s, d)), None),
+    "name_words": (
+        lambda s, d: gazetteer.chosen_words(gazetteer.name_words(docs(s, d))),
+        rf"""WITH {SENTS}, w AS (SELECT unnest(regexp_extract_all(s, '\p{{L}}+(?:[''’-]\p{{L}}+)*')[2:]) AS w FROM sent), c AS (SELECT lower(w) AS word, count(*) FILTER (WHERE regexp_matches(w, '^\p{{Lu}}')) AS capital, count(*) AS n FROM w GROUP BY 1)
+        SELECT word, capital FROM c WHERE capital >= {gazetteer.LEAST} AND capital >= {gazetteer.SHARE} * n ORDER BY capital DESC, word LIMIT {gazetteer.MOST}""",
+    ),
+    "name_mentions": (lambda s, d: entities.grouped(gazetteer.mentions_of_corpus(docs(s, d))), None),
     "topic_core_distances": (_core_distances, f"WITH {_REACH} SELECT vec_id, round(core, 6) AS core FROM v JOIN c USING (i)"),
     "topic_tree_weights": (_tree_weights, _TREE),
     "topic_clusters": (lambda s, d: topics.clusters(table(s, d, "embeddings")), None),
