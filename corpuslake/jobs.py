@@ -6,6 +6,7 @@ import argparse
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpuslake.lake import Lake
 from corpuslake.operators import repair
@@ -74,7 +75,7 @@ def main(argv: list[str] | None = None) -> object:
         found = repair.url_repairs(lake.bronze.read())
         out = {"repairs": found.count()}
         if not a.dry_run and out["repairs"]:
-            lake.bronze.replace(repair.repaired_urls(lake.bronze.read()))
+            lake.bronze.upsert_columns(found.select("doc_id", F.col("repaired_url").alias("source_url")))  # only the ranges that hold one are written
     elif a.command == "health":
         out = lake.health()
     elif a.command == "merge-metadata":

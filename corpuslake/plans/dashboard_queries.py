@@ -112,6 +112,10 @@ ENTRIES = {
         lambda s, d: P.gold("labels", silver(s, d), gold(s, d)).select("doc_id"),
         SG + "SELECT s.doc_id FROM silver s LEFT JOIN gold g ON s.doc_id = g.doc_id WHERE s.status_processing = 'success' AND transcript IS NOT NULL AND (g.doc_id IS NULL OR label IS NULL)",
     ),
+    "pending_by_ids": (
+        lambda s, d: P.silver(bronze(s, d), silver(s, d), doc_ids=table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"))).select("doc_id"),
+        BS + "SELECT doc_id FROM bronze WHERE NOT excluded AND doc_id IN (SELECT conv_id FROM conversations) AND doc_id NOT IN (SELECT doc_id FROM silver WHERE status_processing = 'success')",
+    ),
     "topics_eligible": (lambda s, d: P.eligible(silver(s, d)).select("doc_id"), S + "SELECT doc_id FROM silver WHERE status_processing = 'success' AND transcript IS NOT NULL"),
     "upsert_rows": (_upsert_rows, "SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 9, 9 FROM documents WHERE doc_id % 5 = 0"),
     "upsert_columns": (

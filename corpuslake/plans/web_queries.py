@@ -125,6 +125,13 @@ def _stream(spark, d):  # noqa: ANN001, ANN202
 
 _WWW = "regexp_replace({0}, '^www\\.', '')"
 
+def _domains_allowed(spark, d):  # noqa: ANN001, ANN202
+    """Pages of a list of domains, which are written with and without "www."."""
+    chosen = pages(spark, d).where("page_id % 5 = 0").select(urls.domain("url").alias("domain")).distinct().where("domain <> ''")
+    listed = [("www." if k % 2 else " ") + r["domain"].upper() for k, r in enumerate(chosen.collect())]  # a setting, as a user writes it
+    return pages(spark, d).where(crawl.allowed(F.col("url"), listed)).select("page_id")
+
+
 #: The pages of the test tables have one article each, beside navigation, an advertisement and a footer.
 _MAIN_TEXT = r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
     b AS (SELECT page_id, [trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) FOR x IN string_split_regex(a, '</?(?:p|h1|h2|h3|li|ul|div)(?:\s[^>]*)?>')] AS bs FROM a)
@@ -147,6 +154,19 @@ ENTRIES = {
         lambda s, d: pages(s, d).select("page_id", urls.crawl_file_name("url").alias("file_name")),
         f"WITH p AS (SELECT page_id, url, replace(regexp_replace({_PATH.format('url')}, '^/+|/+$', '', 'g'), '/', '_') AS slug FROM pages) SELECT page_id, substr(CASE WHEN slug = '' THEN 'index' ELSE slug END, 1, 60) || '_' || substr(md5(url), 1, 8) || '.html' AS file_name FROM p",
     ),
+    "domains_allowed": (
+        _domains_allowed,
+        f"WITH p AS (SELECT page_id, {_WWW.format(_HOST.format('url'))} AS domain FROM pages) SELECT page_id FROM p WHERE domain IN (SELECT domain FROM p WHERE page_id % 5 = 0 AND domain <> '')",
+    ),
+    "page_links": (
+        lambda s, d: crawl.page_rows(pages(s, d)).select("url", F.explode(F.array_distinct("links")).alias("link")),
+        r"""WITH a AS (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages)
+        SELECT DISTINCT url, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || replace(split_part(h, '#', 1), '&amp;', '&') AS link FROM a""",
+    ),
+    "iso_dates": (
+        lambda s, d: table(s, d, "events").select("event_id", dates.iso_prefix(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("day")),
+        "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events",
+    ),
     "pagination_links": (_pagination, "SELECT page_id, page_id % 4 IN (0, 1) AS is_pagination FROM pages"),
     "keyword_match": (
         _keyword_match,
