@@ -34,6 +34,8 @@ URL, MENTION, HASHTAG = r"https?://\S+", r"@\w+", r"#\w+"
 REPOST = r'^["“]?(RT\s+)?@\w+[:\-]?\s*'
 PERMALINK = r"(?i)truthsocial\.com/@([\w.]+)/posts/"
 OWN_HANDLE = "realdonaldtrump"
+#: A run of letters that no letter or digit stands beside; the run is taken whole, so that what follows is looked at once.
+TOKEN = r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"
 TITLE_SEPARATOR = r"\s+[|\-—·•]\s+"
 
 
@@ -43,8 +45,7 @@ def _col(c: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case alphabetic tokens in text order; null text gives an empty array."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.filter(found, lambda w: w.rlike(r"^\p{L}+$"))
+    return F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def sentences(text: Column | str) -> Column:
