@@ -205,7 +205,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     left = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("side"), *columns)
     dealt = candidates.select("vec_id", "v", F.pmod(F.monotonically_increasing_id(), F.lit(shares)).cast("int").alias("share"))
     right = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "share", F.lit(1).alias("side"), *columns)
-    rows = left.unionByName(right).repartition(blocks * shares, "block", "share").sortWithinPartitions("block", "share", "side")
+    # by ranges, so that shares of like size get a task each; a hash would put several of so few keys in one
+    rows = left.unionByName(right).repartitionByRange(blocks * shares, "block", "share").sortWithinPartitions("block", "share", "side")
     found = rows.mapInArrow(lambda b: _share(b, k), "query_id long, vec_id long, score long, mark long")
     found = found.dropDuplicates(["query_id", "vec_id", "mark"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
