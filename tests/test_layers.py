@@ -16,6 +16,7 @@ from corpuslake import schemas, sources
 from corpuslake.functions import urls
 from corpuslake.functions.dom import parse
 from corpuslake.operators import bronze, crawl, dashboard, embeddings, extract, maintext, pending, repair, store
+from corpuslake.session import scratch
 from corpuslake.sources import fetching, files, listings, web
 
 
@@ -289,6 +290,21 @@ def test_the_choice_of_subtrees_is_the_best_one():
             assert got == pytest.approx(plain_choice(page, 25.0))
 
 
+def test_main_texts_keep_references_that_are_cut_off(spark):
+    df = spark.createDataFrame([(1, "<article><h1>one &amp;&amp</h1><p>two &quot;x&quot; &amp;lt; &#38;&#39 &lt3</p></article>")], "page_id long, html string")
+    assert extract.main_texts(df).first().content == "one &&amp\n\ntwo \"x\" &lt; &' &lt3"
+    assert extract.main_text(parse("<p>one &amp;&amp</p>")) == "one &&"
+
+
+def test_links_of_pages_that_share_a_url(spark):
+    from corpuslake.plans.web_queries import ENTRIES
+
+    at = scratch(spark, "pages")
+    html = '<a href="/a">a</a><a href="/b#x">b</a>'
+    spark.createDataFrame([(1, "http://s.t/p", html), (2, "http://s.t/p", html + '<a href="/c">c</a>')], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    assert sorted(r.link for r in ENTRIES["page_links"][0](spark, at).collect()) == ["http://s.t/a", "http://s.t/b", "http://s.t/c"]
+
+
 def test_main_texts_of_the_test_pages_by_patterns(spark):
     import html
     import re
