@@ -159,7 +159,7 @@ ENTRIES = {
         f"WITH p AS (SELECT page_id, {_WWW.format(_HOST.format('url'))} AS domain FROM pages) SELECT page_id FROM p WHERE domain IN (SELECT domain FROM p WHERE page_id % 5 = 0 AND domain <> '')",
     ),
     "page_links": (
-        lambda s, d: crawl.page_rows(pages(s, d)).select("url", F.explode(F.array_distinct("links")).alias("link")),
+        lambda s, d: crawl.page_rows(pages(s, d)).select("url", F.explode(F.array_distinct("links")).alias("link")).distinct(),  # pages may share a URL
         r"""WITH a AS (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages)
         SELECT DISTINCT url, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || replace(split_part(h, '#', 1), '&amp;', '&') AS link FROM a""",
     ),
