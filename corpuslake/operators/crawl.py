@@ -77,6 +77,8 @@ def by_robots(rows: DataFrame, robots: DataFrame | None, on_missing: bool = Fals
 
 
 _VISITED = "url string, depth int, hops int, via string"
+#: Pages of a frontier that is broadcast to the links, at most.
+FRONTIER = 10_000
 
 
 def crawl(pages: DataFrame, seeds: list[str], keywords: list[str], *, domains: list[str] | None = None, max_depth: int = 2, max_pages: int | None = 50, threshold: int = 1, robots: DataFrame | None = None, on_missing: bool = False) -> DataFrame:
@@ -88,6 +90,7 @@ def crawl(pages: DataFrame, seeds: list[str], keywords: list[str], *, domains: l
 
     Depth by depth: the pagination links within a depth are followed round by round, then all other links lead to the next. Each round appends the pages
     that it visits to a table, so what is written is linear in the pages. The crawl ends with the depth that fills the cap.
+    Only a frontier of at most FRONTIER pages is broadcast; tables that grow with the pages are never sent to the driver.
     """
     spark = pages.sparkSession
     rows = pages.where("url is not null")
@@ -97,6 +100,7 @@ def crawl(pages: DataFrame, seeds: list[str], keywords: list[str], *, domains: l
     parsed = stored(read.select("url", "title", "links", matched_keywords(F.col("title"), F.col("page_text"), F.col("url"), keywords).alias("matched_keywords")))
     known, hits = parsed.select("url"), parsed.where(F.size("matched_keywords") >= threshold).drop("links")
     links = parsed.select("url", F.explode(F.array_distinct("links")).alias("next")).where(F.col("next") != F.col("url"))
+    links = links.join(known.select(F.col("url").alias("next")).hint("merge"), "next", "left_semi")  # the others lead nowhere
     edges = stored(links.select("url", "next", urls.is_pagination("url", "next").alias("same_depth")))
     folder = scratch(spark, "crawl")
 
@@ -105,14 +109,14 @@ def crawl(pages: DataFrame, seeds: list[str], keywords: list[str], *, domains: l
 
     def visit(found: DataFrame, begun: bool = True) -> DataFrame | None:
         """Appends the pages among ``found`` that are new; those pages, or None."""
-        best = found.groupBy("url").agg(F.min(F.struct("depth", "hops", "via")).alias("b")).select("url", "b.depth", "b.hops", "b.via").join(known, "url", "left_semi")
-        new = cut(best.join(visited().select("url"), "url", "left_anti") if begun else best)
+        best = found.groupBy("url").agg(F.min(F.struct("depth", "hops", "via")).alias("b")).select("url", "b.depth", "b.hops", "b.via")
+        new = cut(best.join(visited().select("url").hint("merge"), "url", "left_anti") if begun else best.join(known.hint("merge"), "url", "left_semi"))
         new.write.mode("append").parquet(folder)
         return new if new.limit(1).count() else None
 
     def along(frontier: DataFrame, same_depth: bool) -> DataFrame:
         step = edges.where(F.col("same_depth") == same_depth)
-        return frontier.join(step, "url").select(F.col("next").alias("url"), (F.col("depth") + (0 if same_depth else 1)).alias("depth"), (F.col("hops") + 1).alias("hops"), F.col("url").alias("via"))
+        return few(frontier, FRONTIER).join(step.hint("merge"), "url").select(F.col("next").alias("url"), (F.col("depth") + (0 if same_depth else 1)).alias("depth"), (F.col("hops") + 1).alias("hops"), F.col("url").alias("via"))
 
     frontier = visit(spark.createDataFrame([(s, 0, 0, None) for s in seeds], _VISITED), begun=False)
     for depth in range(max_depth + 1):
@@ -123,7 +127,7 @@ def crawl(pages: DataFrame, seeds: list[str], keywords: list[str], *, domains: l
         frontier = visit(along(visited().where(F.col("depth") == depth), False))
         if frontier is None:
             break
-    out = visited().join(hits, "url").select("url", F.col("depth").alias("crawl_depth"), F.col("via").alias("discovered_via"), "matched_keywords", F.col("title").alias("page_title"))
+    out = visited().join(hits.hint("merge"), "url").select("url", F.col("depth").alias("crawl_depth"), F.col("via").alias("discovered_via"), "matched_keywords", F.col("title").alias("page_title"))
     return out if max_pages is None else out.orderBy("crawl_depth", "url").limit(max_pages)
 
 

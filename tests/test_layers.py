@@ -440,6 +440,15 @@ def test_crawl(spark):
     assert crawl.crawl(df, ["http://s.t/news"], ["key"], max_depth=5, max_pages=2).count() == 2
 
 
+def test_crawl_broadcasts_no_table_that_grows_with_the_pages(spark, monkeypatch):
+    plans, kept = [], crawl.cut
+    monkeypatch.setattr(crawl, "FRONTIER", 0, raising=False)
+    monkeypatch.setattr(crawl, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    df = spark.createDataFrame([(f"http://s.t/{k}", f'<title>t</title>key<a href="/{k + 1}">l</a><a href="/0">l</a>') for k in range(4)], "url string, html string")
+    assert {r.url[-1]: r.crawl_depth for r in crawl.crawl(df, ["http://s.t/0"], ["key"], max_depth=9, max_pages=None).collect()} == {"0": 0, "1": 1, "2": 2, "3": 3}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_url_functions(spark):
     pairs = [("http://a.b/news", "http://a.b/news?page=2", True), ("http://a.b/news", "http://a.b/other?page=2", False), ("http://www.a.b/news", "http://a.b/news/page/2/", True), ("http://a.b/news", "http://c.d/news?page=2", False)]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean")
