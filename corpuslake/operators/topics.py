@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
 from corpuslake.operators import density, layout
-from corpuslake.session import cut, few
+from corpuslake.session import cut, few, stored
 
 LONG_FORM_WORDS, LEAST_DOCS, LEAST_TOPIC, KEYWORDS = 500, 20, 10, 10
 OUTLIER = -1
@@ -37,15 +37,16 @@ def ctfidf(docs: DataFrame, topic: str, top: int = KEYWORDS, least_topics: int =
 
     Terms are tokens of two letters or more that are no stop words, with ``bigrams`` also
     pairs of neighbours; those in fewer than ``least_topics`` topics are left out.
-    Counts are partial sums by (topic, term), computed once; the totals by term and by topic are summed from those. Terms stay
-    where their own totals are; each task hands on the best of each topic only.
+    Counts are partial sums by (topic, term); a second shuffle brings a term's counts together (a row a topic at most), whose total stands beside each, and
+    what is left is stored once. Each task hands on the best of each topic only.
     """
     words = F.filter(T.tokens("text"), lambda w: (F.length(w) >= 2) & ~T.in_words(w, T.STOPWORDS))
     rows = docs.where(F.col(topic).isNotNull()).select(F.col(topic).alias("topic"), words.alias("ws"))
     terms = F.expr("concat(ws, transform(slice(ws, 2, greatest(size(ws) - 1, 0)), (w, k) -> concat(ws[k], ' ', w)))") if bigrams else F.col("ws")
-    counts = cut(rows.select("topic", F.explode(terms).alias("term")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")))
-    by_term = counts.groupBy("term").agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("topics")).where(F.col("topics") >= least_topics)
-    kept = counts.join(by_term, "term")
+    counts = rows.select("topic", F.explode(terms).alias("term")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
+    of_term = Window.partitionBy("term")
+    kept = counts.select("topic", "term", "n", F.sum("n").over(of_term).alias("f"), F.count(F.lit(1)).over(of_term).alias("topics"))
+    kept = stored(kept.where(F.col("topics") >= least_topics).drop("topics"))
     by_topic = cut(kept.groupBy("topic").agg(F.sum("n").alias("size")))
     average = by_topic.agg(F.avg("size").alias("a"))  # one row
     scored = kept.join(few(by_topic), "topic").join(F.broadcast(average)).withColumn("score", F.round(F.col("n") / F.col("size") * F.log(1 + F.col("a") / F.col("f")), digits))
