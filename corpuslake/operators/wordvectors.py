@@ -27,6 +27,8 @@ from corpuslake.operators.scores import Scorer
 from corpuslake.session import stored
 
 VOCABULARY, LEAST, WINDOW, DIMENSIONS = 20_000, 5, 5, 64
+#: Pairs of words that a task holds before it hands their counts on.
+HELD = 4_000_000
 #: Factors beyond the asked ones, rounds of iteration; how fast the weight of a word falls with its share of all words.
 EXTRA, ROUNDS, SMOOTH = 16, 5, 1e-3
 #: A vocabulary of fewer words makes no model.
@@ -40,12 +42,28 @@ def vocabulary(docs: DataFrame, most: int = VOCABULARY, least: int = LEAST) -> D
     return words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sums) of parts of (keys, counts)."""
+    key, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    by = np.argsort(key, kind="stable")
+    key, n = key[by], n[by].astype(np.int64)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def pair_counts(docs: DataFrame, words: list[str], window: int = WINDOW) -> DataFrame:
     """i, j, n: how often words i <= j (numbers in ``words``) stand at most ``window`` tokens apart in a text, in either order."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
+    def rows_of(size: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(key), 100_000):
+            k = key[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k // size), pa.array(k % size), pa.array(n[at : at + 100_000])], ["i", "j", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(shared.value, pa.string())
+        size = max(len(known), 1)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 lists = batch.column(0).slice(at, 500)
@@ -57,15 +75,21 @@ def pair_counts(docs: DataFrame, words: list[str], window: int = WINDOW) -> Data
                     a, b = code[:-gap], code[gap:]
                     ok = (a >= 0) & (b >= 0) & (row[:-gap] == row[gap:])
                     a, b = a[ok], b[ok]
-                    keys.append(np.minimum(a, b) * len(known) + np.maximum(a, b))
-                key, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key // max(len(known), 1)), pa.array(key % max(len(known), 1)), pa.array(n.astype(np.int64))], ["i", "j", "n"])
+                    keys.append(np.minimum(a, b) * size + np.maximum(a, b))
+                held.append(np.unique(np.concatenate(keys), return_counts=True))
+                if sum(len(key) for key, _ in held) > HELD:
+                    held = [_summed(held)]
+                    if len(held[0][0]) > HELD // 2:  # little is gained by waiting
+                        yield from rows_of(size, *held.pop())
+        if held:
+            yield from rows_of(size, *_summed(held))
 
     return docs.select(T.tokens("text").alias("t")).mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
 
 
 def positive_information(pairs: DataFrame) -> DataFrame:
     """i, j, v for both orders: ln(n * total / (n of i * n of j)) where that is above 0; a word next to itself counts twice."""
+    pairs = stored(pairs)  # counted once; all below reads that table, which the vocabulary bounds
     other = pairs.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "n")
     both = pairs.select("i", "j", F.when(F.col("i") == F.col("j"), 2 * F.col("n")).otherwise(F.col("n")).alias("n")).unionByName(other)
     sums = both.groupBy("i").agg(F.sum("n").alias("s"))

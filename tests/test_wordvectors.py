@@ -68,3 +68,21 @@ def test_too_few_texts_make_no_model(spark):
     few = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert wordvectors.fit(few) is None and wordvectors.document_vectors(few).count() == 1
     assert wordvectors.document_vectors(few.limit(0)).count() == 0
+
+
+def test_pairs_are_counted_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([(0, 1, 4), (0, 2, 1), (1, 1, 2), (1, 2, 3)], "i long, j long, n long").mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    assert wordvectors.positive_information(pairs).count() > 0 and seen.value == 4
+
+
+def test_counts_of_parts_are_summed():
+    key, n = wordvectors._summed([(np.array([3, 5]), np.array([1, 2])), (np.array([1, 5]), np.array([7, 1]))])
+    assert key.tolist() == [1, 3, 5] and n.tolist() == [7, 1, 3]
+    assert [len(x) for x in wordvectors._summed([(np.zeros(0, np.int64), np.zeros(0, np.int64))])] == [0, 0]
