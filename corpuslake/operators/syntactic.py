@@ -80,9 +80,9 @@ CONTRACTION = r"(?i)^(.*\p{L})(n['’]t|['’](?:re|ve|ll|d|s|m))([^\p{L}\p{N}]*
 PIECE = r"\p{L}+|[0-9][0-9.,]*|[^\s\p{L}\p{N}]"
 
 
-#: Tokens that a worker remembers; beyond, it starts over.
-REMEMBERED = 500_000
-_ROWS = 1000
+#: Tokens that a worker remembers (beyond, it starts over), rows and atoms that are tagged together: they bound a worker's memory whatever the table holds.
+REMEMBERED = 50_000
+_ROWS, _ATOMS = 1000, 100_000
 _CONTRACTION, _PIECE = regex.compile(CONTRACTION), regex.compile(PIECE.replace(r"\s", r" \t\n\x0b\f\r"))
 _SOLID, _MARKS = regex.compile(r"[\p{L}\p{N}]"), frozenset(".,;:!?")
 _OWN = {w: tag for tag, words in reversed(CLOSED.items()) for w in words.split()}
@@ -220,10 +220,15 @@ def _atoms(docs: DataFrame, *keep: Column | str) -> DataFrame:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, _ROWS):
+        sentences = np.append(0, np.cumsum(whole.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        atoms = np.append(0, np.cumsum(whole.column(1).flatten().value_lengths().to_numpy()))[sentences]  # before each row
+        at = 0
+        while at < whole.num_rows:
+            stop = max(at + 1, min(at + _ROWS, int(np.searchsorted(atoms, atoms[at] + _ATOMS, side="right")) - 1))
             if len(_LEXICON.text) > REMEMBERED or len(_LEXICON.atoms) > REMEMBERED:
                 _LEXICON.clear()
-            yield whole.slice(at, _ROWS)
+            yield whole.slice(at, stop - at)
+            at = stop
 
 
 def tagged(docs: DataFrame) -> DataFrame:

@@ -158,3 +158,22 @@ def test_repost_and_length_rules_see_whole_texts(spark):
     spark.createDataFrame([(i, t) for i, t, *_ in cases], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     got = {r.doc_id: (r.is_repost, r.is_substantive) for r in QUERIES["retweet_filter_whole"](spark, folder).collect()}
     assert got == {i: (a, b) for i, _, a, b in cases}
+
+
+def test_tagger_takes_few_atoms_at_a_time():
+    import pyarrow as pa
+
+    from corpuslake.operators import syntactic
+
+    rows = [[["a"] * 60_000], [["b"] * 30_000, ["c"] * 20_000], [], [["d"] * 150_000], [["e"]]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(rows, pa.list_(pa.list_(pa.string())))], ["doc_id", "atoms"])
+    assert [x.column(0).to_pylist() for x in syntactic._batches(iter([batch, batch.slice(1, 0), batch.slice(2, 3)]))] == [[0], [1, 2], [3], [4], [2], [3], [4]]
+
+
+def test_terms_meet_their_totals_without_a_join(spark):
+    from corpuslake.operators import topics
+
+    docs = spark.createDataFrame([("x", "alpha beta"), ("x", "alpha"), ("y", "alpha gamma beta"), ("y", None)], "topic string, text string")
+    out = topics.ctfidf(docs, "topic", least_topics=2)
+    assert {(r.topic, r.rank, r.term) for r in out.collect()} == {("x", 1, "alpha"), ("x", 2, "beta"), ("y", 1, "beta"), ("y", 2, "alpha")}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # sizes of topics, their average
