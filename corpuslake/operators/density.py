@@ -29,16 +29,20 @@ from corpuslake.session import cut
 
 #: Points of a block, points that the hierarchy is built on at most, and rows of a block whose distances are held together.
 BLOCK, FIT_ROWS, ROWS = 2048, 50_000, 256
+#: Rows whose distances to a block stay in a processor's cache while the components are summed.
+TILE = 32
 OUTLIER = -1
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances, exactly 0 for equal points."""
     out = np.zeros((len(a), len(b)))
-    for k in range(a.shape[1]):
-        x = np.subtract.outer(a[:, k], b[:, k])
-        x *= x
-        out += x
+    for at in range(0, len(a), TILE):
+        part, mine = out[at : at + TILE], a[at : at + TILE]
+        for k in range(a.shape[1]):
+            x = np.subtract.outer(mine[:, k], b[:, k])
+            x *= x
+            part += x
     return np.sqrt(out, out=out)
 
 
@@ -52,19 +56,24 @@ def core_distances(a: np.ndarray, b: np.ndarray, samples: int) -> np.ndarray:
 def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(one end, other end, weight) of a minimum spanning tree of mutual reachability, by Prim's method."""
     n = len(x)
-    left = np.arange(1, n)
+    left, components, reach = np.arange(1, n), np.ascontiguousarray(x[1:].T), core[1:]
     best, near = np.full(n - 1, np.inf), np.zeros(n - 1, np.int64)
-    a, b, w, now = [], [], [], 0
-    while len(left):
-        d = np.maximum(distances(x[now : now + 1], x[left])[0], np.maximum(core[now], core[left]))
-        closer = d < best
+    a, b, w, now, taken = [], [], [], 0, 0
+    while len(w) < n - 1:
+        gap = components - x[now][:, None]
+        gap *= gap
+        d = np.maximum(np.sqrt(np.add.reduce(gap, axis=0)), np.maximum(core[now], reach))
+        closer = (d < best) & (left >= 0)
         best[closer], near[closer] = d[closer], now
         k = int(best.argmin())
         now = int(left[k])
         a.append(int(near[k]))
         b.append(now)
         w.append(float(best[k]))
-        left, best, near = np.delete(left, k), np.delete(best, k), np.delete(near, k)
+        best[k], left[k], taken = np.inf, -1, taken + 1
+        if 4 * taken > len(left):  # those in the tree go in batches
+            rest = left >= 0
+            left, best, near, reach, components, taken = left[rest], best[rest], near[rest], reach[rest], np.ascontiguousarray(components[:, rest]), 0
     return np.array(a, np.int64), np.array(b, np.int64), np.array(w)
 
 

@@ -182,3 +182,26 @@ def test_topics_of_groups_and_by_number(spark):
         assert reduce or got[120][1] < 0.1  # falls off first
     numbered = {r.id: r.topic_id for r in topics.clusters(frame(spark, x), k=3).collect()}
     assert len({numbered[k] for k in range(120)} - {-1}) == 3 and numbered[120] == -1
+
+
+def test_spanning_tree_of_equal_and_of_few_points():
+    assert [len(v) for v in density.spanning_tree(np.zeros((1, 3)), np.zeros(1))] == [0, 0, 0]
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(301, 5)).round(1)
+    x[200:] = x[:101]
+    core = rnd.random(301)
+    a, b, w = density.spanning_tree(x, core)
+    m = np.maximum(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), np.maximum.outer(core, core))
+    i, j = np.triu_indices(301, 1)
+    assert np.sort(w) == pytest.approx(np.sort(m[i, j][density.forest_of(301, i, j, m[i, j])]))
+    assert np.allclose(w, m[a, b]) and len(set(b.tolist())) == 300
+
+
+def test_spanning_tree_takes_its_points_without_a_copy_for_each():
+    calls, kept = [], np.delete
+    try:
+        np.delete = lambda *args, **k: calls.append(1) or kept(*args, **k)
+        density.spanning_tree(np.random.default_rng(1).normal(size=(200, 4)), np.ones(200))
+    finally:
+        np.delete = kept
+    assert len(calls) < 20
