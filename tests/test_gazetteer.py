@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import regex
 
 from corpuslake.operators import entities, gazetteer
@@ -58,3 +59,66 @@ def test_names_and_labels_of_a_corpus(spark):
     groups = {(r.grp, r.text): r.cnt for r in entities.grouped(rows).where("doc_id = 0").collect()}
     assert groups["locations", "Ohio"] == 2 and groups["groups", "Romans"] == 1
     assert gazetteer.mentions(docs.limit(0), listed).count() == 0 and rows.where("doc_id in (3, 4)").count() == 0
+
+
+def test_dates_are_tried_only_where_one_may_start(monkeypatch):
+    rnd = random.Random(2)
+    parts = ["May", "march", "March 3", "Monday", "Monday, ", "mİdnight", "NOON", "noon", "Midnight", "12", "1999", "2015-06-16", "10:30", "10:30:05 AM", "3 p.m.", "4 July 1999", "٣", "١٢:٣٠", "é", "e", "_", "́", "²", "\n", " ", " ", ", ", "-", ".", "nth", "st", "Sunday", "x"]
+    for _ in range(5000):
+        text = "".join(rnd.choices(parts, k=rnd.randint(1, 12)))
+        assert [(m.span(), m.lastgroup) for m in gazetteer.dated(text)] == [(m.span(), m.lastgroup) for m in gazetteer._DATED.finditer(text)], repr(text)
+
+    class Tried:
+        def __init__(self):
+            self.n = 0
+
+        def match(self, text, at):
+            self.n += 1
+
+        def finditer(self, text):
+            raise AssertionError("every place is tried")
+
+    tried = Tried()
+    monkeypatch.setattr(gazetteer, "_DATED", tried)
+    gazetteer.found_in("words of no date, a number or none 5 and many more " * 100, gazetteer.automaton([]))
+    assert tried.n == 100
+
+
+def test_words_and_names_leave_a_task_counted(spark, monkeypatch):
+    rnd = random.Random(3)
+    vocabulary = ["Ann", "ann", "Lee", "Ohio", "York's", "of", "in", "é", "Éire", "éire", "mr", "x-y", "12"]
+    texts = ["".join(rnd.choice(vocabulary) + rnd.choice([" ", " ", ". ", "! ", ", ", "\n"]) for _ in range(rnd.randint(0, 60))) for _ in range(200)] + [None, "", "  "]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want, votes = {}, {}
+    known = frozenset(["ann", "lee", "ohio", "éire"])
+    for t in texts:
+        for s in regex.split(r"(?<=[.!?])[ \t\n\v\f\r]+", (t or "").strip(" ")):
+            for w in regex.findall(gazetteer.WORD, s)[1:]:
+                c = want.setdefault(w.lower(), [0, 0])
+                c[not w[0].isupper()] += 1
+            for name, before in gazetteer.runs(s, known):
+                votes.setdefault(name, []).append(gazetteer.vote(name, before))
+    for piece in (gazetteer.PIECE, 50):
+        monkeypatch.setattr(gazetteer, "PIECE", piece)
+        rows = gazetteer.name_words(docs)
+        assert {r.word: [r.capital, r.plain] for r in rows.collect()} == want
+        assert {(r["name"], r.n) for r in gazetteer.names(docs, known, least=1).collect()} == {(k, len(v)) for k, v in votes.items()}
+    assert "Generate" not in rows._jdf.queryExecution().toString()  # no row for each word
+
+
+def test_texts_passed_over_hold_nothing(monkeypatch):
+    rnd = random.Random(4)
+    vocabulary = ["Ann", "ann", "(Ann", "Lee.", "x-Lee", "Lee", "Ohio,", "New", "York", "of", "May", "May 3", "mid", "noon", "7", "a7", "é7", "1999", "Éire"]
+    texts = ["".join(rnd.choice(vocabulary) + rnd.choice([" ", " ", ", ", "\u2003", "\x1c", "\n", "-"]) for _ in range(rnd.randint(0, 6))) for _ in range(3000)]
+    listed = [Name("Ann Lee", "PERSON"), Name("Ohio", "GPE"), Name("New York", "GPE"), Name("of", "ORG")]
+    machine, first = gazetteer.automaton(listed), frozenset(["Ann", "Ohio", "New", "of"])
+    want = [gazetteer.found_in(t, machine) for t in texts]
+    tried, kept = [], gazetteer.found_in
+    monkeypatch.setattr(gazetteer, "found_in", lambda t, m: tried.append(t) or kept(t, m))
+    got = {at + k: f for at in range(0, 3000, 10) for k, f in gazetteer.found_in_all(pa.array(texts[at : at + 10]), machine, first)}
+    assert [got.get(k, []) for k in range(3000)] == want and len(tried) < 2700
+    known = frozenset(["ann", "lee", "éire"])
+    for at in range(0, 3000, 10):
+        votes = [(n, gazetteer.vote(n, b)) for t in texts[at : at + 10] for n, b in gazetteer.runs(t, known)]
+        rows = gazetteer.votes_in(pa.array(texts[at : at + 10]), known).to_pylist()
+        assert {(r["name"], r["vote"]): r["n"] for r in rows} == gazetteer.Counter(votes)
