@@ -4,14 +4,15 @@ A table is a folder of writes and numbered manifests. A manifest names the parts
 table: which write holds which range of keys. The highest manifest is the table, so readers see a write
 as a whole or not at all. An append adds parts and touches none; an upsert writes anew only
 the ranges that its keys fall into, so its cost goes with what is new as long as keys ascend with time, as
-document ids do. One writer at a time.
+document ids do. A write over more than PARTS ranges stores neighbours together, so that its files do not grow in
+number with its rows; an upsert writes anew the whole parts that its keys fall into. One writer at a time.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,8 @@ from corpuslake.session import cut
 
 #: Keys of a range. At so many documents a part is some hundred MB of rows, and a billion documents are ten thousand parts.
 RANGE = 100_000
+#: Parts of a write at most, but for one at the end: over more ranges a part holds 2, 4, 8, ... neighbours.
+PARTS = 1024
 
 
 def upsert_rows(existing: DataFrame, updates: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -42,10 +45,11 @@ def upsert_columns(existing: DataFrame, updates: DataFrame, key: str = "doc_id")
 
 
 class Part(NamedTuple):
-    """A range of keys (-1: rows without one) within a write."""
+    """``span`` neighbouring ranges of keys (-1: rows without one, too) within a write: those whose number divided by ``span`` is ``range``."""
 
     write: str
     range: int
+    span: int = 1
 
     @property
     def path(self) -> str:
@@ -120,23 +124,37 @@ class SnapshotTable:
     def _range(self) -> Column:
         return F.coalesce(F.floor(F.col(self.key) / self.width).cast("long"), F.lit(-1)) if self.key else F.lit(-1).cast("long")
 
-    def _write(self, rows: DataFrame) -> list[Part]:
+    def _bounds(self, rows: DataFrame) -> list[int]:
+        """The first and the last range of the keys of ``rows``; none without keys. Reads no other column."""
+        if not self.key:
+            return []
+        r = F.when(F.col(self.key).isNotNull(), self._range())
+        return [x for x in rows.agg(F.min(r), F.max(r)).first() if x is not None]
+
+    def _write(self, rows: DataFrame, ranges: Iterable[int]) -> list[Part]:
+        """``rows``, whose keys are within the least and the greatest of ``ranges``, as parts."""
         if self.violation is not None:
             bad = rows.select(self.violation().alias("rule")).where("rule is not null").limit(1).collect()
             if bad:
                 raise ValueError(f"{self.path}: a row breaks the rule of {bad[0]['rule']}")
         write = f"w-{uuid.uuid4().hex}"
-        rows.withColumn("__range", self._range()).write.partitionBy("__range").parquet(f"{self.path}/{write}")
+        ranges, span = list(ranges) or [0], 1
+        while max(ranges) - min(ranges) >= span * PARTS:
+            span *= 2
+        rows = rows.withColumn("__range", F.floor(self._range() / span).cast("long"))
+        if self.key:  # one task a part, several for a large one
+            rows = rows.hint("rebalance", F.col("__range"))
+        rows.write.partitionBy("__range").parquet(f"{self.path}/{write}")
         names = [s.getPath().getName() for s in self._fs.listStatus(self._at(write)) if s.isDirectory()]
-        return sorted(Part(write, int(n.split("=")[1])) for n in names if n.startswith("__range="))
+        return sorted(Part(write, int(n.split("=")[1]), span) for n in names if n.startswith("__range="))
 
     def replace(self, rows: DataFrame) -> None:
         """Makes ``rows`` the table."""
-        self._publish(self._write(rows))
+        self._publish(self._write(rows, self._bounds(rows)))
 
     def append(self, rows: DataFrame) -> None:
         """Adds rows; nothing that is there is read or written."""
-        self._publish(self.parts() + self._write(rows))
+        self._publish(self.parts() + self._write(rows, self._bounds(rows)))
 
     def _upsert(self, merge: Callable[[DataFrame, DataFrame, str], DataFrame], updates: DataFrame) -> None:
         if not self.key:
@@ -144,13 +162,16 @@ class SnapshotTable:
         updates = cut(updates)
         touched = {r["r"] for r in updates.select(self._range().alias("r")).distinct().collect()}  # ranges, not keys
         parts = self.parts()
-        old = [p for p in parts if p.range in touched]
-        self._publish([p for p in parts if p.range not in touched] + self._write(merge(self._rows(old), updates, self.key)))
+        within = {span: {r // span for r in touched} for span in {p.span for p in parts}}
+        old = [p for p in parts if p.range in within[p.span]]
+        left = [p for p in parts if p.range not in within[p.span]]
+        ranges = touched | {r for p in old for r in (p.range * p.span, (p.range + 1) * p.span - 1)}
+        self._publish(left + self._write(merge(self._rows(old), updates, self.key), ranges))
 
     def upsert_rows(self, updates: DataFrame) -> None:
-        """Rows of ``updates`` in place of those with their key; only the ranges of their keys are written."""
+        """Rows of ``updates`` in place of those with their key; only the parts of their keys are written."""
         self._upsert(upsert_rows, updates)
 
     def upsert_columns(self, updates: DataFrame) -> None:
-        """The columns of ``updates`` for its keys; only the ranges of those keys are written."""
+        """The columns of ``updates`` for its keys; only the parts of those keys are written."""
         self._upsert(upsert_columns, updates)

@@ -103,6 +103,30 @@ def test_writes_touch_only_what_is_new(spark, tmp_path):
     assert ruled.version() == 0
 
 
+def test_files_of_a_table_do_not_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "doc_id long, v string").repartition(4)
+    t = store.SnapshotTable(spark, str(tmp_path / "t"), "doc_id long, v string", width=10)
+    t.append(rows(range(200), "a"))
+    t.upsert_columns(rows(range(0, 200, 3), "b"))
+    assert len(t.parts()) == 20 and all(len([n for n, _ in f if n.endswith(".parquet")]) == 1 for f in files_of(t).values())  # a file for each task before
+    monkeypatch.setattr(store, "PARTS", 4)
+    t = store.SnapshotTable(spark, str(tmp_path / "u"), "doc_id long, v string", width=2)
+    want = {i: "a" for i in [None, *range(-7, 100)]}
+    t.append(rows(want, "a"))
+    assert len(t.parts()) <= 5  # 54 ranges
+    before = files_of(t)
+    for ids, v in (([50, 51, 53], "b"), ([-7, -1], "c"), ([0, None], "d"), ([99, 300], "e")):
+        t.upsert_columns(rows(ids, v))
+        want |= {i: v for i in ids if i is not None}
+        assert len(t.parts()) <= 10
+    got = t.read().collect()
+    assert {r.doc_id: r.v for r in got if r.doc_id is not None} == {k: v for k, v in want.items() if k is not None}
+    assert sorted(r.v for r in got if r.doc_id is None) == ["a", "d"]
+    t.append(rows([60], "f"))
+    t.upsert_rows(rows([60], "g"))
+    assert [r.v for r in t.read().where("doc_id = 60").collect()] == ["g"] and before.keys() & files_of(t).keys()
+
+
 def test_fetching_waits_tries_again_and_records_failures(spark):
     rows = spark.createDataFrame([(1, "http://a.t/ok"), (2, "http://a.t/flaky"), (3, "http://b.t/dead"), (4, None)], "id int, source_url string")
 
