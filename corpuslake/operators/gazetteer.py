@@ -45,7 +45,8 @@ _DATED = regex.compile(rf"(?P<TIME>(?i:{TIMES}))|(?P<DATE>{DATES})")
 _START = regex.compile(
     r"[\dJFMASONDTWNnm](?<![A-Za-z0-9_].)(?:(?<=\d)|anuary|ebruary|arch|pril|ay|une|uly|ugust|eptember|ctober|ovember|ecember|onday|uesday|ednesday|hursday|riday|aturday|unday|(?i:oon|idnight))"
 )
-_STARTS = frozenset("JFMASONDTWNnm")
+#: What a word that _START fits in begins with, and some more.
+_STARTS = "^[JFMASONDTWNnm](?:anuary|ebruary|arch|pril|ay|une|uly|ugust|eptember|ctober|ovember|ecember|onday|uesday|ednesday|hursday|riday|aturday|unday|[oO]|[iIİı])"
 _WORD = regex.compile(WORD)
 #: What may stand around a word and is neither letter nor digit.
 _MARKS = ".,;:!?()[]\"'’“”„«»…-–—"
@@ -116,25 +117,24 @@ def later_words(sentences: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([summed.column("w").combine_chunks(), summed.column("n_sum").combine_chunks()], ["w", "n"])
 
 
-def holding(texts: pa.Array, marked: Callable[[pa.Array], list[str]]) -> pa.Array:
-    """Places of the texts that hold one of the strings without white space that ``marked`` takes from their distinct ones."""
+def holding(texts: pa.Array, marked: Callable[[pa.Array], list[list[str]]]) -> list[pa.Array]:
+    """For each list of strings without white space that ``marked`` takes from their distinct ones, the places of the texts that hold one of them."""
     lists = pc.utf8_split_whitespace(texts)
-    parts = lists.flatten()
-    found = pc.is_in(parts, value_set=pa.array(marked(pc.unique(parts)), pa.string()))
-    return pc.unique(pc.list_parent_indices(lists).filter(found))
+    parts, place = lists.flatten(), pc.list_parent_indices(lists)
+    return [pc.unique(place.filter(pc.is_in(parts, value_set=pa.array(some, pa.string())))) for some in marked(pc.unique(parts))]
 
 
 def votes_in(sentences: pa.Array, known: frozenset[str]) -> pa.RecordBatch:
     """name, vote, n: how often each name has each vote. Most sentences hold no word of names with a capital and are passed over."""
 
-    def marked(parts: pa.Array) -> list[str]:
-        cased = pa.array([p for p in parts.to_pylist() if not p.islower()], pa.string())
+    def marked(parts: pa.Array) -> list[list[str]]:
+        cased = parts.filter(pc.match_substring_regex(parts, r"\p{Lu}"))
         one, others = words_of(cased)
         fits = lambda w: w[0].isupper() and w.lower() in known
         out = [p for p, w in zip(cased.to_pylist(), one.to_pylist()) if w and fits(w)]
-        return out + [cased[at].as_py() for at, found in others if any(map(fits, found))]
+        return [out + [cased[at].as_py() for at, found in others if any(map(fits, found))]]
 
-    some = sentences.take(holding(sentences, marked)).to_pylist()
+    some = sentences.take(holding(sentences, marked)[0]).to_pylist()
     votes = Counter((name, vote(name, before)) for s in some for name, before in runs(s, known))
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], ["name", "vote", "n"])
 
@@ -225,8 +225,8 @@ def found_in(text: str, machine) -> list[tuple[int, str, str]]:  # noqa: ANN001
     dates = list(dated(text))
     out = [(m.start(), m[0].strip(), m.lastgroup) for m in dates]
     taken = [(m.start(), m.end()) for m in dates]
-    words = list(_WORD.finditer(text))
-    if len(machine) and words:
+    words = list(_WORD.finditer(text)) if len(machine) else []
+    if words:
         # words that are not a space apart, or that a date holds, are kept apart by a mark that no name has
         parts, index, at = [], {}, 0
         t = 0
@@ -251,14 +251,17 @@ def found_in(text: str, machine) -> list[tuple[int, str, str]]:  # noqa: ANN001
 def found_in_all(texts: pa.Array, machine, first: frozenset[str]) -> Iterator[tuple[int, list[tuple[int, str, str]]]]:  # noqa: ANN001
     """(place, found_in()) of the texts that may hold something; ``first`` are the first words of the names. Texts without one and without a start of a date are passed over."""
 
-    def marked(parts: pa.Array) -> list[str]:
+    def marked(parts: pa.Array) -> list[list[str]]:
         one, others = words_of(parts)
-        some = zip(parts.to_pylist(), one.to_pylist())
-        out = [p for p, w in some if w and (w in first or (w[0] in _STARTS and _START.search(p)))]  # digits are not among letters
-        return out + [p for p, found in ((parts[at].as_py(), found) for at, found in others) if not first.isdisjoint(found) or _START.search(p)]
-
-    for k in sorted(holding(texts, marked).to_pylist()):
-        yield k, found_in(texts[k].as_py(), machine)
+        others = [(parts[at].as_py(), found) for at, found in others]
+        named = parts.filter(pc.is_in(one, value_set=pa.array(first, pa.string()))).to_pylist()
+        timed = parts.filter(pc.fill_null(pc.match_substring_regex(one, _STARTS), False)).to_pylist()  # no digit is a letter
+        return [named + [p for p, found in others if not first.isdisjoint(found)], [p for p in [*timed, *[p for p, _ in others]] if _START.search(p)]]
+
+    named, timed = (frozenset(places.to_pylist()) for places in holding(texts, marked))
+    none = automaton([])
+    for k in sorted(named | timed):
+        yield k, found_in(texts[k].as_py(), machine if k in named else none)
 
 
 def mentions(docs: DataFrame, listed: list[Name]) -> DataFrame:
