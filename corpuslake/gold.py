@@ -41,6 +41,12 @@ def sentiment(docs: DataFrame, by: scores.Scorer | None = None, emotions_by: sco
     return s.join(scored(emotions_by or scores.word_list_scorer(scores.EMOTION), "emotions", "dominant_emotion"), "doc_id")
 
 
+def scored(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, sentiment, emotions, labels as sentiment() and labels() have them, by the word lists: one pass over the texts, no join. Each row is judged for itself."""
+    rows = scores.by_document(docs, {"s": scores.SENTIMENT, "e": scores.EMOTION, "t": scores.TOPIC_WORDS})
+    return rows.select("doc_id", scores.score_struct("s_mean", "label").alias("sentiment"), scores.score_struct("e_mean", "dominant_emotion").alias("emotions"), scores.label_struct("t_most", threshold).alias("labels"))
+
+
 def labels(docs: DataFrame, by: scores.Scorer | None = None, threshold: float = 0.5) -> DataFrame:
     """Label payload: maxima over chunks, labels from the threshold on and the best one in any case."""
     if by is None:

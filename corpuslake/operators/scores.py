@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from corpuslake.functions import text as T
 
 Scorer = Callable[[DataFrame], DataFrame]
+#: Sentences that are scored together, at most, unless one text has more.
+SENTENCES = 100_000
 
 # The labels of topics that documents are classified by.
 TOPIC_LABELS = (
@@ -81,6 +83,17 @@ def gathered(scores: DataFrame) -> DataFrame:
     return scores.groupBy("doc_id").agg(F.collect_list(F.struct("label", "score")).alias("entries"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of SENTENCES entries of the second column at most, or of one row."""
+    for batch in batches:
+        ends, at = np.cumsum(batch.column(1).value_lengths().to_numpy()), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + SENTENCES, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def by_document(docs: DataFrame, named: dict[str, dict[str, tuple[str, ...]]], smoothing: float = 1.0) -> DataFrame:
     """doc_id and, for each set of word lists in ``named``, <name>_mean and <name>_most: entries as weighted() and strongest() have them.
 
@@ -94,7 +107,7 @@ def by_document(docs: DataFrame, named: dict[str, dict[str, tuple[str, ...]]], s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = pa.array(every)
         member = {name: np.array([[w in ws for ws in lists.values()] for w in every], float).reshape(len(every), -1) for name, lists in named.items()}
-        for batch in batches:
+        for batch in _pieces(batches):
             words, hits = batch.column(1), batch.column(2)
             n = words.flatten().to_numpy(zero_copy_only=False).astype(float)
             row = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy())

@@ -261,9 +261,7 @@ _MERGED = """SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN '1' END AS a, CASE WHE
 
 # -- modules, vectors, order -------------------------------------------------
 def _modules(spark, d):  # noqa: ANN001, ANN202
-    rows = docs(spark, d).select("doc_id", "text")
-    s, x = gold.MODULES["sentiment"].compute(rows), gold.MODULES["labels"].compute(rows)
-    return s.join(x, "doc_id").select("doc_id", F.col("sentiment.label").alias("sentiment"), F.col("emotions.dominant_emotion").alias("emotion"), F.array_join("labels.labels", ",").alias("labels"), F.col("labels.threshold").alias("threshold"), F.size("labels.scores").alias("scores"))
+    return gold.scored(docs(spark, d).select("doc_id", "text")).select("doc_id", F.col("sentiment.label").alias("sentiment"), F.col("emotions.dominant_emotion").alias("emotion"), F.array_join("labels.labels", ",").alias("labels"), F.col("labels.threshold").alias("threshold"), F.size("labels.scores").alias("scores"))
 
 
 def _ranked_sql(lists: dict, kind: str, chosen: str) -> str:

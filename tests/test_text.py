@@ -2,6 +2,7 @@
 
 import tempfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,18 @@ def test_terms_meet_their_totals_without_a_join(spark):
     out = topics.ctfidf(docs, "topic", least_topics=2)
     assert {(r.topic, r.rank, r.term) for r in out.collect()} == {("x", 1, "alpha"), ("x", 2, "beta"), ("y", 1, "beta"), ("y", 2, "alpha")}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # sizes of topics, their average
+
+
+def test_gold_modules_in_one_pass(spark, sf, monkeypatch):
+    from corpuslake.plans import catalogue
+
+    plan = catalogue.QUERIES["gold_modules"](spark, sf)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    docs = spark.createDataFrame([(1, "A great win. A bad war! Jobs."), (1, "fear"), (None, "Taxation is bad."), (2, None), (3, ""), *((k, "We are glad. " * k) for k in range(4, 30))], "doc_id long, text string")
+    monkeypatch.setattr(scores, "SENTENCES", 7)  # most texts are scored by themselves
+    got = sorted(map(repr, gold.scored(docs).collect()))
+    monkeypatch.undo()
+    alone = gold.MODULES["sentiment"].compute(docs.where("doc_id > 1")).join(gold.MODULES["labels"].compute(docs.where("doc_id > 1")), "doc_id")
+    assert len(got) == 31 and set(map(repr, alone.select("doc_id", "sentiment", "emotions", "labels").collect())) <= set(got)
+    sizes = [p.num_rows for p in scores._pieces(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([[1], [1] * 200_000, [], [1]])], ["a", "b"])]))]
+    assert sizes == [1, 1, 2]
