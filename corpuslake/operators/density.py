@@ -27,15 +27,26 @@ from pyspark.sql import functions as F
 
 from corpuslake.session import cut
 
-#: Points of a block, points that the hierarchy is built on at most, and rows of a block whose distances are held together.
+#: Points of a block at least, points that the hierarchy is built on at most, and rows of a block whose distances are held together.
 BLOCK, FIT_ROWS, ROWS = 2048, 50_000, 256
+#: Blocks at most, so that each point is sent to as many tasks at most; points of a block at most, which comes first; points of a block whose distances to as many are held together.
+BLOCKS, LARGEST, PART = 24, 100_000, 2048
 #: Rows whose distances to a block stay in a processor's cache while the components are summed.
 TILE = 32
+#: Tasks that thin the edges of all pairs of blocks before the last.
+SHARES = 4
+#: Pairs whose components are held together.
+PAIRS = 65_536
 OUTLIER = -1
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, exactly 0 for equal points."""
+def blocks_of(n: int) -> int:
+    """The number of blocks for ``n`` points."""
+    return max(1, min(-(-n // BLOCK), BLOCKS), -(-n // LARGEST))
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squares of the Euclidean distances, exactly 0 for equal points."""
     out = np.zeros((len(a), len(b)))
     for at in range(0, len(a), TILE):
         part, mine = out[at : at + TILE], a[at : at + TILE]
@@ -43,9 +54,89 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x = np.subtract.outer(mine[:, k], b[:, k])
             x *= x
             part += x
+    return out
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances, exactly 0 for equal points."""
+    out = _squares(a, b)
     return np.sqrt(out, out=out)
 
 
+def pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The distances of rows ``i`` of ``a`` to rows ``j`` of ``b``, pair by pair."""
+    out = np.zeros(len(i))
+    for at in range(0, len(i), PAIRS):
+        gap = a[i[at : at + PAIRS]] - b[j[at : at + PAIRS]]
+        out[at : at + PAIRS] = (gap * gap).sum(axis=1)
+    return np.sqrt(out, out=out)
+
+
+def near_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_squares() with a relative error of some 1e-10 at most, by a matrix product; those of close points, which that would blur, are computed directly."""
+    middle = b.mean(axis=0) if len(b) else 0.0
+    if a.shape[1] <= 8 or not len(a):
+        return _squares(a, b)
+    x, y = a - middle, b - middle
+    u, v = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    largest = u.max() + v.max()
+    if not largest < 1e300:
+        return _squares(a, b)
+    out = x @ y.T
+    out *= -2
+    out += u[:, None]
+    out += v
+    close = out <= 1e-6 * (a.shape[1] + 2) * largest
+    n = np.count_nonzero(close)
+    if 10 * n > out.size:
+        return _squares(a, b)
+    if n:
+        i, j = np.nonzero(close)
+        out[i, j] = pair_distances(a, b, i, j) ** 2
+    return out
+
+
+class _Nearest:
+    """The ``k`` nearest others of each of ``n`` points so far: distances, ascending, and positions; equal distances by position."""
+
+    def __init__(self, n: int, k: int):
+        self.d, self.at = np.full((n, k), np.inf), np.full((n, k), -1)
+
+    def take(self, x: np.ndarray, y: np.ndarray, row: int, column: int, squares: np.ndarray) -> None:
+        """``squares``: near_squares() of the points of ``x`` from ``row`` on and of ``y`` from ``column`` on."""
+        k = self.d.shape[1]
+        bound = self.d[row : row + len(squares), -1] ** 2
+        if np.isinf(bound).any():
+            most = min(k, squares.shape[1]) - 1
+            bound = np.minimum(bound, np.partition(squares, most, axis=1)[:, most] if squares.shape[1] > k else squares.max(axis=1))
+        i, j = np.nonzero((squares <= (bound * (1 + 1e-9))[:, None]) & (squares < np.inf))
+        if not len(i):
+            return
+        some, own = np.unique(i, return_inverse=True)
+        d = np.concatenate([self.d[row + some].ravel(), pair_distances(x, y, row + i, column + j)])
+        at = np.concatenate([self.at[row + some].ravel(), column + j])
+        group = np.concatenate([np.repeat(np.arange(len(some)), k), own])
+        by = np.lexsort((at, d, group))
+        first = np.searchsorted(group[by], np.arange(len(some)))
+        by = by[np.arange(len(by)) - first[group[by]] < k]
+        self.d[row + some], self.at[row + some] = d[by].reshape(-1, k), at[by].reshape(-1, k)
+
+
+def nearest(x: np.ndarray, y: np.ndarray, k: int, same: bool, itself: bool = True) -> tuple[_Nearest, _Nearest]:
+    """The ``k`` nearest of ``y`` for each of ``x``, and the other way round; with ``same`` both are the same points, ``itself`` says whether a point counts as its own."""
+    left = _Nearest(len(x), k)
+    right = left if same else _Nearest(len(y), k)
+    for p in range(0, len(x), PART):
+        for q in range(p if same else 0, len(y), PART):
+            squares = near_squares(x[p : p + PART], y[q : q + PART])
+            if same and p == q and not itself:
+                np.fill_diagonal(squares, np.inf)
+            left.take(x, y, p, q, squares)
+            if not (same and p == q):
+                right.take(y, x, q, p, squares.T)
+    return left, right
+
+
 def core_distances(a: np.ndarray, b: np.ndarray, samples: int) -> np.ndarray:
     """The ``samples`` smallest distances of each point of ``a`` to points of ``b`` (fewer if ``b`` is smaller), ascending."""
     k = min(samples, len(b))
@@ -77,6 +168,51 @@ def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array(a, np.int64), np.array(b, np.int64), np.array(w)
 
 
+def crossing_tree(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns): the edges of a minimum spanning tree of rows and columns, each row joined to each column with a weight of ``m``, by Prim's method."""
+    n, across = len(m), np.ascontiguousarray(m.T)
+    total = sum(m.shape)
+    best, near, out = np.full(total, np.inf), np.zeros(total, np.int64), np.ones(total, bool)
+    sides = [(best[s], near[s], out[s]) for s in (slice(n, None), slice(0, n))]
+    ends, now = np.zeros((total - 1, 2), np.int64), 0
+    out[0] = False
+    for e in range(total - 1):
+        w, (key, from_, left) = (m[now], sides[0]) if now < n else (across[now - n], sides[1])
+        closer = w < key
+        closer &= left
+        np.copyto(key, w, where=closer)
+        np.copyto(from_, now, where=closer)
+        now = int(best.argmin())
+        ends[e] = now, near[now]
+        best[now], out[now] = np.inf, False
+    ends.sort(axis=1)  # rows come before columns
+    return ends[:, 0], ends[:, 1] - n
+
+
+def crossing_edges(x: np.ndarray, near_x: np.ndarray, y: np.ndarray, near_y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position in ``x``, in ``y``, weight): a minimum spanning forest of mutual reachability between ``x`` and ``y``, or within ``x`` if both are the same."""
+    a, b, w = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    beyond = 0 if same else len(x)
+    for p in range(0, len(x), PART):
+        parts = [(a, b, w)]
+        for q in range(p if same else 0, len(y), PART):
+            if same and p == q:
+                i, j, v = spanning_tree(x[p : p + PART], near_x[p : p + PART])
+                parts.append((p + i, p + j, v))
+                continue
+            m = near_squares(x[p : p + PART], y[q : q + PART])
+            np.sqrt(m, out=m)
+            np.maximum(m, near_x[p : p + PART, None], out=m)
+            np.maximum(m, near_y[q : q + PART], out=m)
+            i, j = (k + at for k, at in zip(crossing_tree(m), (p, q), strict=True))
+            parts.append((i, j, np.maximum(pair_distances(x, y, i, j), np.maximum(near_x[i], near_y[j]))))
+        a, b, w = (np.concatenate(v) for v in zip(*parts, strict=True))
+        if len(w):
+            keep = forest_of(beyond + len(y), a, b + beyond, w)
+            a, b, w = a[keep], b[keep], w[keep]
+    return a, b, w
+
+
 def forest_of(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Positions of the edges of a minimum spanning forest of ``n`` points, by Boruvka's rounds; ties go by position."""
     by = np.lexsort((np.maximum(a, b), np.minimum(a, b), w))
@@ -266,10 +402,9 @@ def _packed(points: DataFrame, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(*points.columns))).alias("rows"))
 
 
-def _met(left: DataFrame, right: DataFrame, blocks: int, ordered: bool) -> DataFrame:
-    """a, b: the packed rows of each pair of blocks (all pairs, or those with left <= right), each pair in a task of its own."""
-    first = F.sequence(F.lit(0), F.lit(blocks - 1)) if ordered else F.sequence(F.col("block"), F.lit(blocks - 1))
-    pairs = left.select(F.col("block").alias("i"), F.explode(first).alias("j"), F.col("rows").alias("a"))
+def _met(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
+    """i, j, a, b: the packed rows of each pair of blocks with i <= j, each pair in a task of its own, as far as their hashes differ."""
+    pairs = left.select(F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"), F.col("rows").alias("a"))
     return pairs.join(right.select(F.col("block").alias("j"), F.col("rows").alias("b")), "j").repartition(blocks * blocks, "i", "j").select("i", "j", "a", "b")
 
 
@@ -280,61 +415,71 @@ def _of(row: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray, pa.StructArr
 
 
 def with_core(points: DataFrame, blocks: int, samples: int) -> DataFrame:
-    """``points`` (node, x) with core, the distance to the ``samples``-th nearest of them."""
+    """``points`` (node, x) with core, the distance to the ``samples``-th nearest of them. Each pair of blocks meets once, for both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                node, x, _ = _of(batch.column("a"), k)
-                got = core_distances(x, _of(batch.column("b"), k)[1], samples)
-                ends = np.arange(len(node) + 1, dtype=np.int32) * got.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(got.ravel()))], ["node", "d"])
+                same = batch.column("i")[k] == batch.column("j")[k]
+                (a, x, _), (b, y, _) = (_of(batch.column(c), k) for c in "ab")
+                for node, got in list(zip((a, b), nearest(x, y, samples, same), strict=True))[: 1 if same else 2]:
+                    ends = np.arange(len(node) + 1, dtype=np.int32) * samples
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(got.d.ravel()))], ["node", "d"])
 
     packed = cut(_packed(points, blocks))
-    near = _met(packed, packed, blocks, True).mapInArrow(run, "node long, d array<double>")
+    near = _met(packed, packed, blocks).mapInArrow(run, "node long, d array<double>")
     core = near.groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("d"))).alias("d"))
+    core = core.select("node", F.filter("d", lambda v: v < float("inf")).alias("d"))
     return points.join(core.select("node", F.element_at("d", F.least(F.lit(samples), F.size("d"))).alias("core")), "node")
 
 
 def reachability_edges(points: DataFrame, blocks: int) -> DataFrame:
-    """a, b, w: edges of mutual reachability among which there is a minimum spanning tree of all ``points`` (node, x, core)."""
+    """g, a, b, w: edges of mutual reachability among which there is a minimum spanning tree of all ``points`` (node, x, core); g is the pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                parts = [_of(batch.column(c), k) for c in (("a",) if batch.column("i")[k] == batch.column("j")[k] else ("a", "b"))]
-                node, x = (np.concatenate([p[f] for p in parts]) for f in (0, 1))
-                core = np.concatenate([p[2].field("core").to_numpy() for p in parts])
-                a, b, w = spanning_tree(x, core)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.array(w)], ["a", "b", "w"])
+                i, j = (batch.column(c)[k].as_py() for c in "ij")
+                (left, x, p), (right, y, q) = (_of(batch.column(c), k) for c in "ab")
+                a, b, w = crossing_edges(x, p.field("core").to_numpy(), y, q.field("core").to_numpy(), i == j)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), i * blocks + j)), *map(pa.array, (np.minimum(left[a], right[b]), np.maximum(left[a], right[b]), w))], ["g", "a", "b", "w"])
 
     packed = cut(_packed(points, blocks))
-    return _met(packed, packed, blocks, False).mapInArrow(run, "a long, b long, w double").distinct()
+    return _met(packed, packed, blocks).mapInArrow(run, "g long, a long, b long, w double")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, x) with node, from 0 by id: the rows of the partitions before, and the place within one."""
+    kept = cut(rows.select("id", "x").orderBy("id", "x").withColumn("row", F.monotonically_increasing_id()))
+    kept = kept.withColumns({"part": F.shiftright("row", 33), "at": F.col("row").bitwiseAND((1 << 33) - 1)})
+    sizes = kept.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return kept.join(F.broadcast(before), "part").select((F.col("before") + F.col("at")).alias("node"), "id", "x")
 
 
-def fitted_points(vectors: DataFrame, id_col: str, vector: str, most: int = FIT_ROWS) -> tuple[DataFrame, DataFrame, int]:
-    """(node, id, x of the rows that are fitted; id, x of the others; the number of fitted ones). Rows with null or non-finite parts, or of another length than most, are left out."""
+def fitted_points(vectors: DataFrame, id_col: str, vector: str, most: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(node, id, x of the rows that are fitted: all of them, or with ``most`` about so many of the smallest hashes; id, x of the others; the number of fitted ones). Rows with null or non-finite parts, or of another length than most, are left out."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x"))
     rows = rows.where("size(x) > 0 and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))")
     sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return rows.select(F.lit(0).cast("long").alias("node"), "id", "x").limit(0), rows, 0
-    rows = cut(rows.where(F.size("x") == sizes["d"]).withColumn("h", F.xxhash64("id", "x")))
-    if sizes["count"] > most:
+    rows = rows.where(F.size("x") == sizes["d"])
+    if most is not None and sizes["count"] > most:
+        rows = cut(rows.withColumn("h", F.xxhash64("id", "x")))
         last = rows.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
         some, rest = rows.where(F.col("h") <= last), rows.where(F.col("h") > last)
         if some.count() > 2 * most:
             raise ValueError(f"more than {most} rows are equal; take equal rows together first")
     else:
         some, rest = rows, rows.limit(0)
-    some = some.select((F.row_number().over(Window.orderBy("id", "x")) - 1).cast("long").alias("node"), "id", "x")
-    some = cut(some)
+    some = cut(_numbered(some))
     return some, rest.select("id", "x"), some.count()
 
 
 def tree_edges(points: DataFrame, n: int, samples: int) -> tuple[DataFrame, DataFrame]:
     """(points with core; a, b, w of their minimum spanning tree) for ``n`` points (node, x)."""
-    blocks = max(1, -(-n // BLOCK))
+    blocks = blocks_of(n)
     points = cut(with_core(points, blocks, samples))
     edges = reachability_edges(points, blocks)
 
@@ -344,6 +489,9 @@ def tree_edges(points: DataFrame, n: int, samples: int) -> tuple[DataFrame, Data
         keep = forest_of(n, a, b, w) if len(w) else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (a, b, w)], ["a", "b", "w"])
 
+    if blocks > SHARES:  # the tree of all is part of the union of the shares' trees
+        edges = cut(edges.repartition(SHARES, "g").select("a", "b", "w").mapInArrow(thin, "a long, b long, w double"))
+    edges = edges.select("a", "b", "w")
     return points, cut(edges.coalesce(1).mapInArrow(thin, "a long, b long, w double") if blocks > 1 else edges)
 
 
@@ -382,14 +530,14 @@ def density_clusters(vectors: DataFrame, id_col: str = "id", vector: str = "x",
     both = edges.select("a", "b", "w", none.cast("long").alias("node"), none.cast("array<double>").alias("x")).unionByName(points.select(none.cast("long").alias("a"), none.cast("long").alias("b"), none.cast("double").alias("w"), "node", "x"))
     found = cut(both.coalesce(1).mapInArrow(fit, "node long, cluster int, strength double, probability double"))
     out = fitted.select("node", "id").join(found, "node").drop("node")
-    if n < most:
+    if most is None or n < most:
         return out
     return out.unionByName(assigned(rest, points.join(found, "node"), n))
 
 
 def assigned(rest: DataFrame, fitted: DataFrame, n: int) -> DataFrame:
     """id, cluster, strength, probability of further rows: those of the fitted point (of ``n``) that each reaches most easily."""
-    blocks = max(1, -(-n // BLOCK))
+    blocks = blocks_of(n)
     packed = cut(_packed(fitted.select("node", "x", "core", "cluster", "strength", "probability"), blocks))
     shares = rest.withColumn("row", F.monotonically_increasing_id())
     shares = cut(shares)

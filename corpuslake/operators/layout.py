@@ -29,23 +29,22 @@ BLOCK = 1024
 
 def neighbours(points: DataFrame, n: int, k: int = NEIGHBOURS) -> DataFrame:
     """node, near (nodes) and d (distances) of the ``k`` nearest other points, ascending; ``points`` has node, x. Ties go to the smaller node."""
-    blocks = max(1, -(-n // density.BLOCK))
+    blocks = density.blocks_of(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
+                same = batch.column("i")[row] == batch.column("j")[row]
                 (a, x, _), (b, y, _) = (density._of(batch.column(c), row) for c in "ab")
-                for at in range(0, len(a), density.ROWS):
-                    d = density.distances(x[at : at + density.ROWS], y)
-                    d[a[at : at + density.ROWS, None] == b[None, :]] = np.inf
-                    most = min(k, len(b))
-                    edge = np.partition(d, most - 1, axis=1)[:, most - 1]
-                    r, c = np.nonzero((d <= edge[:, None]) & (d < np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array(a[at + r]), pa.array(d[r, c]), pa.array(b[c])], ["node", "d", "other"])
+                for node, other, got in list(zip((a, b), (b, a), density.nearest(x, y, k, same, itself=False), strict=True))[: 1 if same else 2]:
+                    found = got.at >= 0
+                    ends = pa.array(np.append(0, np.cumsum(found.sum(axis=1))).astype(np.int32))
+                    near = pa.StructArray.from_arrays([pa.array(got.d[found]), pa.array(other[got.at[found]])], ["d", "other"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(ends, near)], ["node", "s"])
 
     packed = cut(density._packed(points, blocks))
-    pairs = density._met(packed, packed, blocks, True).mapInArrow(run, "node long, d double, other long")
-    lists = pairs.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "other"))), 1, k).alias("s"))
+    pairs = density._met(packed, packed, blocks).mapInArrow(run, "node long, s array<struct<d:double,other:long>>")
+    lists = pairs.groupBy("node").agg(F.slice(F.sort_array(F.flatten(F.collect_list("s"))), 1, k).alias("s"))
     return lists.select("node", F.col("s.other").alias("near"), F.col("s.d").alias("d"))
 
 

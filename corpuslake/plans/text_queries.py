@@ -135,7 +135,7 @@ _REACH = """v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, [CAST
 
 def _core_distances(spark, d):  # noqa: ANN001, ANN202
     fitted, _, n = density.fitted_points(table(spark, d, "embeddings"), "vec_id", "embedding")
-    points = density.with_core(fitted.select("node", "x"), max(1, -(-n // density.BLOCK)), 10)
+    points = density.with_core(fitted.select("node", "x"), density.blocks_of(n), 10)
     return fitted.select("node", "id").join(points, "node").select(F.col("id").alias("vec_id"), F.round("core", 6).alias("core"))
 
 

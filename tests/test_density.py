@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslake.operators import density, layout, topics
 
@@ -205,3 +206,28 @@ def test_spanning_tree_takes_its_points_without_a_copy_for_each():
     finally:
         np.delete = kept
     assert len(calls) < 20
+
+
+def test_all_vectors_are_fitted(spark):
+    rows = spark.range(50_200).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0)).alias("embedding"))
+    points, rest, n = density.fitted_points(rows, "vec_id", "embedding")
+    assert n == 50_200 and rest.count() == 0
+    assert points.where("node = id").count() == n  # numbered by id
+
+
+@pytest.mark.parametrize("part", [7, 2048])
+def test_blocks_meet_once_and_give_what_all_pairs_give(spark, monkeypatch, part):
+    monkeypatch.setattr(density, "BLOCK", 20)
+    monkeypatch.setattr(density, "BLOCKS", 6)
+    monkeypatch.setattr(density, "PART", part)
+    x = blobs(150, 12, 3, 8) + 1000.0
+    x[100:] = x[:50]  # equal points
+    points, _, n = density.fitted_points(frame(spark, x), "vec_id", "embedding")
+    assert density.blocks_of(n) == 6 > density.SHARES
+    with_core, edges = density.tree_edges(points.select("node", "x"), n, 4)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, 3]
+    assert np.allclose([r.core for r in with_core.orderBy("node").collect()], core, rtol=1e-12)
+    m = np.maximum(d, np.maximum.outer(core, core))
+    i, j = np.triu_indices(n, 1)
+    assert np.allclose(sorted(r.w for r in edges.collect()), np.sort(m[i, j][density.forest_of(n, i, j, m[i, j])]), rtol=1e-9)
