@@ -3,7 +3,7 @@
 1. A point's core distance reaches its ``samples``-th nearest point (itself counts as the first). Points stand in packed
    blocks, and each pair of blocks meets in a task.
 2. The mutual reachability of two points is the largest of their distance and both core distances. Each pair of blocks
-   gives the minimum spanning tree of its own points; the tree of all points is part of the union of those trees, so
+   gives a minimum spanning forest of its own pairs; the tree of all points is part of the union of those forests, so
    distances are computed once more and nothing quadratic is kept.
 3. The union is thinned to the tree of all points by Boruvka's rounds; cutting it from the heaviest edge down gives the hierarchy. Stretches where only groups of
    fewer than ``least`` points fall off are one cluster; those that keep most points over most levels (excess of mass) are selected.
@@ -11,8 +11,9 @@
 Edges of one weight are cut together, so the outcome depends on the distances alone, not on the order of
 rows nor on which of several minimum trees was found.
 
-Step 3 is one task over at most FIT_ROWS points, the bound of the fit. Where there are more, those with the smallest hashes of their ids are
-fitted, and every other point gets the cluster of the fitted point that it reaches most easily.
+All vectors are fitted. Edges are thinned in a few tasks first; the hierarchy itself is one task over the edges of one tree (three numbers a point, no
+vectors), memberships are computed by blocks again. Only where a caller asks for it (``most``), those with the smallest hashes of their ids
+are fitted, and every other point gets the cluster of the fitted point that it reaches most easily.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from corpuslake.session import cut
 
-#: Points of a block at least, points that the hierarchy is built on at most, and rows of a block whose distances are held together.
-BLOCK, FIT_ROWS, ROWS = 2048, 50_000, 256
+#: Points of a block at least, rows of a block whose distances are held together, and distances to exemplars that are.
+BLOCK, ROWS, HELD = 2048, 256, 2_000_000
 #: Blocks at most, so that each point is sent to as many tasks at most; points of a block at most, which comes first; points of a block whose distances to as many are held together.
 BLOCKS, LARGEST, PART = 24, 100_000, 2048
 #: Rows whose distances to a block stay in a processor's cache while the components are summed.
@@ -348,51 +349,113 @@ def labels_of(tree: Tree) -> np.ndarray:
     return np.array(own, np.int64)[tree.point_cluster]
 
 
-def memberships(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(selected clusters, points x clusters): how far each point belongs to each selected cluster; a row comes to 1 at most.
+class Shape(NamedTuple):
+    """What memberships need of a hierarchy: by cluster, its parent, birth, last level without (``own``) and with those below (``last``), children, and the stretch of ``chosen`` (selected clusters, depth first) in it."""
+
+    parent: np.ndarray
+    birth: np.ndarray
+    own: np.ndarray
+    last: np.ndarray
+    children: list[list[int]]
+    chosen: np.ndarray
+    place: np.ndarray  # of a cluster in ``chosen``, -1 for others
+    low: np.ndarray
+    high: np.ndarray
+
+
+def shape_of(parent: np.ndarray, birth: np.ndarray, selected: np.ndarray, own: np.ndarray) -> Shape:
+    """The Shape of clusters with parents first; ``own``: the highest level of the points that are last in each."""
+    n = len(parent)
+    last, children = own.copy(), [[] for _ in range(n)]
+    for c in range(n - 1, 0, -1):
+        last[parent[c]] = max(last[parent[c]], last[c])
+        children[parent[c]].append(c)
+    low, high, place, chosen, todo = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1), [], [(0, False)]
+    while todo:
+        c, over = todo.pop()
+        if over:
+            high[c] = len(chosen)
+            continue
+        low[c] = len(chosen)
+        if c and selected[c]:
+            place[c] = len(chosen)
+            chosen.append(c)
+        todo.append((c, True))
+        todo.extend((k, False) for k in children[c])
+    return Shape(parent, birth, own, last, children, np.array(chosen, np.int64), place, low, high)
+
+
+def _meetings(s: Shape, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """For points last in cluster ``d`` and each chosen cluster: the level at which they meet, and whether a point that falls off before meets it where it does."""
+    level, falls = np.zeros(len(s.chosen)), np.zeros(len(s.chosen), bool)
+    a, below = d, -1
+    while a >= 0:
+        for c in s.children[a]:
+            if c != below:
+                level[s.low[c] : s.high[c]] = s.birth[c]
+        if s.place[a] >= 0:
+            level[s.place[a]] = np.inf if a == d else s.last[a]
+        if a == d:
+            falls[s.low[d] : s.high[d]] = True
+        a, below = (int(s.parent[a]) if a else -1), a
+    return level, falls
+
+
+def belonging(s: Shape, exemplars: np.ndarray, starts: np.ndarray, x: np.ndarray, cluster: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """points x chosen clusters: how far each point (``cluster`` and ``level`` are its last) belongs to each; ``starts``: where each chosen cluster's exemplars begin.
 
     The root of the share by distance to a cluster's exemplars (the points that stay in its leaves to the end) times the square of the
     share by the level at which point and cluster meet, scaled by the level of the best meeting relative to that cluster's last.
     """
-    chosen = [c for c in range(1, len(tree.parent)) if tree.selected[c]]
-    if not chosen:
-        return np.zeros(0, np.int64), np.zeros((len(x), 0))
-    paths: list[list[int]] = []
-    for c in range(len(tree.parent)):
-        paths.append([c] if c == 0 else [*paths[tree.parent[c]], c])
-    has_child = {tree.parent[c] for c in range(1, len(tree.parent))}
-    last, last_ = [0.0] * len(tree.parent), np.zeros(len(tree.parent))  # the highest level of a cluster, with and without those below
-    np.maximum.at(last_, tree.point_cluster, tree.point_level)
-    for c in range(len(tree.parent) - 1, -1, -1):
-        last[c] = max(last[c], float(last_[c]))
-        if c:
-            last[tree.parent[c]] = max(last[tree.parent[c]], last[c])
-    near, meet = np.zeros((len(x), len(chosen))), np.zeros((len(x), len(chosen)))
-    for k, c in enumerate(chosen):
-        inside = [d for d in range(len(tree.parent)) if c in paths[d]]
-        leaves = [d for d in inside if d not in has_child]
-        exemplar = np.isin(tree.point_cluster, leaves) & (tree.point_level >= last_[tree.point_cluster])
-        for at in range(0, len(x), ROWS):
-            near[at : at + ROWS, k] = distances(x[at : at + ROWS], x[exemplar]).min(axis=1)
-        for d in range(len(tree.parent)):
-            rows = tree.point_cluster == d
-            common = max(set(paths[d]) & set(paths[c]))
-            if common == c:
-                meet[rows, k] = tree.point_level[rows] if d == c else last[c]
-            elif common == d:  # the point falls off above c
-                meet[rows, k] = np.minimum(tree.point_level[rows], tree.birth[paths[c][paths[c].index(d) + 1]])
-            else:
-                meet[rows, k] = tree.birth[paths[c][paths[c].index(common) + 1]]
+    near = np.minimum.reduceat(distances(x, exemplars), starts, axis=1)
+    meet = np.zeros(near.shape)
+    for d in np.unique(cluster):
+        rows = cluster == d
+        at, falls = _meetings(s, int(d))
+        meet[rows] = np.where(falls, np.minimum(level[rows, None], at), at)
     by_distance = np.where(near.min(axis=1, keepdims=True) > 0, 1 / np.maximum(near, 1e-300), near == 0)
     by_distance = by_distance / by_distance.sum(axis=1, keepdims=True)
-    z = 1 / (1.01 - meet / np.maximum(last_[tree.point_cluster], meet.max(axis=1))[:, None])
+    z = 1 / (1.01 - meet / np.maximum(s.own[cluster], meet.max(axis=1))[:, None])
     by_level = np.exp(z - z.max(axis=1, keepdims=True))
     by_level = by_level / by_level.sum(axis=1, keepdims=True)
     both = np.sqrt(by_distance) * by_level**2
     both = both / both.sum(axis=1, keepdims=True)
-    best = meet.argmax(axis=1)
-    highest = np.maximum(np.array([last[c] for c in chosen])[best], tree.point_level)
-    return np.array(chosen), both * (meet.max(axis=1) / highest)[:, None]
+    top = meet.max(axis=1)
+    first = np.where(meet == top[:, None], s.chosen, len(s.parent)).min(axis=1)  # of several, the first cluster
+    return both * (top / np.maximum(s.last[first], level))[:, None]
+
+
+def _last_levels(tree: Tree) -> np.ndarray:
+    """By cluster, the highest level of the points that are last in it."""
+    out = np.zeros(len(tree.parent))
+    np.maximum.at(out, tree.point_cluster, tree.point_level)
+    return out
+
+
+def exemplars_of(tree: Tree, label: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether each point stays in a leaf of a selected cluster to the end."""
+    leaf = np.ones(len(tree.parent), bool)
+    leaf[tree.parent[1:]] = False
+    return (label >= 0) & leaf[tree.point_cluster] & (tree.point_level >= last[tree.point_cluster])
+
+
+def _pieces(points: int, exemplars: int) -> range:
+    """Where stretches of points begin whose distances to all exemplars are held together."""
+    return range(0, points, max(1, min(ROWS, HELD // max(1, exemplars))))
+
+
+def memberships(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(selected clusters, points x clusters): how far each point belongs to each selected cluster; a row comes to 1 at most."""
+    last, label = _last_levels(tree), labels_of(tree)
+    s = shape_of(np.array(tree.parent), np.array(tree.birth), np.array(tree.selected), last)
+    if not len(s.chosen):
+        return np.zeros(0, np.int64), np.zeros((len(x), 0))
+    some = np.flatnonzero(exemplars_of(tree, label, last))
+    some = some[np.argsort(s.place[label[some]], kind="stable")]
+    starts = np.searchsorted(s.place[label[some]], np.arange(len(s.chosen)))
+    step = _pieces(len(x), len(some)).step
+    rows = [belonging(s, x[some], starts, x[at : at + step], tree.point_cluster[at : at + step], tree.point_level[at : at + step]) for at in range(0, len(x), step)]
+    return s.chosen, np.concatenate(rows)
 
 
 # -- as Spark jobs ---------------------------------------------------------
@@ -495,7 +558,7 @@ def tree_edges(points: DataFrame, n: int, samples: int) -> tuple[DataFrame, Data
     return points, cut(edges.coalesce(1).mapInArrow(thin, "a long, b long, w double") if blocks > 1 else edges)
 
 
-def density_clusters(vectors: DataFrame, id_col: str = "id", vector: str = "x", least: int = 10, samples: int | None = None, most: int = FIT_ROWS) -> DataFrame:
+def density_clusters(vectors: DataFrame, id_col: str = "id", vector: str = "x", least: int = 10, samples: int | None = None, most: int | None = None) -> DataFrame:
     """id, cluster, strength, probability for every usable vector: clusters numbered by size (ties: the smaller id), -1 for outliers.
 
     ``strength`` is how long a point stays in its cluster, relative to the point that stays longest;
@@ -507,34 +570,60 @@ def density_clusters(vectors: DataFrame, id_col: str = "id", vector: str = "x",
     if n < 2:
         return fitted.select("id", F.lit(OUTLIER).alias("cluster"), F.lit(0.0).alias("strength"), F.lit(0.0).alias("probability"))
     points, edges = tree_edges(fitted.select("node", "x"), n, samples)
+    names = ["node", "cluster", "label", "last", "level", "strength", "marked", "block"]
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        tree_rows, point_rows = table.filter(table.column("a").is_valid()), table.filter(table.column("node").is_valid())
-        tree = condensed(n, *(tree_rows.column(c).to_numpy() for c in "abw"), least)
-        node = point_rows.column("node").to_numpy()
-        x = point_rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(node), -1)[np.argsort(node)]
-        label = labels_of(tree)
-        chosen, belongs = memberships(tree, x)
-        last = np.zeros(len(tree.parent))
-        np.maximum.at(last, np.maximum(label, 0), np.where(label >= 0, tree.point_level, 0))
-        strength = np.where(label >= 0, tree.point_level / np.maximum(last[np.maximum(label, 0)], 1e-300), 0.0)
-        at = np.searchsorted(chosen, np.maximum(label, 0))
-        probability = np.where(label >= 0, belongs[np.arange(n), np.minimum(at, len(chosen) - 1)], 0.0) if len(chosen) else np.zeros(n)
-        sizes = [(-int((label == c).sum()), int(np.flatnonzero(label == c)[0]), int(c)) for c in chosen if (label == c).any()]
-        number = {c: k for k, (_, _, c) in enumerate(sorted(sizes))}
-        out = np.array([number.get(int(c), OUTLIER) for c in label], np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(out), pa.array(strength), pa.array(probability)], ["node", "cluster", "strength", "probability"])
-
-    none = F.lit(None)
-    both = edges.select("a", "b", "w", none.cast("long").alias("node"), none.cast("array<double>").alias("x")).unionByName(points.select(none.cast("long").alias("a"), none.cast("long").alias("b"), none.cast("double").alias("w"), "node", "x"))
-    found = cut(both.coalesce(1).mapInArrow(fit, "node long, cluster int, strength double, probability double"))
+        """A row for each point (marked: exemplars), and with no node one for each cluster (cluster: its parent, level: its birth, strength: its last level, marked: selected)."""
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())]))
+        tree = condensed(n, *(table.column(c).to_numpy() for c in "abw"), least)
+        label, last = labels_of(tree), _last_levels(tree)
+        best = np.zeros(len(tree.parent))
+        np.maximum.at(best, np.maximum(label, 0), np.where(label >= 0, tree.point_level, 0))
+        strength = np.where(label >= 0, tree.point_level / np.maximum(best[np.maximum(label, 0)], 1e-300), 0.0)
+        chosen, first, size = np.unique(label[label >= 0], return_index=True, return_counts=True)
+        number = np.full(len(tree.parent), OUTLIER, np.int32)
+        number[chosen[np.lexsort((np.flatnonzero(label >= 0)[first], -size))]] = np.arange(len(chosen))
+        block = np.zeros(n, np.int32)  # those of one cluster stand together
+        block[np.lexsort((tree.point_cluster, label < 0))] = np.arange(n) // BLOCK
+        own = np.where(label >= 0, number[np.maximum(label, 0)], OUTLIER).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(own), *map(pa.array, (label, tree.point_cluster, tree.point_level, strength, exemplars_of(tree, label, last), block))], names)
+        of = len(tree.parent)
+        yield pa.RecordBatch.from_arrays([pa.nulls(of, pa.int64()), pa.array(tree.parent, pa.int32()), pa.array(np.full(of, -1)), pa.array(np.arange(of)), pa.array(tree.birth), pa.array(last), pa.array(tree.selected), pa.array(np.zeros(of, np.int32))], names)
+
+    found = cut(edges.select("a", "b", "w").coalesce(1).mapInArrow(fit, "node long, cluster int, label long, last long, level double, strength double, marked boolean, block int"))
+    found, clusters = found.where("node is not null"), found.where("node is null")
+    found = found.select("node", "cluster", "strength").join(_probabilities(points.select("node", "x").join(found.where(F.col("cluster") != OUTLIER), "node"), clusters), "node", "left").fillna(0.0, ["probability"])
     out = fitted.select("node", "id").join(found, "node").drop("node")
     if most is None or n < most:
         return out
     return out.unionByName(assigned(rest, points.join(found, "node"), n))
 
 
+def _probabilities(points: DataFrame, clusters: DataFrame) -> DataFrame:
+    """node, probability: how far each of ``points`` belongs to its cluster, by blocks; each block sees the hierarchy and the exemplars (one row)."""
+    tree = clusters.agg(F.sort_array(F.collect_list(F.struct("last", "cluster", "level", "strength", "marked"))).alias("tree"))
+    known = tree.crossJoin(points.where("marked").agg(F.collect_list(F.struct("label", "x")).alias("exemplars")))
+    blocks = points.groupBy("block").agg(F.collect_list(F.struct("node", "x", "label", "last", "level")).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                t, e, rows = (batch.column(c).slice(k, 1).flatten() for c in ("tree", "exemplars", "rows"))
+                s = shape_of(t.field("cluster").to_numpy(), t.field("level").to_numpy(), t.field("marked").to_numpy(zero_copy_only=False), t.field("strength").to_numpy())
+                x, y = (v.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) for v in (rows, e))
+                place = s.place[e.field("label").to_numpy()]
+                by = np.argsort(place, kind="stable")
+                starts, y = np.searchsorted(place[by], np.arange(len(s.chosen))), y[by]
+                label, last, level = (rows.field(c).to_numpy() for c in ("label", "last", "level"))
+                pieces = _pieces(len(x), len(y))
+                for at in pieces:
+                    part = slice(at, at + pieces.step)
+                    share = belonging(s, y, starts, x[part], last[part], level[part])
+                    yield pa.RecordBatch.from_arrays([rows.field("node").slice(at, len(share)), pa.array(share[np.arange(len(share)), s.place[label[part]]])], ["node", "probability"])
+
+    return blocks.crossJoin(F.broadcast(known)).select("tree", "exemplars", "rows").mapInArrow(run, "node long, probability double")  # one row
+
+
 def assigned(rest: DataFrame, fitted: DataFrame, n: int) -> DataFrame:
     """id, cluster, strength, probability of further rows: those of the fitted point (of ``n``) that each reaches most easily."""
     blocks = blocks_of(n)

@@ -3,7 +3,7 @@
 Exact nearest neighbours in pairs of blocks; a fuzzy graph in which each point has a bandwidth of its own; a start from the graph's
 leading eigenvectors by power iteration; then rounds of sampled attraction along edges and repulsion from random points.
 In each round a block moves its own points and takes those of all others from the round before, so a round is
-one job over blocks. What all blocks see is the positions, a few numbers a point for the points of a fit (density.FIT_ROWS at most).
+one job over blocks. What all blocks see is the positions, a few numbers a point.
 Every random number comes from the seed, the round and the block: the same rows give the same result.
 """
 
@@ -23,8 +23,8 @@ from corpuslake.session import cut
 NEIGHBOURS, DIMENSIONS, POWER, ROUNDS, PASSES, REPELLED = 15, 2, 12, 8, 25, 5
 #: The curve 1 / (1 + A d^(2B)) that falls as a distance of 0.1 and a spread of 1 ask for; the longest step of one move.
 A, B, CLIP = 1.577, 0.8951, 4.0
-#: Points of a block in the layout.
-BLOCK = 1024
+#: Points of a block in the layout at least, and blocks at most: each block sees all positions.
+BLOCK, BLOCKS = 1024, 48
 
 
 def neighbours(points: DataFrame, n: int, k: int = NEIGHBOURS) -> DataFrame:
@@ -117,7 +117,7 @@ def reduced(points: DataFrame, n: int, dimensions: int = DIMENSIONS, seed: int =
     if n < 3 * NEIGHBOURS or len(first["x"]) <= dimensions:
         return points.select("node", "x")
     near = neighbours(points, n)
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, min(-(-n // BLOCK), BLOCKS))
     graph = fuzzy_graph(near).withColumn("block", F.pmod("node", F.lit(blocks)).cast("int"))
     graph = cut(graph.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("node", "others", "strengths"))).alias("edges")))
 

@@ -1,6 +1,6 @@
 """Corpus topics: split by length, clusters of embeddings, class-based TF-IDF keywords.
 
-Vectors are reduced by ``layout`` and clustered by ``density``, both fitted on FIT_ROWS vectors at most; every
+Vectors are reduced by ``layout`` and clustered by ``density``, both fitted on all vectors; every
 vector gets a cluster or is an outlier (-1).
 """
 
@@ -17,8 +17,6 @@ LONG_FORM_WORDS, LEAST_DOCS, LEAST_TOPIC, KEYWORDS = 500, 20, 10, 10
 OUTLIER = -1
 #: Standard deviations beyond the mean distance at which a vector is off its k-means cluster.
 FAR = 3.0
-#: Vectors that the reduction and the density levels are fitted on, at most: those of the smallest hashes. All are clustered.
-FIT_ROWS = density.FIT_ROWS
 
 
 def with_corpus(docs: DataFrame, words: str = "word_count") -> DataFrame:
@@ -62,24 +60,13 @@ def clusters(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embeddin
     """
     if k is not None:
         return _by_number(vectors, id_col, vector, k, least, seed)
-    fitted, _, n = density.fitted_points(vectors, id_col, vector, most=FIT_ROWS)
-    if reduce and n >= 2:
-        small = layout.reduced(fitted.select("node", "x"), n, seed=seed)
-        rows = density.density_clusters(fitted.select("node", "id").join(small, "node"), "id", "x", least, most=FIT_ROWS)
-        if n >= FIT_ROWS:
-            rows = _carried(vectors, id_col, vector, fitted, rows, n)
-    else:
-        rows = density.density_clusters(vectors, id_col, vector, least, most=FIT_ROWS)
+    if reduce:
+        fitted, _, n = density.fitted_points(vectors, id_col, vector)
+        vectors, id_col, vector = fitted.select("node", "id").join(layout.reduced(fitted.select("node", "x"), n, seed=seed) if n >= 2 else fitted.select("node", "x"), "node"), "id", "x"
+    rows = density.density_clusters(vectors, id_col, vector, least)
     return rows.select("id", F.col("cluster").alias("topic_id"), F.round("probability", 4).alias("probability"))
 
 
-def _carried(vectors: DataFrame, id_col: str, vector: str, fitted: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` of the fitted vectors, and for every other one those of the fitted vector that is nearest before reduction."""
-    rest = density.fitted_points(vectors, id_col, vector, most=FIT_ROWS)[1]
-    known = fitted.join(rows, "id").withColumn("core", F.lit(0.0))
-    return rows.unionByName(density.assigned(rest, known, n))
-
-
 def _by_number(vectors: DataFrame, id_col: str, vector: str, k: int, least: int, seed: int) -> DataFrame:
     """As clusters(), for ``k`` clusters by k-means; those of fewer than ``least`` members, and vectors far off their cluster, are outliers.
 

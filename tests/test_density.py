@@ -231,3 +231,16 @@ def test_blocks_meet_once_and_give_what_all_pairs_give(spark, monkeypatch, part)
     m = np.maximum(d, np.maximum.outer(core, core))
     i, j = np.triu_indices(n, 1)
     assert np.allclose(sorted(r.w for r in edges.collect()), np.sort(m[i, j][density.forest_of(n, i, j, m[i, j])]), rtol=1e-9)
+
+
+def test_clusters_are_fitted_on_all_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topics, "FIT_ROWS", 100, raising=False)
+    monkeypatch.setattr(density, "assigned", lambda *args: pytest.fail("vectors that are not fitted"))
+    monkeypatch.setattr(density, "BLOCK", 64)
+    x = np.concatenate([c + np.random.default_rng(1).normal(0, 0.3, (50, 6)) for c in np.eye(6)[:3] * 10])
+    got = topics.clusters(frame(spark, x), reduce=False).toPandas().sort_values("id")
+    core = density.core_distances(x, x, 10)[:, -1]
+    tree = density.condensed(len(x), *density.spanning_tree(x, core), 10)
+    label, (chosen, share) = density.labels_of(tree), density.memberships(tree, x)
+    own = [share[k, np.flatnonzero(chosen == c)[0]] if c >= 0 else 0.0 for k, c in enumerate(label)]
+    assert len(got) == 150 and np.allclose(got.probability, own, atol=1e-4)
